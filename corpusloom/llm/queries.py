@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules
+from . import line_dedup, mixing, near_join, quality_rules
 from .common import table
 
 QUERIES: dict = {}
@@ -37,3 +37,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op3_line_dedup"] = line_dedup.SQL
+
+
+@query
+def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_join.near_join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "text_class_id", "n_copies", "n_links", "n_link_docs")
+
+
+ORACLE["op5_near_join"] = near_join.SQL
