@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_join, quality_rules
+from . import decontam, line_dedup, mixing, near_join, quality_rules
 from .common import table
 
 QUERIES: dict = {}
@@ -46,3 +47,13 @@ def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op5_near_join"] = near_join.SQL
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLE["op6_decontamination"] = decontam.SQL
