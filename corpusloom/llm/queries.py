@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, near_join, quality_rules
+from . import decontam, line_dedup, mixing, near_join, quality_rules, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op6_decontamination"] = decontam.SQL
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder, payloads=False)
+
+
+ORACLE["op10_warc"] = warc.SQL
