@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SCRATCH = "loom-scratch"
+_MADE: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,7 +30,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/{_SCRATCH}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{_SCRATCH}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -45,9 +48,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of finished steps. Call only when no earlier result is still to be read."""
-    delete_path(spark, f"{checkpoint_dir(spark)}/{_SCRATCH}")
+def scratch_made() -> list[str]:
+    """Paths of the scratch tables made so far in this process, oldest first."""
+    return list(_MADE)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import decontam, line_dedup, mixing, near_join, pii, quality_gam, quality_rules, toxicity, url_rules, warc
 from .common import table
 
@@ -12,6 +14,14 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline at the repository top."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
