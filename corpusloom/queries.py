@@ -1,5 +1,6 @@
 """Registered queries of the core library."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = "bm25_search"
+from corpusloom.plans import analytics, scans  # noqa: F401
+from corpusloom.plans.registry import ORACLE, QUERIES  # noqa: F401
+
+FLAGSHIP = "d3_conversation_health"
