@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,7 +42,7 @@ def hashed_vector(text: str | None, size: int = 384) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def embed(texts: pd.Series) -> pd.Series:
     """Hashed vectors of a column; a 128-bit modulus has no built-in form. Another embedder can take its place."""
     return texts.map(hashed_vector)

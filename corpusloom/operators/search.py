@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions import vectors as V
 
 from .feeds import numbered, top_k
 
@@ -46,18 +50,58 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     return top_k(scores.where("score > 0").withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, scope: str | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank of the k most similar vectors of each query (query_id, qvec), in equal scope if named.
-
-    Vectors are normalised once on either side. The query table is what Spark broadcasts where it is small; with a
-    scope column the join is an equi join. Ranks are pruned before they are shuffled."""
-    q = queries.select("query_id", V.unit(F.col("qvec")).alias("q"), *([F.col(scope).alias("_scope")] if scope else []))
-    v = vectors.select("vec_id", V.unit(F.col("vec")).alias("v"), *([scope] if scope else []))
-    pairs = v.join(q, v[scope] == q["_scope"]) if scope else v.join(q, F.lit(True))
-    scored = pairs.select("query_id", "vec_id", F.round(V.dot(F.col("q"), F.col("v")), 6).alias("score")).where(F.col("query_id") != F.col("vec_id"))
-    if floor is not None:
-        scored = scored.where(F.col("score") >= floor)
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, scope: str | None = None, block: int = 4096) -> DataFrame:
+    """query_id, vec_id, score, rank of the k most similar vectors of each query (query_id, qvec), itself left out; with
+    ``scope`` only those with an equal value in that column.
+
+    Queries go to the tasks in blocks of bounded size. A task multiplies its batches of unit vectors with the block and
+    keeps its k best of each query, so k rows per query and task are shuffled, not all pairs."""
+    sc, kind = vectors.sparkSession.sparkContext, vectors.schema["vec_id"].dataType.simpleString()
+    cols = ["query_id", "qvec", *([scope] if scope else [])]
+    parts, held = [], []
+
+    def send():
+        if held:
+            parts.append(_partial_top_k(sc.broadcast(list(held)), vectors.select("vec_id", "vec", *([scope] if scope else [])), k, floor, kind))
+            held.clear()
+
+    for r in queries.select(*cols).toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == block:
+            send()
+    send()
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {kind}, score double, rank long")
+    return top_k(reduce(DataFrame.union, parts), ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+
+
+def _units(rows) -> np.ndarray:
+    m = np.array(rows, np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _partial_top_k(sent, vectors: DataFrame, k: int, floor: float | None, kind: str) -> DataFrame:
+    def run(batches):
+        block = sent.value
+        q, ids = _units([r[1] for r in block]), [r[0] for r in block]
+        scopes = np.array([r[2] for r in block], object) if len(block[0]) > 2 else None
+        best: list[list[tuple[float, int]]] = [[] for _ in block]
+        for b in batches:
+            vec_ids = b.column(0).to_pylist()
+            sims = np.round(q @ _units(b.column(1).to_pylist()).T, 6)
+            if scopes is not None:
+                sims[scopes[:, None] != np.array(b.column(2).to_pylist(), object)[None, :]] = -np.inf
+            if floor is not None:
+                sims[sims < floor] = -np.inf
+            for i, row in enumerate(sims):
+                at = np.flatnonzero(row >= (np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -np.inf))
+                more = [(-row[j], vec_ids[j]) for j in at if row[j] > -np.inf and vec_ids[j] != ids[i]]
+                best[i] = heapq.nsmallest(k, best[i] + more)
+        out = [(ids[i], v, -s) for i, rows in enumerate(best) for s, v in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return vectors.mapInArrow(run, f"query_id {kind}, vec_id {kind}, score double")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, keep: int = 50) -> DataFrame:
@@ -107,7 +151,8 @@ GATE_STOP = "what when where which who whom whose why how the and for are can gi
 
 
 def content_words(query: Column) -> Column:
-    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))), F.array(*map(F.lit, GATE_STOP)))
+    words = F.filter(F.split(F.lower(query), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{3,}$"))
+    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, GATE_STOP)))
 
 
 def gate(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries of the core library."""
 
-from corpusloom.plans import analytics, scans  # noqa: F401
+from corpusloom.plans import analytics, retrieval, scans  # noqa: F401
 from corpusloom.plans.registry import ORACLE, QUERIES  # noqa: F401
 
-FLAGSHIP = "d3_conversation_health"
+FLAGSHIP = "bm25_search"
