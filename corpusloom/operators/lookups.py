@@ -30,7 +30,7 @@ def glob_regex(pattern: Column) -> Column:
 def first_rule(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Each distinct url with the action and id of the newest rule (rule_id, pattern, action) that fits it, as a glob or
     as a literal prefix. The rule table is a hand-written list, far below Spark's broadcast threshold, which plans the join."""
-    fits = F.col(url).rlike(F.col("rx")) | F.col(url).startswith(F.col("pattern"))
+    fits = F.rlike(F.col(url), F.col("rx")) | F.startswith(F.col(url), F.col("pattern"))
     r = rules.withColumn("rx", glob_regex(F.col("pattern")))
     best = urls.select(url).distinct().join(r, fits, "left").groupBy(url).agg(F.max(F.struct("rule_id", "action")).alias("b"))
     return best.select(url, F.coalesce("b.action", F.lit(default)).alias("action"), F.col("b.rule_id").cast("long").alias("rule_id"))
