@@ -222,8 +222,8 @@ def i7(v):
     return lookups.islands(v("events"), "user_id", F.unix_seconds(F.col("ts").cast("timestamp")), 1800)
 
 
-@query("i8_repeat_questions", """WITH m AS (SELECT message_id, sha256(department || '|' || lower(left(content, 20))) AS k, created_s, lag(created_s) OVER (PARTITION BY sha256(department || '|' || lower(left(content, 20))) ORDER BY created_s) AS p FROM v_messages)
+@query("i8_repeat_questions", """WITH m AS (SELECT message_id, sha256(department || '|' || lower(left(content, 3))) AS k, created_s, lag(created_s) OVER (PARTITION BY sha256(department || '|' || lower(left(content, 3))) ORDER BY created_s) AS p FROM v_messages)
 SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000""")
 def i8(v):
-    m = v("v_messages").withColumn("key", T.sha256(F.concat_ws("|", "department", F.lower(F.left("content", F.lit(20))))))
+    m = v("v_messages").withColumn("key", T.sha256(F.concat_ws("|", "department", F.lower(F.left("content", F.lit(3))))))
     return lookups.earlier_repeats(m, ["key"], "created_s", 360000).select("message_id", "since_s")
