@@ -29,7 +29,8 @@ SHARD_WORDS = 1_000_000
 BLOCK_BYTES = 8_000_000
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
-_STATE = "items array<string>, spans array<struct<start:bigint,end:bigint>>"
+_ADDED = ("items", "spans", "n_words")
+_STATE = "items array<string>, spans array<struct<start:bigint,end:bigint>>, n_words long"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -102,9 +103,9 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 
 def _pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
-    """docs with the columns items and spans, joined with what earlier passes found."""
+    """docs with the columns items, spans and n_words, joined with what earlier passes found."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)  # at most BLOCK_BYTES of phrases
-    schema = docs.select(*(c for c in docs.columns if c not in ("items", "spans"))).schema
+    schema = docs.select(*(c for c in docs.columns if c not in _ADDED)).schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches):
@@ -114,13 +115,13 @@ def _pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
             spans, items = search_shard(texts, sent.value)
             at = 0
             for b in held:
-                mine, names = spans[at : at + b.num_rows], items[at : at + b.num_rows]
+                mine, names, counts = spans[at : at + b.num_rows], items[at : at + b.num_rows], [len(t) for t in texts[at : at + b.num_rows]]
                 at += b.num_rows
                 if "spans" in b.schema.names:
                     mine = [_merge(m, [(x["start"], x["end"]) for x in old]) for m, old in zip(mine, b.column("spans").to_pylist(), strict=True)]
                     names = [n | set(old) for n, old in zip(names, b.column("items").to_pylist(), strict=True)]
-                cols = [c for c in b.schema.names if c not in ("items", "spans")]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array([sorted(n) for n in names], pa.list_(pa.string())), pa.array([[{"start": s, "end": e} for s, e in m] for m in mine], _SPANS)], [*cols, "items", "spans"])
+                cols = [c for c in b.schema.names if c not in _ADDED]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array([sorted(n) for n in names], pa.list_(pa.string())), pa.array([[{"start": s, "end": e} for s, e in m] for m in mine], _SPANS), pa.array(counts, pa.int64())], [*cols, *_ADDED])
 
         for b in batches:
             column = b.column(b.schema.get_field_index("text"))
@@ -141,7 +142,8 @@ def _pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs (any columns, with text) plus items, the ids of items found, and spans, the merged hit spans in words."""
+    """docs (any columns, with text; columns named as an output are replaced) plus items, the ids of items found, spans, the merged hit spans in words, and n_words."""
+    docs = docs.drop(*_ADDED)
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     blocks = max(1, -(-(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     for k in range(blocks):
@@ -153,9 +155,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items and spans of each row of docs."""
     found = find_passages(docs.select("doc_id", "text"), benchmark)
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return found.select("doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.array_distinct("items").alias("items"), "spans")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_distinct("items").alias("items"), "spans")
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
