@@ -55,10 +55,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     win = materialise(windows(docs, min_words), "line-windows")
     place = F.xxhash64("_r1", "_r2", "fp_pos")
     prints = win.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    shared = win.join(prints, "fp", "left_semi")
+    prints = materialise(prints, "fingerprints")  # written, so that the joins can split hot keys; never broadcast, as it grows
+    shared = win.join(prints.hint("merge"), "fp", "left_semi")
     at = F.struct("doc_id", "_r1", "_r2", "start", "end")
     first = shared.groupBy("c1", "c2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("c1", "c2", "first")
-    later = shared.join(first, ["c1", "c2"])
+    first = materialise(first, "first-places")
+    later = shared.join(first.hint("merge"), ["c1", "c2"])
     same_doc = (F.col("_r1") == F.col("first._r1")) & (F.col("_r2") == F.col("first._r2"))
     later = later.where(F.when(same_doc, F.col("start") > F.col("first.end")).otherwise(F.lit(True))).select("_r1", "_r2", "start", "end")
     order = W.partitionBy("_r1", "_r2").orderBy("start", "end")
