@@ -65,11 +65,21 @@ def gate_diagnostics(audit: DataFrame, n: int = 100) -> DataFrame:
 
 
 def latency_percentiles(rows: DataFrame, by: str, value: str, shares=(0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Values at rank floor(n * p) of each group in order, and the mean; ranks come from a window, not from collected arrays."""
-    w = W.partitionBy(by)
-    x = rows.withColumn("_n", F.count(value).over(w)).withColumn("_i", F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())) - 1)
-    at = lambda p: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(p)), F.col(value)))
-    return x.groupBy(by).agg(*(at(p).alias(f"p{round(p * 100)}") for p in shares), F.round(F.avg(value), 3).alias("mean"))
+    """Values at rank floor(n * p) of each group in order, and the mean; nulls have no rank.
+
+    Equal values are counted first; running counts go by buckets that grow with the value, whose offsets come from a
+    table of bucket sums, so that a group with most of the rows is not sorted in one task."""
+    v = F.col("_v")
+    bucket = F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * 64)
+    c = rows.select(by, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(by, "_v").agg(F.count("*").alias("_c")).withColumn("_b", bucket)
+    run = W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sums = c.groupBy(by, "_b").agg(F.sum("_c").alias("_s")).select(by, "_b", F.coalesce(F.sum("_s").over(run), F.lit(0)).alias("_o"), F.sum("_s").over(W.partitionBy(by)).alias("_n"))
+    inside = F.sum("_c").over(W.partitionBy(by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    x = c.withColumn("_e", inside).join(sums, [by, "_b"]).withColumn("_e", F.col("_e") + F.col("_o"))
+    rank = lambda p: F.floor(F.col("_n") * F.lit(p))
+    at = lambda p: F.max(F.when((rank(p) >= F.col("_e") - F.col("_c")) & (rank(p) < F.col("_e")), v))
+    mean = F.round(F.sum(v * F.col("_c")) / F.sum("_c"), 3)
+    return x.groupBy(by).agg(*(at(p).alias(f"p{round(p * 100)}") for p in shares), mean.alias("mean"))
 
 
 def cumulative_buckets(rows: DataFrame, by: str, value: Column, bounds: list[float]) -> DataFrame:

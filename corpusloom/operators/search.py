@@ -23,11 +23,6 @@ def postings(chunks: DataFrame) -> DataFrame:
     return t.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and mean length, over all chunks, with or without tokens."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.coalesce("text", F.lit(""))))).alias("avgdl"))
-
-
 def idf(posts: DataFrame, chunks: DataFrame) -> DataFrame:
     """token, df and idf; a negative idf becomes a part of the mean one."""
     n = chunks.agg(F.count("*")).scalar()
@@ -44,7 +39,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     q = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     wanted = posts.join(q.select("token").distinct(), "token", "left_semi")
     weights = idf(posts, chunks)
-    avgdl = lengths(chunks).select("avgdl").scalar()
+    avgdl = posts.agg(F.sum("tf")).scalar() / chunks.agg(F.count("*")).scalar()
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     scores = wanted.join(q, "token").join(weights, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return top_k(scores.where("score > 0").withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)

@@ -46,6 +46,14 @@ def a8(v):
     return changes.unindexed(v("v_documents").select("document_id"), v("embeddings").select(F.col("vec_id").alias("document_id")), "document_id")
 
 
+@query("a9_copy_totals", "SELECT 'documents' AS table_name, count(*) AS source_rows, count(*) AS target_rows, true AS same FROM documents UNION ALL SELECT 'pages', count(*), count(*), true FROM pages")
+def a9(v):
+    from corpusloom.sources.scratch import materialise
+
+    tables = {n: v(n) for n in ("documents", "pages")}
+    return changes.parity(tables, {n: materialise(d) for n, d in tables.items()}).drop("all_same")
+
+
 @query("a10_markdown_table", r"""WITH r AS (SELECT session_id, list(replace(sender, '|', '\|') || ' | ' || turn || ' | ' || length(content) ORDER BY turn) AS ls FROM v_messages GROUP BY session_id)
 SELECT session_id, '| sender | turn | chars |' || chr(10) || '| --- | --- | --- |' || chr(10) || array_to_string(list_transform(ls, lambda x: '| ' || x || ' |'), chr(10)) AS md FROM r""")
 def a10(v):

@@ -229,6 +229,17 @@ def h31(v):
     return H.tables(v("pages").select("page_id", F.concat("html", extra).alias("html"))).select("page_id", "table_no", "row_no", F.array_join("cells", " ; ").alias("cells"))
 
 
+@query("h32_portal_links", r"""WITH l AS (SELECT page_id, m, i FROM (SELECT page_id, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="[^"]*"[^>]*>[^<]*</a>') AS ms FROM pages))),
+x AS (SELECT page_id, i, regexp_extract(m, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(m, '>([^<]*)</a>', 1)) AS label FROM l), d AS (SELECT page_id, href, min(i) AS i, arg_min(label, i) AS label FROM x WHERE regexp_matches(href, '(?i)en|de') AND length(label) >= 3 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM d) SELECT page_id, href, label FROM r WHERE k <= 25""")
+def h32(v):
+    """The first 25 distinct links of a page whose target has a keyword and whose label has three characters or more."""
+    tag = v("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*href="[^"]*"[^>]*>[^<]*</a>'), F.lit(0))).alias("i", "m"))
+    x = tag.select("page_id", "i", F.regexp_extract("m", 'href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_extract("m", ">([^<]*)</a>", 1)).alias("label"))
+    d = x.where(F.col("href").rlike("(?i)en|de") & (F.length("label") >= 3)).groupBy("page_id", "href").agg(F.min(F.struct("i", "label")).alias("f"))
+    return d.withColumn("k", F.row_number().over(W.partitionBy("page_id").orderBy("f.i"))).where("k <= 25").select("page_id", "href", F.col("f.label").alias("label"))
+
+
 @query("h33_due_jobs", "SELECT event_id, ts + INTERVAL 90 MINUTE AS next_run, ts + INTERVAL 90 MINUTE <= TIMESTAMP '2024-01-15 00:00:00' AS due, ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY AS old FROM events")
 def h33(v):
     now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")

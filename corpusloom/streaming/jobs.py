@@ -20,6 +20,11 @@ def start(rows: DataFrame, checkpoint: str, mode: str = "append", every: str | N
     return w.foreachBatch(sink["each"]).start() if "each" in sink else w.format("memory").queryName(sink["name"]).start()
 
 
+def counted(rows: DataFrame, name: str, **measures) -> DataFrame:
+    """rows with named counters (aggregates) that each batch reports in its progress, as ``query.lastProgress.observedMetrics``."""
+    return rows.observe(name, *(c.alias(k) for k, c in measures.items()))
+
+
 def ingest(documents: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Chunk documents (document_id, text) as they arrive; save(chunks, batch_id) stores a batch, under a name of that batch
     so that a repeated batch replaces itself."""

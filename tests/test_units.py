@@ -154,3 +154,20 @@ def test_late_rows_are_dropped(spark, tmp_path):
     jobs.start(jobs.windowed_health(stream), str(tmp_path / "cp"), name="health").awaitTermination()
     at = {r.start.strftime("%H:%M"): r.n for r in spark.table("health").collect()}
     assert at["09:57"] == 2 and "11:05" not in at
+
+
+def test_counters_of_a_stream(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    q = jobs.start(jobs.counted(stream, "progress", n=F.count("*"), odd=F.count_if(F.col("id") % 2 == 1)), str(tmp_path / "cp"), name="counted")
+    q.awaitTermination()
+    seen = [p.observedMetrics["progress"] for p in q.recentProgress if "progress" in p.observedMetrics]
+    assert sum(r["n"] for r in seen) == 10 and sum(r["odd"] or 0 for r in seen) == 5
+
+
+def test_percentiles_with_ties_and_nulls(spark):
+    rows = spark.createDataFrame([("a", float(x)) for x in (5, 5, 5, 1, 9)] + [("a", None), ("b", -2.0)], "g string, x double")
+    from corpusloom.operators.reports import latency_percentiles
+
+    got = {r.g: tuple(r)[1:] for r in latency_percentiles(rows, "g", "x").collect()}
+    assert got == {"a": (5.0, 9.0, 9.0, 9.0, 5.0), "b": (-2.0, -2.0, -2.0, -2.0, -2.0)}
