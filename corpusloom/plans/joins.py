@@ -98,7 +98,7 @@ def c12(v):
 
 @query("c13_first_rule", r"""WITH r AS (SELECT *, '^' || replace(replace(regexp_replace(pattern, '([.+^$(){}|\[\]\\])', '\\\1', 'g'), '*', '.*'), '?', '.') || '$' AS rx FROM v_url_rules),
 b AS (SELECT p.url, max(rule_id) AS rule_id FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN r ON regexp_matches(p.url, r.rx) OR starts_with(p.url, r.pattern) GROUP BY 1)
-SELECT b.url, coalesce(r.action, 'allow') AS action, b.rule_id FROM b LEFT JOIN v_url_rules r USING (rule_id)""")
+SELECT b.url, coalesce(r.action, 'allow') AS action, b.rule_id::BIGINT AS rule_id FROM b LEFT JOIN v_url_rules r USING (rule_id)""")
 def c13(v):
     return lookups.first_rule(v("pages"), v("v_url_rules"))
 
@@ -207,7 +207,7 @@ def k8n(v):
     return graph.graph_nodes(v("v_documents")).select("id", "type")
 
 
-@query("k8_graph_edges", _NODES + "SELECT src, dst, weight FROM e")
+@query("k8_graph_edges", _NODES + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
 def k8e(v):
     return graph.graph_edges(v("v_documents"), graph.graph_nodes(v("v_documents")))
 

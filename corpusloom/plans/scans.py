@@ -178,7 +178,7 @@ def g3(v):
     return v("v_links").select(F.col("dst").alias("page_id")).distinct().join(v("pages").where("page_id % 3 = 0").select("page_id"), "page_id", "left_anti")
 
 
-@query("g5_content_parity", "SELECT (SELECT count(*) FROM (SELECT page_id, url FROM pages EXCEPT ALL SELECT page_id, url FROM pages WHERE page_id % 9 <> 0)) AS only_source, 0 AS only_target")
+@query("g5_content_parity", "SELECT (SELECT count(*) FROM (SELECT page_id, url FROM pages EXCEPT ALL SELECT page_id, url FROM pages WHERE page_id % 9 <> 0)) AS only_source, 0::BIGINT AS only_target")
 def g5(v):
     p = v("pages").select("page_id", "url")
     return changes.content_parity(p, p.where("page_id % 9 <> 0"))

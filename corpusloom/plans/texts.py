@@ -26,7 +26,7 @@ def _folded(sql: str, rules, flags: str) -> str:
 @query("h1_tokens", f"SELECT doc_id, len({TOKENS.format(c='text')}) AS n, md5(array_to_string({TOKENS.format(c='text')}, ' ')) AS digest FROM documents")
 def h1(v):
     t = T.tokens(F.col("text"))
-    return v("documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
+    return v("documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
 
 
 _ASKED = "SELECT item_id, 'the univ vc and dde admision proces ' || substring(text, 1, 60) AS q FROM benchmark"
@@ -149,7 +149,7 @@ def h22(v):
     d = v("documents").select("doc_id", F.split(F.lower(F.left("text", F.lit(2000))), r"[^\p{L}]+").alias("w"))
 
     def n(words):
-        return F.size(F.filter("w", lambda x: x.isin(words)))
+        return F.size(F.filter("w", lambda x: x.isin(words))).cast("long")
 
     return d.select("doc_id", *(n(ms).alias(f"n_{k}") for k, ms in MARKERS.items()))
 
