@@ -205,7 +205,8 @@ def near_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
     members = materialise(banded.join(buckets, ["band", "hash"]), "band-members")
     labels = members.groupBy("cls").agg(F.min("least").alias("label"))
     sizes = labels.join(classes.select("cls", "n"), "cls").groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_GRAMS)).alias("parts"))
-    blocks = labels.join(sizes, "label").select("cls", F.concat_ws("-", F.hex("label"), F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block"))
+    sizes = materialise(sizes, "label-sizes")  # written, so that the join can split a hot label
+    blocks = labels.join(sizes.hint("merge"), "label").select("cls", F.concat_ws("-", F.hex("label"), F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block"))
     blocks = materialise(blocks, "blocks")
     seen = members.join(blocks, "cls").select("band", "hash", "block").distinct()
     pairs = seen.join(seen.withColumnRenamed("block", "other"), ["band", "hash"]).where("block <= other").select("block", "other").distinct()
@@ -221,8 +222,8 @@ def near_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
     counts = links.groupBy("cls").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("linked"))
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     info = classes.select("cls", "name", "copies").join(counts, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    first = info.groupBy("root").agg(F.min("name").alias("first"))
-    info = materialise(info.join(first, "root").select("cls", "name", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("linked", F.lit(0)).alias("linked")), "class-info")
+    first = materialise(info.groupBy("root").agg(F.min("name").alias("first")), "class-names")
+    info = materialise(info.join(first.hint("merge"), "root").select("cls", "name", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("linked", F.lit(0)).alias("linked")), "class-info")
     found = sig.select("doc_id", "th", "cls").join(info, "cls", "left")
     has = F.col("cls").isNotNull()
     return found.select(
