@@ -122,8 +122,8 @@ def alerts(audit: DataFrame) -> DataFrame:
     minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
     per = audit.select(minute.alias("m"), "latency_ms", (F.col("crag_decision") == "INCORRECT").cast("int").alias("bad"), (F.col("served_by") == "cache").cast("int").alias("hit"))
     spread = lambda n: per.withColumn("m", F.explode(F.sequence(F.col("m"), F.col("m") + n - 1)))
-    five = spread(5).groupBy("m").agg(F.count("*").alias("n"), F.avg("bad").alias("errors"), F.sort_array(F.collect_list("latency_ms")).alias("l"))
-    five = five.select("m", "n", F.round("errors", 6).alias("error_share"), F.round(F.element_at("l", F.least(F.floor(F.col("n") * 0.95) + 1, F.col("n")).cast("int")), 3).alias("p95_ms"))
+    five = spread(5).groupBy("m").agg(F.count("*").alias("n"), F.round(F.avg("bad"), 6).alias("error_share"))
+    five = five.join(latency_percentiles(spread(5), "m", "latency_ms", (0.95,)).select("m", F.round("p95", 3).alias("p95_ms")), "m", "left")
     quarter = spread(15).groupBy("m").agg(F.round(F.avg("hit"), 6).alias("cache_share"))
     x = five.join(quarter, "m")
     return x.select(F.col("m").alias("minute"), "n", "error_share", "p95_ms", "cache_share", (F.col("p95_ms") > 5000).alias("slow"), (F.col("error_share") > 0.05).alias("failing"), (F.col("cache_share") < 0.2).alias("cold"))

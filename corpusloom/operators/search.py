@@ -99,6 +99,22 @@ def _partial_top_k(sent, vectors: DataFrame, k: int, floor: float | None, kind:
     return vectors.mapInArrow(run, f"query_id {kind}, vec_id {kind}, score double")
 
 
+def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, distance: float = 1.42, bucket: float = 0.1, tables: int = 12, seed: int = 7) -> DataFrame:
+    """Approximate form of ``vector_top_k``: unit vectors are hashed by random projections (Spark ML), pairs that share a
+    bucket in a table are compared, within a Euclidean distance. For corpora whose vectors spread out; where they crowd into
+    a few buckets the exact form is the better one. Recall against it is to be measured for the vectors at hand."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from corpusloom.functions import vectors as V
+
+    v = vectors.select("vec_id", array_to_vector(V.unit(F.col("vec"))).alias("u"))
+    q = queries.select(F.col("query_id").alias("vec_id"), array_to_vector(V.unit(F.col("qvec"))).alias("u"))
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
+    near = model.approxSimilarityJoin(q, v, distance, distCol="d").select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
+    return top_k(near.where("query_id <> vec_id"), ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, keep: int = 50) -> DataFrame:
     """Reciprocal rank fusion of two lists (query_id, chunk_id, rank, score): a missing side adds nothing."""
     d = dense.select("query_id", "chunk_id", F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))

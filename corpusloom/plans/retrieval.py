@@ -68,6 +68,12 @@ def c14b(v):
     return search.vector_top_k(q, e, 10, 0.2, "label")
 
 
+@query("c14_vector_approximate")
+def c14c(v):
+    q, e = _vectors(v)
+    return search.lsh_top_k(q, e, 10)
+
+
 def _lists(v):
     q, e = _vectors(v)
     dense = search.vector_top_k(q, e, 20).withColumnRenamed("vec_id", "chunk_id")

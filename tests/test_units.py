@@ -171,3 +171,11 @@ def test_percentiles_with_ties_and_nulls(spark):
 
     got = {r.g: tuple(r)[1:] for r in latency_percentiles(rows, "g", "x").collect()}
     assert got == {"a": (5.0, 9.0, 9.0, 9.0, 5.0), "b": (-2.0, -2.0, -2.0, -2.0, -2.0)}
+
+
+def test_approximate_neighbours_reach_the_recall(spark, sf):
+    from corpusloom.queries import QUERIES
+
+    pairs = lambda name: {(r.query_id, r.vec_id) for r in QUERIES[name](spark, sf).collect()}
+    exact = pairs("c14_vector_top_k")
+    assert len(exact & pairs("c14_vector_approximate")) >= 0.9 * len(exact)
