@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.scratch import materialise
 
 from .feeds import numbered, top_k
 
@@ -18,9 +19,12 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, token, tf and dl (tokens of the chunk) of chunks (chunk_id, text)."""
+    """chunk_id, token, tf and dl (tokens of the chunk) of chunks (chunk_id, text), written as a table: the statistics and
+    the join of a search all read it, and a corpus is tokenised once."""
     t = chunks.select("chunk_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    return t.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # the outer form keeps Spark from adding a filter on the array's size, which would tokenise twice
+    t = t.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("token")).where("token is not null")
+    return materialise(t.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
 
 
 def idf(posts: DataFrame, chunks: DataFrame) -> DataFrame:

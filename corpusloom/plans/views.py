@@ -40,8 +40,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
        CASE event_id % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
        user_id, props AS detail FROM {events} WHERE event_type IN ('error', 'click')"""),
     "v_folders": (("documents",), "SELECT DISTINCT 'lib/' || source AS path FROM {documents} UNION ALL SELECT 'lib/empty' AS path"),
-    "v_links": (("pages",), """SELECT p.page_id AS src, p.page_id * 2 + k.d AS dst FROM {pages} p CROSS JOIN (SELECT 1 AS d UNION ALL SELECT 2 AS d) k
-       WHERE p.page_id * 2 + k.d < (SELECT count(*) FROM {pages})"""),
+    "v_links": (("pages",), """SELECT src, dst FROM (SELECT page_id AS src, page_id * 2 + 1 AS dst FROM {pages} UNION ALL SELECT page_id AS src, page_id * 2 + 2 AS dst FROM {pages}) l
+       WHERE dst < (SELECT count(*) FROM {pages})"""),
     "v_url_rules": ((), """SELECT 1 AS rule_id, 'https://blog.*' AS pattern, 'disallow' AS action
        UNION ALL SELECT 2, 'https://*.example.org/*', 'allow' UNION ALL SELECT 3, 'http://*', 'disallow'"""),
 }
