@@ -32,7 +32,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each window: document, first and last line, fingerprint (hash and line) and content hashes."""
-    lines = _keys(docs.select("doc_id", "text")).select("doc_id", "_r1", "_r2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = _keys(docs.select("doc_id", "text")).select("doc_id", "_r1", "_r2", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))  # outer: else Spark splits a second time to filter
     lines = lines.select("doc_id", "_r1", "_r2", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("wc")).where("wc > 0")
     doc = W.partitionBy("_r1", "_r2")
     lines = lines.withColumn("above", F.lag("pos").over(doc.orderBy("pos"))).where("above is null or above <> pos")  # repeated rows
