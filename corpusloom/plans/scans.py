@@ -22,6 +22,12 @@ def a1(v):
     return d.orderBy(F.col("document_id").desc()).limit(100)
 
 
+@query("a1_scan_whole", "SELECT document_id, title, coalesce(text, '') AS text, department FROM v_documents")
+def a1_whole(v):
+    """The scan without the page of a1_scan: all rows, whole titles and texts."""
+    return v("v_documents").select("document_id", "title", F.coalesce("text", F.lit("")).alias("text"), "department")
+
+
 @query("a4_html_source", "SELECT page_id, html, length(html) AS n_chars FROM pages WHERE html IS NOT NULL AND strlen(html) <= 5000000 AND html NOT LIKE '%PDF-%' AND html NOT LIKE 'PK%' AND html NOT LIKE 'Rar!%' AND html NOT LIKE 'MZ%'")
 def a4(v):
     from corpusloom.sources.pages import html_pages
