@@ -34,21 +34,93 @@ def idf(posts: DataFrame, chunks: DataFrame) -> DataFrame:
     return d.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * d.agg(F.avg("raw")).scalar()).otherwise(F.col("raw"))).select("token", "df", "idf")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, chunk_id, score, rank of the k best chunks of each query (query_id, query).
-
-    Statistics cover the whole corpus. Only postings of the queries' tokens are joined, tokens that repeat in a query
-    count again, and a chunk that holds all content terms of a query (two or more) gets a bonus."""
-    posts = postings(chunks)
-    q = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+def _parts(tokens: DataFrame, posts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id and the BM25 part of each token that both hold; tokens (query_id, token), repeats count again."""
+    q = tokens.groupBy("query_id", "token").agg(F.count("*").alias("times"))
     wanted = posts.join(q.select("token").distinct(), "token", "left_semi")
     weights = idf(posts, chunks)
     avgdl = posts.agg(F.sum("tf")).scalar() / chunks.agg(F.count("*")).scalar()
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scores = wanted.join(q, "token").join(weights, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return wanted.join(q, "token").join(weights, "token").select("query_id", "chunk_id", part.alias("part"))
+
+
+def _best(parts: DataFrame, k: int) -> DataFrame:
+    scores = parts.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     return top_k(scores.where("score > 0").withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, chunk_id, score, rank of the k best chunks of each query (query_id, query), without boosts.
+
+    Statistics cover the whole corpus. Only postings of the queries' tokens are joined, and tokens that repeat in a query
+    count again."""
+    tokens = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token"))
+    return _best(_parts(tokens, postings(chunks), chunks), k)
+
+
+def bm25_boosted(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+    """The same over chunks (chunk_id, title, course, text) with ordinal synonyms in the queries and boosts: all content terms
+    (two or more) held +35, each code +15, ordinals in the title +10, others there -20, in the head +3, the named body in the
+    title +8, others there -20, in the head +2, a gazette -25 unless results are asked for.
+
+    Boosts are rows that are summed with the token parts, so a chunk without a token of the query can come in by them."""
+    whole = chunks.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
+    posts = postings(whole)
+    q = materialise(queries.where(F.size(T.tokens(F.col("query"))) > 0).select("query_id", "query", T.query_tokens(F.col("query")).alias("t"), T.content_tokens(F.col("query")).alias("content")))
+    parts = _parts(q.select("query_id", F.explode(T.with_synonyms(F.col("t"))).alias("token")), posts, whole)
+    low = chunks.select("chunk_id", "course", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    boosts = (_all_terms(q, posts, low), _code_parts(q, low), _named_parts(q, low))
+    return _best(reduce(DataFrame.union, boosts, parts), k)
+
+
+def _all_terms(q: DataFrame, posts: DataFrame, low: DataFrame) -> DataFrame:
+    """A part for each chunk that holds all content terms of a query as substrings. A term stands inside a token of the chunk:
+    the chunks of a query's rarest term are looked up by the tokens that hold it, the other terms in their texts."""
+    asked = q.where(F.size("content") >= 2).select("query_id", F.array_distinct("content").alias("content"))
+    terms = asked.select(F.explode("content").alias("term")).distinct()
+    sizes = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
+    words = posts.groupBy("token").agg(F.count("*").alias("n"))
+    at = lambda size: F.transform(F.sequence(F.lit(1), F.length("token") - size + 1), lambda i: F.substring("token", i, F.lit(size)))
+    none = F.array().cast("array<string>")
+    inside = words.select("token", "n", F.explode(F.array_distinct(F.flatten(F.array(none, *(F.when(F.length("token") >= s, at(s)).otherwise(none) for s in sizes))))).alias("term"))
+    held = materialise(inside.join(terms, "term", "left_semi"))
+    freq = held.groupBy("term").agg(F.sum("n").alias("n"))
+    rare = asked.select("query_id", F.explode("content").alias("term")).join(freq, "term", "left")
+    rare = rare.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    near = rare.join(held.select("term", "token"), "term").join(posts.select("token", "chunk_id"), "token").select("query_id", "chunk_id").distinct()
+    x = near.join(asked, "query_id").join(low.select("chunk_id", "title", "text"), "chunk_id")
+    return x.where(F.forall("content", lambda t: F.contains(F.col("text"), t) | F.contains(F.col("title"), t))).select("query_id", "chunk_id", F.lit(35.0).alias("part"))
+
+
+def _code_parts(q: DataFrame, low: DataFrame) -> DataFrame:
+    """A part for each code of a query in title, course and head of a chunk, separators left out. Codes are met by their first
+    letter and digit side by side."""
+    codes = q.select("query_id", F.explode(T.codes(F.col("query"))).alias("code")).groupBy("query_id", "code").agg(F.count("*").alias("times"))
+    codes = codes.withColumn("pair", F.regexp_extract("code", "[a-z][0-9]|[0-9][a-z]", 0))
+    head = F.lower(F.regexp_replace(F.concat_ws(" ", "title", F.coalesce("course", F.lit("")), F.left("text", F.lit(1200))), r"[\s_-]", ""))
+    x = low.select("chunk_id", head.alias("head")).withColumn("pair", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit("(?=([a-z][0-9]|[0-9][a-z]))"), F.lit(1)))))
+    return x.join(codes, "pair").where(F.contains("head", F.col("code"))).select("query_id", "chunk_id", (15.0 * F.col("times")).alias("part"))
+
+
+#: What a question about results holds, and the title of a list of results.
+RESULTS = r"gazette|result|marks|roll no|roll number|reappear|re-appear|scorecard|passed|failed"
+GAZETTE = r"gazette|re-appear|annual exam"
+
+
+def _named_parts(q: DataFrame, low: DataFrame) -> DataFrame:
+    """A part for ordinals, named bodies and gazettes. It depends on few values of either side, so it is computed for each
+    pair of those and joined back to the queries and chunks that have them."""
+    head = F.left("text", F.lit(400))
+    of_query = q.select("query_id", F.struct(F.array_sort(T.ordinals(F.col("query"))).alias("ordinals"), T.entity(F.col("query")).alias("body"), F.lower("query").rlike(RESULTS).alias("results")).alias("a"))
+    of_chunk = low.select("chunk_id", F.struct(T.ordinal_words(F.col("title")).alias("ordinals"), T.ordinal_words(head).alias("head_ordinals"), T.entities(F.col("title")).alias("bodies"), T.entities(head).alias("head_bodies"), F.col("title").rlike(GAZETTE).alias("gazette")).alias("b"))
+    asked, body = F.col("a.ordinals"), F.col("a.body")
+    ordinal = F.when(F.size(asked) == 0, 0.0).when(F.arrays_overlap("b.ordinals", asked), 10.0).when(F.size("b.ordinals") > 0, -20.0).when(F.arrays_overlap("b.head_ordinals", asked), 3.0).otherwise(0.0)
+    named = F.when(body.isNull(), 0.0).when(F.array_contains("b.bodies", body), 8.0).when(F.size("b.bodies") > 0, -20.0).when(F.array_contains("b.head_bodies", body), 2.0).otherwise(0.0)
+    part = ordinal + named + F.when(F.col("b.gazette") & ~F.col("a.results"), -25.0).otherwise(0.0)
+    pairs = of_query.select("a").distinct().crossJoin(of_chunk.select("b").distinct()).withColumn("part", part).where("part <> 0")
+    return of_chunk.join(pairs, "b").join(of_query, "a").select("query_id", "chunk_id", "part")
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, scope: str | None = None, block: int = 4096) -> DataFrame:
     """query_id, vec_id, score, rank of the k most similar vectors of each query (query_id, qvec), itself left out; with
     ``scope`` only those with an equal value in that column.

@@ -46,6 +46,34 @@ def bm25(v):
     return search.bm25(asked(v), texts(v))
 
 
+_SYNONYMS = "CASE w " + " ".join(f"WHEN '{w}' THEN '{x}'" for w, n in T.ORDINALS.items() for x, m in T.ORDINALS.items() if n == m and w != x) + " END"
+_NUMBER = "CASE w " + " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in T.ORDINALS.items()) + " END"
+_ORDINALS = "list_distinct(list_filter(list_transform(regexp_extract_all({c}, '\\b[a-z0-9]+\\b'), lambda w: " + _NUMBER + "), lambda x: x IS NOT NULL))"
+_BODIES = "list_filter([" + ", ".join(f"'{e}'" for e in T.ENTITIES) + "], lambda e: contains({c}, e))"
+_CODES = "list_transform(list_filter(regexp_extract_all(text, '\\b[A-Za-z0-9_-]{4,20}\\b'), lambda w: regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[0-9]')), lambda w: lower(regexp_replace(w, '[\\s_-]', '', 'g')))"
+#: The boosts for every pair of query and document, with none left out beforehand.
+_BOOSTED = _BM25[: _BM25.index("qt AS")] + rf"""q2 AS (SELECT query_id, c, CASE WHEN len(c) > 0 THEN c ELSE t END AS t FROM q1 WHERE len(t) > 0),
+qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(t || list_distinct(list_filter(list_transform(t, lambda w: {_SYNONYMS}), lambda x: x IS NOT NULL AND NOT list_contains(t, x)))) AS token FROM q2) GROUP BY ALL),
+tk AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN po USING (token) JOIN iw USING (token), st GROUP BY ALL),
+qf AS (SELECT query_id, list_distinct(c) AS terms, len(c) AS n, {_CODES} AS codes, list_distinct({_ORDINALS.format(c="lower(text)")} || regexp_extract_all(lower(text), '\b(?:sem(?:ester)?|meeting|session)\s*([1-9]|10)\b', 1)) AS ords, {_BODIES.format(c="lower(text)")}[1] AS body, regexp_matches(lower(text), '{search.RESULTS}') AS results FROM q2 JOIN benchmark ON item_id = query_id),
+d0 AS (SELECT document_id AS chunk_id, lower(title) AS title, course, lower(coalesce(text, '')) AS text FROM v_documents),
+df0 AS (SELECT *, lower(regexp_replace(title || ' ' || course || ' ' || substring(text, 1, 1200), '[\s_-]', '', 'g')) AS head, {_ORDINALS.format(c="title")} AS t_ords, {_ORDINALS.format(c="substring(text, 1, 400)")} AS h_ords, {_BODIES.format(c="title")} AS t_bodies, {_BODIES.format(c="substring(text, 1, 400)")} AS h_bodies FROM d0),
+bo AS (SELECT query_id, chunk_id, CASE WHEN n >= 2 AND len(list_filter(terms, lambda x: contains(text, x) OR contains(title, x))) = len(terms) THEN 35 ELSE 0 END + CASE WHEN regexp_matches(title, '{search.GAZETTE}') AND NOT results THEN -25 ELSE 0 END + 15 * len(list_filter(codes, lambda x: contains(head, x)))
++ CASE WHEN len(ords) = 0 THEN 0 WHEN list_has_any(t_ords, ords) THEN 10 WHEN len(t_ords) > 0 THEN -20 WHEN list_has_any(h_ords, ords) THEN 3 ELSE 0 END + CASE WHEN body IS NULL THEN 0 WHEN list_contains(t_bodies, body) THEN 8 WHEN len(t_bodies) > 0 THEN -20 WHEN list_contains(h_bodies, body) THEN 2 ELSE 0 END AS boost FROM qf, df0),
+sc AS (SELECT query_id, chunk_id, round(coalesce(score, 0) + boost, 6) AS score FROM bo LEFT JOIN tk USING (query_id, chunk_id) WHERE coalesce(score, 0) + boost > 0),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM sc)
+"""
+
+
+def titled(v):
+    return v("v_documents").select(F.col("document_id").alias("chunk_id"), "title", "course", "text")
+
+
+@query("bm25_search_boosted", _BOOSTED + "SELECT query_id, chunk_id, score, rank FROM bm WHERE rank < 20")
+def bm25_boosted(v):
+    return search.bm25_boosted(asked(v), titled(v))
+
+
 def _vectors(v):
     e = v("embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "label")
@@ -177,7 +205,8 @@ def k1(v):
 def c18(v):
     """Hits of chunks, with the first chunk of the best document put before them where it is not among them."""
     c = chunks.chunk(v("v_documents")).select(F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "document_id", "chunk_index", "text")
-    found = search.bm25(asked(v), c.select("chunk_id", "text"), 10).join(c.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
+    named = c.join(v("v_documents").select("document_id", "title", "course"), "document_id").select("chunk_id", "title", "course", "text")
+    found = search.bm25_boosted(asked(v), named, 10).join(c.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
     best = found.where("rank = 0").select("query_id", "document_id", (F.col("score") + 1).alias("score"))
     first = best.select("query_id", F.concat_ws("-", "document_id", F.lit(0)).alias("chunk_id"), "score", F.lit(-1).cast("long").alias("rank"))
     more = first.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
@@ -190,7 +219,7 @@ def k4(v):
     d = v("v_documents").select(F.col("document_id").alias("vec_id"), V.embed(F.left("text", F.lit(4000))).alias("vec"))
     q = asked(v).select("query_id", "query", V.embed("query").alias("qvec"))
     dense = search.vector_top_k(q, d, 20).withColumnRenamed("vec_id", "chunk_id")
-    fused = search.fuse(dense, search.bm25(q.select("query_id", F.coalesce(T.normalise_query(F.col("query")), "query").alias("query")), texts(v), 20))
+    fused = search.fuse(dense, search.bm25_boosted(q.select("query_id", F.coalesce(T.normalise_query(F.col("query")), "query").alias("query")), titled(v), 20))
     shown = fused.join(asked(v), "query_id").join(v("v_documents").select(F.col("document_id").alias("chunk_id"), "title", "text"), "chunk_id")
     ranked = search.rerank(search.relevance_floor(search.rerank(shown, 20), 5), 5)
     graded = search.gate(ranked.select("query_id", "rank", F.col("rerank_score").alias("rerank_score"), "dense_score", "title", "text"), asked(v))

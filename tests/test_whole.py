@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.queries import QUERIES
+from corpusloom.operators import search
+from corpusloom.queries import ORACLE, QUERIES
+
+from .oracle import connect, same
 
 
 def test_scan_keeps_all_rows_and_texts(spark, sf):
@@ -10,3 +13,27 @@ def test_scan_keeps_all_rows_and_texts(spark, sf):
     n = lambda x: tuple(x.agg(F.count("*"), F.sum(F.length("text"))).first())
     assert n(d)[0] > 100
     assert n(QUERIES["a1_scan_whole"](spark, sf)) == n(d)
+
+
+def test_boosts_of_search(spark):
+    """Literal cases: each boost alone, two of them for chunks that share no token with the query."""
+    queries = {1: "exam fee hostel", 2: "court meeting", 3: "semester 7", 4: "about CS-401", 5: "seventh notes", 6: "senate zebra"}
+    docs = {1: ("a", "exams fees hostels"), 2: ("Court minutes", "x"), 3: ("Seventh list", "x"), 4: ("b", "paper CS 401"), 5: ("c", "the 7th"), 6: ("Senate gazette", "senate zebra zebra"), 7: ("First list", "semester")}
+    q = spark.createDataFrame(list(queries.items()), "query_id long, query string")
+    c = spark.createDataFrame([(i, t, "x", x) for i, (t, x) in docs.items()], "chunk_id long, title string, course string, text string")
+    got = {(r.query_id, r.chunk_id): r.score for r in search.bm25_boosted(q, c).collect()}
+    plain = {(r.query_id, r.chunk_id): r.score for r in search.bm25(q, c.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))).collect()}
+    assert got[1, 1] == 35 and (1, 1) not in plain
+    assert round(got[2, 2] - plain[2, 2], 6) == 8
+    assert got[3, 3] == 10 and (3, 7) not in got and (3, 7) in plain
+    assert got[4, 4] == 15 and (4, 4) not in plain
+    assert got[5, 5] > 3 and (5, 5) not in plain
+    assert round(got[6, 6] - plain[6, 6], 6) == 35 + 8 - 25
+
+
+def test_boosted_search_equals_sql_on_planted_rows(spark, tmp_path):
+    queries = ["exam fee hostel", "the court in session 2", "semester 7 notes", "about CS-401 and CS-401", "seventh second notes", "senate zebra gazette", "who is the"]
+    docs = ["exams fees hostels", "Court minutes of the second", "Seventh list", "paper CS 401", "notes, the 7th", "Senate gazette zebra", "First list of a semester", "who is zebra", "annual exam of the syndicate: court", "plain zebra notes"]
+    spark.createDataFrame(list(enumerate(queries)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, x, "en", "src1", len(x)) for i, x in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert same(QUERIES["bm25_search_boosted"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE["bm25_search_boosted"]) is None
