@@ -216,7 +216,7 @@ def c18(v):
 @query("k4_hybrid")
 def k4(v):
     """Fused, reranked and gated hits of the benchmark queries, with hashed vectors for the dense side."""
-    d = v("v_documents").select(F.col("document_id").alias("vec_id"), V.embed(F.left("text", F.lit(4000))).alias("vec"))
+    d = v("v_documents").select(F.col("document_id").alias("vec_id"), V.embed("text").alias("vec"))
     q = asked(v).select("query_id", "query", V.embed("query").alias("qvec"))
     dense = search.vector_top_k(q, d, 20).withColumnRenamed("vec_id", "chunk_id")
     fused = search.fuse(dense, search.bm25_boosted(q.select("query_id", F.coalesce(T.normalise_query(F.col("query")), "query").alias("query")), titled(v), 20))

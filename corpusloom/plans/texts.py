@@ -38,6 +38,11 @@ def h2(v):
     return v("benchmark").select("item_id", T.normalise_query(q).alias("q"))
 
 
+@query("h2_query_normalised_whole", "WITH a AS (SELECT item_id, 'the univ vc and dde admision proces ' || text AS q FROM benchmark) SELECT item_id, " + _STRIP.format(c=f"regexp_replace({_folded(_folded('q', T.TYPOS, 'gi'), T.ACRONYMS, 'gi')}, '\\s+', ' ', 'g')") + " AS q FROM a")
+def h2_whole(v):
+    return v("benchmark").select("item_id", T.normalise_query(F.concat(F.lit("the univ vc and dde admision proces "), "text")).alias("q"))
+
+
 @query("h3_scan_corrected", "SELECT item_id, " + _STRIP.format(c=f"regexp_replace(regexp_replace({_folded(chr(39) + 'Trureday tne Commitzee __ sersion of Umiversity. Monday ' + chr(39) + ' || text', T.SCAN_ERRORS, 'gi')}, '_+', ' ', 'g'), '[ \t]+', ' ', 'g')") + " AS t FROM benchmark")
 def h3(v):
     return v("benchmark").select("item_id", T.correct_scan(F.concat(F.lit("Trureday tne Commitzee __ sersion of Umiversity. Monday "), "text")).alias("t"))
@@ -45,7 +50,7 @@ def h3(v):
 
 @query("h4_answer_cleaned")
 def h4(v):
-    t = F.concat(F.lit("as stated in, "), F.left("text", F.lit(200)), F.lit(" [1] the rule the rule the rule in [notes.pdf](x) ."))
+    t = F.concat(F.lit("as stated in, "), "text", F.lit(" [1] the rule the rule the rule in [notes.pdf](x) ."))
     return v("benchmark").select("item_id", T.clean_answer(t).alias("t"))
 
 
@@ -57,6 +62,14 @@ def h5(v):
     return v("v_messages").groupBy("session_id").agg(F.concat(F.lit("<context>\n"), F.array_join(parts, "\n\n---\n\n"), F.lit("\n</context>")).alias("context"))
 
 
+@query("h5_fenced_context_whole", """WITH r AS (SELECT session_id, turn, '[Document: ' || sender || ' | Page: ' || turn || ' | Section: N/A]' || chr(10) || regexp_replace(content || ' [sanitized_tag]', '^\\s+|\\s+$', '', 'g') AS c FROM v_messages)
+SELECT session_id, '<context>' || chr(10) || string_agg(c, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) || chr(10) || '</context>' AS context FROM r GROUP BY session_id""")
+def h5_whole(v):
+    c = T.fenced(F.col("sender"), F.col("turn").cast("string"), F.lit("N/A"), F.concat("content", F.lit(" <system x>")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("c")))), lambda r: r["c"])
+    return v("v_messages").groupBy("session_id").agg(F.concat(F.lit("<context>\n"), F.array_join(parts, "\n\n---\n\n"), F.lit("\n</context>")).alias("context"))
+
+
 @query("h6_evasion_folded")
 def h6(v):
     return v("documents").select("doc_id", F.md5(T.evasion_folded(F.col("text")).cast("binary")).alias("folded"), F.md5(T.evasion_squashed(F.col("text")).cast("binary")).alias("squashed"))
@@ -154,6 +167,16 @@ def h22(v):
     return d.select("doc_id", *(n(ms).alias(f"n_{k}") for k, ms in MARKERS.items()))
 
 
+@query("h22_language_markers_whole", "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}]+') AS w FROM documents) SELECT doc_id, " + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(m) for m in ms)}))) AS n_{k}" for k, ms in MARKERS.items()) + " FROM w")
+def h22_whole(v):
+    d = v("documents").select("doc_id", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
+
+    def n(words):
+        return F.size(F.filter("w", lambda x: x.isin(words))).cast("long")
+
+    return d.select("doc_id", *(n(ms).alias(f"n_{k}") for k, ms in MARKERS.items()))
+
+
 @query("h23_overview_intent", "SELECT item_id, item_id % 3 <> 2 AS overview FROM benchmark")
 def h23(v):
     n = F.col("item_id") % 3

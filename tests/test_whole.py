@@ -37,3 +37,22 @@ def test_boosted_search_equals_sql_on_planted_rows(spark, tmp_path):
     spark.createDataFrame(list(enumerate(queries)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, x, "en", "src1", len(x)) for i, x in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert same(QUERIES["bm25_search_boosted"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE["bm25_search_boosted"]) is None
+
+
+def test_whole_texts(spark, sf, tmp_path):
+    """Words behind 2,000 and 4,000 characters count."""
+    long = "x " * 2500 + "the und hostel"
+    spark.createDataFrame([(0, long, "en", "src1", len(long))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "y" * 500 + " end")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", "y" * 500 + " end")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).first()
+    assert (run("h22_language_markers_whole").n_en, run("h22_language_markers_whole").n_de) == (1, 1)
+    assert "y end" in run("h2_query_normalised_whole").q and "y end" in run("h4_answer_cleaned").t and "y end" in run("h5_fenced_context_whole").context
+
+
+def test_hybrid_embeds_whole_texts(spark, tmp_path):
+    docs = [(0, "x " * 2500 + "alpha beta gamma"), (1, "x " * 2500 + "other words")]
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.chunk_id: r.dense_score for r in QUERIES["k4_hybrid"](spark, str(tmp_path)).collect()}
+    assert got[0] > 0
