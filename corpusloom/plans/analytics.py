@@ -227,3 +227,13 @@ SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000
 def i8(v):
     m = v("v_messages").withColumn("key", T.sha256(F.concat_ws("|", "department", F.lower(F.left("content", F.lit(3))))))
     return lookups.earlier_repeats(m, ["key"], "created_s", 360000).select("message_id", "since_s")
+
+
+_QUESTION = r"sha256(department || '|' || regexp_replace(lower(content), '^\s+|\s+$', '', 'g'))"
+
+
+@query("i8_repeat_questions_whole", f"WITH m AS (SELECT message_id, created_s, lag(created_s) OVER (PARTITION BY {_QUESTION} ORDER BY created_s) AS p FROM v_messages WHERE sender = 'user') SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000")
+def i8_whole(v):
+    """Questions of users that repeat a whole question in a department; messages have no course."""
+    m = v("v_messages").where("sender = 'user'").withColumn("key", T.sha256(F.concat_ws("|", "department", T.stripped(F.lower("content")))))
+    return lookups.earlier_repeats(m, ["key"], "created_s", 360000).select("message_id", "since_s")

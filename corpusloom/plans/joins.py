@@ -109,12 +109,9 @@ def c15(v):
     return changes.parity({"documents": d, "pages": p}, {"documents": d.where("doc_id % 50 <> 0"), "pages": p})
 
 
-@query("c17_near_repeats", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS earlier, round(list_cosine_similarity(a.x, b.x), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 60)
-SELECT vec_id, arg_max(earlier, (sim, -earlier)) AS earlier, max(sim) AS sim FROM s WHERE sim >= 0.5 GROUP BY vec_id""")
-def c17(v):
-    """The most similar vector of the same label within the 60 ids before, if similar enough; ids stand for seconds."""
+def _near_repeats(v, span):
+    """The most similar vector of the same label within ``span`` ids before, if similar enough; ids stand for seconds."""
     e = v("embeddings").select("vec_id", "label", V.unit(F.col("embedding")).alias("x"))
-    span = 60
     a = e.withColumn("slot", F.explode(F.array(F.floor(F.col("vec_id") / span), F.floor(F.col("vec_id") / span) - 1)))
     b = e.select(F.col("vec_id").alias("earlier"), "label", F.col("x").alias("y"), F.floor(F.col("vec_id") / span).alias("slot"))
     near = a.join(b, ["label", "slot"]).where((F.col("earlier") < F.col("vec_id")) & (F.col("vec_id") - F.col("earlier") <= span))
@@ -123,6 +120,18 @@ def c17(v):
     return best.select("vec_id", (-F.col("b.e")).alias("earlier"), F.col("b.sim").alias("sim"))
 
 
+@query("c17_near_repeats", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS earlier, round(list_cosine_similarity(a.x, b.x), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 60)
+SELECT vec_id, arg_max(earlier, (sim, -earlier)) AS earlier, max(sim) AS sim FROM s WHERE sim >= 0.5 GROUP BY vec_id""")
+def c17(v):
+    return _near_repeats(v, 60)
+
+
+@query("c17_near_repeats_hour", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS earlier, round(list_cosine_similarity(a.x, b.x), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 3600)
+SELECT vec_id, arg_max(earlier, (sim, -earlier)) AS earlier, max(sim) AS sim FROM s WHERE sim >= 0.5 GROUP BY vec_id""")
+def c17_hour(v):
+    return _near_repeats(v, 3600)
+
+
 @query("c19_valid_edges", "SELECT src, dst FROM v_links WHERE src <> dst AND src IN (SELECT page_id FROM pages WHERE page_id % 7 <> 0) AND dst IN (SELECT page_id FROM pages WHERE page_id % 7 <> 0)")
 def c19(v):
     return graph.valid_edges(v("v_links"), v("pages").where("page_id % 7 <> 0").select(F.col("page_id").alias("id")))

@@ -56,3 +56,15 @@ def test_hybrid_embeds_whole_texts(spark, tmp_path):
     spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.chunk_id: r.dense_score for r in QUERIES["k4_hybrid"](spark, str(tmp_path)).collect()}
     assert got[0] > 0
+
+
+def test_repeat_questions_by_whole_text(spark, tmp_path):
+    said = [(1, 0, "user", "When is the exam?"), (1, 1, "user", "When is the fee due?"), (1, 2, "assistant", "When is the exam?"), (1, 3, "user", "  when is the EXAM? ")]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in QUERIES["i8_repeat_questions_whole"](spark, str(tmp_path)).collect()] == [(103, 180)]
+
+
+def test_near_repeats_within_an_hour(spark, tmp_path):
+    rows = [(0, 1, [1.0, 0.0]), (3600, 1, [1.0, 0.0]), (7201, 1, [1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in QUERIES["c17_near_repeats_hour"](spark, str(tmp_path)).collect()] == [(3600, 0, 1.0)]
