@@ -30,11 +30,11 @@ def concept_documents(documents: DataFrame, concepts: dict[str, str]) -> DataFra
     return documents.select("document_id", F.explode(hits).alias("concept")).groupBy("concept").agg(F.countDistinct("document_id").alias("documents"))
 
 
-def graph_nodes(documents: DataFrame, each: int = 8, total: int = 45) -> DataFrame:
-    """Nodes of the corpus graph: the core, departments, courses, and a balanced sample of documents."""
+def graph_nodes(documents: DataFrame, each: int | None = None, total: int | None = None) -> DataFrame:
+    """Nodes of the corpus graph: the core, departments, courses, and all documents, or a balanced sample of ``total``."""
     from .feeds import balanced
 
-    sample = balanced(documents, "department", [F.col("document_id")], each, total)
+    sample = documents if total is None else balanced(documents, "department", [F.col("document_id")], each, total)
     core = documents.sparkSession.createDataFrame([("core", "corpus", "core")], "id string, label string, type string")
     dep = documents.select(F.concat(F.lit("dept-"), T.slug(F.col("department"))).alias("id"), F.col("department").alias("label"), F.lit("department").alias("type")).distinct()
     course = documents.select(F.concat_ws("-", F.lit("course"), T.slug(F.col("department")), T.slug(F.col("course"))).alias("id"), F.col("course").alias("label"), F.lit("course").alias("type")).distinct()

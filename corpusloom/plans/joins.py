@@ -213,11 +213,24 @@ e AS (SELECT DISTINCT 'core' AS src, 'dept-' || department AS dst, 1.0 AS weight
 
 @query("k8_graph_nodes", _NODES + "SELECT id, type FROM n")
 def k8n(v):
-    return graph.graph_nodes(v("v_documents")).select("id", "type")
+    return graph.graph_nodes(v("v_documents"), 8, 45).select("id", "type")
 
 
 @query("k8_graph_edges", _NODES + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
 def k8e(v):
+    return graph.graph_edges(v("v_documents"), graph.graph_nodes(v("v_documents"), 8, 45))
+
+
+_ALL_NODES = "WITH b AS (SELECT document_id, title FROM v_documents),\n" + _NODES.split("\n", 1)[1]
+
+
+@query("k8_graph_nodes_whole", _ALL_NODES + "SELECT id, type FROM n")
+def k8n_whole(v):
+    return graph.graph_nodes(v("v_documents")).select("id", "type")
+
+
+@query("k8_graph_edges_whole", _ALL_NODES + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
+def k8e_whole(v):
     return graph.graph_edges(v("v_documents"), graph.graph_nodes(v("v_documents")))
 
 
@@ -227,14 +240,24 @@ def k9(v):
     nodes = graph.graph_nodes(v("v_documents"))
     labelled = nodes.where("type <> 'core'").withColumn("vec_id", F.xxhash64("id"))
     q = v("benchmark").select(F.col("item_id").alias("query_id"), V.embed("text").alias("qvec"))
-    near = search.vector_top_k(q, labelled.select("vec_id", V.embed("label").alias("vec")), 6).join(labelled.select("vec_id", "id"), "vec_id")
+    vectors = labelled.select("vec_id", V.embed("label").alias("vec"))
+    plain = search.vector_top_k(q, vectors, 6).select("query_id", "vec_id", "score")
+    # a word of a label, longer than three characters, stands inside a word of the query
+    within = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.transform(F.sequence(F.lit(4), F.length(w) - i + 1), lambda n: F.substring(w, i, n))))
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)
+    asked = v("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(words(F.col("text")), within)))).alias("word"))
+    named = labelled.select("vec_id", F.explode(F.array_distinct(words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "vec_id").distinct()
+    boosted = named.join(vectors, "vec_id").join(q, "query_id").select("query_id", "vec_id", F.least(F.lit(1.0), F.round(V.cosine(F.col("qvec"), F.col("vec")), 6) + 0.25).alias("score"))
+    scored = plain.union(boosted).groupBy("query_id", "vec_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
+    near = feeds.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], 6).join(labelled.select("vec_id", "id"), "vec_id")
     seed = near.where("rank = 0").select("query_id", "id", "score")
     edges = graph.graph_edges(v("v_documents"), nodes)
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
     hop = both.join(seed, both["src"] == seed["id"]).select("query_id", F.col("dst").alias("id"), F.round(F.col("score") * F.col("weight") * 0.85, 2).alias("activation"))
     own = seed.select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("score") + 0.1), 2).alias("activation"))
     strong = near.where("score >= 0.48").select("query_id", "id", F.round("score", 2).alias("activation"))
-    return hop.union(own).union(strong).groupBy("query_id", "id").agg(F.max("activation").alias("activation"))
+    core = seed.select("query_id", F.lit("core").alias("id"), F.lit(0.65).alias("activation"))
+    return hop.union(own).union(strong).union(core).groupBy("query_id", "id").agg(F.max("activation").alias("activation"))
 
 
 @query("k10_crawl_order", """WITH RECURSIVE r(page_id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT l.dst, r.depth + 1 FROM r JOIN v_links l ON l.src = r.page_id WHERE r.depth < 6) SELECT page_id, min(depth) AS depth, (row_number() OVER (ORDER BY min(depth), page_id) - 1) // 5 AS batch FROM r GROUP BY page_id""")

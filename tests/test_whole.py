@@ -68,3 +68,13 @@ def test_near_repeats_within_an_hour(spark, tmp_path):
     rows = [(0, 1, [1.0, 0.0]), (3600, 1, [1.0, 0.0]), (7201, 1, [1.0, 0.0])]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in QUERIES["c17_near_repeats_hour"](spark, str(tmp_path)).collect()] == [(3600, 0, 1.0)]
+
+
+def test_activation_by_words_of_labels(spark, tmp_path):
+    """The seed is the node whose label the query names, and the core is always active; more than 45 documents are nodes."""
+    docs = [(i, f"text {i}", "en", "hostels" if i == 0 else "src1", 7) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(20)) + " (hostels)")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert QUERIES["k8_graph_nodes_whole"](spark, str(tmp_path)).where("type = 'document'").count() == 60
+    got = {r.id: r.activation for r in QUERIES["k9_activation"](spark, str(tmp_path)).collect()}
+    assert got["core"] >= 0.65 and got["dept-hostels"] >= 0.35
