@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +16,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SCRATCH = "loom-scratch"
-_MADE: list[str] = []
+_MADE = threading.local()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; where that is unset a new local one, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         now = sc._jsc.sc().getCheckpointDir()
         if now.isDefined():
             path = now.get()
-        else:
+        elif re.fullmatch(r"local(\[.*\])?", sc.master):
             path = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
             sc.setCheckpointDir(path)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Tables there last as long as results may read them; ``scratch_made`` tells which a
+    block of code has made, for who knows that its results are written."""
     path = f"{checkpoint_dir(spark)}/{_SCRATCH}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    for made in getattr(_MADE, "lists", []):
+        made.append(path)
     return path
 
 
@@ -42,15 +51,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"{n}_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(conf).delete(target, True)
 
 
-def scratch_made() -> list[str]:
-    """Paths of the scratch tables made so far in this process, oldest first."""
-    return list(_MADE)
+@contextmanager
+def scratch_made() -> Iterator[list[str]]:
+    """A list that gets the path of each scratch table made in this thread while the block runs."""
+    lists = _MADE.__dict__.setdefault("lists", [])
+    made: list[str] = []
+    lists.append(made)
+    try:
+        yield made
+    finally:
+        lists[:] = [x for x in lists if x is not made]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v) edges to (node, root) for each node that has an edge, root being the least node of its component.
+    """(u, v) edges to (node, root) for each node that is not the least of its component, which is its root.
 
     The steps only aggregate and join: a node with very many neighbours is summed in part before it is shuffled, and
     the least neighbours are written before they are joined, so that the join can split such a node.
@@ -31,5 +31,4 @@ def components(edges: DataFrame) -> DataFrame:
         if (new := _state(now)) == state:
             break
         state = new
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(now.select("v", "v").distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,18 +1,25 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 Documents of a partition are gathered into shards of about ``SHARD_WORDS`` words; a longer document is a shard of its
-own. Over each shard an FM-index is built (see ``fm_index``), all windows of the test phrases are searched backward
+own. Over each shard an FM-index is built once (see ``fm_index``), all windows of the test phrases are searched backward
 through its wavelet ranks, occurrences are located by sampled suffix positions, and the hit words merge into spans.
-No shuffle takes place. Test phrases reach the tasks in blocks of bounded size, one pass for each block.
+No shuffle takes place. Texts become word numbers as they are read, so a shard holds four bytes a word.
+
+Test phrases reach the tasks as arrays of word numbers, in passes of at most ``PASS_BYTES`` of their text; a benchmark
+beyond that takes another pass over the documents, and what the passes find is merged. In each shard, windows with a
+word that the shard lacks are left out by one look at the array, before any search.
 
 Words: A-Z lower-cased, runs of anything but ASCII non-alphanumerics. A window is 10 consecutive words of an item; an
 item of fewer words is one window. Defined cases: null texts and texts without words have no words; items without
-words have no window, items with a null id are called by the empty text; repeated rows are judged alike; empty tables
-give no hits or no rows. Only doc_id and text (item_id and text) are read."""
+words have no window, items with a null id are called by the empty text, items that repeat each count by their id; very
+long texts are searched whole; repeated rows are judged alike; empty tables give no hits or no rows. Only doc_id and
+text (item_id and text) are read; columns of docs named as an output are replaced, and ``decontaminate`` gives all
+columns of docs back as they were."""
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from itertools import count
 
@@ -24,9 +31,11 @@ from pyspark.sql import functions as F
 from .fm_index import FMIndex
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
-#: Bytes of test phrases in one block.
-BLOCK_BYTES = 8_000_000
+SHARD_WORDS = 250_000
+#: Bytes of test phrases that one pass sends to the tasks.
+PASS_BYTES = 8_000_000
+#: Windows that are searched at a time.
+_AT_ONCE = 65_536
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 _ADDED = ("items", "spans", "n_words")
@@ -39,59 +48,107 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of a block of items, and the items of each window."""
+    """Items of a pass: distinct words, the word numbers of all items one after another, and the windows as the place
+    after their last word and their length."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+        numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        flat, ends, names = array("i"), [], []
         for name, text in items:
             w = words(text)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                owners[tuple(w[i : i + window])].add(name)
-        self.windows = list(owners)
-        self.items = [sorted(owners[w]) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.width = int(self.lengths.max(initial=1))
-
-
-def search_shard(docs: list[list[bytes]], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+            if w:
+                flat.extend(map(numbers.__getitem__, w))
+                ends.append(len(flat))
+                names.append(name)
+        self.vocabulary, self.names = b" ".join(numbers), names
+        self.flat = np.array(flat, np.int32)
+        last = np.array(ends, np.int64)
+        size = np.diff(last, prepend=0)
+        per = np.maximum(1, size - window + 1)
+        self.item = np.repeat(np.arange(len(names), dtype=np.int32), per)
+        within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        self.length = np.repeat(np.minimum(size, window), per).astype(np.int32)
+        self.end = (np.repeat(last - size, per) + within + self.length).astype(np.int64)
+
+
+class Shard:
+    """Documents as word numbers, until they are searched."""
+
+    def __init__(self):
+        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.docs: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str | None) -> None:
+        w = words(text)
+        self.docs.append(np.fromiter(map(self.numbers.__getitem__, w), np.int32, len(w)))
+        self.size += len(w)
+
+
+def search_shard(shard: Shard, phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
     """Merged hit spans (word numbers, end exclusive) and items of each document of a shard."""
-    n = len(docs)
+    docs, n = shard.docs, len(shard.docs)
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     items: list[set[str]] = [set() for _ in range(n)]
-    if not phrases.windows or not any(docs):
+    if not len(phrases.end) or not shard.size:
+        return spans, items
+    known = np.fromiter((shard.numbers.get(w, -1) for w in phrases.vocabulary.split(b" ")), np.int32)
+    flat = known[phrases.flat]
+    missing = np.concatenate(([0], np.cumsum(flat < 0)))
+    live = np.flatnonzero(missing[phrases.end] == missing[phrases.end - phrases.length])
+    if not len(live):
         return spans, items
-    vocab: defaultdict[bytes, int] = defaultdict(count(n).__next__)  # 0 to n - 1 end the documents
     starts = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])))
-    text = np.empty(starts[-1], np.int64)
-    for k, d in enumerate(docs):
-        text[starts[k] : starts[k + 1] - 1] = np.fromiter(map(vocab.__getitem__, d), np.int64, len(d))
+    text = np.empty(starts[-1], np.int32)
+    for k, d in enumerate(docs):  # 0 to n - 1 end the documents
+        text[starts[k] : starts[k + 1] - 1] = d
+        text[starts[k] : starts[k + 1] - 1] += n
         text[starts[k + 1] - 1] = k
+    flat += n
     index = FMIndex(text)
-    table = np.zeros((len(phrases.windows), phrases.width), np.int64)
-    for i, w in enumerate(phrases.windows):
-        table[i, phrases.width - len(w) :] = [vocab.get(x, -1) for x in w]
-    lo, hi = index.search(table, phrases.lengths)
-    found = np.flatnonzero(hi > lo)
+    rows = []
+    for at in range(0, len(live), _AT_ONCE):
+        w = live[at : at + _AT_ONCE]
+        lo, hi = index.search(flat, phrases.end[w], phrases.length[w])
+        hit = hi > lo
+        rows.append(np.column_stack((lo[hit], hi[hit], phrases.length[w[hit]], phrases.item[w[hit]])))
+    found = np.concatenate(rows)
     if not len(found):
         return spans, items
-    times = hi[found] - lo[found]
-    which = np.repeat(found, times)
-    rows = np.repeat(lo[found] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    at = index.locate(rows)
+    same, group = np.unique(found[:, :3], axis=0, return_inverse=True)  # equal windows have equal rows
+    of_group: list[set[int]] = [set() for _ in same]
+    for g, item in zip(group.ravel().tolist(), found[:, 3].tolist(), strict=True):
+        of_group[g].add(item)
     edge = np.zeros(len(text) + 1, np.int32)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + phrases.lengths[which], -1)
+    pairs = []
+    for g, (lo, hi, length) in enumerate(same.tolist()):
+        at = index.locate(np.arange(lo, hi)) if hi - lo > 1000 else None
+        if at is not None:
+            pairs.append(_mark(edge, at, length, np.full(len(at), g), starts))
+    few = np.flatnonzero(same[:, 1] - same[:, 0] <= 1000)
+    for k in range(0, len(few), 1000):
+        part = same[few[k : k + 1000]]
+        times = part[:, 1] - part[:, 0]
+        at = index.locate(np.repeat(part[:, 0] - (np.cumsum(times) - times), times) + np.arange(times.sum()))
+        pairs.append(_mark(edge, at, np.repeat(part[:, 2], times), np.repeat(few[k : k + 1000], times), starts))
     hit = np.concatenate(([False], np.cumsum(edge[:-1]) > 0))
     change = np.flatnonzero(hit[1:] != hit[:-1])
     for s, e in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):  # a document's end is never hit
         k = int(np.searchsorted(starts, s, side="right")) - 1
         spans[k].append((s - int(starts[k]), e - int(starts[k])))
-    owner = np.searchsorted(starts, at, side="right") - 1
-    for k, w in np.unique(np.column_stack((owner, which)), axis=0).tolist():
-        items[k].update(phrases.items[w])
+    for part in pairs:
+        for k, g in part.tolist():
+            items[k].update(phrases.names[i] for i in of_group[g])
     return spans, items
 
 
+def _mark(edge: np.ndarray, at: np.ndarray, length, group: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Counts occurrences into edge; returns the distinct pairs of document and group."""
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length, -1)
+    return np.unique(np.column_stack((np.searchsorted(starts, at, side="right") - 1, group)), axis=0)
+
+
 def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(a + b):
@@ -102,53 +159,59 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return [(s, e) for s, e in out]
 
 
-def _pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
-    """docs with the columns items, spans and n_words, joined with what earlier passes found."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)  # at most BLOCK_BYTES of phrases
-    schema = docs.select(*(c for c in docs.columns if c not in _ADDED)).schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+def _pass(docs: DataFrame, phrases: Phrases, shard_words: int, cut: list[str] | None = None) -> DataFrame:
+    """docs with the columns items, spans and n_words, joined with what earlier passes found. cut: the columns to return
+    instead, with the spans cut out of the text."""
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)  # of at most PASS_BYTES of text
+    out = cut or [*(c for c in docs.columns if c not in _ADDED)]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
 
     def run(batches):
-        held, texts, size = [], [], 0
+        held, shard = [], Shard()
 
         def flush():
-            spans, items = search_shard(texts, sent.value)
+            spans, items = search_shard(shard, sent.value)
             at = 0
             for b in held:
-                mine, names, counts = spans[at : at + b.num_rows], items[at : at + b.num_rows], [len(t) for t in texts[at : at + b.num_rows]]
+                span = slice(at, at + b.num_rows)
+                mine, names, counts = spans[span], items[span], [len(d) for d in shard.docs[span]]
                 at += b.num_rows
                 if "spans" in b.schema.names:
                     mine = [_merge(m, [(x["start"], x["end"]) for x in old]) for m, old in zip(mine, b.column("spans").to_pylist(), strict=True)]
                     names = [n | set(old) for n, old in zip(names, b.column("items").to_pylist(), strict=True)]
-                cols = [c for c in b.schema.names if c not in _ADDED]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array([sorted(n) for n in names], pa.list_(pa.string())), pa.array([[{"start": s, "end": e} for s, e in m] for m in mine], _SPANS), pa.array(counts, pa.int64())], [*cols, *_ADDED])
+                cols = {c: b.column(c) for c in out}
+                if cut is None:
+                    state = (pa.array([sorted(n) for n in names], pa.list_(pa.string())), pa.array([[{"start": s, "end": e} for s, e in m] for m in mine], _SPANS), pa.array(counts, pa.int64()))
+                    cols |= dict(zip(_ADDED, state, strict=True))
+                elif any(mine):
+                    cols["text"] = pa.array([remove_spans(t.as_py(), m) if m else t.as_py() for t, m in zip(b.column("text"), mine, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
         for b in batches:
-            column = b.column(b.schema.get_field_index("text"))
+            column = b.column("text")
             at = 0
             for i in range(b.num_rows):
-                w = words(column[i].as_py())
-                texts.append(w)
-                size += len(w)
-                if size >= shard_words:
+                shard.add(column[i].as_py())
+                if shard.size >= shard_words:
                     held.append(b.slice(at, i + 1 - at))
                     yield from flush()
-                    held, texts, size, at = [], [], 0, i + 1
+                    held, shard, at = [], Shard(), i + 1
             if at < b.num_rows:
                 held.append(b.slice(at))
         yield from flush()
 
-    return docs.mapInArrow(run, f"{kinds}, {_STATE}")
+    return docs.mapInArrow(run, kinds if cut else f"{kinds}, {_STATE}")
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs (any columns, with text; columns named as an output are replaced) plus items, the ids of items found, spans, the merged hit spans in words, and n_words."""
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, cut: list[str] | None = None) -> DataFrame:
+    """docs (any columns, with text; columns named as an output are replaced) plus items, the ids of items found, spans, the
+    merged hit spans in words, and n_words. With ``cut``, the columns named there alone, and the text without the spans."""
     docs = docs.drop(*_ADDED)
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    blocks = max(1, -(-(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
-    for k in range(blocks):
-        block = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        docs = _pass(docs, Phrases([(r[0], r[1]) for r in block.toLocalIterator()], window), shard_words)
+    passes = max(1, -(-(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
+    for k in range(passes):
+        part = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
+        docs = _pass(docs, Phrases([(r[0], r[1]) for r in part.toLocalIterator()], window), shard_words, cut if k == passes - 1 else None)
     return docs
 
 
@@ -170,21 +233,10 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows and columns of docs, with test passages cut out of the text (columns named items or spans are given back as they were)."""
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"c_{i}" if c != "text" else "text") for i, c in enumerate(docs.columns)))
-    found = find_passages(renamed, benchmark)
-    kept = [f"c_{i}" if c != "text" else "text" for i, c in enumerate(docs.columns)]
-    kinds = ", ".join(f"`{k}` {docs.schema[i].dataType.simpleString()}" for i, k in enumerate(kept))
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            for i, spans in enumerate(b.column(b.schema.get_field_index("spans")).to_pylist()):
-                if spans:
-                    texts[i] = remove_spans(texts[i], [(s["start"], s["end"]) for s in spans])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else b.column(b.schema.get_field_index(k)) for k in kept], kept)
-
-    return found.mapInArrow(run, kinds).select(*(F.col(k).alias(c) for k, c in zip(kept, docs.columns, strict=True)))
+    """The rows and columns of docs, with test passages cut out of the text."""
+    names = [f"c_{i}" if c != "text" else "text" for i, c in enumerate(docs.columns)]
+    renamed = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(names, docs.columns, strict=True)))
+    return find_passages(renamed, benchmark, cut=names).select(*(F.col(k).alias(c) for k, c in zip(names, docs.columns, strict=True)))
 
 
 #: DuckDB form: each window of each item against the same-length windows of the documents.

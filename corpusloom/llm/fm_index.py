@@ -88,24 +88,22 @@ class FMIndex:
             base = np.where(one, zeros + b, base - b)
         return i - base
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """patterns: rows of symbols, padded on the left. Row interval of each; empty where it doesn't occur."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.bwt), np.int64)
-        live = np.flatnonzero((lengths > 0) & (patterns >= 0).all(1))
-        dead = np.ones(len(patterns), bool)
-        dead[live] = False
-        for k in range(1, patterns.shape[1] + 1):
-            live = live[lengths[live] >= k]
+    def search(self, flat: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row interval of each pattern ``flat[end - length : end]`` of symbols; empty where it doesn't occur."""
+        lo, hi = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+        live = np.flatnonzero(length > 0)
+        c = flat[end[live] - 1]
+        lo[live], hi[live] = self.starts[c], self.starts[c + 1]
+        k = 1
+        while True:
+            live = live[hi[live] > lo[live]]
+            live = live[length[live] > k]
             if not len(live):
-                break
-            c = patterns[live, -k]
+                return lo, hi
+            k += 1
+            c = flat[end[live] - k]
             both = self.occurrences_before(np.concatenate((c, c)), np.concatenate((lo[live], hi[live]))) + np.tile(self.starts[c], 2)
             lo[live], hi[live] = both[: len(live)], both[len(live) :]
-            gone = hi[live] <= lo[live]
-            dead[live[gone]] = True
-            live = live[~gone]
-        hi[dead] = lo[dead]
-        return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text position of each row, walking back to a sampled one."""

@@ -2,8 +2,8 @@
 
 Texts with the same set of word 5-grams form one text class, so copies are handled once. MinHash signatures are cut
 into bands, whose number and height follow from the recall asked for at the threshold, and classes are shuffled on
-band hashes. Classes that share a band are placed in blocks of bounded size, by the least class they meet; for each two
-blocks that share a band, one group gets the full n-gram sets of both and counts exact intersections by matrix
+band hashes. Classes that share a band are placed in blocks of bounded size, by the largest band they are in, so that the
+members of a large band lie in few blocks; for each two blocks that share a band, one group gets the full n-gram sets of both and counts exact intersections by matrix
 products over the n-grams found more than once. Every pair of classes lies in one such group at most, so links are
 counted without writing a row for each pair, and large groups of near copies are split over many tasks.
 
@@ -11,8 +11,10 @@ Result: one row per document with the class of its near copies (the least doc_id
 least doc_id of its text class, the number of its exact copies and of links to different text classes.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``, case counts; a text of 1 to 4 words is one n-gram; texts without a
-word (null, empty, blank) are linked with nothing and stand alone; rows with equal doc_id are separate documents with
-the same id; a null doc_id takes part and names a class only if it has no other id; empty tables give empty results."""
+word (null, empty, blank) are linked with nothing and stand alone; very long texts take part with all their n-grams; rows
+with equal doc_id are separate documents with the same id; of tied names the least doc_id, then the least text hash, is
+taken; a null doc_id takes part and names a class only if it has no other id; empty tables give empty results. Only doc_id
+and text are read; ``keep_one_each`` gives all columns of docs back, whatever their names."""
 
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 from .components import components
 from .textstats import window_hashes
 
@@ -36,8 +38,8 @@ RECALL = 0.9999
 ROWS = 4
 #: Classes in a block, about, and n-grams of all of them.
 BLOCK = 512
-BLOCK_GRAMS = 1_000_000
-_COLUMNS = 4096
+BLOCK_GRAMS = 300_000
+_COLUMNS = 1024
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -45,25 +47,23 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-class _WordHashes(dict):
-    """64-bit hash of each word; kept for words seen again, up to a bound."""
+class WordHashes(dict):
+    """64-bit hash of each word; kept for words seen again, up to a bound. One for each task, so that no worker keeps it."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_HASHES = _WordHashes()
-
-
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, n: int = WORDS, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams; of all its words if they are fewer; none without words."""
     words = text.encode("utf-8", "replace").split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = WordHashes() if hashes is None else hashes
+    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if len(words) < n:
         return window_hashes(np.append(ids, np.uint64(len(words))), len(words) + 1)
     return np.unique(window_hashes(ids, n))
@@ -100,10 +100,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        words = WordHashes()
         for b in batches:
             keys, hashes, sizes = [], [], []
             for t in b.column(2):
-                g = shingles(t.as_py(), n)
+                g = shingles(t.as_py(), n, words)
                 keys.append(class_key(g))
                 sizes.append(len(g))
                 hashes.append(band_hashes(g, bands, rows) if len(g) else None)
@@ -114,9 +115,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
-        for b in batches:
-            grams = [shingles(t.as_py(), n) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_key(g) for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary())], ["cls", "grams"])
+        words = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                grams = [shingles(t.as_py(), n, words) for t in whole.column(0).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_key(g) for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary())], ["cls", "grams"])
 
     return docs.select("text").mapInArrow(run, "cls binary, grams binary").where("cls is not null")
 
@@ -175,7 +178,7 @@ def _verified(groups: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         rows, out = [], []
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r in (tuple(x.as_py() for x in row) for row in zip(*b.columns, strict=True)):
                 if rows and rows[0][0] != r[0]:
                     if len(rows) > 1:
                         out += flush(rows)
@@ -201,12 +204,12 @@ def near_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     classes = materialise(sig.where("cls is not null").groupBy("cls").agg(F.min(name).alias("name"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("n").alias("n")), "classes")
     banded = classes.select("cls", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.count("*").alias("size"), F.min("cls").alias("least")).where("size > 1").drop("size")
-    members = materialise(banded.join(buckets, ["band", "hash"]), "band-members")
-    labels = members.groupBy("cls").agg(F.min("least").alias("label"))
+    buckets = materialise(banded.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1"), "buckets")  # written, so that the join can split a hot one
+    members = materialise(banded.join(buckets.hint("merge"), ["band", "hash"]), "band-members")
+    labels = members.groupBy("cls").agg(F.max(F.struct("size", "band", "hash")).alias("b")).select("cls", F.concat_ws("-", "b.band", "b.hash").alias("label"))
     sizes = labels.join(classes.select("cls", "n"), "cls").groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_GRAMS)).alias("parts"))
     sizes = materialise(sizes, "label-sizes")  # written, so that the join can split a hot label
-    blocks = labels.join(sizes.hint("merge"), "label").select("cls", F.concat_ws("-", F.hex("label"), F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block"))
+    blocks = labels.join(sizes.hint("merge"), "label").select("cls", F.concat_ws("/", "label", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block"))
     blocks = materialise(blocks, "blocks")
     seen = members.join(blocks, "cls").select("band", "hash", "block").distinct()
     pairs = seen.join(seen.withColumnRenamed("block", "other"), ["band", "hash"]).where("block <= other").select("block", "other").distinct()
@@ -241,11 +244,12 @@ def near_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
 
 def keep_one_each(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without near copies: of each class the document that names it stays; texts without words all stay."""
-    stay = near_join(docs, n, threshold).where("first").select(F.col("doc_id").alias("_k_id"), F.col("th").alias("_k_th"), F.col("has_words").alias("_k_words")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_k_id"]) & (rows["_th"] == stay["_k_th"]))
-    one = F.row_number().over(W.partitionBy("_k_id", "_k_th").orderBy("_th"))
-    return rows.withColumn("_one", one).where((F.col("_one") == 1) | ~F.col("_k_words")).select(*docs.columns)
+    k_id, k_th, k_words, th, one = fresh(docs, "k_id", "k_th", "k_words", "th", "one")
+    stay = near_join(docs, n, threshold).where("first").select(F.col("doc_id").alias(k_id), F.col("th").alias(k_th), F.col("has_words").alias(k_words)).distinct()
+    rows = docs.withColumn(th, F.xxhash64("text"))
+    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay[k_id]) & (rows[th] == stay[k_th]))
+    first = F.row_number().over(W.partitionBy(k_id, k_th).orderBy(th))
+    return rows.withColumn(one, first).where((F.col(one) == 1) | ~F.col(k_words)).select(*docs.columns)
 
 
 #: DuckDB form: all pairs of different n-gram sets that share an n-gram, exactly.

@@ -105,7 +105,7 @@ def test_fm_index_finds_every_place():
     for n in (1, 2, 5):
         for _ in range(30):
             p = [rng.randrange(6) + 100 for _ in range(n)]
-            lo, hi = index.search(np.array([p]), np.array([n]))
+            lo, hi = index.search(np.array(p), np.array([n]), np.array([n]))
             got = sorted(index.locate(np.arange(lo[0], hi[0])).tolist())
             assert got == [i for i in range(len(text) - n + 1) if text[i : i + n].tolist() == p]
 
@@ -134,7 +134,7 @@ def test_decontamination_against_plain_search(spark, monkeypatch, shard, block):
     text = lambda n: " ".join(rng.choice(["Aa", "b-b", "É", "d1", "e"]) for _ in range(n))
     items = [("1", text(14)), ("2", text(3)), ("10", text(11)), ("3", "!?"), ("4", text(12))]
     docs = [(i, " ".join((text(10), rng.choice(items)[1].upper().replace("É", "é") if i % 2 else rng.choice(items)[1], text(8)))) for i in range(40)]
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "PASS_BYTES", block)
     found = decontam.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), shard_words=shard).collect()
     plain = plain_hits(docs, items)
     for r in found:
