@@ -1,88 +1,56 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents are shuffled (by the md5 of their id) and queued twice over; a queued copy's virtual
-finish time is the source's words up to and including it, divided by the source's target. Copies are ordered by
-finish time over all sources and the order is cut where the total budget is used up.
+finish time is the source's words up to and including it, divided by the source's target. Copies are range-sorted by
+finish time over all sources, and the order is truncated where the total budget is used up.
 
-No source passes through one task: running sums are taken in (source, md5 prefix) buckets whose offsets come
-from a small table of bucket sums, and the cut is found by refining a histogram of finish times, so that only
-the rows of the last bin are sorted by value.
+All running sums, over sources, over the documents of a source and over the copies, are taken alike: rows are dealt by
+ranges of the whole sort key, which differs for every row, so neither a large source nor a tie of many copies passes
+through one task; each range is summed by itself and added to the sum of the ranges before it, a row for each range.
 
-Defined cases: null or blank texts have size 0 and take nothing; a null source is a source of its own, ordered
-last; rows with equal doc_id, source and size are one item that is taken whole per pass; an empty table gives an
-empty result. Only doc_id, text and source are read. Reruns agree, as nothing depends on row order."""
+Defined cases: null or blank texts have size 0 and take nothing; very long texts count with all their words; a null source
+is a source of its own, ordered last; rows with equal doc_id, source and size are one item that is taken whole per pass;
+equal finish times are ordered by source, pass, md5 and doc_id; an empty table gives an empty result. Only doc_id, text and
+source are read; ``take_mix`` gives the other columns back, and a column copy_no of docs is replaced. Reruns agree, as
+nothing depends on row order."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from corpusloom.operators.ranges import running
+
+from .common import WORD, fresh, materialise
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_PASSES = 2
-_BINS = 1024
-_FEW = 4000
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _table(name: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: materialise(df, name)
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES) -> DataFrame:
-    """rank, source, source_size, target from (source, source_size): one row for each source, so few rows.
+    """rank, source, source_size, target and upto (words of the sources up to this one) from (source, source_size).
 
     Budget is shared by weight; sources ordered by cap/weight are capped one after another until the next one's
     cap is not below its share of what is left (water filling)."""
-    by_source = W.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("rank", F.row_number().over(by_source))
-    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1)).withColumn("cap", F.col("source_size") * passes)
-    order = W.orderBy(F.col("cap") / F.col("w"), "rank").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    s = s.withColumn("lam", (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(order), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(order), F.lit(0))))
-    free = F.col("cap") / F.col("w") >= F.col("lam")
-    s = s.withColumn("level", F.min(F.when(free, F.struct(F.col("cap") / F.col("w"), "rank", "lam"))).over(everything)["lam"])
-    return s.select("rank", "source", "source_size", F.when(F.col("cap") / F.col("w") >= F.col("level"), F.col("level") * F.col("w")).otherwise(F.col("cap").cast("double")).alias("target"))
-
-
-def _bucket(n: int) -> Column:
-    digits = min(4, max(1, math.ceil(math.log(max(n, 1) / 2000 + 1, 16))))
-    return F.substring("key", 1, digits)
-
-
-def _cut(copies: DataFrame, budget: float) -> tuple | None:
-    """The last copy (by f, rank, pass, key, doc_id) of those that fit the budget, found bin by bin."""
-    low, before = 0.0, 0
-    high = copies.agg(F.max("f")).first()[0]
-    if high is None:
-        return None
-    inside, last = copies, None
-    for _ in range(60):
-        width = (high - low) / _BINS
-        if width <= 0 or low + width <= low:
-            break
-        b = F.least(F.floor((F.col("f") - low) / width), F.lit(_BINS - 1))
-        bins = inside.groupBy(b.alias("b")).agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi"))
-        total = F.sum("words").over(W.orderBy("b")) + before
-        row = bins.withColumn("upto", total).where(F.col("upto") > budget).orderBy("b").limit(1).collect()
-        if not row:
-            break  # all that is left fits
-        before = row[0]["upto"] - row[0]["words"]
-        low, high = row[0]["lo"], row[0]["hi"]
-        inside = copies.where(F.col("f").between(low, high))
-        last = low
-        if row[0]["n"] <= _FEW or low == high:
-            break
-    if last is None:
-        return copies.agg(F.max(F.struct("f", "rank", "pass", "key", "doc_id"))).first()[0]
-    order = ("f", "rank", "pass", "key", "doc_id")
-    fits = inside.withColumn("upto", F.sum("words").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + before).where(F.col("upto") <= budget)
-    found = fits.agg(F.max(F.struct(*order))).first()[0]
-    return found or copies.where(F.col("f") < last).agg(F.max(F.struct(*order))).first()[0]
+    s = running(sizes, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long"), "upto": F.col("source_size")}, _table("sources"))
+    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * passes)
+    s = running(s.withColumn("at", F.col("cap") / F.col("w")), [F.col("at"), F.col("rank")], {"caps": F.col("cap"), "ws": F.col("w").cast("long")}, _table("caps"))
+    total, w = s.agg(F.sum("source_size"), F.sum("w")).first()
+    lam = (F.lit(share * (total or 0)) - (F.col("caps") - F.col("cap"))) / (F.lit(w or 1) - (F.col("ws") - F.col("w")))
+    free = s.withColumn("lam", lam).where(F.col("at") >= F.col("lam")).agg(F.min(F.struct("at", "rank", "lam"))).first()[0]
+    level = F.lit(free["lam"] if free else None).cast("double")
+    return s.select("rank", "source", "source_size", F.when(F.col("at") >= level, level * F.col("w")).otherwise(F.col("cap").cast("double")).alias("target"), "upto")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES) -> DataFrame:
@@ -91,24 +59,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = MA
     goals = materialise(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, passes), "targets")
     items = d.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
     items = items.join(goals, items["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    items = items.select("doc_id", "source", "size", "m", "rank", "source_size", "target", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
-    n, total = d.agg(F.count("*"), F.sum("size")).first()
-    items = items.withColumn("bucket", _bucket(n))
-    sums = items.groupBy("rank", "bucket").agg(F.sum(F.col("size") * F.col("m")).alias("s"))
-    offsets = sums.select("rank", "bucket", F.coalesce(F.sum("s").over(W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    run = W.partitionBy("rank", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    queued = items.withColumn("upto", F.sum(F.col("size") * F.col("m")).over(run)).join(offsets, ["rank", "bucket"])
-    queued = materialise(queued.select("doc_id", "source", "size", "m", "rank", "source_size", "target", "key", (F.col("upto") + F.col("offset")).alias("upto")), "queued")
+    items = items.select("doc_id", "source", "size", "m", "rank", "source_size", "target", (F.col("upto") - F.col("source_size")).alias("before"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
+    queued = running(items, [F.col(c) for c in ("rank", "key", "doc_id", "size")], {"upto": F.col("size") * F.col("m")}, _table("items"))
+    queued = materialise(queued.withColumn("upto", F.col("upto") - F.col("before")).drop("before"), "queued")
 
     def finish(k: int) -> Column:
         return F.when(F.col("target") > 0, (F.col("upto") + k * F.col("source_size")) / F.col("target"))
 
     copies = queued.where("size > 0").select("rank", "key", "doc_id", (F.col("size") * F.col("m")).alias("words"), F.posexplode(F.array(*(finish(k) for k in range(passes)))).alias("pass", "f")).where("f is not null")
-    cut = _cut(copies, share * (total or 0))
+    order = ("f", "rank", "pass", "key", "doc_id")
+    used = running(copies, [F.col(c) for c in order], {"used": F.col("words")}, _table("copies"))
+    total = d.agg(F.sum("size")).first()[0]
+    cut = used.where(F.col("used") <= share * (total or 0)).agg(F.max(F.struct(*order))).first()[0]
     if cut is None:
         count = F.lit(0)
     else:
-        end = F.struct(F.lit(cut["f"]).alias("f"), F.lit(cut["rank"]).alias("rank"), F.lit(cut["pass"]).alias("pass"), F.lit(cut["key"]).alias("key"), F.lit(cut["doc_id"]).cast(queued.schema["doc_id"].dataType).alias("doc_id"))
+        end = F.struct(*(F.lit(cut[c]).cast(copies.schema[c].dataType).alias(c) for c in order))
         count = sum((F.when(F.struct(finish(k).alias("f"), "rank", F.lit(k).alias("pass"), "key", "doc_id") <= end, 1).otherwise(0) for k in range(passes)), F.lit(0))
         count = F.when((F.col("size") > 0) & (F.col("target") > 0), count).otherwise(0)
     q = queued.select(F.col("doc_id").alias("q_id"), F.col("source").alias("q_source"), F.col("size").alias("q_size"), "source_size", "target", count.cast("int").alias("copies"))
@@ -118,11 +84,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = MA
 
 def take_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES) -> DataFrame:
     """The mix itself: each taken row of docs with its columns, once for each copy, and the copy's number as ``copy_no``."""
+    docs = docs.drop("copy_no")
+    p_id, p_source, p_size, p_copies, size = fresh(docs, "p_id", "p_source", "p_size", "p_copies", "words")
     plan = mix(docs, weights, share, passes).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
-    plan = plan.select(F.col("doc_id").alias("_p_id"), F.col("source").alias("_p_source"), F.col("size").alias("_p_size"), F.col("copies").alias("_p_copies"))
-    rows = docs.withColumn("_size", word_count(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(plan["_p_id"]) & rows["source"].eqNullSafe(plan["_p_source"]) & (rows["_size"] == plan["_p_size"])
-    return rows.join(plan, same).select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_p_copies"))).alias("copy_no"))
+    plan = plan.select(F.col("doc_id").alias(p_id), F.col("source").alias(p_source), F.col("size").alias(p_size), F.col("copies").alias(p_copies))
+    rows = docs.withColumn(size, word_count(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(plan[p_id]) & rows["source"].eqNullSafe(plan[p_source]) & (rows[size] == plan[p_size])
+    return rows.join(plan, same).select(*(rows[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(p_copies))).alias("copy_no"))
 
 
 #: DuckDB form of ``mix``, by plain windows.
