@@ -1,13 +1,16 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased, everything but letters becomes one blank, and the 4- to 6-grams of characters are hashed. Over a
-bounded sample of labelled rows that are not held out, the documents with each n-gram are counted by class; the n-grams
-that tell the classes apart best are kept, with the log of the ratio of their smoothed shares. Presence of an n-gram
-times its ratio is the feature of a logistic regression. Scoring looks up all n-grams of the whole text.
-
-Defined cases: null, empty and letterless texts have no n-gram and score by the intercept alone; a null doc_id counts
-as the empty text for the split; repeated rows score alike; without labels of both classes every score is the share
-of label 1 (0 without labels); empty tables give empty results. Only doc_id and text are read."""
+Texts are lower-cased, everything but letters becomes one blank, and the 4- to 6-grams of characters are taken as 64-bit
+hashes. Over a bounded sample of labelled rows that are not held out, the documents with each n-gram are counted by class;
+n-grams of ``MIN_DOCS`` documents or more whose classes differ by a chi-square of ``MIN_CHI2`` (a chance of 0.001) are features, with the log of
+the ratio of their smoothed shares. Presence of an n-gram times its ratio is the feature of a logistic regression.
+Scoring looks up all n-grams of the whole text: a table of bits leaves out most, the 64-bit hash decides.
+
+Defined cases: null, empty and letterless texts have no n-gram and score by the intercept alone; very long texts are
+folded whole and hashed piece by piece, with the same n-grams; a null doc_id counts as the empty text for the split;
+repeated rows, and texts with the same n-grams, score alike, and a score at the threshold is predicted 1; without labels of
+both classes every score is the share of label 1 (0 without labels); empty tables give empty results. Only doc_id and text
+are read."""
 
 from __future__ import annotations
 
@@ -21,38 +24,54 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, labelled_sample, materialise
 
+#: Bound of the labelled rows that a model is fitted on, and so of its n-grams.
 MAX_TRAIN = 16000
-MAX_GRAMS = 4000
 MIN_DOCS = 5
+MIN_CHI2 = 10.8
 HELD_OUT, HELD_REST = 3, 1
 THRESHOLD = 0.7
+#: Of the table of bits.
 BITS = 22
 _SIZES = (4, 5, 6)
 _PIECE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def folded(text: str) -> np.ndarray:
+    """Code points of the lower-case text, with one blank for each run of other characters than letters and at both ends."""
+    code = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "replace"), np.uint32).copy()
+    code[(code < 97) | ((code > 122) & (code < 0xAA))] = 32
+    blank = code == 32
+    return code[~(blank & np.concatenate(([False], blank[:-1])))]
+
+
 def grams(text: str | None):
     """The hashed n-grams of a text, piece by piece."""
     if not text:
         return
-    for at in range(0, len(text), _PIECE):  # pieces overlap by the longest n-gram
-        code = np.frombuffer((" " + text[at : at + _PIECE + max(_SIZES)].lower() + " ").encode("utf-32-le", "replace"), np.uint32).copy()
-        code[(code < 97) | ((code > 122) & (code < 0xAA))] = 32
-        blank = code == 32
-        code = code[~(blank & np.concatenate(([False], blank[:-1])))].astype(np.uint64)
+    whole = folded(text)
+    for at in range(0, len(whole), _PIECE):
+        code = whole[at : at + _PIECE + max(_SIZES) - 1].astype(np.uint64)
         with np.errstate(over="ignore"):
             h = code
             for n in range(2, max(_SIZES) + 1):
                 h = (h[:-1] * _BASE) ^ code[n - 1 :]
-                if len(h) < 1:
+                if not len(h):
                     break
                 if n in _SIZES:
-                    yield ((h * _BASE) >> np.uint64(64 - BITS)).astype(np.int64)
+                    x = (h[:_PIECE] + np.uint64(n)) * _BASE
+                    yield (x ^ (x >> np.uint64(29))) * _BASE
+
+
+def distinct_grams(text: str | None) -> np.ndarray:
+    found = list(grams(text))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 @dataclass
 class NbLinear:
+    """ids: sorted hashes of the n-grams with a weight."""
+
     intercept: float
     ids: np.ndarray
     weights: np.ndarray
@@ -61,31 +80,34 @@ class NbLinear:
         return {"intercept": self.intercept, "ids": self.ids, "weights": self.weights}
 
     @cached_property
-    def place(self) -> np.ndarray:
-        """Number of each n-gram's weight, 0 for the others."""
-        p = np.zeros(1 << BITS, np.int32)
-        p[self.ids] = np.arange(1, len(self.ids) + 1)
-        return p
+    def maybe(self) -> np.ndarray:
+        """Whether an n-gram with these first bits has a weight."""
+        t = np.zeros(1 << BITS, bool)
+        t[self.ids >> np.uint64(64 - BITS)] = True
+        return t
 
     def present(self, text: str | None) -> np.ndarray:
-        """Numbers of the kept n-grams that a text has."""
-        found = [p[p > 0] for p in (self.place[g] for g in grams(text))]
-        return np.unique(np.concatenate(found)) - 1 if found else np.zeros(0, np.int64)
+        """Numbers of the n-grams with a weight that a text has."""
+        found = [h[self.maybe[h >> np.uint64(64 - BITS)]] for h in grams(text)] if len(self.ids) else []
+        if not found:
+            return np.zeros(0, np.int64)
+        h = np.unique(np.concatenate(found))
+        at = np.minimum(np.searchsorted(self.ids, h), len(self.ids) - 1)
+        return at[self.ids[at] == h]
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[self.present(text)].sum(), -30, 30))))
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 200, rate: float = 0.1) -> tuple[float, np.ndarray]:
-    """Intercept and weights (ratio included) by full-batch Adam steps on the mean loss."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if len(owner) else np.zeros(0, np.int64)
+def fit_logistic(owner: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 200, rate: float = 0.1) -> tuple[float, np.ndarray]:
+    """Intercept and weights (ratio included) by full-batch Adam steps on the mean loss. owner, col: the document and the
+    n-gram of each presence."""
     w, b = np.ones(len(ratio)) * 0.1, float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, steps + 1):
-        margin = b + np.bincount(owner, (w * ratio)[col], len(rows))
-        err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(rows)
-        g = np.bincount(col, err[owner], len(ratio)) * ratio + l2 * w / len(rows) / 10
+        margin = b + np.bincount(owner, (w * ratio)[col], len(y))
+        err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
+        g = np.bincount(col, err[owner], len(ratio)) * ratio + l2 * w / len(y) / 10
         gb = err.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c, d = 1 - 0.9**k, 1 - 0.999**k
@@ -94,43 +116,63 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: f
     return b, w * ratio
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS) -> NbLinear:
-    """The classifier of at most ``max_train`` labelled documents that are not held out; at most ``max_grams`` n-grams
-    and their numbers in those documents reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_chi2: float = MIN_CHI2) -> NbLinear:
+    """The classifier of at most ``max_train`` labelled documents that are not held out; the n-grams that tell the classes
+    apart and their numbers in those documents reach the driver."""
     rows = labelled_sample(docs, labels, "toxic", max_train, lambda c: crc32_mod(c, HELD_OUT) != HELD_REST)
     sample = materialise(rows.select(F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "text"), "toxic-sample")
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    none = NbLinear(float(np.log((toxic + 1e-9) / (n - toxic + 1e-9))) if n else -30.0, np.zeros(0, np.int64), np.zeros(0))
+    none = NbLinear(float(np.log((toxic + 1e-9) / (n - toxic + 1e-9))) if n else -30.0, np.zeros(0, np.uint64), np.zeros(0))
     if toxic in (0, n):
         return none
     sample = sample.repartition(max(1, -(-n // 500)))
 
     def count(batches):
-        seen = np.zeros((2, 1 << BITS), np.int32)
+        held, size = ([], []), 0
+
+        def flush():
+            ids = np.unique(np.concatenate(held[0] + held[1]))
+            times = []
+            for x in held:
+                one, k = np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                of = np.zeros(len(ids), np.int64)
+                of[np.searchsorted(ids, one)] = k
+                times.append(of)
+            for at in range(0, len(ids), 100_000):
+                s = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s].view(np.int64)), pa.array(times[0][s]), pa.array(times[1][s])], ["gram", "clean", "toxic"])
+
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = list(grams(text.as_py()))
-                if found:
-                    seen[label, np.unique(np.concatenate(found))] += 1
-        at = np.flatnonzero(seen.any(0))
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part].astype(np.int64)), pa.array(seen[1, part].astype(np.int64))], ["gram", "clean", "toxic"])
+                found = distinct_grams(text.as_py())
+                held[label].append(found)
+                size += len(found)
+                if size > 2_000_000:
+                    yield from flush()
+                    held, size = ([], []), 0
+        if size:
+            yield from flush()
 
     by_gram = sample.mapInArrow(count, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    p, q = F.col("toxic") / toxic, F.col("clean") / (n - toxic)
-    both = (F.col("toxic") + F.col("clean")) / n
-    apart = (p - q) * (p - q) / (both * (1 - both) + 1e-6)
-    kept = by_gram.where(F.col("toxic") + F.col("clean") >= MIN_DOCS).orderBy(apart.desc(), "gram").limit(max_grams).toPandas()
-    ratio = np.log((kept["toxic"].to_numpy() + 1) / (toxic + 2)) - np.log((kept["clean"].to_numpy() + 1) / (n - toxic + 2))
-    model = NbLinear(0.0, kept["gram"].to_numpy(np.int64), ratio)
+    p, q, both = F.col("toxic") / toxic, F.col("clean") / (n - toxic), (F.col("toxic") + F.col("clean")) / n
+    chi2 = toxic * (n - toxic) / n * (p - q) * (p - q) / (both * (1 - both) + 1e-9)
+    kept = by_gram.where((F.col("toxic") + F.col("clean") >= MIN_DOCS) & (chi2 >= min_chi2)).toPandas()
+    if not len(kept):
+        return none
+    ids = kept["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(ids)
+    ratio = (np.log((kept["toxic"].to_numpy() + 1) / (toxic + 2)) - np.log((kept["clean"].to_numpy() + 1) / (n - toxic + 2)))[order]
+    model = NbLinear(0.0, ids[order], ratio)
 
     def present(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.present(t.as_py()).tolist() for t in b.column(1)], pa.list_(pa.int32()))], ["label", "at"])
+            found = [model.present(t.as_py()).astype(np.int32) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["label", "at"])
 
-    found = sample.mapInArrow(present, "label int, at array<int>").toPandas()
-    intercept, weights = fit_logistic([np.asarray(a, np.int64) for a in found["at"]], found["label"].to_numpy(float), ratio)
+    found = sample.mapInArrow(present, "label int, at array<int>").toArrow()
+    at = found.column("at").combine_chunks()
+    owner = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(at.offsets.to_numpy()))
+    intercept, weights = fit_logistic(owner, at.values.to_numpy(), found.column("label").to_numpy().astype(float), ratio)
     return NbLinear(intercept, model.ids, weights)
 
 
