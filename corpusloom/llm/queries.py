@@ -71,8 +71,9 @@ ORACLE["op6_decontamination"] = decontam.SQL
 
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return warc.read_records(index, folder, payloads=False)
+    pages = table(spark, sf_dir, "pages")
+    index, folder = warc.archive_pages(pages)
+    return warc.read_records(index, folder, payloads=False, page_id=pages.schema["page_id"].dataType.simpleString())
 
 
 ORACLE["op10_warc"] = warc.SQL

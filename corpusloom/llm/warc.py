@@ -2,16 +2,23 @@
 
 Some archives are one gzip stream as a whole, in which no record can be read by itself. The normaliser inflates such
 a stream once, piece by piece, finds the record ends by the Content-Length headers, writes every record as a gzip
-member of its own and lists offset and length of each in a sidecar index, one line a record. Readers then fetch
-records by the index.
+member of its own and lists offset, length, type and id of each in a sidecar index beside the archive. Readers take the
+sidecars by Spark, so they can choose records by type or id before they fetch any, and read each by itself.
 
 Files go to a folder that all executors reach, by their file system's own interface (pyarrow.fs), each task attempt
 under names of its own; only files that the returned tables name count, so a lost executor leaves nothing wrong.
+Archives are dealt one to a task, reads by ranges of archive and offset, both in a number that follows from their sizes.
+
+Archives may come from elsewhere: header names in any case, with or without a blank after the colon, records of other
+types (which the sidecar lists and the reader leaves out), and streams of several members are taken. A stream that is cut
+off, even between two records, and a record without a length are errors.
 
 Payloads of at least ``MIN_REVISIT`` bytes that are equal are stored once, under the smallest page_id; the others
-are revisit records. Defined cases: a null payload is an empty one; a null page_id is written as such, comes last
-when the smallest is sought, and is read back as null; of rows that repeat page_id and payload one is the response and
-the others revisit it; a null url is written as an empty target; empty tables give empty results."""
+are revisit records. Defined cases: a null payload is an empty one; very long payloads are one record, which a task holds
+once; a null page_id is written as such, comes last when the smallest is sought, and is read back as null; page_id may be
+of any atomic type; of rows that repeat page_id and payload one (the one with the least url) is the response and the others
+revisit it; a null url is written as an empty target; empty tables give empty results. Only page_id, url and html are
+read, whatever other columns there are."""
 
 from __future__ import annotations
 
@@ -19,6 +26,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -31,9 +39,14 @@ from .common import delete_path, materialise, scratch_path
 MIN_REVISIT = 100
 #: Uncompressed bytes after which a new archive begins.
 ARCHIVE_BYTES = 64_000_000
+#: Compressed bytes that one task reads, about.
+READ_BYTES = 32_000_000
+#: Tasks of a job at most; beyond it each takes more archives.
+MAX_TASKS = 50_000
 _PIECE = 1 << 20
 _LEVEL = 3
-_NO_ID = "-"
+_ID = "urn:page:"
+_HTTP = ("response", "revisit")
 
 
 def plan(pages: DataFrame) -> DataFrame:
@@ -54,70 +67,99 @@ def plan(pages: DataFrame) -> DataFrame:
     return p.select("page_id", "url", "payload", "digest", F.when(response, "response").otherwise("revisit").alias("kind"), F.when(~response, F.col("least")).alias("refers_to"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def _named(page_id: str | None) -> bytes:
+    """<urn:page:...> of an id as text; a null one is the bare name."""
+    return f"<{_ID}{'' if page_id is None else 'id:' + quote(page_id, safe='')}>".encode()
+
+
+def _page(name: str | None) -> str | None:
+    """The page id of a record id that ``_named`` made, as text."""
+    text = (name or "").removeprefix("<").removesuffix(">")
+    return unquote(text[len(_ID) + 3 :]) if text.startswith(_ID + "id:") else None
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: str | None) -> bytes:
     """One WARC record; a revisit holds the headers of the answer only."""
-    name = _NO_ID if page_id is None else page_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
     target = "".join(c if " " < c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
-    head = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: <urn:page:{name}>".encode(), b"WARC-Date: 2024-01-01T00:00:00Z", b"WARC-Target-URI: " + target.encode("utf-8", "replace"), f"WARC-Payload-Digest: sha256:{digest}".encode()]
+    head = [b"WARC/1.1", f"WARC-Type: {kind}".encode(), b"WARC-Record-ID: " + _named(page_id), b"WARC-Date: 2024-01-01T00:00:00Z", b"WARC-Target-URI: " + target.encode("utf-8", "replace"), f"WARC-Payload-Digest: sha256:{digest}".encode()]
     if kind == "revisit":
-        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{_NO_ID if refers_to is None else refers_to}>".encode()]
+        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + _named(refers_to)]
     head += [b"Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}".encode()]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> dict:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (null for a revisit) of one record."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
-    block = rest[: int(fields[b"Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])[b"Content-Length"])
-    kind = fields[b"WARC-Type"].decode()
+def _fields(head: bytes) -> dict[str, str]:
+    """Headers after the first line, by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for line in head.split(b"\r\n")[1:]:
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
 
-    def number(name):
-        x = fields.get(name, b"<urn:page:-").decode().removeprefix("<urn:page:").removesuffix(">")
-        return None if x == _NO_ID else int(x)
 
-    digest = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:")
-    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError("a payload differs from its digest")
-    return {"page_id": number(b"WARC-Record-ID"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(b"WARC-Refers-To"), "payload": payload if kind == "response" else None}
+def _length(fields: dict[str, str]) -> int:
+    if not fields.get("content-length", "").isdigit():
+        raise ValueError("a record has no length")
+    return int(fields["content-length"])
 
 
-def _records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+def parse(raw: bytes) -> dict:
+    """page_id (text), payload_bytes, payload_digest, record_type, refers_to and payload (null for a revisit) of a response or
+    revisit. A digest that the record does not state in this form is taken from the payload."""
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    fields = _fields(head)
+    http, _, payload = rest[: _length(fields)].partition(b"\r\n\r\n")
+    kind = fields.get("warc-type", "")
+    said = fields.get("warc-payload-digest", "")
+    digest = said.removeprefix("sha256:").lower() if said.startswith("sha256:") else None
+    size = int(x) if (x := _fields(http).get("content-length", "")).isdigit() else None
+    if kind == "response":
+        found = hashlib.sha256(payload).hexdigest()
+        if digest not in (None, found):
+            raise ValueError("a payload differs from its digest")
+        digest, size = found, len(payload)
+    return {"page_id": _page(fields.get("warc-record-id")), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")), "payload": payload if kind == "response" else None}
+
+
+def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """The records of an inflated stream, holding one of them and a piece."""
     have, need = bytearray(), 0
     for piece in pieces:
         have += piece
         while True:
             if not need:
+                while have[:2] == b"\r\n":  # more blank lines than two
+                    del have[:2]
                 end = have.find(b"\r\n\r\n")
                 if end < 0:
                     break
-                length = next(int(x[15:]) for x in bytes(have[:end]).split(b"\r\n") if x[:15].lower() == b"content-length:")
-                need = end + 4 + length + 4
+                need = end + 4 + _length(_fields(bytes(have[:end]))) + 4
             if len(have) < need:
                 break
             yield bytes(have[:need])
             del have[:need]
             need = 0
-    if have:
+    if have.strip(b"\r\n"):
         raise ValueError("the archive ends within a record")
 
 
-def _inflated(stream) -> Iterator[bytes]:
+def inflated(stream) -> Iterator[bytes]:
     """A gzip stream's content, of one member or several."""
-    z = zlib.decompressobj(31)
+    z, begun = zlib.decompressobj(31), False
     while piece := stream.read(_PIECE):
         while piece:
+            begun = True
             yield z.decompress(piece, 8 * _PIECE)
             while z.unconsumed_tail:
                 yield z.decompress(z.unconsumed_tail, 8 * _PIECE)
             piece = b""
             if z.eof:
-                piece, z = z.unused_data, zlib.decompressobj(31)
+                piece, z, begun = z.unused_data, zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive is cut off")
 
 
 def _member(raw: bytes) -> bytes:
@@ -163,12 +205,15 @@ def write_monolithic(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["archive", "records"])
 
-    return rows.select("page_id", "url", "payload", "digest", "kind", "refers_to").mapInArrow(run, "archive string, records long")
+    text = [F.col(c).cast("string").alias(c) if c in ("page_id", "refers_to") else F.col(c) for c in ("page_id", "url", "payload", "digest", "kind", "refers_to")]
+    return rows.select(*text).mapInArrow(run, "archive string, records long")
 
 
 def normalise(archives: DataFrame, folder: str, out_folder: str) -> DataFrame:
-    """Rewrite each archive with one member a record and a sidecar index; returns the index (archive, offset, length)."""
-    source, target = _uri(archives.sparkSession, folder), _uri(archives.sparkSession, out_folder)
+    """Rewrite each archive (archives: archive, the name of a file in folder) with one member a record and a sidecar beside it;
+    returns (archive, records, bytes) of the new ones."""
+    spark = archives.sparkSession
+    source, target = _uri(spark, folder), _uri(spark, out_folder)
 
     def run(batches):
         src, src_root = pafs.FileSystem.from_uri(source)
@@ -176,32 +221,45 @@ def normalise(archives: DataFrame, folder: str, out_folder: str) -> DataFrame:
         dst.create_dir(dst_root, recursive=True)
         for b in batches:
             for name in b.column(0).to_pylist():
-                new = f"{uuid.uuid4().hex}.warc.gz"
-                offsets, lengths, at = [], [], 0
-                with src.open_input_stream(f"{src_root}/{name}", compression=None) as stream, dst.open_output_stream(f"{dst_root}/{new}", compression=None) as out:
-                    for raw in _records(_inflated(stream)):
+                new, at, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                with src.open_input_stream(f"{src_root}/{name}", compression=None) as stream, dst.open_output_stream(f"{dst_root}/{new}", compression=None) as out, dst.open_output_stream(f"{dst_root}/{new}.idx", compression=None, buffer_size=_PIECE) as index:
+                    for raw in records(inflated(stream)):
                         member = _member(raw)
                         out.write(member)
-                        offsets.append(at)
-                        lengths.append(len(member))
+                        fields = _fields(raw[: raw.index(b"\r\n\r\n")])
+                        index.write("\t".join((new, str(at), str(len(member)), quote(fields.get("warc-type", ""), safe=""), quote(fields.get("warc-record-id", ""), safe=""))).encode() + b"\n")
                         at += len(member)
-                with dst.open_output_stream(f"{dst_root}/{new}.idx", compression=None) as out:
-                    out.write("".join(f"{o} {n}\n" for o, n in zip(offsets, lengths, strict=True)).encode())
-                yield pa.RecordBatch.from_arrays([pa.array([new] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["archive", "offset", "length"])
+                        n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([new]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], ["archive", "records", "bytes"])
+
+    names = archives.select("archive")
+    n = max(1, min(names.count(), MAX_TASKS))  # dealt by range: one archive to a task
+    return names.repartitionByRange(n, "archive").mapInArrow(run, "archive string, records long, bytes long")
+
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, "archive string, offset long, length long")
+def sidecars(written: DataFrame, folder: str) -> DataFrame:
+    """archive, offset, length, type and record id of the records in the archives that ``normalise`` returned, from the
+    sidecars in folder; sidecars of lost task attempts do not count."""
+    spark = written.sparkSession
+    kinds = "archive string, offset long, length long, type string, record_id string"
+    if written.isEmpty():
+        return spark.createDataFrame([], kinds)
+    found = spark.read.schema(kinds).option("sep", "\t").option("quote", "").option("pathGlobFilter", "*.idx").csv(folder)
+    index = found.join(written.select("archive"), "archive", "left_semi")
+    return index.withColumns({c: F.url_decode(F.coalesce(c, F.lit(""))) for c in ("type", "record_id")})
 
 
-def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records that index lists, each read and inflated by itself."""
+def read_records(index: DataFrame, folder: str, payloads: bool = True, page_id: str = "bigint") -> DataFrame:
+    """The responses and revisits that index lists (``sidecars``, or rows chosen of it), each read and inflated by itself.
+    page_id: the type of the ids."""
     uri = _uri(index.sparkSession, folder)
-    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *([("payload", pa.binary())] if payloads else [])]
+    fields = [("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), *([("payload", pa.binary())] if payloads else [])]
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(uri)
         name, file = None, None
         for b in batches:
-            found = []
+            found, size = [], 0
             for archive, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if archive != name:
                     if file:
@@ -209,9 +267,10 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                     name, file = archive, fs.open_input_file(f"{root}/{archive}")
                 file.seek(offset)
                 found.append(parse(zlib.decompress(file.read(length), 31)))
-                if len(found) == 500:
+                size += length
+                if len(found) == 500 or size > 8 * _PIECE:
                     yield batch(found)
-                    found = []
+                    found, size = [], 0
             yield batch(found)
         if file:
             file.close()
@@ -219,8 +278,12 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
     def batch(found):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in fields], [k for k, _ in fields])
 
-    near = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / 4_000_000)).sortWithinPartitions("archive", "offset")
-    return near.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
+    index = index.where(F.col("type").isin(*_HTTP)).select("archive", "offset", "length")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    n = max(2 * index.sparkSession.sparkContext.defaultParallelism, min(MAX_TASKS, -(-size // READ_BYTES)))
+    near = index.repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
+    out = near.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads)
+    return out.withColumns({c: F.col(c).cast(page_id) for c in ("page_id", "refers_to")})
 
 
 def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tuple[DataFrame, str]:
@@ -228,9 +291,9 @@ def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tuple
     spark = pages.sparkSession
     raw, folder = scratch_path(spark, "warc-stream"), scratch_path(spark, "warc")
     written = materialise(write_monolithic(plan(pages), raw, archive_bytes), "warc-list")
-    index = materialise(normalise(written, raw, folder), "warc-index")
+    done = materialise(normalise(written, raw, folder), "warc-written")
     delete_path(spark, raw)
-    return index, folder
+    return materialise(sidecars(done, folder), "warc-index"), folder
 
 
 #: DuckDB form of the records read back.
