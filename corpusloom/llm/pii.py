@@ -1,17 +1,18 @@
 """Personal data spans by aggregation of weak labelers, in DataFrame operations only.
 
 Candidates are the matches of the base patterns and of wider ones (numbers without a plus sign, spelled-out mail
-addresses, IPv6, and base matches that fail their test). Six labelers vote on each: pattern, checksum or structure,
-gazetteer (issuer prefixes, calling codes, top-level domains, address ranges), words before the span, grouping, and what
+addresses, IPv6, and base matches that fail their test). Six labelers vote on each: written form by regex, checksum or
+structure, gazetteer (issuer prefixes, calling codes, top-level domains, address ranges), words before the span, grouping, and what
 touches the span. Votes are counted by pattern of votes, a table bounded by the number of patterns; on it
-expectation-maximisation estimates how reliable each labeler is for either class, and its posteriors train a logistic
+expectation-maximisation estimates how reliable each labeler is for either class of a kind, and its posteriors train a logistic
 span classifier over kind, votes and length, which then scores all candidates as a column expression.
 
 Base spans always stay; the method adds candidates that the classifier accepts and that overlap no base span.
 Positions are in code points, end exclusive. They come from the lengths of the gaps between matches, summed by a window.
 
 Defined cases: null and empty texts have no spans; a null doc_id is kept; rows with the same doc_id and text get the
-same result; an empty table gives an empty result. Only doc_id and text are read. Patterns cannot backtrack over long
+same result; very long texts are searched whole; of added spans that overlap the one that starts first stays, of those that
+start together the shorter; an empty table gives an empty result. Only doc_id and text are read. Patterns cannot backtrack over long
 runs, and ``\\G`` lets a match start only at the head of a run or where the last one ended, which finds the same matches
 in linear time."""
 
@@ -38,7 +39,7 @@ SOURCES = {
 }
 _BEFORE = 30
 MIN_PROBABILITY = 0.8
-VOTES = ("v_pattern", "v_check", "v_gazetteer", "v_context", "v_groups", "v_edges")
+VOTES = ("v_regex", "v_check", "v_gazetteer", "v_context", "v_groups", "v_edges")
 #: Words before a span that speak for or against it, by language.
 _FOR = "e-?mail|mail|contact|phone|tel|call|mobile|fax|card|visa|mastercard|credit|ip|host|server|address|telefon|handy|anruf|karte|kontakt|adresse|t[ée]l[ée]phone|appel|carte|courriel|tel[ée]fono|llam|tarjeta|correo|contacto|direcci[óo]n"
 _AGAINST = "version|isbn|issn|order|invoice|token|sha|md5|hash|key|serial|id|no|nr|page|price|total|figure|section|rechnung|seite|facture|pedido"
@@ -90,22 +91,40 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("_r1", "_r2", "source", kind.alias("kind"), (F.col("end") - F.length("match")).alias("start"), "end", "match", "before", "after", base_test(F.col("source"), F.col("match")).alias("base"))
 
 
+#: The usual written form of each kind, in full.
+FORMS = {
+    "email": rf"(?i)^[{_LOCAL}]+(?:@|\x20?[\[({{]at[\])}}]\x20?)[A-Z0-9-]+(?:\x20?(?:\.|[\[({{]dot[\])}}])\x20?[A-Z0-9-]+)*\x20?(?:\.|[\[({{]dot[\])}}])\x20?[A-Z]{{2,24}}$",
+    "ip": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$|^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$",
+    "card": r"^(?:[0-9]{4}\x20?){3}[0-9]{2,7}$|^(?:[0-9]{4}-?){3}[0-9]{2,7}$|^[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}$",
+    "phone": r"^\+[1-9][0-9]{0,2}[\x20.(-]|^\+[1-9][0-9]{9,14}$|^\(0?[0-9]{2,4}\)|^0[0-9]{1,3}[\x20.-]",
+}
+
+
 def votes(c: DataFrame) -> DataFrame:
-    """Candidates with the labelers' votes: 1 for, -1 against, 0 abstains; and a length class."""
+    """Candidates with the labelers' votes: 1 for, -1 against, 0 abstains; and a length class. No labeler knows whether a
+    candidate is a base span or which pattern found it."""
     m, d, kind = F.col("match"), _digits(F.col("match")), F.col("kind")
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     first = F.regexp_extract(m, "^[0-9]+", 0)
     issuer = d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)")
-    check = F.when(kind == "card", vote(F.length(d).between(13, 19) & luhn(d), F.lit(True))).when(kind == "ip", vote(F.col("base") | (F.col("source") == "ip6"), F.lit(True))).when(kind == "phone", vote(F.length(d).between(9, 15), F.lit(True))).otherwise(vote(m.rlike(r"(?i)[a-z]"), F.lit(True)))
+    regex = vote(F.coalesce(*(F.when(kind == k, m.rlike(p)) for k, p in FORMS.items())), F.lit(True))
+    octets = F.forall(F.split(m, r"\."), lambda x: F.length(x).between(1, 3) & (x.try_cast("int") <= 255))
+    check = F.when(kind == "card", vote(F.length(d).between(13, 19) & luhn(d), F.lit(True))).when(kind == "ip", vote(m.rlike(":") | octets, F.lit(True))).when(kind == "phone", vote(F.length(d).between(9, 15), F.lit(True))).otherwise(vote(m.rlike(r"(?i)[a-z]"), F.lit(True)))
     gazetteer = F.when(kind == "card", vote(issuer, F.lit(True))).when(kind == "ip", vote(~first.isin("0", "127") & (F.length(first) <= 3), first.isin("0", "127"))).when(kind == "phone", vote(d.rlike("^(?:1|33|34|44|49|41|43|0[1-9])"), d.rlike("^00000"))).otherwise(vote(m.rlike(rf"(?i)[.\])}}]\x20?(?:{_TLDS})$"), F.lit(False)))
     context = vote(F.col("before").rlike(rf"(?i)(?:{_FOR})[\w]*[\s:.#=-]*$"), F.col("before").rlike(rf"(?i)\b(?:{_AGAINST})[\s:.#=\"-]*$"))
-    groups = F.when(kind == "card", vote(m.rlike(r"^(?:[0-9]{4}[\x20-]?){3}[0-9]{2,7}$|^[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}$"), F.length(d) < 13)).when(kind == "phone", vote(m.rlike(r"[\x20().-]"), m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"))).otherwise(F.lit(0))
+    cut = m.rlike(r"[\x20-]")  # only what is written in groups can be grouped well or badly
+    groups = F.when((kind == "card") & cut, vote(m.rlike(r"^(?:[0-9]{4}\x20){3}[0-9]{2,7}$|^(?:[0-9]{4}-){3}[0-9]{2,7}$"), F.lit(True))).when(kind == "phone", vote(m.rlike(r"[\x20().-]"), m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"))).otherwise(F.lit(0))
     edges = vote(F.col("before").rlike(r"(?:^|[\s,;:(<\[])$") & F.col("after").rlike(r"^(?:$|[\s,;:.!?)>\]])"), F.col("before").rlike(r"[\w\"=/]$") | F.col("after").rlike(r"^[\w\"=/]"))
     size = F.least(F.floor(F.length(m) / 6), F.lit(5)).cast("int")
-    named = zip(VOTES, (vote(F.col("base"), F.lit(False)), check, gazetteer, context, groups, edges), strict=True)
+    named = zip(VOTES, (regex, check, gazetteer, context, groups, edges), strict=True)
     return c.select("*", *(v.cast("int").alias(n) for n, v in named), size.alias("size"))
 
 
+#: What is believed of P(vote | class) beforehand, for votes -1, 0, 1: labelers are better than chance. It weighs half as much
+#: as all candidates, so that candidates of one class alone are not split into two.
+BELIEF = np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])
+
+
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the positive class for each pattern of votes (-1, 0, 1), and P(vote | class), by EM from the mean vote."""
     post = np.clip(0.5 + patterns.sum(1) / (2 * patterns.shape[1]), 0.05, 0.95)
@@ -113,7 +132,7 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
     for _ in range(rounds):
         for y, w in enumerate((counts * (1 - post), counts * post)):
             for j in range(patterns.shape[1]):
-                share = np.bincount(patterns[:, j] + 1, w, 3) + 0.5
+                share = np.bincount(patterns[:, j] + 1, w, 3) + 0.5 * counts.sum() * BELIEF[y]
                 table[y, j] = share / share.sum()
         prior = (counts @ post + 1) / (counts.sum() + 2)
         log = [np.log(p) + sum(np.log(table[y, j][patterns[:, j] + 1]) for j in range(patterns.shape[1])) for y, p in ((0, 1 - prior), (1, prior))]
@@ -123,13 +142,16 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
 
 def train(scored: DataFrame) -> dict[tuple[str, object], float]:
     """Weight of each feature value, and of ("", ""), the intercept. Only counts by pattern reach the driver: at most
-    sources x 3^labelers x length classes rows, whatever the input."""
-    keys = ["source", *VOTES, "size"]
+    kinds x 3^labelers x length classes rows, whatever the input. Reliabilities are estimated for each kind by itself."""
+    keys = ["kind", *VOTES, "size"]
     rows = scored.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(*keys).collect()
     if not rows:
         return {("", ""): -10.0}
     patterns, counts = np.array([[r[v] for v in VOTES] for r in rows]), np.array([r["n"] for r in rows], float)
-    post, _ = reliabilities(patterns, counts)
+    post, kinds = np.zeros(len(rows)), np.array([r["kind"] for r in rows])
+    for kind in KINDS:
+        if (mine := kinds == kind).any():
+            post[mine] = reliabilities(patterns[mine], counts[mine])[0]
     values = sorted({(k, r[k]) for r in rows for k in keys}, key=str)
     number = {v: i for i, v in enumerate(values)}
     x = np.zeros((len(rows), len(values) + 1))
