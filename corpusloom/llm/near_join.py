@@ -2,8 +2,8 @@
 
 Texts with the same set of word 5-grams form one text class, so copies are handled once. MinHash signatures are cut
 into bands, whose number and height follow from the recall asked for at the threshold, and classes are shuffled on
-band hashes. Classes that share a band are placed in blocks of bounded size, by the largest band they are in, so that the
-members of a large band lie in few blocks; for each two blocks that share a band, one group gets the full n-gram sets of both and counts exact intersections by matrix
+band hashes. Classes that share a band are placed in blocks of bounded size, by the least class that they meet in two steps over
+shared bands, so that the members of a band lie in few blocks; for each two blocks that share a band, one group gets the full n-gram sets of both and counts exact intersections by matrix
 products over the n-grams found more than once. Every pair of classes lies in one such group at most, so links are
 counted without writing a row for each pair, and large groups of near copies are split over many tasks.
 
@@ -204,9 +204,11 @@ def near_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     classes = materialise(sig.where("cls is not null").groupBy("cls").agg(F.min(name).alias("name"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("n").alias("n")), "classes")
     banded = classes.select("cls", F.posexplode("bands").alias("band", "hash"))
-    buckets = materialise(banded.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1"), "buckets")  # written, so that the join can split a hot one
+    buckets = materialise(banded.groupBy("band", "hash").agg(F.count("*").alias("size"), F.min("cls").alias("least")).where("size > 1").drop("size"), "buckets")  # written, so that the join can split a hot one
     members = materialise(banded.join(buckets.hint("merge"), ["band", "hash"]), "band-members")
-    labels = members.groupBy("cls").agg(F.max(F.struct("size", "band", "hash")).alias("b")).select("cls", F.concat_ws("-", "b.band", "b.hash").alias("label"))
+    labels = materialise(members.groupBy("cls").agg(F.min("least").alias("label")), "labels")
+    met = materialise(members.join(labels.hint("merge"), "cls").groupBy("band", "hash").agg(F.min("label").alias("met")), "band-labels")
+    labels = members.select("band", "hash", "cls").join(met.hint("merge"), ["band", "hash"]).groupBy("cls").agg(F.hex(F.min("met")).alias("label"))
     sizes = labels.join(classes.select("cls", "n"), "cls").groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_GRAMS)).alias("parts"))
     sizes = materialise(sizes, "label-sizes")  # written, so that the join can split a hot label
     blocks = labels.join(sizes.hint("merge"), "label").select("cls", F.concat_ws("/", "label", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("block"))
