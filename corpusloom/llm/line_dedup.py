@@ -12,27 +12,31 @@ in a document with a smaller doc_id, or further up without overlap. Lines are co
 lines without a word are left out of runs, but go if they stand inside a deleted one.
 
 Defined cases: null texts stay null, empty ones empty; a null doc_id comes first in the order; rows with the same
-doc_id and text are one document and get the same result; an empty table gives an empty result. Passages that a third
+doc_id and text are one document and get the same result; very long texts are taken whole; of runs that tie for the first
+place the least doc_id, then the least line counts; an empty table gives an empty result. Columns of any other name are
+given back, but for those named as an output. Passages that a third
 of all documents share meet only as one row for each place joined with a single first place."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh, materialise
 
 MIN_WORDS = 50
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_r1", F.xxhash64("doc_id", "text")).withColumn("_r2", F.xxhash64(F.lit(1), "doc_id", "text"))
+def _keys() -> tuple[Column, Column]:
+    """Two hashes that stand for a document."""
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each window: document, first and last line, fingerprint (hash and line) and content hashes."""
-    lines = _keys(docs.select("doc_id", "text")).select("doc_id", "_r1", "_r2", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))  # outer: else Spark splits a second time to filter
+    one, two = _keys()
+    lines = docs.select("doc_id", one.alias("_r1"), two.alias("_r2"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))  # outer: else Spark splits a second time to filter
     lines = lines.select("doc_id", "_r1", "_r2", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("wc")).where("wc > 0")
     doc = W.partitionBy("_r1", "_r2")
     lines = lines.withColumn("above", F.lag("pos").over(doc.orderBy("pos"))).where("above is null or above <> pos")  # repeated rows
@@ -74,15 +78,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_out: str = "te
     """The rows of docs with the text without repeated runs, the number of \\n-split lines before, and of lines removed.
 
     Columns of docs named as an output are replaced by it."""
-    runs = repeated_runs(docs, min_words).groupBy("_r1", "_r2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs"))
-    rows = _keys(docs).join(runs, ["_r1", "_r2"], "left")
+    runs, k1, k2 = fresh(docs, "runs", "k1", "k2")
+    found = repeated_runs(docs, min_words).groupBy(F.col("_r1").alias(k1), F.col("_r2").alias(k2)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(runs))
+    one, two = _keys()
+    rows = docs.withColumns({k1: one, k2: two}).join(found, [k1, k2], "left")
     lines = F.split("text", "\n")
-    starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["end"] + 1))
-    ends = F.concat(F.transform("_runs", lambda r: r["start"] - 1), F.array(F.size(lines) - 1))
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"] + 1))
+    ends = F.concat(F.transform(runs, lambda r: r["start"] - 1), F.array(F.size(lines) - 1))
     kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s + 1)))
-    removed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["end"] - r["start"] + 1)
-    outs = {text_out: F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")), lines_out: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), removed_out: F.coalesce(removed, F.lit(0)).cast("long")}
-    return rows.select(*(docs[c] if c not in outs else outs.pop(c).alias(c) for c in docs.columns), *(v.alias(k) for k, v in outs.items()))
+    removed = F.aggregate(runs, F.lit(0), lambda a, r: a + r["end"] - r["start"] + 1)
+    outs = {text_out: F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")), lines_out: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), removed_out: F.coalesce(removed, F.lit(0)).cast("long")}
+    return rows.select(*(F.col(f"`{c}`") if c not in outs else outs.pop(c).alias(c) for c in docs.columns), *(v.alias(k) for k, v in outs.items()))
 
 
 #: DuckDB form, without fingerprints: every window is compared by its text.

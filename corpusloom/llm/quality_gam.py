@@ -5,7 +5,9 @@ one lookup table per feature; then trees on two features are boosted on the most
 grids. A document's score is the logistic of the sum of its table entries, looked up for whole batches.
 
 Labels come from a bounded sample of rows that are not held out (crc32 of the id, see ``HELD_OUT``). Defined cases: null,
-empty and blank texts have all counts 0 and get the score of those; a null doc_id counts as the empty text for the
+empty and blank texts have all counts 0 and get the score of those; very long texts are counted whole; texts with equal
+counts score alike, a feature at a bin's edge belongs to the lower bin, and a score at the threshold is predicted 1; a null
+doc_id counts as the empty text for the
 split; repeated rows score alike; without labels of both classes every score is the share of label 1 (0.5 without
 labels); empty tables give empty results. Only doc_id and text are read."""
 

@@ -4,8 +4,8 @@ The trees are fitted on a bounded labelled sample, with monotonic constraints on
 junk (more of it never raises the score), then flattened into numpy node arrays of complete binary trees,
 so that a batch of documents is scored by ``depth`` gathers for all trees at once.
 
-Defined cases: a null, empty or blank text has no words and fails the floor; a null doc_id is kept as null;
-repeated rows are judged one by one and alike; empty tables give empty results; without labels of both
+Defined cases: a null, empty or blank text has no words and fails the floor; very long texts are counted whole; a null
+doc_id is kept as null; repeated rows are judged one by one and alike, and a score at the bound is kept; empty tables give empty results; without labels of both
 classes there is no model and the floor rules alone decide. Only doc_id and text are read, so further
 columns of any name do not matter."""
 
