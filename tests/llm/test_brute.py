@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -87,11 +89,66 @@ def test_held_out_accuracy(spark, sf, name, label, least):
     assert auc > least and got["score"].between(0, 1).all()
 
 
-def test_ngrams_of_pieces_equal_those_of_the_whole(monkeypatch):
-    text = "Alpha beta, gamma! " * 30
-    whole = set(np.concatenate(list(toxicity.grams(text))))
-    monkeypatch.setattr(toxicity, "_PIECE", 50)
-    assert whole <= set(np.concatenate(list(toxicity.grams(text))))
+def plain_score(model, text):
+    """The additive model's score by its definition: counts, features, bins and table entries of one text."""
+    n, chars, symbols, dup, repeat = plain_counts(text)
+    t, words = text or "", WORD.findall(text or "")
+    n_lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    up, low = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
+    shout = sum(bool(re.search("[A-Z]", w)) and not re.search("[a-z]", w) for w in words)
+    if not n:
+        up = low = 0
+    x = [np.log1p(n), chars / max(n, 1), symbols / max(chars, 1), dup / max(n_lines, 1), repeat / max(n, 1), up / max(up + low, 1), len(re.findall("[!?.,;:]", t)) / max(n, 1), len(re.findall("[0-9]", t)) / max(chars, 1), shout / max(n, 1)]
+    at = lambda cuts, v: sum(c < v for c in cuts)
+    total = model.base + sum(table[at(cuts, v)] for cuts, table, v in zip(model.cuts, model.tables, x, strict=True))
+    total += sum(grid[at(cf, x[f])][at(cg, x[g])] for f, g, cf, cg, grid in model.pairs)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_gam_scores_against_plain_python(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality_gam.fit(docs, table(spark, sf, "labels"))
+    got = {r.doc_id: r for r in quality_gam.classify(docs, model).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id].score == pytest.approx(plain_score(model, r.text), abs=1e-9)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def plain_ngrams(text):
+    t = " " + re.sub("[^a-z\u00aa-\U0010ffff]+", " ", (text or "").lower()) + " "
+    t = re.sub(" +", " ", t)
+    return {t[i : i + n] for n in (4, 5, 6) for i in range(len(t) - n + 1)} if text else set()
+
+
+def hash_of(gram):
+    """The operator's hash of one n-gram, by integers."""
+    m = 2**64
+    base, h = 0x9E3779B97F4A7C15, ord(gram[0])
+    for c in gram[1:]:
+        h = (h * base % m) ^ ord(c)
+    x = (h + len(gram)) * base % m
+    return (x ^ (x >> 29)) * base % m
+
+
+def test_ngrams_of_pieces_are_those_of_the_whole(monkeypatch):
+    text = "Alpha beta, gamma! é 12 " * 30 + "the end"
+    whole = toxicity.distinct_grams(text)
+    assert set(whole.tolist()) == {hash_of(g) for g in plain_ngrams(text)}
+    for piece in (7, 50, 64):
+        monkeypatch.setattr(toxicity, "_PIECE", piece)
+        assert np.array_equal(whole, toxicity.distinct_grams(text))
+
+
+def test_toxicity_scores_against_plain_python(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"), min_chi2=6.0)
+    assert len(model.ids) and np.array_equal(model.ids, np.sort(model.ids))
+    weight = dict(zip(model.ids.tolist(), model.weights, strict=True))
+    got = {r.doc_id: r for r in toxicity.classify(docs, model).collect()}
+    for r in docs.collect():
+        total = model.intercept + sum(weight.get(hash_of(g), 0.0) for g in plain_ngrams(r.text))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
 def test_fm_index_finds_every_place():
@@ -230,11 +287,82 @@ def test_votes_tell_classes_apart():
     assert (post[[0, 2]] > 0.9).all() and (post[[1, 3]] < 0.1).all() and table[1, 0, 2] > table[0, 0, 2]
 
 
+def test_added_spans(spark):
+    """Spans beyond the base patterns, told by the labelers over many texts; odd numbers stay out."""
+    rng = random.Random(8)
+    docs = [(i, f"order {rng.randrange(10**13)} and serial {rng.randrange(10**15)} of {rng.randrange(99)}") for i in range(200)]
+    docs += [(1000 + i, f"Contact: phone {'+49 30 %07d' % rng.randrange(10**7)} or mail me{i}@host{i % 7}.de, host 10.{i % 200}.3.4 .") for i in range(200)]
+    docs += [(2000 + i, f"Call phone: (0{30 + i % 9}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)} now, mail: joe{i} [at] site [dot] com .") for i in range(100)]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", pii.written(F.col("base_spans")).alias("base"), pii.written(F.col("spans")).alias("spans")).collect()}
+    for d, t in docs:
+        assert got[d].base == plain_spans(t)
+        added = set(got[d].spans.split(",")) - set(got[d].base.split(","))
+        if d < 1000:
+            assert not added
+        if d >= 2000:
+            assert {x.split(":")[0] for x in added} == {"phone", "email"}
+
+
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def plain_url(url):
+    """host, path and longest fitting fixed rule of a URL."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_urls_against_plain_python(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    urls = {r.page_id: r.url for r in table(spark, sf, "pages").collect()}
+    got = q.QUERIES["op9_url_rules"](spark, sf).collect()
+    assert len(got) == len(urls) and len({r.rule for r in got}) > 1
+    for r in got:
+        host, path, rule = plain_url(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (RULES[rule] if rule else "block" if r.mined else "allow")
+
+
+def test_mined_rules_need_support_and_significance(spark):
+    """Rules of the mining step against counts of every token set."""
+    rng = random.Random(9)
+    kinds = [("spam", "x", 0.95), ("good", "x", 0.3), ("good", "spammy", 0.9), ("rare", "y", 1.0)]
+    rows = []
+    for i in range(900):
+        h, p, bad = kinds[rng.randrange(3)] if i % 90 else kinds[3]
+        rows.append((i, f"http://{h}.example.com/{p}/{i}", int(rng.random() >= bad)))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    rules = {tuple(r.antecedent): r for r in url_rules.mine(pages, labels).collect()}
+    sets = [(set(r.tokens), 1 - y) for r, (_, _, y) in zip(pages.select("page_id", url_rules.tokens(F.col("url")).alias("tokens")).orderBy("page_id").collect(), rows, strict=True)]
+    n, share = len(sets), sum(b for _, b in sets) / len(sets)
+
+    def stands(tokens):
+        at = [b for s, b in sets if set(tokens) <= s]
+        sure = sum(at) / len(at) if at else 0
+        good = sum(at) >= max(20, 0.002 * n) and sure >= 0.6 and sure >= share + 4 * (share * (1 - share) / len(at)) ** 0.5
+        return sure if good else None
+
+    every = sorted({t for s, _ in sets for t in s})
+    for size in (1, 2, 3):
+        for tokens in combinations(every, size):
+            sure = stands(tokens)
+            covered = any((stands(c) or -1) >= (sure or 0) for k in range(1, size) for c in combinations(tokens, k))
+            assert (tokens in rules) == (sure is not None and not covered), tokens
+            if tokens in rules:
+                assert rules[tokens].confidence == pytest.approx(sure)
+    assert ("host:spam",) in rules and ("path:spammy",) in rules and ("host:rare",) not in rules
+
+
 def test_mined_url_rules(spark):
-    pages = [(i, f"http://{'spam' if i % 3 == 0 else 'good'}.example.com/en/{i}", "") for i in range(60)]
-    labels = [(i, 0 if i % 3 == 0 else 1, 0) for i in range(40)]
-    got = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), min_support=0.05).collect()}
-    assert all(got[i] == ("block" if i % 3 == 0 else "allow") for i in range(60))
+    pages = [(i, f"http://{'spam' if i % 3 == 0 else 'good'}.example.com/en/{i}", "") for i in range(120)]
+    labels = [(i, 0 if i % 3 == 0 else 1, 0) for i in range(90)]
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i] == ("block" if i % 3 == 0 else "allow") for i in range(120))
 
 
 def test_pipeline_against_the_operators(spark, sf):

@@ -4,7 +4,8 @@ import pytest
 
 from corpusloom.llm import decontam, line_dedup, mixing, near_join, pii, quality_gam, quality_rules, toxicity, url_rules, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, items string, spans string, rank int, target string, host string"
+#: Columns named like those that operators make for themselves.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, items string, spans string, rank int, target string, host string, k_id int, th int, one int, words string, p_copies int, runs string, k1 int, _r1 int, _size int, range int, copy_no string"
 LABELS = "doc_id long, quality int, toxic int"
 LONG = " ".join(f"w{i}" for i in range(60_000))
 ROWS = [(1, None), (None, "some words of a text without an id stand here for now"), (2, ""), (3, " \t\n "), (4, LONG), (5, "same text " * 10), (5, "same text " * 10), (6, "x" * 200_000), (7, "mail a.b@c.de and +1 (543) 555-9258 ."), (None, None), (8, "1.2.3.4 " + "9" * 50_000)]
@@ -12,7 +13,7 @@ ROWS = [(1, None), (None, "some words of a text without an id stand here for now
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, "en", None if i == 7 else "a", 1, 5, "i", "s", 1, "t", "h") for i, t in ROWS], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", None if i == 7 else "a", 1, 5, "i", "s", 1, "t", "h", 2, 2, 2, "w", 2, "r", 2, 2, 2, 2, "c") for i, t in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +76,40 @@ def test_near_copies_keep_one_row_of_repeated_ones(docs):
     assert kept.count(5) == 1 and sorted(x for x in kept if x) == [1, 2, 3, 4, 5, 6, 7, 8]
 
 
+def test_columns_of_other_names_are_given_back(docs):
+    for f in (mixing.take_mix, line_dedup.dedup_lines, near_join.keep_one_each, lambda d: quality_rules.keep_good(d, None)):
+        for r in f(docs).collect():
+            assert (r.k_id, r.th, r.one, r.words, r.p_copies, r.runs, r.k1, r["_r1"], r["_size"], r["range"], r.lang) == (2, 2, 2, "w", 2, "r", 2, 2, 2, 2, "en")
+
+
+def test_take_mix_replaces_copy_no(docs, tmp_path):
+    mixing.take_mix(docs).write.parquet(str(tmp_path / "mix"))
+    assert {r.copy_no for r in mixing.take_mix(docs).collect()} <= {1, 2}
+
+
+def test_ties_of_many_small_sources(spark):
+    """One document a source, of few sizes: whole ranges of equal finish times."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 2)), f"s{i:05d}") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    total = sum(r.size for r in got)
+    assert sum(r.taken for r in got) <= 1.5 * total and sum(r.taken for r in got) >= 1.5 * total - 4
+    assert all(r.taken <= 2 * r.size for r in got)
+    order = sorted((p * r.size / r.target, r.source, p, r.doc_id) for r in got for p in (1, 2) if r.target)
+    cut = sum(r.copies for r in got)
+    want = {}
+    for f, s, p, d in order[:cut]:
+        want[d] = want.get(d, 0) + 1
+    assert {r.doc_id: r.copies for r in got if r.copies} == want
+
+
+def test_pages_with_long_urls_and_texts(spark, no_labels):
+    rows = [(1, "http://a.b/" + "/".join(f"part{i}" for i in range(3000)) + "?" + "&".join(f"k{i}=1" for i in range(500)), "z" * 3_000_000), (2, "http://" + "h" * 5000 + ".org/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: (len(r.path), r.verdict) for r in url_rules.judge(pages, no_labels).collect()} == {1: (len(rows[0][1].split("?")[0]) - 10, "allow"), 2: (2, "allow")}
+    index, folder = warc.archive_pages(pages)
+    assert {r.page_id: r.payload_bytes for r in warc.read_records(index, folder).collect()} == {1: 3_000_000, 2: 0}
+
+
 def test_pages(spark, no_labels):
     rows = [(1, "http://A.Example.NET/en/x?q#f", "p" * 200), (2, None, "p" * 200), (2, None, "p" * 200), (None, "no host", None), (3, "https://b.net", "short"), (4, "x://b.net/1", "short"), (5, "h://org/fr/\r\nX: y", "é" * 60)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
