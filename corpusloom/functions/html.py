@@ -11,6 +11,17 @@ from . import urls as U
 BANNER = "banner|slider|carousel|notice|hero|poster|announcement"
 
 
+#: Where a link's target stands: links, frames, objects, and calls that open one.
+LINKS = [
+    r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)[\"']",
+    r"(?i)<(?:iframe|embed)\b[^>]*\bsrc\s*=\s*[\"']([^\"']*)[\"']",
+    r"(?i)<object\b[^>]*\bdata\s*=\s*[\"']([^\"']*)[\"']",
+    r"(?i)\bonclick\s*=\s*[\"'][^\"']*?(?:open|href)[^'\"(=]*[(=]\s*(?:&quot;|')?([^'\"&)]+)",
+]
+#: Targets that are no page.
+NOT_FOLLOWED = "(?i)^(?:mailto|tel|javascript|data|whatsapp|callto):|^#|^$"
+
+
 def title(html: Column) -> Column:
     """Title, else the first heading; null without either."""
     t = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
@@ -39,13 +50,8 @@ def absolute(base: Column, href: Column) -> Column:
 
 def links(pages: DataFrame, domains: list[str] | None = None) -> DataFrame:
     """page_id, link and kind (page or document) of the distinct followable links of pages (page_id, url, html)."""
-    found = F.concat(
-        F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)),
-        F.regexp_extract_all("html", F.lit(r"(?i)<(?:iframe|embed)\b[^>]*\bsrc\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)),
-        F.regexp_extract_all("html", F.lit(r"(?i)<object\b[^>]*\bdata\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)),
-        F.regexp_extract_all("html", F.lit(r"(?i)\bonclick\s*=\s*[\"'][^\"']*?(?:open|href)[^'\"(=]*[(=]\s*(?:&quot;|')?([^'\"&)]+)"), F.lit(1)),
-    )
-    x = pages.select("page_id", "url", F.explode(F.array_distinct(found)).alias("href")).where(~F.col("href").rlike("(?i)^(?:mailto|tel|javascript|data|whatsapp|callto):|^#|^$"))
+    found = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in LINKS))
+    x = pages.select("page_id", "url", F.explode(F.array_distinct(found)).alias("href")).where(~F.col("href").rlike(NOT_FOLLOWED))
     x = x.select("page_id", U.normalise(absolute(F.col("url"), F.col("href"))).alias("link")).where("link is not null").distinct()
     kind = F.when(U.is_document(F.col("link")), "document").otherwise("page")
     x = x.select("page_id", "link", kind.alias("kind")).where((F.col("kind") == "document") | ~U.is_skippable(F.col("link")))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.scratch import materialise
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -28,8 +29,10 @@ def first_of_equal(rows: DataFrame, by: list[str], order: list[Column]) -> DataF
 
 
 def same_file(scan: DataFrame) -> DataFrame:
-    """scan (path, hash, mtime) with the first path that holds the same content."""
-    return scan.withColumn("first_path", F.first("path").over(W.partitionBy("hash").orderBy("mtime", "path")))
+    """scan (path, hash, mtime) with the first path that holds the same content. The first paths are written before they are
+    joined, so that the join can split a content that very many paths hold."""
+    first = materialise(scan.groupBy("hash").agg(F.min(F.struct("mtime", "path"))["path"].alias("first_path")))
+    return scan.join(first, scan["hash"].eqNullSafe(first["hash"])).drop(first["hash"])
 
 
 def file_changes(previous: DataFrame, scan: DataFrame) -> DataFrame:

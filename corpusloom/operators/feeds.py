@@ -40,10 +40,15 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return numbered(rows, by, order, name).where(F.col(name) < k)
 
 
-def balanced(rows: DataFrame, by: str, order: list[Column], each: int, total: int) -> DataFrame:
-    """At most ``each`` rows of a group, then filled up from the rest to ``total`` in order."""
-    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(by).orderBy(*order)))
-    return ranked.withColumn("_late", F.col("_rn") > each).orderBy("_late", *order).limit(total).drop("_rn", "_late")
+def balanced(rows: DataFrame, by: str, order: list[str], each: int, total: int) -> DataFrame:
+    """At most ``each`` rows of a group, then filled up from the rest to ``total`` in order; order: columns without ties.
+
+    The first of each group are found by a pruned top-k. If they do not fill up, all the rest that can stand among the
+    first 2 x total rows, so no group is ever numbered whole."""
+    first = top_k(rows, [by], [F.col(c) for c in order], each, "_late").withColumn("_late", F.lit(False))
+    head = rows.orderBy(*order).limit(2 * total)
+    rest = head.join(first.select(*order), order, "left_anti").withColumn("_late", F.lit(True)).select(*first.columns)
+    return first.unionByName(rest).orderBy("_late", *order).limit(total).drop("_late")
 
 
 def capped_flags(rows: DataFrame, by: list[str], order: list[Column], flag: Column, most: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -30,24 +30,50 @@ def concept_documents(documents: DataFrame, concepts: dict[str, str]) -> DataFra
     return documents.select("document_id", F.explode(hits).alias("concept")).groupBy("concept").agg(F.countDistinct("document_id").alias("documents"))
 
 
-def graph_nodes(documents: DataFrame, each: int | None = None, total: int | None = None) -> DataFrame:
-    """Nodes of the corpus graph: the core, departments, courses, and all documents, or a balanced sample of ``total``."""
-    from .feeds import balanced
+def _node(kind: str, *names: str) -> Column:
+    """Id of a node; all ids come from here, so that no edge misses its ends by spelling."""
+    return F.concat_ws("-", F.lit(kind), *(T.slug(F.col(n)) for n in names))
 
-    sample = documents if total is None else balanced(documents, "department", [F.col("document_id")], each, total)
-    core = documents.sparkSession.createDataFrame([("core", "corpus", "core")], "id string, label string, type string")
-    dep = documents.select(F.concat(F.lit("dept-"), T.slug(F.col("department"))).alias("id"), F.col("department").alias("label"), F.lit("department").alias("type")).distinct()
-    course = documents.select(F.concat_ws("-", F.lit("course"), T.slug(F.col("department")), T.slug(F.col("course"))).alias("id"), F.col("course").alias("label"), F.lit("course").alias("type")).distinct()
-    doc = sample.select(F.concat(F.lit("doc-"), F.col("document_id").cast("string")).alias("id"), F.col("title").alias("label"), F.lit("document").alias("type"))
-    return reduce(DataFrame.union, (core, dep, course, doc))
 
+def _doc() -> Column:
+    return F.concat(F.lit("doc-"), F.col("document_id").cast("string"))
 
-def graph_edges(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges core-department, department-course and course-document between nodes that exist."""
-    dep, course = F.concat(F.lit("dept-"), T.slug(F.col("department"))), F.concat_ws("-", F.lit("course"), T.slug(F.col("department")), T.slug(F.col("course")))
-    edge = lambda a, b, w: documents.select(a.alias("src"), b.alias("dst"), F.lit(w).alias("weight")).distinct()
-    all_edges = reduce(DataFrame.union, (edge(F.lit("core"), dep, 1.0), edge(dep, course, 0.8), edge(course, F.concat(F.lit("doc-"), F.col("document_id").cast("string")), 0.6)))
-    return valid_edges(all_edges, nodes)
+
+def _concept(name: Column) -> Column:
+    return F.concat(F.lit("concept-"), T.slug(name))
+
+
+def document_concepts(documents: DataFrame, concepts: dict[str, str]) -> DataFrame:
+    """documents (document_id, department, course, text) without text, a row for each concept whose pattern fits the text."""
+    hits = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(n)) for n, p in concepts.items())), lambda x: x.isNotNull())
+    return documents.select("document_id", "department", "course", F.explode(hits).alias("concept"))
+
+
+def graph_nodes(documents: DataFrame, each: int | None = None, total: int | None = None, concepts: dict[str, str] | None = None) -> DataFrame:
+    """Nodes of the corpus graph: the core, departments, courses, concepts that a document fits, and all documents, or a balanced
+    sample of ``total``."""
+    from .feeds import balanced
+
+    sample = documents if total is None else balanced(documents, "department", ["document_id"], each, total)
+    core = documents.sparkSession.createDataFrame([("core", "corpus", "core")], "id string, label string, type string")
+    dep = documents.select(_node("dept", "department").alias("id"), F.col("department").alias("label"), F.lit("department").alias("type")).distinct()
+    course = documents.select(_node("course", "department", "course").alias("id"), F.col("course").alias("label"), F.lit("course").alias("type")).distinct()
+    doc = sample.select(_doc().alias("id"), F.col("title").alias("label"), F.lit("document").alias("type"))
+    parts = [core, dep, course, doc]
+    if concepts:
+        parts.append(document_concepts(documents, concepts).select(_concept(F.col("concept")).alias("id"), F.col("concept").alias("label"), F.lit("concept").alias("type")).distinct())
+    return reduce(DataFrame.union, parts)
+
+
+def graph_edges(documents: DataFrame, nodes: DataFrame, concepts: dict[str, str] | None = None) -> DataFrame:
+    """Edges core-department, department-course, course-document, course-concept and document-concept between nodes that exist."""
+    dep, course = _node("dept", "department"), _node("course", "department", "course")
+    edge = lambda rows, a, b, w: rows.select(a.alias("src"), b.alias("dst"), F.lit(w).alias("weight")).distinct()
+    parts = [edge(documents, F.lit("core"), dep, 1.0), edge(documents, dep, course, 0.8), edge(documents, course, _doc(), 0.6)]
+    if concepts:
+        named = document_concepts(documents, concepts)
+        parts += [edge(named, course, _concept(F.col("concept")), 0.9), edge(named, _doc(), _concept(F.col("concept")), 0.85)]
+    return valid_edges(reduce(DataFrame.union, parts), nodes)
 
 
 def tree_paths(documents: DataFrame) -> DataFrame:
@@ -60,6 +86,28 @@ def tree_paths(documents: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, (level(dep, root, "department", no), level(course, dep, "course", no), level(doc, course, "document", F.col("document_id"))))
 
 
+def tiers(documents: DataFrame) -> DataFrame:
+    """uri, tier, documents, tokens, l0 and its tokens of every node of the directory tree over documents (document_id, title,
+    department, course, tokens)."""
+    dep, course = T.slug(F.col("department")), T.slug(F.col("course"))
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    size = ("documents", "tokens")
+    n, w = F.col("documents"), F.col("tokens")
+    totals = lambda rows, *by: rows.groupBy(*by).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    leaf = documents.select(dep.alias("department"), course.alias("course"), "document_id", "title", F.lit(1).cast("long").alias("documents"), "tokens")
+    courses = totals(leaf, "department", "course")
+    departments = courses.groupBy("department").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.array_join(F.slice(F.array_sort(F.collect_set("course")), 1, 8), ", ").alias("courses"))
+    d, c = F.col("department"), F.col("course")
+    parts = (
+        leaf.select(said("tree://root/", d, "/", c, "/", F.col("document_id")).alias("uri"), F.lit("document").alias("tier"), *size, said(F.col("title"), ", a document of ", c, " in ", d).alias("l0")),
+        courses.select(said("tree://root/", d, "/", c).alias("uri"), F.lit("course").alias("tier"), *size, said("Course ", c, " in ", d, ": ", n, " documents, ", w, " words").alias("l0")),
+        departments.select(said("tree://root/", d).alias("uri"), F.lit("department").alias("tier"), *size, said("Department ", d, ": ", n, " documents, ", w, " words; courses ", F.col("courses")).alias("l0")),
+        totals(courses).select(F.lit("tree://root").alias("uri"), F.lit("root").alias("tier"), *size, said("Corpus: ", n, " documents, ", w, " words").alias("l0")),
+    )
+    x = reduce(DataFrame.unionByName, parts)
+    return x.withColumn("l0_tokens", T.words_estimate(F.col("l0")))
+
+
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, materialise) -> DataFrame:
     """page_id and least depth from seeds (page_id) over edges (src, dst), up to max_depth. materialise(df) writes and
     rereads a table, so that the plan of a depth does not hold those before it."""

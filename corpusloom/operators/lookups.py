@@ -27,13 +27,28 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
+#: Rules that are compared with every url; more are met by the head of their pattern.
+FEW_RULES = 1000
+_HEAD = 24
+
+
 def first_rule(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Each distinct url with the action and id of the newest rule (rule_id, pattern, action) that fits it, as a glob or
-    as a literal prefix. The rule table is a hand-written list, far below Spark's broadcast threshold, which plans the join."""
+    as a literal prefix.
+
+    A short table of rules is counted and sent to all tasks. A longer one is joined on the literal head of the pattern, of
+    which a url has at most 25; patterns that begin with a wildcard have the empty head and meet every url either way."""
     fits = F.rlike(F.col(url), F.col("rx")) | F.startswith(F.col(url), F.col("pattern"))
     r = rules.withColumn("rx", glob_regex(F.col("pattern")))
-    best = urls.select(url).distinct().join(r, fits, "left").groupBy(url).agg(F.max(F.struct("rule_id", "action")).alias("b"))
-    return best.select(url, F.coalesce("b.action", F.lit(default)).alias("action"), F.col("b.rule_id").cast("long").alias("rule_id"))
+    u = urls.select(url).distinct()
+    if rules.count() <= FEW_RULES:
+        met = u.join(F.broadcast(r), fits)
+    else:
+        heads = F.transform(F.sequence(F.lit(0), F.least(F.length(url), F.lit(_HEAD))), lambda n: F.left(F.col(url), n))
+        r = r.withColumn("head", F.left(F.regexp_extract("pattern", r"^([^*?]*)", 1), F.lit(_HEAD)))
+        met = u.withColumn("head", F.explode(heads)).join(r, "head").where(fits)
+    best = met.groupBy(F.col(url).alias("met")).agg(F.max(F.struct("rule_id", "action")).alias("b"))
+    return u.join(best, F.col(url) == F.col("met"), "left").select(url, F.coalesce("b.action", F.lit(default)).alias("action"), F.col("b.rule_id").cast("long").alias("rule_id"))
 
 
 def earlier_repeats(rows: DataFrame, key: list[str], at: str, ttl_s: int) -> DataFrame:

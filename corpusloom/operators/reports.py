@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
 LOW_CONFIDENCE = 0.75
 
 
@@ -127,3 +129,21 @@ def alerts(audit: DataFrame) -> DataFrame:
     quarter = spread(15).groupBy("m").agg(F.round(F.avg("hit"), 6).alias("cache_share"))
     x = five.join(quarter, "m")
     return x.select(F.col("m").alias("minute"), "n", "error_share", "p95_ms", "cache_share", (F.col("p95_ms") > 5000).alias("slow"), (F.col("error_share") > 0.05).alias("failing"), (F.col("cache_share") < 0.2).alias("cold"))
+
+
+def instruction_pairs(messages: DataFrame) -> DataFrame:
+    """message_id, system, instruction, context, output and validation of each user message of messages (session_id, message_id,
+    turn, sender, content) that an assistant's follows. context: the assistant's message before, fenced; validation: a tenth of
+    the sessions."""
+    w = W.partitionBy("session_id").orderBy("turn")
+    n = messages.withColumns(
+        {
+            "s2": F.lead("sender").over(w),
+            "output": F.lead("content").over(w),
+            "system": F.coalesce(F.last(F.when(F.col("sender") == "system", F.col("content")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit("")),
+            "before": F.lag(F.when(F.col("sender") == "assistant", F.col("content"))).over(w),
+        }
+    )
+    fenced = F.concat(F.lit("<context>\n"), T.fenced(F.col("session_id"), (F.col("turn") - 1).cast("string"), F.lit("N/A"), F.col("before")), F.lit("\n</context>"))
+    split = F.conv(F.left(F.md5(F.col("session_id").cast("binary")), F.lit(7)), 16, 10).cast("long") % 10 == 0
+    return n.where("sender = 'user' and s2 = 'assistant'").select("message_id", "system", F.col("content").alias("instruction"), F.when(F.col("before").isNull(), "").otherwise(fenced).alias("context"), "output", split.alias("validation"))

@@ -3,45 +3,99 @@
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as T
 from corpusloom.sources.scratch import materialise
 
-from .feeds import numbered, top_k
+from .feeds import capped_flags, numbered, top_k
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, token, tf and dl (tokens of the chunk) of chunks (chunk_id, text), written as a table: the statistics and
-    the join of a search all read it, and a corpus is tokenised once."""
-    t = chunks.select("chunk_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    # the outer form keeps Spark from adding a filter on the array's size, which would tokenise twice
-    t = t.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("token")).where("token is not null")
-    return materialise(t.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+#: Search tokens as ``T.tokens`` makes them.
+_TOKEN = re.compile("[a-z0-9]+(?:[.-][a-z0-9]+)*")
+#: Tokens that a task may be sent to choose by; beyond it they are joined.
+MOST_WANTED = 200_000
 
 
-def idf(posts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """token, df and idf; a negative idf becomes a part of the mean one."""
-    n = chunks.agg(F.count("*")).scalar()
-    d = posts.groupBy("token").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    return d.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * d.agg(F.avg("raw")).scalar()).otherwise(F.col("raw"))).select("token", "df", "idf")
+def tokens(text: str | None) -> list[str]:
+    """The tokens of ``T.tokens``, in plain Python for Arrow tasks: a corpus is too large for arrays of all its tokens."""
+    found = _TOKEN.findall(text.lower()) if text else []
+    return [w for t in found for w in ((t, t.replace(".", "").replace("-", "")) if "." in t or "-" in t else (t,)) if len(w) > 1]
 
 
-def _parts(tokens: DataFrame, posts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id and the BM25 part of each token that both hold; tokens (query_id, token), repeats count again."""
-    q = tokens.groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    wanted = posts.join(q.select("token").distinct(), "token", "left_semi")
-    weights = idf(posts, chunks)
-    avgdl = posts.agg(F.sum("tf")).scalar() / chunks.agg(F.count("*")).scalar()
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return wanted.join(q, "token").join(weights, "token").select("query_id", "chunk_id", part.alias("part"))
+def term_documents(chunks: DataFrame) -> DataFrame:
+    """token and df (chunks that hold it) of chunks (chunk_id, text), written as a table; the null token has the number of all
+    tokens. Each task sums its own tokens before they are shuffled."""
+
+    def run(batches):
+        seen, every = Counter(), 0
+
+        def flush():
+            names = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[w] for w in names], pa.int64())], ["token", "df"])
+
+        for b in batches:
+            for t in b.column(0):
+                found = tokens(t.as_py())
+                every += len(found)
+                seen.update(set(found))
+            if len(seen) > 300_000:
+                yield flush()
+                seen.clear()
+        if every:
+            yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([every], pa.int64())], ["token", "df"])
+
+    return materialise(chunks.select("text").mapInArrow(run, "token string, df long").groupBy("token").agg(F.sum("df").alias("df")))
+
+
+def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chunk_id, token, tf and dl (tokens of the chunk) of chunks (chunk_id, text) for the tokens of wanted (token)."""
+    wanted = wanted.distinct()
+    few = wanted.count() <= MOST_WANTED
+    sent = chunks.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.toLocalIterator()) if few else None)
+    kind = chunks.schema["chunk_id"].dataType
+
+    def run(batches):
+        keep = sent.value
+        for b in batches:
+            ids, out = [], []
+            for i, t in enumerate(b.column(1)):
+                found = tokens(t.as_py())
+                for w, n in Counter(found if keep is None else filter(keep.__contains__, found)).items():
+                    ids.append(i)
+                    out.append((w, n, len(found)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64())))], ["chunk_id", "token", "tf", "dl"])
+
+    found = chunks.select("chunk_id", "text").mapInArrow(run, f"chunk_id {kind.simpleString()}, token string, tf long, dl long")
+    return found if few else found.join(wanted, "token", "left_semi")
+
+
+def idf(terms: DataFrame, n: int) -> DataFrame:
+    """token, df and idf over n chunks; a negative idf becomes a part of the mean one."""
+    d = terms.where("token is not null").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = d.agg(F.avg("raw")).first()[0] or 0.0
+    return d.withColumn("idf", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw"))).select("token", "df", "idf")
+
+
+def _parts(asked: DataFrame, posts: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """query_id, chunk_id and the BM25 part of each token that both hold; asked (query_id, token), repeats count again."""
+    q = asked.groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    every = terms.where("token is null").agg(F.sum("df")).first()[0] or 0
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(every / max(n, 1))))
+    return posts.join(q.join(idf(terms, n), "token"), "token").select("query_id", "chunk_id", part.alias("part"))
 
 
 def _best(parts: DataFrame, k: int) -> DataFrame:
@@ -52,42 +106,52 @@ def _best(parts: DataFrame, k: int) -> DataFrame:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best chunks of each query (query_id, query), without boosts.
 
-    Statistics cover the whole corpus. Only postings of the queries' tokens are joined, and tokens that repeat in a query
-    count again."""
-    tokens = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token"))
-    return _best(_parts(tokens, postings(chunks), chunks), k)
+    Statistics cover the whole corpus, as counts by token; postings are made of the queries' tokens alone, and tokens that
+    repeat in a query count again."""
+    asked = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token"))
+    return _best(_parts(asked, postings(chunks, asked.select("token")), term_documents(chunks), chunks.count()), k)
 
 
-def bm25_boosted(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+def bm25_boosted(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: Column | None = None) -> DataFrame:
     """The same over chunks (chunk_id, title, course, text) with ordinal synonyms in the queries and boosts: all content terms
     (two or more) held +35, each code +15, ordinals in the title +10, others there -20, in the head +3, the named body in the
-    title +8, others there -20, in the head +2, a gazette -25 unless results are asked for.
+    title +8, others there -20, in the head +2, a gazette -25 unless results are asked for. scope: a condition on chunks, applied
+    after the statistics.
 
     Boosts are rows that are summed with the token parts, so a chunk without a token of the query can come in by them."""
     whole = chunks.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
-    posts = postings(whole)
+    terms = term_documents(whole)
     q = materialise(queries.where(F.size(T.tokens(F.col("query"))) > 0).select("query_id", "query", T.query_tokens(F.col("query")).alias("t"), T.content_tokens(F.col("query")).alias("content")))
-    parts = _parts(q.select("query_id", F.explode(T.with_synonyms(F.col("t"))).alias("token")), posts, whole)
-    low = chunks.select("chunk_id", "course", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    boosts = (_all_terms(q, posts, low), _code_parts(q, low), _named_parts(q, low))
+    asked = q.select("query_id", F.explode(T.with_synonyms(F.col("t"))).alias("token"))
+    rare = _rarest(q, terms)
+    low = chunks if scope is None else chunks.where(scope)
+    low = low.select("chunk_id", "course", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    posts = materialise(postings(whole, asked.select("token").union(rare.select("token"))).join(low.select("chunk_id"), "chunk_id", "left_semi"))
+    parts = _parts(asked, posts, terms, chunks.count())
+    boosts = (_all_terms(q, rare, posts, low), _code_parts(q, low), _named_parts(q, low))
     return _best(reduce(DataFrame.union, boosts, parts), k)
 
 
-def _all_terms(q: DataFrame, posts: DataFrame, low: DataFrame) -> DataFrame:
-    """A part for each chunk that holds all content terms of a query as substrings. A term stands inside a token of the chunk:
-    the chunks of a query's rarest term are looked up by the tokens that hold it, the other terms in their texts."""
-    asked = q.where(F.size("content") >= 2).select("query_id", F.array_distinct("content").alias("content"))
-    terms = asked.select(F.explode("content").alias("term")).distinct()
-    sizes = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
-    words = posts.groupBy("token").agg(F.count("*").alias("n"))
+def _rarest(q: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id and the tokens that hold the rarest content term of each query with two or more: a term that a chunk holds as
+    a substring stands inside a token of it."""
+    asked = q.where(F.size("content") >= 2).select("query_id", F.explode(F.array_distinct("content")).alias("term"))
+    wanted = asked.select("term").distinct()
+    sizes = [r[0] for r in wanted.select(F.length("term")).distinct().collect()]
     at = lambda size: F.transform(F.sequence(F.lit(1), F.length("token") - size + 1), lambda i: F.substring("token", i, F.lit(size)))
     none = F.array().cast("array<string>")
-    inside = words.select("token", "n", F.explode(F.array_distinct(F.flatten(F.array(none, *(F.when(F.length("token") >= s, at(s)).otherwise(none) for s in sizes))))).alias("term"))
-    held = materialise(inside.join(terms, "term", "left_semi"))
-    freq = held.groupBy("term").agg(F.sum("n").alias("n"))
-    rare = asked.select("query_id", F.explode("content").alias("term")).join(freq, "term", "left")
-    rare = rare.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-    near = rare.join(held.select("term", "token"), "term").join(posts.select("token", "chunk_id"), "token").select("query_id", "chunk_id").distinct()
+    inside = terms.where("token is not null").select("token", "df", F.explode(F.array_distinct(F.flatten(F.array(none, *(F.when(F.length("token") >= s, at(s)).otherwise(none) for s in sizes))))).alias("term"))
+    held = materialise(inside.join(wanted, "term", "left_semi"))
+    freq = held.groupBy("term").agg(F.sum("df").alias("n"))
+    rare = asked.join(freq, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    return materialise(rare.join(held.select("term", "token"), "term").select("query_id", "token"))
+
+
+def _all_terms(q: DataFrame, rare: DataFrame, posts: DataFrame, low: DataFrame) -> DataFrame:
+    """A part for each chunk that holds all content terms of a query as substrings: the chunks of its rarest term are looked up,
+    the other terms in their texts."""
+    asked = q.where(F.size("content") >= 2).select("query_id", F.array_distinct("content").alias("content"))
+    near = rare.join(posts.select("token", "chunk_id"), "token").select("query_id", "chunk_id").distinct()
     x = near.join(asked, "query_id").join(low.select("chunk_id", "title", "text"), "chunk_id")
     return x.where(F.forall("content", lambda t: F.contains(F.col("text"), t) | F.contains(F.col("title"), t))).select("query_id", "chunk_id", F.lit(35.0).alias("part"))
 
@@ -121,29 +185,57 @@ def _named_parts(q: DataFrame, low: DataFrame) -> DataFrame:
     return of_chunk.join(pairs, "b").join(of_query, "a").select("query_id", "chunk_id", "part")
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, scope: str | None = None, block: int = 4096) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, scope: str | None = None, block: int = 4096, shard: int = 100_000) -> DataFrame:
     """query_id, vec_id, score, rank of the k most similar vectors of each query (query_id, qvec), itself left out; with
     ``scope`` only those with an equal value in that column.
 
-    Queries go to the tasks in blocks of bounded size. A task multiplies its batches of unit vectors with the block and
-    keeps its k best of each query, so k rows per query and task are shuffled, not all pairs."""
-    sc, kind = vectors.sparkSession.sparkContext, vectors.schema["vec_id"].dataType.simpleString()
-    cols = ["query_id", "qvec", *([scope] if scope else [])]
-    parts, held = [], []
-
-    def send():
-        if held:
-            parts.append(_partial_top_k(sc.broadcast(list(held)), vectors.select("vec_id", "vec", *([scope] if scope else [])), k, floor, kind))
-            held.clear()
-
-    for r in queries.select(*cols).toLocalIterator():
-        held.append(tuple(r))
-        if len(held) == block:
-            send()
-    send()
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {kind}, score double, rank long")
-    return top_k(reduce(DataFrame.union, parts), ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+    Up to ``block`` queries, by count, are sent to the tasks, which multiply their batches of unit vectors with them. More are
+    dealt to blocks, and vectors to shards, and each block meets each shard in one task, which holds the block and reads the
+    shard batch by batch. Either way a task keeps its k best of each query, so k rows per query and task are shuffled."""
+    spark, of = vectors.sparkSession, [scope] if scope else []
+    qid, vid = queries.schema["query_id"].dataType, vectors.schema["vec_id"].dataType
+    q, e = queries.select("query_id", "qvec", *of), vectors.select("vec_id", "vec", *of)
+    n = q.count()
+    kinds = f"query_id {qid.simpleString()}, vec_id {vid.simpleString()}, score double"
+    types = (to_arrow_type(qid), to_arrow_type(vid))
+    if n <= block:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in q.toLocalIterator()])
+
+        def run(batches):
+            best = _Best(sent.value, k, floor)
+            for b in batches:
+                best.add(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist() if of else None)
+            yield best.rows(types)
+
+        found = e.mapInArrow(run, kinds)
+    else:
+        blocks, shards = -(-n // block), max(1, -(-e.count() // shard))
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        null = lambda kind: F.lit(None).cast(kind)
+        rows = q.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), every(shards).alias("s"), F.col("query_id").alias("q"), null(vid).alias("v"), F.col("qvec").cast("array<double>").alias("x"), *of)
+        rows = rows.unionByName(e.select(every(blocks).alias("b"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("s"), null(qid).alias("q"), F.col("vec_id").alias("v"), F.col("vec").cast("array<double>").alias("x"), *of))
+        dealt = rows.withColumn("is_vec", F.col("v").isNotNull()).repartition(blocks * shards, "b", "s").sortWithinPartitions("b", "s", "is_vec")
+
+        def run(batches):
+            at, held, best = None, [], None
+            for batch in batches:
+                cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+                for key, part in groupby(range(batch.num_rows), lambda i: (cols[0][i], cols[1][i], cols[-1][i])):
+                    part = list(part)
+                    if key[:2] != at:
+                        if best:
+                            yield best.rows(types)
+                        at, held, best = key[:2], [], None
+                    if not key[2]:
+                        held += [(cols[2][i], cols[4][i], *((cols[5][i],) if of else ())) for i in part]
+                        continue
+                    best = best or _Best(held, k, floor)
+                    best.add([cols[3][i] for i in part], [cols[4][i] for i in part], [cols[5][i] for i in part] if of else None)
+            if best:
+                yield best.rows(types)
+
+        found = dealt.mapInArrow(run, kinds)
+    return top_k(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
 def _units(rows) -> np.ndarray:
@@ -152,27 +244,32 @@ def _units(rows) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _partial_top_k(sent, vectors: DataFrame, k: int, floor: float | None, kind: str) -> DataFrame:
-    def run(batches):
-        block = sent.value
-        q, ids = _units([r[1] for r in block]), [r[0] for r in block]
-        scopes = np.array([r[2] for r in block], object) if len(block[0]) > 2 else None
-        best: list[list[tuple[float, int]]] = [[] for _ in block]
-        for b in batches:
-            vec_ids = b.column(0).to_pylist()
-            sims = np.round(q @ _units(b.column(1).to_pylist()).T, 6)
-            if scopes is not None:
-                sims[scopes[:, None] != np.array(b.column(2).to_pylist(), object)[None, :]] = -np.inf
-            if floor is not None:
-                sims[sims < floor] = -np.inf
-            for i, row in enumerate(sims):
-                at = np.flatnonzero(row >= (np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -np.inf))
-                more = [(-row[j], vec_ids[j]) for j in at if row[j] > -np.inf and vec_ids[j] != ids[i]]
-                best[i] = heapq.nsmallest(k, best[i] + more)
-        out = [(ids[i], v, -s) for i, rows in enumerate(best) for s, v in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(run, f"query_id {kind}, vec_id {kind}, score double")
+class _Best:
+    """The k most similar vectors so far of each of a block of queries (id, vector, and scope if there is one)."""
+
+    def __init__(self, block: list[tuple], k: int, floor: float | None):
+        self.ids, self.k, self.floor = [r[0] for r in block], k, floor
+        self.q = _units([r[1] for r in block]) if block else np.zeros((0, 1))
+        self.scopes = np.array([r[2] for r in block], object) if block and len(block[0]) > 2 else None
+        self.best: list[list[tuple]] = [[] for _ in block]
+
+    def add(self, ids: list, vectors: list, scopes: list | None) -> None:
+        if not self.ids or not ids:
+            return
+        k = self.k
+        sims = np.round(self.q @ _units(vectors).T, 6)
+        if scopes is not None:
+            sims[self.scopes[:, None] != np.array(scopes, object)[None, :]] = -np.inf
+        if self.floor is not None:
+            sims[sims < self.floor] = -np.inf
+        for i, row in enumerate(sims):
+            at = np.flatnonzero(row >= (np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -np.inf))
+            more = [(-row[j], ids[j]) for j in at if row[j] > -np.inf and ids[j] != self.ids[i]]
+            self.best[i] = heapq.nsmallest(k, self.best[i] + more)
+
+    def rows(self, types: tuple) -> pa.RecordBatch:
+        out = [(self.ids[i], v, -s) for i, rows in enumerate(self.best) for s, v in rows]
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], types[0]), pa.array([o[1] for o in out], types[1]), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
 
 
 def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, distance: float = 1.42, bucket: float = 0.1, tables: int = 12, seed: int = 7) -> DataFrame:
@@ -212,16 +309,16 @@ def lexical_bonus(query: Column, title: Column, text: Column) -> Column:
     return overlap * 0.2 + by_ordinal + by_entity
 
 
-def rerank(hits: DataFrame, k: int, query: str = "query", title: str = "title", text: str = "text", base: str = "rrf") -> DataFrame:
-    """hits with rerank_score and rank, the k best of each query."""
-    scored = hits.drop("rank").withColumn("rerank_score", F.round(F.col(base) + lexical_bonus(F.col(query), F.col(title), F.col(text)), 6))
+def rerank(hits: DataFrame, k: int, query: str = "query", title: str = "title", text: str = "text", base: str = "rrf", score: Column | None = None) -> DataFrame:
+    """hits with rerank_score and rank, the k best of each query; score: a column in place of the lexical formula, such as a
+    pandas UDF of a model."""
+    by = F.col(base) + lexical_bonus(F.col(query), F.col(title), F.col(text)) if score is None else score
+    scored = hits.drop("rank").withColumn("rerank_score", F.round(by, 6))
     return top_k(scored, ["query_id"], [F.col("rerank_score").desc(), F.col("chunk_id")], k)
 
 
 def relevance_floor(hits: DataFrame, k: int) -> DataFrame:
     """Hits that pass the floors of score; where none of a query passes, its k first."""
-    from pyspark.sql import Window as W
-
     ok = F.coalesce(F.col("rerank_score") >= -2.0, (F.col("dense_score") >= 0.2) | (F.col("rrf") > 0.01), F.lit(False))
     x = hits.withColumn("_ok", ok).withColumn("_any", F.max(ok).over(W.partitionBy("query_id")))
     return x.where(F.col("_ok") | (~F.col("_any") & (F.col("rank") < k))).drop("_ok", "_any")
@@ -233,26 +330,105 @@ def by_year(hits: DataFrame, title: str, text: str, score: str) -> DataFrame:
     return numbered(hits.withColumn("year", year), ["query_id"], [F.col("year").desc(), F.col(score).desc(), F.col("chunk_id")])
 
 
+def cohesive(hits: DataFrame, query: str = "query", title: str = "title") -> DataFrame:
+    """Hits without those whose title names an ordinal or a body that the query does not, if the query names one; all hits of a
+    query of which none would be left."""
+    asked, body, low = T.ordinals(F.col(query)), T.entity(F.col(query)), F.lower(F.coalesce(title, F.lit("")))
+    other_ordinal = (F.size(asked) > 0) & (F.size(F.array_except(T.ordinal_words(low), asked)) > 0)
+    other_body = body.isNotNull() & (F.size(F.array_except(T.entities(low), F.array(body))) > 0)
+    x = hits.withColumn("_ok", ~F.coalesce(other_ordinal | other_body, F.lit(False)))
+    x = x.withColumn("_any", F.max("_ok").over(W.partitionBy("query_id")))
+    return x.where(F.col("_ok") | ~F.col("_any")).drop("_ok", "_any")
+
+
+#: What a question about results, about a date or place, about two things, and about news holds.
+ASKS_RESULTS = "result|marks|grade|roll|regn|gazette|re-appear|pass|fail|score"
+ASKS_DATE = "when|held|date|time|where|agenda|first|1st"
+ASKS_BOTH = "versus|vs|compare|comparing|difference|between|both|apart|and"
+ASKS_NEWS = "latest|recent|current|upcoming|new|update|extension|extended|today"
+
+
+def few_gazettes(hits: DataFrame, query: str = "query", title: str = "title", text: str = "text", most: int = 2) -> DataFrame:
+    """Ranked hits without lists of results beyond the first two of a query, unless it asks for results."""
+    gazette = F.lower(F.coalesce(title, F.lit(""))).rlike("gazette|result") | F.contains(F.lower(F.left(text, F.lit(150))), F.lit("roll no"))
+    return capped_flags(hits, ["query_id"], [F.col("rank")], gazette & ~F.lower(query).rlike(ASKS_RESULTS), most)
+
+
+def first_pages(hits: DataFrame, chunks: DataFrame, query: str = "query") -> DataFrame:
+    """Ranked hits (with document_id and chunk_index) with the first chunk of the best hit's document: put first where a date or place
+    is asked for, and put before all where it is not among them; chunks: where it is taken from."""
+    best = hits.where("rank = 0").select("query_id", F.col("document_id").alias("top_document"), F.col("rerank_score").alias("top_score"))
+    x = hits.join(best, "query_id").withColumn("page", (F.col("document_id") == F.col("top_document")) & (F.col("chunk_index") == 0))
+    x = x.withColumn("rank", F.when(F.col("page") & F.lower(query).rlike(ASKS_DATE), -1).otherwise(F.col("rank")))
+    lacking = x.groupBy("query_id").agg(F.max("page").alias("held"), F.first(query).alias(query), F.first("top_document").alias("document_id"), F.first("top_score").alias("rerank_score")).where("not held")
+    fetched = lacking.join(chunks.where("chunk_index = 0"), "document_id").withColumns({"rank": F.lit(-1).cast("long"), "rerank_score": F.col("rerank_score") + 1})
+    x = x.drop("page", "top_document", "top_score")
+    return numbered(x.unionByName(fetched.select(*(c for c in fetched.columns if c in x.columns)), allowMissingColumns=True), ["query_id"], [F.col("rank")])
+
+
+def focused(hits: DataFrame, query: str = "query") -> DataFrame:
+    """Ranked hits; of a query that names an ordinal or a body, and not two things, those of the best hit's document; hits of a query
+    for news, if it is none of those, by year first."""
+    q = F.lower(query)
+    asked = T.ordinals(F.col(query))
+    one = ((F.size(asked) > 0) | T.entity(F.col(query)).isNotNull()) & ~(q.rlike(ASKS_BOTH) | (F.size(asked) > 1))
+    top = F.first("document_id").over(W.partitionBy("query_id").orderBy("rank"))
+    x = hits.withColumns({"_one": one, "_top": top}).where(~F.col("_one") | (F.col("document_id") == F.col("_top")))
+    year = F.when(q.rlike(ASKS_NEWS) & ~F.col("_one"), T.latest_year(F.concat_ws(" ", "title", F.left("text", F.lit(300)))))
+    news = year.isNotNull()
+    order = [F.when(news, year).desc(), F.when(news, F.col("rerank_score")).desc(), F.col("rank"), F.col("chunk_id")]
+    return numbered(x.withColumns({"_year": year}), ["query_id"], order).drop("_one", "_top", "_year")
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 20, fused: int = 50, final: int = 5) -> DataFrame:
+    """The best ``final`` chunks of each query (query_id, query, qvec), with the gate's decision.
+
+    Dense hits above the floor with few gazettes, and BM25 with boosts over normalised queries, are fused, reranked, cut at the
+    relevance floor, pruned of other ordinals and bodies, given the first page of the best document, focused and cut. chunks:
+    chunk_id, document_id, chunk_index, title, course, text; vectors: vec_id (a chunk_id), vec."""
+    shown = chunks.select("chunk_id", "document_id", "chunk_index", "title", "text")
+    asked = queries.select("query_id", "query")
+    dense = vector_top_k(queries.select("query_id", "qvec"), vectors, k, 0.2).withColumnRenamed("vec_id", "chunk_id").join(asked, "query_id").join(shown, "chunk_id")
+    dense = numbered(few_gazettes(dense), ["query_id"], [F.col("rank")]).select("query_id", "chunk_id", "score", "rank")
+    sparse = bm25_boosted(asked.select("query_id", F.coalesce(T.normalise_query(F.col("query")), "query").alias("query")), chunks, k)
+    both = materialise(fuse(dense, sparse, keep=fused)).join(asked, "query_id").join(shown, "chunk_id")
+    ranked = materialise(relevance_floor(rerank(both, k), final))
+    kept = materialise(first_pages(numbered(cohesive(ranked), ["query_id"], [F.col("rank")]), shown))
+    best = materialise(focused(kept).where(F.col("rank") < final))
+    return best.join(gate(best, asked).select("query_id", "decision"), "query_id")
+
+
 #: Words that say nothing about the topic of a question.
 GATE_STOP = "what when where which who whom whose why how the and for are can give tell about is was were will would shall should does did from with into".split()
+#: The same in Hindi, in Latin letters and in Devanagari.
+GATE_STOP_HINDI = (
+    "kya kab kahan kaha kaise kese kyun kyu kon kaun hai hain ho hu hoon tha the thi hoga hogi honge me mein par se ko ke ki ka aur ya bhi toh to ye yeh woh wo karo karein batao bataiye chahiye milega milegi milenge bata dijiye kare kitni kitna kitne".split()
+    + "क्या कब कहाँ कहा कैसे क्यों कौन है हैं हो हूँ था थे थी होगा होगी होंगे में पर से को के की का और या भी तो यह ये वह वो बताओ बताइए चाहिए मिलेगा मिलेगी कितनी कितना".split()
+)
 
 
 def content_words(query: Column) -> Column:
-    words = F.filter(F.split(F.lower(query), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{3,}$"))
-    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, GATE_STOP)))
+    """Distinct words of a question of three Latin letters or more, or two of Devanagari, that say something of its topic."""
+    q = F.lower(query)
+    latin = F.filter(F.split(q, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{3,}$"))
+    words = F.concat(latin, F.regexp_extract_all(q, F.lit("[\u0900-\u097F]{2,}"), F.lit(0)))
+    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, dict.fromkeys(GATE_STOP + GATE_STOP_HINDI))))
 
 
 def gate(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, confidence, keyword_ratio and decision of each query from its hits (rank, rerank_score, dense_score, title, text)."""
+    """query_id, confidence, keyword_ratio and decision of each query from its hits (rank, rerank_score, dense_score, bm25_score, title,
+    text). Questions of other domains and questions without hits are INCORRECT with confidence 0. The score of a hit is the dense
+    one, or the sparse one of hits that only BM25 found."""
     words = queries.select("query_id", F.lower("query").alias("q"), content_words(F.col("query")).alias("words"))
     top = hits.where("rank < 3").select("query_id", F.lower(F.concat_ws(" ", "text", "title")).alias("t")).join(words, "query_id")
     found = top.select("query_id", F.explode(F.filter("words", lambda w: F.contains(F.col("t"), w))).alias("w")).groupBy("query_id").agg(F.countDistinct("w").alias("found"))
-    best = hits.groupBy("query_id").agg(F.max("rerank_score").alias("r"), F.max("dense_score").alias("d"))
+    score = F.coalesce("dense_score", "bm25_score") if "bm25_score" in hits.columns else F.col("dense_score")
+    best = hits.groupBy("query_id").agg(F.max("rerank_score").alias("r"), F.max(score).alias("d"), F.count("*").alias("hits"))
     x = words.join(best, "query_id", "left").join(found, "query_id", "left")
+    outside = F.col("hits").isNull() | F.col("q").rlike("|".join(T.OUT_OF_DOMAIN))
     ratio = F.round(F.coalesce("found", F.lit(0)) / F.greatest(F.lit(1), F.size("words")), 6)
-    confidence = F.round(F.when(F.col("r").isNotNull(), 1 / (1 + F.pow(F.lit(2.71828), -F.col("r")))).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("d", F.lit(0.0))))), 6)
+    confidence = F.round(F.when(outside, 0.0).when(F.col("r").isNotNull(), 1 / (1 + F.pow(F.lit(2.71828), -F.col("r")))).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("d", F.lit(0.0))))), 6)
     x = x.withColumn("keyword_ratio", ratio).withColumn("confidence", confidence)
     several = F.col("q").rlike(" versus | vs | and | both |compare") & (F.size("words") >= 4) & (F.col("confidence") < 0.65)
     low = ((F.coalesce("r", F.lit(-99.0)) < -2.5) & (F.col("keyword_ratio") < 0.25)) | ((F.coalesce("d", F.lit(0.0)) < 0.22) & (F.col("keyword_ratio") < 0.2))
-    none = F.col("r").isNull() & F.col("d").isNull()
-    return x.select("query_id", "confidence", "keyword_ratio", F.when(none | low, "INCORRECT").when(several, "AMBIGUOUS").otherwise("CORRECT").alias("decision"))
+    return x.select("query_id", "confidence", "keyword_ratio", F.when(outside | low, "INCORRECT").when(several, "AMBIGUOUS").otherwise("CORRECT").alias("decision"))

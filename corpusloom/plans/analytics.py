@@ -88,12 +88,12 @@ def d11(v):
     return reports.hierarchy(v("v_documents").select("department", "course", T.words_estimate(F.col("text")).alias("tokens")))
 
 
-@query("d12_tree", """WITH c AS (SELECT department, course, list(document_id ORDER BY document_id) AS ids FROM v_documents GROUP BY ALL)
-SELECT department, array_to_string(list(course || ':' || array_to_string(ids, ' ') ORDER BY course), ';') AS tree FROM c GROUP BY department""")
+@query("d12_tree", """WITH b AS (SELECT department, course, document_id // 1000 AS part, list(document_id ORDER BY document_id) AS ids FROM v_documents GROUP BY ALL)
+SELECT department, course, part, array_to_string(ids, ' ') AS ids FROM b""")
 def d12(v):
-    c = v("v_documents").groupBy("department", "course").agg(F.sort_array(F.collect_list("document_id")).alias("ids"))
-    nested = c.groupBy("department").agg(F.sort_array(F.collect_list(F.struct("course", "ids"))).alias("courses"))
-    return nested.select("department", F.array_join(F.transform("courses", lambda x: F.concat(x["course"], F.lit(":"), F.array_join(x["ids"].cast("array<string>"), " "))), ";").alias("tree"))
+    """The tree of departments, courses and documents: a leaf row for each thousand of ids, so that no course is one row."""
+    c = v("v_documents").groupBy("department", "course", F.floor(F.col("document_id") / 1000).alias("part")).agg(F.sort_array(F.collect_list("document_id")).alias("ids"))
+    return c.select("department", "course", "part", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("d13_crawl_stats", "SELECT http_status, count(*) AS visited, count(*) FILTER (http_status = 200) AS scraped, count(*) FILTER (http_status = 304) AS skipped, count(DISTINCT url) AS urls FROM v_crawl_now GROUP BY http_status")
@@ -140,7 +140,7 @@ def d21(v):
     return d.groupBy("lang").agg(F.round(100.0 * F.avg(ok.cast("int")), 1).alias("pass_rate"))
 
 
-_CHANGES = """WITH p AS (SELECT path, sha256(content) AS oh, mtime AS om, status FROM v_manifest_prev), s0 AS (SELECT path, sha256(content) AS h, mtime FROM v_scan_now),
+FILE_CHANGES = """WITH p AS (SELECT path, sha256(content) AS oh, mtime AS om, status FROM v_manifest_prev), s0 AS (SELECT path, sha256(content) AS h, mtime FROM v_scan_now),
 s AS (SELECT *, first_value(path) OVER (PARTITION BY h ORDER BY mtime, path) AS fp FROM s0), dn AS (SELECT oh AS h, min(path) AS a, max(path) AS b FROM p WHERE status = 'done' GROUP BY oh),
 x AS (SELECT coalesce(p.path, s.path) AS path, oh, om, status, s.h, mtime, fp, a, a IS NOT NULL AND (a <> coalesce(p.path, s.path) OR b <> coalesce(p.path, s.path)) AS elsewhere FROM p FULL JOIN s ON p.path = s.path LEFT JOIN dn ON dn.h = s.h),
 c AS (SELECT path, CASE WHEN h IS NULL THEN 'file_not_found' WHEN status = 'processing' THEN 'processing' WHEN status IS NULL THEN CASE WHEN a IS NOT NULL OR fp <> path THEN 'duplicate_skipped' ELSE 'new_file' END
@@ -148,12 +148,12 @@ WHEN (abs(mtime - om) > 0.001 OR status = 'failed') AND (h <> oh OR status = 'fa
 """
 
 
-@query("c6_file_changes", _CHANGES + "SELECT path, status FROM c")
+@query("c6_file_changes", FILE_CHANGES + "SELECT path, status FROM c")
 def c6(v):
     return changes.file_changes(v("v_manifest_prev"), v("v_scan_now"))
 
 
-@query("d22_scan_summary", _CHANGES + "SELECT status, count(*) AS n FROM c GROUP BY status")
+@query("d22_scan_summary", FILE_CHANGES + "SELECT status, count(*) AS n FROM c GROUP BY status")
 def d22(v):
     return changes.file_changes(v("v_manifest_prev"), v("v_scan_now")).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -200,7 +200,7 @@ def e7(v):
 
 @query("e8_balanced_sample", "SELECT document_id FROM (SELECT document_id, row_number() OVER (PARTITION BY course ORDER BY document_id) > 8 AS late FROM v_documents) ORDER BY late, document_id LIMIT 45")
 def e8(v):
-    return feeds.balanced(v("v_documents"), "course", [F.col("document_id")], 8, 45).select("document_id")
+    return feeds.balanced(v("v_documents"), "course", ["document_id"], 8, 45).select("document_id")
 
 
 @query("e10_sliding_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events")
@@ -222,18 +222,24 @@ def i7(v):
     return lookups.islands(v("events"), "user_id", F.unix_seconds(F.col("ts").cast("timestamp")), 1800)
 
 
-@query("i8_repeat_questions", """WITH m AS (SELECT message_id, sha256(department || '|' || lower(left(content, 3))) AS k, created_s, lag(created_s) OVER (PARTITION BY sha256(department || '|' || lower(left(content, 3))) ORDER BY created_s) AS p FROM v_messages)
-SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000""")
+_QUESTION = r"sha256(department || '|' || regexp_replace(lower(q), '^\s+|\s+$', '', 'g'))"
+_REPEATS = f"WITH m AS (SELECT message_id, created_s, lag(created_s) OVER (PARTITION BY {_QUESTION} ORDER BY created_s) AS p FROM (SELECT message_id, department, created_s, CASE WHEN turn % 4 = 2 THEN q ELSE content END AS q FROM v_questions JOIN v_messages USING (message_id, department, created_s, turn) WHERE v_messages.sender = 'user')) SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000"
+
+
+@query("i8_repeat_questions", _REPEATS)
 def i8(v):
-    m = v("v_messages").withColumn("key", T.sha256(F.concat_ws("|", "department", F.lower(F.left("content", F.lit(3))))))
+    """Questions of users that repeat a whole question in a department; every second one is a short one that many ask."""
+    m = v("v_questions").join(v("v_messages").select("message_id", "content"), "message_id").where("sender = 'user'")
+    m = m.withColumn("asked", F.when(F.col("turn") % 4 == 2, F.col("q")).otherwise(F.col("content")))
+    m = m.withColumn("key", T.sha256(F.concat_ws("|", "department", T.stripped(F.lower("asked")))))
     return lookups.earlier_repeats(m, ["key"], "created_s", 360000).select("message_id", "since_s")
 
 
-_QUESTION = r"sha256(department || '|' || regexp_replace(lower(content), '^\s+|\s+$', '', 'g'))"
+_ALONE = r"sha256(department || '|' || regexp_replace(lower(content), '^\s+|\s+$', '', 'g'))"
 
 
-@query("i8_repeat_questions_whole", f"WITH m AS (SELECT message_id, created_s, lag(created_s) OVER (PARTITION BY {_QUESTION} ORDER BY created_s) AS p FROM v_messages WHERE sender = 'user') SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000")
+@query("i8_repeat_questions_whole", f"WITH m AS (SELECT message_id, created_s, lag(created_s) OVER (PARTITION BY {_ALONE} ORDER BY created_s) AS p FROM v_messages WHERE sender = 'user') SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000")
 def i8_whole(v):
-    """Questions of users that repeat a whole question in a department; messages have no course."""
+    """The same over the messages as they are; messages have no course."""
     m = v("v_messages").where("sender = 'user'").withColumn("key", T.sha256(F.concat_ws("|", "department", T.stripped(F.lower("content")))))
     return lookups.earlier_repeats(m, ["key"], "created_s", 360000).select("message_id", "since_s")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
 from corpusloom.functions import vectors as V
 from corpusloom.operators import changes, feeds, graph, lookups, reports, search
+from corpusloom.operators.ranges import running
 from corpusloom.sources.scratch import materialise
 
 from .registry import query
+from .retrieval import hashed_vectors
+from .texts import KS, NORM, link_ctes
 
 
 @query("c1_inner_join", "SELECT m.message_id, d.department, d.course FROM v_messages m JOIN v_documents d ON d.document_id = m.message_id // 100")
@@ -109,26 +113,28 @@ def c15(v):
     return changes.parity({"documents": d, "pages": p}, {"documents": d.where("doc_id % 50 <> 0"), "pages": p})
 
 
+#: Every tenth vector is asked again, five ids later: the given ones have no near repeats.
+_ASKED_AGAIN = "SELECT a.vec_id, coalesce(b.label, a.label) AS label, coalesce(b.embedding, a.embedding) AS embedding FROM {e} a LEFT JOIN {e} b ON a.vec_id % 10 = 5 AND b.vec_id = a.vec_id - 5"
+
+
 def _near_repeats(v, span):
     """The most similar vector of the same label within ``span`` ids before, if similar enough; ids stand for seconds."""
-    e = v("embeddings").select("vec_id", "label", V.unit(F.col("embedding")).alias("x"))
+    e = v.spark.sql(_ASKED_AGAIN, e=v("embeddings")).select("vec_id", "label", V.unit(F.col("embedding")).alias("x"))
     a = e.withColumn("slot", F.explode(F.array(F.floor(F.col("vec_id") / span), F.floor(F.col("vec_id") / span) - 1)))
     b = e.select(F.col("vec_id").alias("earlier"), "label", F.col("x").alias("y"), F.floor(F.col("vec_id") / span).alias("slot"))
     near = a.join(b, ["label", "slot"]).where((F.col("earlier") < F.col("vec_id")) & (F.col("vec_id") - F.col("earlier") <= span))
-    s = near.select("vec_id", "earlier", F.round(V.dot(F.col("x"), F.col("y")), 6).alias("sim")).where("sim >= 0.5")
+    s = near.select("vec_id", "earlier", F.round(V.dot(F.col("x"), F.col("y")), 6).alias("sim")).where("sim >= 0.94")
     best = s.groupBy("vec_id").agg(F.max(F.struct("sim", (-F.col("earlier")).alias("e"))).alias("b"))
     return best.select("vec_id", (-F.col("b.e")).alias("earlier"), F.col("b.sim").alias("sim"))
 
 
-@query("c17_near_repeats", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS earlier, round(list_cosine_similarity(a.x, b.x), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 60)
-SELECT vec_id, arg_max(earlier, (sim, -earlier)) AS earlier, max(sim) AS sim FROM s WHERE sim >= 0.5 GROUP BY vec_id""")
-def c17(v):
-    return _near_repeats(v, 60)
+_NEAR = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM (" + _ASKED_AGAIN.replace("{e}", "embeddings") + """)), s AS (SELECT a.vec_id, b.vec_id AS earlier, round(list_cosine_similarity(a.x, b.x), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 3600)
+SELECT vec_id, arg_max(earlier, (sim, -earlier)) AS earlier, max(sim) AS sim FROM s WHERE sim >= 0.94 GROUP BY vec_id"""
 
 
-@query("c17_near_repeats_hour", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS earlier, round(list_cosine_similarity(a.x, b.x), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 3600)
-SELECT vec_id, arg_max(earlier, (sim, -earlier)) AS earlier, max(sim) AS sim FROM s WHERE sim >= 0.5 GROUP BY vec_id""")
-def c17_hour(v):
+@query("c17_near_repeats_hour", _NEAR)
+@query("c17_near_repeats", _NEAR)
+def c17(v):
     return _near_repeats(v, 3600)
 
 
@@ -179,11 +185,16 @@ def c24(v):
     return answer.join(last, "session_id").select("message_id", "feedback", F.when(F.col("feedback") == "down", -1).otherwise(1).alias("score"))
 
 
-@query("c25_overview_lookup")
+@query("c25_overview_lookup", "WITH " + hashed_vectors("dv", "SELECT document_id AS id, text FROM v_documents") + """, he AS (SELECT department, course, min(document_id) AS vec_id FROM v_documents GROUP BY ALL),
+q AS (SELECT document_id AS query_id, text AS query, department FROM v_documents WHERE document_id % 20 = 0), nm AS (SELECT query_id, min(vec_id) AS named FROM q JOIN he USING (department) WHERE contains(lower(query), ' ' || course || ' ') GROUP BY 1),
+s AS (SELECT query_id, he.vec_id, round(coalesce(list_cosine_similarity(a.v, b.v), 0), 6) AS score FROM q JOIN dv a ON a.id = query_id, he JOIN dv b ON b.id = he.vec_id WHERE query_id <> he.vec_id),
+nr AS (SELECT query_id, arg_max(vec_id, (score, -vec_id)) AS near FROM s WHERE score >= 0.1 GROUP BY 1)
+SELECT query_id, coalesce(named, near) AS vec_id FROM q LEFT JOIN nm USING (query_id) LEFT JOIN nr USING (query_id)""")
 def c25(v):
-    """A course's overview for each query: the course named by it, else the nearest synopsis by hashed vectors."""
-    heads = v("v_documents").groupBy("department", "course").agg(F.min_by(F.left("text", F.lit(200)), "document_id").alias("l0"), F.min("document_id").alias("vec_id"))
-    q = v("v_documents").where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), F.left("text", F.lit(120)).alias("query"), "department")
+    """A course's overview, its first document, for each query: that of a course it names, else the nearest by hashed vectors."""
+    d = v("v_documents")
+    heads = d.groupBy("department", "course").agg(F.min_by("text", "document_id").alias("l0"), F.min("document_id").alias("vec_id"))
+    q = d.where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), F.col("text").alias("query"), "department")
     named = q.join(heads, "department").where(F.contains(F.lower("query"), F.concat(F.lit(" "), "course", F.lit(" ")))).groupBy("query_id").agg(F.min("vec_id").alias("named"))
     near = search.vector_top_k(q.select("query_id", V.embed("query").alias("qvec")), heads.select("vec_id", V.embed("l0").alias("vec")), 1, 0.1)
     return q.select("query_id").join(named, "query_id", "left").join(near.select("query_id", F.col("vec_id").alias("near")), "query_id", "left").select("query_id", F.coalesce("named", "near").alias("vec_id"))
@@ -205,53 +216,63 @@ def g2(v):
     return all_of('<a href="([^"]*)"').union(all_of('src="([^"]*)"')).distinct()
 
 
-_NODES = """WITH b AS (SELECT document_id, title FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY document_id) > 8 AS late FROM v_documents) ORDER BY late, document_id LIMIT 45),
-n AS (SELECT 'core' AS id, 'core' AS type UNION ALL SELECT DISTINCT 'dept-' || department, 'department' FROM v_documents UNION ALL SELECT DISTINCT 'course-' || department || '-' || course, 'course' FROM v_documents UNION ALL SELECT 'doc-' || document_id, 'document' FROM b),
-e AS (SELECT DISTINCT 'core' AS src, 'dept-' || department AS dst, 1.0 AS weight FROM v_documents UNION ALL SELECT DISTINCT 'dept-' || department, 'course-' || department || '-' || course, 0.8 FROM v_documents UNION ALL SELECT 'course-' || department || '-' || course, 'doc-' || document_id, 0.6 FROM v_documents WHERE document_id IN (SELECT document_id FROM b))
+_FITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in CONCEPTS.items()) + "], lambda x: x IS NOT NULL)"
+_GRAPH = f"""WITH cp AS (SELECT document_id, department, course, unnest({_FITS}) AS concept FROM v_documents),
+n AS (SELECT 'core' AS id, 'corpus' AS label, 'core' AS type UNION ALL SELECT DISTINCT 'dept-' || department, department, 'department' FROM v_documents UNION ALL SELECT DISTINCT 'course-' || department || '-' || course, course, 'course' FROM v_documents UNION ALL SELECT 'doc-' || document_id, title, 'document' FROM v_documents UNION ALL SELECT DISTINCT 'concept-' || concept, concept, 'concept' FROM cp),
+e AS (SELECT DISTINCT 'core' AS src, 'dept-' || department AS dst, 1.0 AS weight FROM v_documents UNION ALL SELECT DISTINCT 'dept-' || department, 'course-' || department || '-' || course, 0.8 FROM v_documents UNION ALL SELECT 'course-' || department || '-' || course, 'doc-' || document_id, 0.6 FROM v_documents
+UNION ALL SELECT DISTINCT 'course-' || department || '-' || course, 'concept-' || concept, 0.9 FROM cp UNION ALL SELECT 'doc-' || document_id, 'concept-' || concept, 0.85 FROM cp)
 """
 
 
-@query("k8_graph_nodes", _NODES + "SELECT id, type FROM n")
+@query("k8_graph_nodes_whole", _GRAPH + "SELECT id, type FROM n")
+@query("k8_graph_nodes", _GRAPH + "SELECT id, type FROM n")
 def k8n(v):
-    return graph.graph_nodes(v("v_documents"), 8, 45).select("id", "type")
+    return graph.graph_nodes(v("v_documents"), concepts=CONCEPTS).select("id", "type")
 
 
-@query("k8_graph_edges", _NODES + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
+@query("k8_graph_edges_whole", _GRAPH + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
+@query("k8_graph_edges", _GRAPH + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
 def k8e(v):
-    return graph.graph_edges(v("v_documents"), graph.graph_nodes(v("v_documents"), 8, 45))
+    d = v("v_documents")
+    return graph.graph_edges(d, graph.graph_nodes(d, concepts=CONCEPTS), CONCEPTS)
 
 
-_ALL_NODES = "WITH b AS (SELECT document_id, title FROM v_documents),\n" + _NODES.split("\n", 1)[1]
+@query("k8_sample_nodes", _GRAPH + ", b AS (SELECT document_id FROM (SELECT document_id, row_number() OVER (PARTITION BY department ORDER BY document_id) > 8 AS late FROM v_documents) ORDER BY late, document_id LIMIT 45) SELECT id, type FROM n WHERE type <> 'document' OR id IN (SELECT 'doc-' || document_id FROM b)")
+def k8s(v):
+    """The graph with a balanced sample of documents, for display."""
+    return graph.graph_nodes(v("v_documents"), 8, 45, CONCEPTS).select("id", "type")
 
 
-@query("k8_graph_nodes_whole", _ALL_NODES + "SELECT id, type FROM n")
-def k8n_whole(v):
-    return graph.graph_nodes(v("v_documents")).select("id", "type")
+_WORDS = "list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: length(w) > 3)"
 
 
-@query("k8_graph_edges_whole", _ALL_NODES + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
-def k8e_whole(v):
-    return graph.graph_edges(v("v_documents"), graph.graph_nodes(v("v_documents")))
-
-
-@query("k9_activation")
+@query("k9_activation", _GRAPH.rstrip() + ", " + hashed_vectors("nv", "SELECT id, label AS text FROM n WHERE type <> 'core'") + ", " + hashed_vectors("qv", "SELECT item_id AS id, text FROM benchmark") + f""",
+sc AS (SELECT q.id AS query_id, n.id, round(coalesce(list_cosine_similarity(q.v, n.v), 0), 6) AS cos FROM qv q, nv n),
+hit AS (SELECT item_id AS query_id, id, len(list_filter({_WORDS.format(c='label')}, lambda w: contains(lower(text), w))) > 0 AS named FROM benchmark, n WHERE type <> 'core'),
+st AS (SELECT query_id, id, greatest(0, CASE WHEN named THEN least(1.0, cos + 0.25) ELSE cos END)::DOUBLE AS score FROM sc JOIN hit USING (query_id, id)),
+tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM st),
+sd AS (SELECT query_id, id, score FROM tp WHERE rank = 0), bo AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e),
+al AS (SELECT query_id, dst AS id, round(score * weight * 0.85, 2) AS a FROM sd JOIN bo ON src = sd.id UNION ALL SELECT query_id, id, round(least(1.0, score + 0.1), 2) FROM sd UNION ALL SELECT query_id, id, round(score, 2) FROM tp WHERE rank < 6 AND score >= 0.48 UNION ALL SELECT query_id, 'core', 0.65 FROM sd)
+SELECT query_id, id, max(a)::DOUBLE AS activation FROM al GROUP BY ALL""")
 def k9(v):
-    """Nodes that each benchmark query activates: the nearest node by label, its neighbours, and what is near enough itself."""
-    nodes = graph.graph_nodes(v("v_documents"))
-    labelled = nodes.where("type <> 'core'").withColumn("vec_id", F.xxhash64("id"))
+    """Nodes that each benchmark query activates: the nearest node by label, its neighbours, the core, and what is near enough
+    itself. A word of a label, longer than three characters, that the query holds adds 0.25 before nodes are ranked."""
+    d = v("v_documents")
+    nodes = materialise(graph.graph_nodes(d, concepts=CONCEPTS))
+    labelled = nodes.where("type <> 'core'")
     q = v("benchmark").select(F.col("item_id").alias("query_id"), V.embed("text").alias("qvec"))
-    vectors = labelled.select("vec_id", V.embed("label").alias("vec"))
+    vectors = materialise(labelled.select(F.col("id").alias("vec_id"), V.embed("label").alias("vec")))
     plain = search.vector_top_k(q, vectors, 6).select("query_id", "vec_id", "score")
-    # a word of a label, longer than three characters, stands inside a word of the query
-    within = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.transform(F.sequence(F.lit(4), F.length(w) - i + 1), lambda n: F.substring(w, i, n))))
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)
+    # a label's word stands inside a word of the query, which offers all its parts of that length or more
+    within = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.transform(F.sequence(F.lit(4), F.length(w) - i + 1), lambda n: F.substring(w, i, n))))
     asked = v("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(words(F.col("text")), within)))).alias("word"))
-    named = labelled.select("vec_id", F.explode(F.array_distinct(words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "vec_id").distinct()
+    named = labelled.select(F.col("id").alias("vec_id"), F.explode(F.array_distinct(words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "vec_id").distinct()
     boosted = named.join(vectors, "vec_id").join(q, "query_id").select("query_id", "vec_id", F.least(F.lit(1.0), F.round(V.cosine(F.col("qvec"), F.col("vec")), 6) + 0.25).alias("score"))
     scored = plain.union(boosted).groupBy("query_id", "vec_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
-    near = feeds.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], 6).join(labelled.select("vec_id", "id"), "vec_id")
+    near = materialise(feeds.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], 6).withColumnRenamed("vec_id", "id"))
     seed = near.where("rank = 0").select("query_id", "id", "score")
-    edges = graph.graph_edges(v("v_documents"), nodes)
+    edges = graph.graph_edges(d, nodes, CONCEPTS)
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
     hop = both.join(seed, both["src"] == seed["id"]).select("query_id", F.col("dst").alias("id"), F.round(F.col("score") * F.col("weight") * 0.85, 2).alias("activation"))
     own = seed.select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("score") + 0.1), 2).alias("activation"))
@@ -260,25 +281,50 @@ def k9(v):
     return hop.union(own).union(strong).union(core).groupBy("query_id", "id").agg(F.max("activation").alias("activation"))
 
 
-@query("k10_crawl_order", """WITH RECURSIVE r(page_id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT l.dst, r.depth + 1 FROM r JOIN v_links l ON l.src = r.page_id WHERE r.depth < 6) SELECT page_id, min(depth) AS depth, (row_number() OVER (ORDER BY min(depth), page_id) - 1) // 5 AS batch FROM r GROUP BY page_id""")
-def k10(v):
-    """Pages by depth from page 0, in batches of five; the numbering of batches is by depth with counts before it."""
-    seen = graph.bfs(v("pages").where("page_id = 0"), v("v_links"), 6, materialise)
-    sizes = seen.groupBy("depth").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("depth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    x = seen.withColumn("i", F.row_number().over(W.partitionBy("depth").orderBy("page_id")) - 1).join(sizes.select("depth", "before"), "depth")
-    return x.select("page_id", "depth", F.floor((F.col("before") + F.col("i")) / 5).alias("batch"))
+_LINKED = """SELECT p.page_id, p.url, p.html || CASE WHEN a.url IS NULL THEN '' ELSE '<a href="' || a.url || '">' || '</a>' END || CASE WHEN b.url IS NULL THEN '' ELSE '<a href="' || b.url || '"></a>' END AS html
+FROM {pages} p LEFT JOIN {pages} a ON a.page_id = 2 * p.page_id + 1 LEFT JOIN {pages} b ON b.page_id = 2 * p.page_id + 2"""
 
 
-@query("k12_tiers", _TREE + r""", c AS (SELECT department, course, count(*) AS documents, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS tokens FROM v_documents GROUP BY ALL) SELECT 'tree://root/' || department || '/' || course AS uri, 'course' AS tier, documents, tokens FROM c UNION ALL SELECT 'tree://root/' || department, 'department', sum(documents)::BIGINT, sum(tokens)::BIGINT FROM c GROUP BY department UNION ALL SELECT 'tree://root', 'root', sum(documents)::BIGINT, sum(tokens)::BIGINT FROM c""")
+@query("k10_crawl_order", "WITH RECURSIVE " + "lp AS (" + _LINKED.replace("{pages}", "pages") + f"), {link_ctes('lp')}, ua AS (SELECT page_id, url AS u, {KS.format(u='url')} AS ks FROM pages), nu AS (SELECT page_id, {NORM.format(u='u')} AS link FROM ua), ed AS (SELECT DISTINCT lk.page_id AS src, nu.page_id AS dst FROM lk JOIN nu USING (link)), " + """r(page_id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT ed.dst, r.depth + 1 FROM r JOIN ed ON ed.src = r.page_id WHERE r.depth < 40)
+SELECT page_id, min(depth) AS depth, (row_number() OVER (ORDER BY min(depth), page_id) - 1) // 5 AS batch FROM r GROUP BY page_id""")
+def k10(v):
+    """Pages by depth from page 0, in batches of five, over the links that their html holds; stored pages alone are visited.
+    Each page gets links to two more, put into its html, as the given ones lead to no stored page."""
+    pages = v.spark.sql(_LINKED, pages=v("pages"))
+    at = v("pages").select(F.col("page_id").alias("dst"), U.normalise(F.col("url")).alias("link"))
+    edges = materialise(H.links(pages).join(at, "link").select(F.col("page_id").alias("src"), "dst").distinct())
+    seen = graph.bfs(v("pages").where("page_id = 0"), edges, 40, materialise)
+    x = running(seen, [F.col("depth"), F.col("page_id")], {"i": F.lit(1).cast("long")}, materialise)
+    return x.select("page_id", "depth", F.floor((F.col("i") - 1) / 5).alias("batch"))
+
+
+_TIERS = r"""WITH t AS (SELECT department, course, document_id, title, len(regexp_extract_all(text, '\S+')) AS tokens FROM v_documents),
+c AS (SELECT department, course, count(*) AS documents, sum(greatest(tokens, 0))::BIGINT AS tokens FROM t GROUP BY ALL),
+x AS (SELECT 'tree://root/' || department || '/' || course || '/' || document_id AS uri, 'document' AS tier, 1 AS documents, tokens, title || ', a document of ' || course || ' in ' || department AS l0 FROM t
+UNION ALL SELECT 'tree://root/' || department || '/' || course, 'course', documents, tokens, 'Course ' || course || ' in ' || department || ': ' || documents || ' documents, ' || tokens || ' words' FROM c
+UNION ALL SELECT 'tree://root/' || department, 'department', sum(documents)::BIGINT, sum(tokens)::BIGINT, 'Department ' || department || ': ' || sum(documents)::BIGINT || ' documents, ' || sum(tokens)::BIGINT || ' words; courses ' || array_to_string(list_sort(list(course))[1:8], ', ') FROM c GROUP BY department
+UNION ALL SELECT 'tree://root', 'root', sum(documents)::BIGINT, sum(tokens)::BIGINT, 'Corpus: ' || sum(documents)::BIGINT || ' documents, ' || sum(tokens)::BIGINT || ' words' FROM c)
+SELECT *, len(regexp_extract_all(l0, '\S+')) AS l0_tokens FROM x"""
+
+
+@query("k12_tiers", _TIERS)
 def k12(v):
-    d = v("v_documents").select(T.slug(F.col("department")).alias("department"), T.slug(F.col("course")).alias("course"), T.words_estimate(F.col("text")).alias("tokens"))
-    h = reports.hierarchy(d)
-    uri = F.concat_ws("/", F.lit("tree://root"), "department", "course")
-    return h.select(uri.alias("uri"), F.when(F.col("level") == 2, "course").when(F.col("level") == 1, "department").otherwise("root").alias("tier"), "documents", "tokens")
+    """Every node of the tree with its documents, words and short text, and the words of that."""
+    d = v("v_documents").withColumn("tokens", T.words_estimate(F.col("text")))
+    return graph.tiers(d)
+
+
+#: A session's messages, with an instruction of the system before the first one in half of them.
+_PAIRS = """WITH m AS (SELECT session_id, message_id, turn, sender, content FROM v_messages UNION ALL SELECT DISTINCT session_id, -1 - message_id, -1, 'system', 'Answer from the documents of ' || department || '.' FROM v_messages WHERE turn = 0 AND message_id % 200 = 0),
+n AS (SELECT *, lead(sender) OVER w AS s2, lead(content) OVER w AS c2, last_value(CASE WHEN sender = 'system' THEN content END IGNORE NULLS) OVER w AS system, lag(CASE WHEN sender = 'assistant' THEN content END) OVER w AS before FROM m WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
 
 
-@query("k14_instruction_pairs", """WITH n AS (SELECT *, lead(sender) OVER w AS s2, lead(content) OVER w AS c2 FROM v_messages WINDOW w AS (PARTITION BY session_id ORDER BY turn)) SELECT message_id, content AS instruction, c2 AS output, message_id % 10 = 0 AS validation FROM n WHERE sender = 'user' AND s2 = 'assistant'""")
+@query("k14_instruction_pairs", _PAIRS.replace("lead(sender) OVER w", "lead(sender) OVER (PARTITION BY session_id ORDER BY turn)").replace("lead(content) OVER w", "lead(content) OVER (PARTITION BY session_id ORDER BY turn)").replace("lag(CASE WHEN sender = 'assistant' THEN content END) OVER w", "lag(CASE WHEN sender = 'assistant' THEN content END) OVER (PARTITION BY session_id ORDER BY turn)") + r"""SELECT message_id, coalesce(system, '') AS system, content AS instruction, CASE WHEN before IS NULL THEN '' ELSE '<context>' || chr(10) || '[Document: ' || session_id || ' | Page: ' || (turn - 1) || ' | Section: N/A]' || chr(10) || regexp_replace(before, '^\s+|\s+$', '', 'g') || chr(10) || '</context>' END AS context,
+c2 AS output, ('0x' || left(md5(session_id), 7))::BIGINT % 10 = 0 AS validation FROM n WHERE sender = 'user' AND s2 = 'assistant'""")
 def k14(v):
-    w = W.partitionBy("session_id").orderBy("turn")
-    n = v("v_messages").withColumn("s2", F.lead("sender").over(w)).withColumn("c2", F.lead("content").over(w)).where("sender = 'user' and s2 = 'assistant'")
-    return n.select("message_id", F.col("content").alias("instruction"), F.col("c2").alias("output"), (F.col("message_id") % 10 == 0).alias("validation"))
+    """Pairs of a question and its answer, with the system's instruction, the answer before as fenced context, and a split by a hash
+    of the session, so that a session is on one side."""
+    m = v("v_messages").select("session_id", "message_id", "turn", "sender", "content", "department")
+    told = m.where("turn = 0 and message_id % 200 = 0").select("session_id", (-1 - F.col("message_id")).alias("message_id"), F.lit(-1).alias("turn"), F.lit("system").alias("sender"), F.concat(F.lit("Answer from the documents of "), "department", F.lit(".")).alias("content"))
+    return reports.instruction_pairs(m.drop("department").unionByName(told))

@@ -2,76 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import pandas as pd
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import changes, chunks, feeds, search
+from corpusloom.sources.scratch import materialise
 
+from .analytics import FILE_CHANGES
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TOK = """flatten(list_transform(regexp_extract_all(lower({c}), '[a-z0-9]+(?:[.-][a-z0-9]+)*'), lambda w: CASE WHEN regexp_matches(w, '[.-]') THEN [w, regexp_replace(w, '[.-]', '', 'g')] ELSE [w] END))"""
 TOKENS = "list_filter(" + _TOK + ", lambda w: length(w) > 1)"
-_BM25 = f"""WITH ch AS (SELECT document_id AS chunk_id, {TOKENS.format(c="title || ' ' || text")} AS t FROM v_documents),
+#: BM25 of the queries {asked} (query_id, query) over {docs} (chunk_id, title, text), up to the queries' tokens.
+_TERMS = f"""WITH ch AS (SELECT chunk_id, {TOKENS.format(c="title || ' ' || text")} AS t FROM {{docs}}),
 po AS (SELECT chunk_id, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS token FROM ch) GROUP BY chunk_id, token),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM ch),
 df AS (SELECT token, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, st GROUP BY token, n),
 iw AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
-q0 AS (SELECT item_id AS query_id, {TOKENS.format(c="text")} AS t FROM benchmark),
-q1 AS (SELECT query_id, t, list_filter(t, lambda w: length(w) > 2 AND NOT list_contains([{_STOP}], w)) AS c FROM q0),
-qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(CASE WHEN len(c) > 0 THEN c ELSE t END) AS token FROM q1) GROUP BY ALL),
-sc AS (SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN po USING (token) JOIN iw USING (token), st GROUP BY ALL HAVING sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) > 0),
+q0 AS (SELECT query_id, query, {TOKENS.format(c="query")} AS t FROM {{asked}}),
+q1 AS (SELECT query_id, query, t, list_filter(t, lambda w: length(w) > 2 AND NOT list_contains([{_STOP}], w)) AS c FROM q0),
+"""
+_PLAIN_DOCS, _PLAIN_ASKED = "(SELECT document_id AS chunk_id, title, text FROM v_documents)", "(SELECT item_id AS query_id, text AS query FROM benchmark)"
+_SCORE = "sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))"
+_BM25 = (
+    _TERMS.format(docs=_PLAIN_DOCS, asked=_PLAIN_ASKED)
+    + f"""qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(CASE WHEN len(c) > 0 THEN c ELSE t END) AS token FROM q1) GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, round({_SCORE}, 6) AS score FROM qt JOIN po USING (token) JOIN iw USING (token), st GROUP BY ALL HAVING {_SCORE} > 0),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM sc)
 """
+)
 
 
 def texts(v):
     return v("v_documents").select(F.col("document_id").alias("chunk_id"), F.concat_ws(" ", "title", "text").alias("text"))
 
 
-def asked(v):
-    return v("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
 @query("d4_term_statistics", _BM25 + "SELECT token, df, round(idf, 6) AS idf FROM iw")
 def d4(v):
     c = texts(v)
-    return search.idf(search.postings(c), c).select("token", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(search.term_documents(c), c.count()).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_search", _BM25 + "SELECT query_id, chunk_id, score, rank FROM bm WHERE rank < 20")
 def bm25(v):
-    return search.bm25(asked(v), texts(v))
+    return search.bm25(v("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), texts(v))
 
 
 _SYNONYMS = "CASE w " + " ".join(f"WHEN '{w}' THEN '{x}'" for w, n in T.ORDINALS.items() for x, m in T.ORDINALS.items() if n == m and w != x) + " END"
 _NUMBER = "CASE w " + " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in T.ORDINALS.items()) + " END"
-_ORDINALS = "list_distinct(list_filter(list_transform(regexp_extract_all({c}, '\\b[a-z0-9]+\\b'), lambda w: " + _NUMBER + "), lambda x: x IS NOT NULL))"
-_BODIES = "list_filter([" + ", ".join(f"'{e}'" for e in T.ENTITIES) + "], lambda e: contains({c}, e))"
-_CODES = "list_transform(list_filter(regexp_extract_all(text, '\\b[A-Za-z0-9_-]{4,20}\\b'), lambda w: regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[0-9]')), lambda w: lower(regexp_replace(w, '[\\s_-]', '', 'g')))"
+ORDINAL_WORDS = "list_distinct(list_filter(list_transform(regexp_extract_all({c}, '\\b[a-z0-9]+\\b'), lambda w: " + _NUMBER + "), lambda x: x IS NOT NULL))"
+BODIES = "list_filter([" + ", ".join(f"'{e}'" for e in T.ENTITIES) + "], lambda e: contains({c}, e))"
+CODES = "list_transform(list_filter(regexp_extract_all(text, '\\b[A-Za-z0-9_-]{4,20}\\b'), lambda w: regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[0-9]')), lambda w: lower(regexp_replace(w, '[\\s_-]', '', 'g')))"
+#: All ordinals of a question in lower case.
+ORDS = "list_distinct(" + ORDINAL_WORDS + " || regexp_extract_all({c}, '\\b(?:sem(?:ester)?|meeting|session)\\s*([1-9]|10)\\b', 1))"
 #: The boosts for every pair of query and document, with none left out beforehand.
-_BOOSTED = _BM25[: _BM25.index("qt AS")] + rf"""q2 AS (SELECT query_id, c, CASE WHEN len(c) > 0 THEN c ELSE t END AS t FROM q1 WHERE len(t) > 0),
+_BOOSTED = (
+    _TERMS.format(docs="{docs}", asked="{asked}")
+    + rf"""q2 AS (SELECT query_id, query, c, CASE WHEN len(c) > 0 THEN c ELSE t END AS t FROM q1 WHERE len(t) > 0),
 qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(t || list_distinct(list_filter(list_transform(t, lambda w: {_SYNONYMS}), lambda x: x IS NOT NULL AND NOT list_contains(t, x)))) AS token FROM q2) GROUP BY ALL),
-tk AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN po USING (token) JOIN iw USING (token), st GROUP BY ALL),
-qf AS (SELECT query_id, list_distinct(c) AS terms, len(c) AS n, {_CODES} AS codes, list_distinct({_ORDINALS.format(c="lower(text)")} || regexp_extract_all(lower(text), '\b(?:sem(?:ester)?|meeting|session)\s*([1-9]|10)\b', 1)) AS ords, {_BODIES.format(c="lower(text)")}[1] AS body, regexp_matches(lower(text), '{search.RESULTS}') AS results FROM q2 JOIN benchmark ON item_id = query_id),
-d0 AS (SELECT document_id AS chunk_id, lower(title) AS title, course, lower(coalesce(text, '')) AS text FROM v_documents),
-df0 AS (SELECT *, lower(regexp_replace(title || ' ' || course || ' ' || substring(text, 1, 1200), '[\s_-]', '', 'g')) AS head, {_ORDINALS.format(c="title")} AS t_ords, {_ORDINALS.format(c="substring(text, 1, 400)")} AS h_ords, {_BODIES.format(c="title")} AS t_bodies, {_BODIES.format(c="substring(text, 1, 400)")} AS h_bodies FROM d0),
+tk AS (SELECT query_id, chunk_id, {_SCORE} AS score FROM qt JOIN po USING (token) JOIN iw USING (token), st GROUP BY ALL),
+qf AS (SELECT query_id, list_distinct(c) AS terms, len(c) AS n, {CODES.replace("text", "query").replace("{4,20}", "{{4,20}}")} AS codes, {ORDS.format(c="lower(query)")} AS ords, {BODIES.format(c="lower(query)")}[1] AS body, regexp_matches(lower(query), '{search.RESULTS}') AS results FROM q2),
+d0 AS (SELECT chunk_id, lower(title) AS title, course, lower(coalesce(text, '')) AS text FROM {{docs}}),
+df0 AS (SELECT *, lower(regexp_replace(title || ' ' || course || ' ' || substring(text, 1, 1200), '[\s_-]', '', 'g')) AS head, {ORDINAL_WORDS.format(c="title")} AS t_ords, {ORDINAL_WORDS.format(c="substring(text, 1, 400)")} AS h_ords, {BODIES.format(c="title")} AS t_bodies, {BODIES.format(c="substring(text, 1, 400)")} AS h_bodies FROM d0),
 bo AS (SELECT query_id, chunk_id, CASE WHEN n >= 2 AND len(list_filter(terms, lambda x: contains(text, x) OR contains(title, x))) = len(terms) THEN 35 ELSE 0 END + CASE WHEN regexp_matches(title, '{search.GAZETTE}') AND NOT results THEN -25 ELSE 0 END + 15 * len(list_filter(codes, lambda x: contains(head, x)))
 + CASE WHEN len(ords) = 0 THEN 0 WHEN list_has_any(t_ords, ords) THEN 10 WHEN len(t_ords) > 0 THEN -20 WHEN list_has_any(h_ords, ords) THEN 3 ELSE 0 END + CASE WHEN body IS NULL THEN 0 WHEN list_contains(t_bodies, body) THEN 8 WHEN len(t_bodies) > 0 THEN -20 WHEN list_contains(h_bodies, body) THEN 2 ELSE 0 END AS boost FROM qf, df0),
 sc AS (SELECT query_id, chunk_id, round(coalesce(score, 0) + boost, 6) AS score FROM bo LEFT JOIN tk USING (query_id, chunk_id) WHERE coalesce(score, 0) + boost > 0),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM sc)
 """
+)
+_FOUND = _BOOSTED.format(docs="v_titled", asked="v_asked")
+
 
+@query("bm25_search_boosted", _FOUND + "SELECT query_id, chunk_id, score, rank FROM bm WHERE rank < 20")
+def bm25_boosted(v):
+    return search.bm25_boosted(v("v_asked"), v("v_titled"))
 
-def titled(v):
-    return v("v_documents").select(F.col("document_id").alias("chunk_id"), "title", "course", "text")
 
+@query("k3_search_in_scope", _FOUND.replace("FROM bo LEFT JOIN tk USING (query_id, chunk_id) WHERE", "FROM bo LEFT JOIN tk USING (query_id, chunk_id) JOIN v_titled USING (chunk_id) WHERE v_titled.course = 'en' AND") + "SELECT query_id, chunk_id, score, rank FROM bm WHERE rank < 20")
+def k3_in_scope(v):
+    """Statistics over all documents, hits in one course."""
+    return search.bm25_boosted(v("v_asked"), v("v_titled"), scope=F.col("course") == "en")
 
-@query("bm25_search_boosted", _BOOSTED + "SELECT query_id, chunk_id, score, rank FROM bm WHERE rank < 20")
-def bm25_boosted(v):
-    return search.bm25_boosted(asked(v), titled(v))
+
+_HEX = "0123456789abcdef"
+
+
+def hashed_vectors(name: str, source: str) -> str:
+    """A common table expression ``name`` (id, v) with the hashed vectors of source (id, text), not scaled to unit length: buckets are
+    the digests modulo 384, from their last 7 bits and their digit sum modulo 3."""
+    low = f"(16 * (strpos('{_HEX}', h[-2]) - 1) + strpos('{_HEX}', h[-1]) - 1) % 128"
+    three = "(length(translate(h, '0369cf258be', '')) + 2 * length(translate(h, '0369cf147ad', ''))) % 3"
+    bucket = f"({low}) + 128 * ((2 * ({three} + 3 - ({low}) % 3)) % 3)"
+    return f"""{name}_w AS (SELECT id, CASE WHEN s = '' THEN [] ELSE regexp_split_to_array(s, '\\s+') END AS ws FROM (SELECT id, regexp_replace(lower(coalesce(text, '')), '^\\s+|\\s+$', '', 'g') AS s FROM ({source}))),
+{name}_h AS (SELECT id, md5(unnest(ws)) AS h, 1.5 AS w FROM {name}_w UNION ALL SELECT id, sha256(unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || '_' || ws[i + 1]))), 2.0 FROM {name}_w WHERE len(ws) > 1),
+{name}_b AS (SELECT id, b, sum(CASE WHEN b % 2 = 0 THEN w ELSE -w END)::DOUBLE AS x FROM (SELECT id, {bucket} AS b, w FROM {name}_h) GROUP BY id, b),
+{name} AS (SELECT w.id, list(coalesce(x, 0) ORDER BY g.b) AS v FROM {name}_w w CROSS JOIN (SELECT unnest(range(384)) AS b) g LEFT JOIN {name}_b n ON n.id = w.id AND n.b = g.b GROUP BY w.id)"""
 
 
 def _vectors(v):
@@ -102,18 +132,21 @@ def c14c(v):
     return search.lsh_top_k(q, e, 10)
 
 
-def _lists(v):
+def _lists(v, k: int = 20):
+    """The k nearest vectors, and the first k of the same label by id; the members of a label are numbered once."""
     q, e = _vectors(v)
-    dense = search.vector_top_k(q, e, 20).withColumnRenamed("vec_id", "chunk_id")
-    sparse = feeds.top_k(e.join(q.select("query_id", F.col("label").alias("ql")), F.col("label") == F.col("ql")).select("query_id", F.col("vec_id").alias("chunk_id"), F.lit(1.0).alias("score")), ["query_id"], [F.col("chunk_id")], 20)
+    dense = search.vector_top_k(q, e, k).withColumnRenamed("vec_id", "chunk_id")
+    first = feeds.top_k(e.select("label", "vec_id"), ["label"], [F.col("vec_id")], k)
+    sparse = first.join(q.select("query_id", "label"), "label").select("query_id", F.col("vec_id").alias("chunk_id"), F.lit(1.0).alias("score"), "rank")
     return dense, sparse
 
 
-_FUSED = _VEC + """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS r FROM s) WHERE r < 20),
-sp AS (SELECT * FROM (SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY x.vec_id) - 1 AS r FROM e q JOIN e x ON q.label = x.label WHERE q.vec_id % 20 = 0) WHERE r < 20),
+_LISTED = _VEC + """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS r FROM s) WHERE r < {k}),
+sp AS (SELECT * FROM (SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY x.vec_id) - 1 AS r FROM e q JOIN e x ON q.label = x.label WHERE q.vec_id % 20 = 0) WHERE r < {k}),
 u AS (SELECT coalesce(d.query_id, sp.query_id) AS query_id, coalesce(d.vec_id, sp.vec_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (61 + d.r), 0) + coalesce(1.0::DOUBLE / (61 + sp.r), 0), 9) AS rrf, d.score AS dense_score FROM d FULL JOIN sp ON d.query_id = sp.query_id AND d.vec_id = sp.vec_id),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) - 1 AS rank FROM u) WHERE rank < 50)
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) - 1 AS rank FROM u) WHERE rank < {n})
 """
+_FUSED = _LISTED.format(k=20, n=50)
 
 
 @query("c16_rank_fusion", _FUSED + "SELECT query_id, chunk_id, rrf, rank FROM f")
@@ -126,110 +159,211 @@ def b10(v):
     return _lists(v)[0].where("score >= 0.2").select("query_id", "chunk_id")
 
 
-@query("b11_relevance_floor", _FUSED + ", k AS (SELECT *, coalesce(dense_score >= 0.9, false) OR rrf > 0.02 AS ok FROM f) SELECT query_id, chunk_id FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS anyok FROM k) WHERE ok OR (NOT anyok AND rank < 5)")
+@query("b11_relevance_floor", _LISTED.format(k=80, n=200) + ", k AS (SELECT *, CASE WHEN query_id % 40 = 0 THEN rank < 10 ELSE coalesce(dense_score >= 0.2, false) OR rrf > 0.01 END AS ok FROM f) SELECT query_id, chunk_id FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS anyok FROM k) WHERE ok OR (NOT anyok AND rank < 5)")
 def b11(v):
-    hits = search.fuse(*_lists(v)).withColumn("rerank_score", F.when(F.coalesce(F.col("dense_score") >= 0.9, F.lit(False)) | (F.col("rrf") > 0.02), 0.0).otherwise(-3.0))
+    """Long lists, so that their ends fall below the floors; half of the queries come with scores of a reranker."""
+    hits = search.fuse(*_lists(v, 80), keep=200)
+    hits = hits.withColumn("rerank_score", F.when(F.col("query_id") % 40 == 0, F.when(F.col("rank") < 10, -2.0).otherwise(-2.1)))
     return search.relevance_floor(hits, 5).select("query_id", "chunk_id")
 
 
-_HITS = _BM25.rstrip() + """, h AS (SELECT bm.query_id, bm.chunk_id, bm.score, bm.rank, b.text AS query, d.title, d.text, d.department FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN v_documents d ON d.document_id = bm.chunk_id WHERE bm.rank < 20),
-w AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_]+')), lambda x: length(x) > 2) AS ws FROM h),
-r AS (SELECT *, round(score + 0.2 * len(list_filter(ws, lambda x: contains(lower(text), x) OR contains(lower(title), x))), 6) AS rerank_score FROM w),
-rk AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) - 1 AS rank FROM r)
+#: Rank and scores of reranked hits: query words of three letters or more, ordinals and bodies of the title.
+_SHOWN = """{h}w AS (SELECT *, lower(title) AS lt, list_filter(list_distinct(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+')), lambda x: length(x) > 2) AS ws FROM {h}),
+{h}s AS (SELECT *, {ords} AS qo, {t_ords} AS tord, {q_body}[1] AS qb, {t_bodies} AS tb FROM {h}w),
+{h}r AS (SELECT * EXCLUDE (rank), round({base} + 0.2 * len(list_filter(ws, lambda x: contains(lower(text), x) OR contains(lt, x))) + CASE WHEN len(qo) = 0 THEN 0 WHEN list_has_any(qo, tord) THEN 5 WHEN len(tord) > 0 THEN -10 ELSE 0 END + CASE WHEN qb IS NULL THEN 0 WHEN contains(lt, qb) THEN 3 WHEN len(tb) > 0 THEN -10 ELSE 0 END, 6) AS rerank_score FROM {h}s),
+{h}k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) - 1 AS rank FROM {h}r)
 """
 
 
+def _shown(h: str, base: str) -> str:
+    return _SHOWN.format(h=h, base=base, ords=ORDS.format(c="lower(query)"), t_ords=ORDINAL_WORDS.format(c="lt"), q_body=BODIES.format(c="lower(query)"), t_bodies=BODIES.format(c="lt"))
+
+
+_HITS = _FOUND.rstrip() + """, h AS (SELECT bm.query_id, bm.chunk_id, bm.score, bm.rank, q.query, d.title, d.text, d.department FROM bm JOIN v_asked q USING (query_id) JOIN v_titled d USING (chunk_id) WHERE bm.rank < 20),
+""" + _shown("h", "score")
+
+
 def hits(v):
-    found = search.bm25(asked(v), texts(v)).join(asked(v), "query_id")
-    return found.join(v("v_documents").select(F.col("document_id").alias("chunk_id"), "title", "text", "department"), "chunk_id")
+    found = search.bm25_boosted(v("v_asked"), v("v_titled")).join(v("v_asked"), "query_id")
+    return found.join(v("v_titled").select("chunk_id", "title", "text", "department"), "chunk_id")
 
 
-@query("k2_lexical_rerank", _HITS + "SELECT query_id, chunk_id, rerank_score, rank FROM rk WHERE rank < 20")
+def reranked(v):
+    return search.rerank(hits(v), 20, base="score")
+
+
+@query("k2_lexical_rerank", _HITS + "SELECT query_id, chunk_id, rerank_score, rank FROM hk WHERE rank < 20")
 def k2(v):
-    return search.rerank(hits(v), 20, base="score").select("query_id", "chunk_id", "rerank_score", "rank")
+    return reranked(v).select("query_id", "chunk_id", "rerank_score", "rank")
 
 
-@query("f3_cut_offs", _HITS + "SELECT query_id, chunk_id, rank FROM rk WHERE rank < 5")
+@query("f3_cut_offs", _HITS + "SELECT query_id, chunk_id, rank FROM hk WHERE rank < 5")
 def f3(v):
-    return search.rerank(hits(v), 20, base="score").where("rank < 5").select("query_id", "chunk_id", "rank")
+    return reranked(v).where("rank < 5").select("query_id", "chunk_id", "rank")
 
 
-@query("e13_winner", _HITS + "SELECT query_id, chunk_id, first_value(department) OVER (PARTITION BY query_id ORDER BY rank) AS winner FROM rk")
+@query("e13_winner", _HITS + "SELECT query_id, chunk_id, first_value(department) OVER (PARTITION BY query_id ORDER BY rank) AS winner FROM hk")
 def e13(v):
-    r = search.rerank(hits(v), 20, base="score")
-    return r.select("query_id", "chunk_id", F.first("department").over(W.partitionBy("query_id").orderBy("rank")).alias("winner"))
+    return reranked(v).select("query_id", "chunk_id", F.first("department").over(W.partitionBy("query_id").orderBy("rank")).alias("winner"))
+
+
+_COHESIVE = ", c0 AS (SELECT *, NOT ((len(qo) > 0 AND len(list_filter(tord, lambda x: NOT list_contains(qo, x))) > 0) OR (qb IS NOT NULL AND len(list_filter(tb, lambda x: x <> qb)) > 0)) AS ok FROM {k}), c1 AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS anyok FROM c0), co AS (SELECT * FROM c1 WHERE ok OR NOT anyok) "
 
 
-@query("b12_cohesion", _HITS + "SELECT query_id, chunk_id FROM (SELECT *, first_value(department) OVER (PARTITION BY query_id ORDER BY rank) AS winner FROM rk) WHERE department = winner")
+@query("b12_cohesion", _HITS + _COHESIVE.format(k="hk") + "SELECT query_id, chunk_id FROM co")
 def b12(v):
-    return e13(v).join(v("v_documents").select(F.col("document_id").alias("chunk_id"), "department"), "chunk_id").where("department = winner").select("query_id", "chunk_id")
+    return search.cohesive(reranked(v)).select("query_id", "chunk_id")
 
 
-@query("e12_promotion", _HITS + "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY (department <> winner), rank) - 1 AS promoted FROM (SELECT *, first_value(department) OVER (PARTITION BY query_id ORDER BY rank) AS winner FROM rk)")
+@query("e12_promotion", _HITS + "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY (department <> winner), rank) - 1 AS promoted FROM (SELECT *, first_value(department) OVER (PARTITION BY query_id ORDER BY rank) AS winner FROM hk)")
 def e12(v):
-    r = search.rerank(hits(v), 20, base="score").withColumn("winner", F.first("department").over(W.partitionBy("query_id").orderBy("rank")))
+    r = reranked(v).withColumn("winner", F.first("department").over(W.partitionBy("query_id").orderBy("rank")))
     return feeds.numbered(r, ["query_id"], [F.col("department") != F.col("winner"), F.col("rank")], "promoted").select("query_id", "chunk_id", "promoted")
 
 
-@query("f4_recency", _HITS + r", y AS (SELECT *, coalesce(list_max(list_transform(regexp_extract_all(title || ' ' || substring(text, 1, 300), '\b(20[1-3][0-9]|19[7-9][0-9])\b'), lambda x: x::INT)), 0) AS year FROM rk) SELECT query_id, chunk_id, year, row_number() OVER (PARTITION BY query_id ORDER BY year DESC, rerank_score DESC, chunk_id) - 1 AS rank FROM y")
-def f4(v):
-    return search.by_year(search.rerank(hits(v), 20, base="score").drop("rank"), "title", "text", "rerank_score").select("query_id", "chunk_id", "year", "rank")
+_YEAR = "coalesce(list_max(list_transform(regexp_extract_all(title || ' ' || substring(text, 1, 300), '\\b(20[1-3][0-9]|19[7-9][0-9])\\b'), lambda x: x::INT)), 0)"
 
 
-_CONTENT = "list_filter(list_distinct(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}_]+')), lambda x: regexp_matches(x, '^[a-z]{{3,}}$') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in search.GATE_STOP) + "], x))"
+@query("f4_recency", _HITS + f", y AS (SELECT *, {_YEAR} AS year FROM hk) SELECT query_id, chunk_id, year, row_number() OVER (PARTITION BY query_id ORDER BY year DESC, rerank_score DESC, chunk_id) - 1 AS rank FROM y")
+def f4(v):
+    return search.by_year(reranked(v).drop("rank"), "title", "text", "rerank_score").select("query_id", "chunk_id", "year", "rank")
+
+
+_GATE_WORDS = ", ".join(f"'{w}'" for w in dict.fromkeys(search.GATE_STOP + search.GATE_STOP_HINDI))
+CONTENT = "list_filter(list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-z]{{3,}}$')) || regexp_extract_all(lower({c}), '[\\x{{0900}}-\\x{{097F}}]{{2,}}')), lambda x: NOT list_contains([" + _GATE_WORDS + "], x))"
+#: The gate over hits {k} (query_id, rank, rerank_score, score, title, text).
+_GATE = """, g2 AS (SELECT query_id, lower(query) AS q, """ + CONTENT.format(c="query").replace("{", "{{").replace("}", "}}") + """ AS gw FROM v_asked),
+fo AS (SELECT query_id, count(DISTINCT w) AS found FROM (SELECT query_id, t, unnest(gw) AS w FROM g2 JOIN (SELECT query_id, lower(text || ' ' || title) AS t FROM {k} WHERE rank < 3) USING (query_id)) WHERE contains(t, w) GROUP BY query_id),
+be AS (SELECT query_id, max(rerank_score) AS r, max(score) AS d FROM {k} GROUP BY query_id),
+g3 AS (SELECT query_id, q, len(gw) AS n, r, d, r IS NULL OR regexp_matches(q, '""" + "|".join(T.OUT_OF_DOMAIN) + """') AS outside, round(coalesce(found, 0)::DOUBLE / greatest(1, len(gw)), 6) AS keyword_ratio FROM g2 LEFT JOIN be USING (query_id) LEFT JOIN fo USING (query_id)),
+g4 AS (SELECT *, round(CASE WHEN outside THEN 0 ELSE 1 / (1 + pow(2.71828, -r)) END, 6) AS confidence FROM g3),
+gt AS (SELECT query_id, confidence, keyword_ratio, CASE WHEN outside OR (r < -2.5 AND keyword_ratio < 0.25) OR (coalesce(d, 0) < 0.22 AND keyword_ratio < 0.2) THEN 'INCORRECT' WHEN regexp_matches(q, ' versus | vs | and | both |compare') AND n >= 4 AND confidence < 0.65 THEN 'AMBIGUOUS' ELSE 'CORRECT' END AS decision FROM g4)
+"""
+#: Hits of one list, fused by themselves, so that scores are those that the gate's thresholds are made for.
+_FUSED_HITS = _FOUND.rstrip() + """, h AS (SELECT bm.query_id, bm.chunk_id, bm.rank, round(1.0::DOUBLE / (61 + bm.rank), 9) AS rrf, bm.score, q.query, d.title, d.text, d.department FROM bm JOIN v_asked q USING (query_id) JOIN v_titled d USING (chunk_id) WHERE bm.rank < 20),
+""" + _shown("h", "rrf")
 
 
-@query("k5_gate", _HITS + ", q2 AS (SELECT item_id AS query_id, lower(text) AS q, " + _CONTENT.format(c="text") + """ AS ws2 FROM benchmark),
-fo AS (SELECT query_id, count(DISTINCT w) AS found FROM (SELECT query_id, t, unnest(ws2) AS w FROM q2 JOIN (SELECT query_id, lower(text || ' ' || title) AS t FROM rk WHERE rank < 3) USING (query_id)) WHERE contains(t, w) GROUP BY query_id),
-be AS (SELECT query_id, max(rerank_score / 100 - 3) AS r FROM rk GROUP BY query_id),
-g AS (SELECT q2.query_id, q, len(ws2) AS n, r, round(coalesce(found, 0) / greatest(1, len(ws2)), 6) AS keyword_ratio, round(CASE WHEN r IS NOT NULL THEN 1 / (1 + pow(2.71828, -r)) ELSE 0 END, 6) AS confidence FROM q2 LEFT JOIN be USING (query_id) LEFT JOIN fo USING (query_id))
-SELECT query_id, confidence, keyword_ratio, CASE WHEN r IS NULL OR keyword_ratio < 0.2 OR (r < -2.5 AND keyword_ratio < 0.25) THEN 'INCORRECT' WHEN regexp_matches(q, ' versus | vs | and | both |compare') AND n >= 4 AND confidence < 0.65 THEN 'AMBIGUOUS' ELSE 'CORRECT' END AS decision FROM g""")
+@query("k5_gate", _FUSED_HITS + _GATE.format(k="hk") + "SELECT * FROM gt")
 def k5(v):
-    r = search.rerank(hits(v), 20, base="score").withColumn("rerank_score", F.col("rerank_score") / 100 - 3).withColumn("dense_score", F.lit(None).cast("double"))
-    return search.gate(r, asked(v))
+    h = hits(v).withColumns({"rrf": F.round(1.0 / (61 + F.col("rank")), 9), "dense_score": F.lit(None).cast("double"), "bm25_score": F.col("score")})
+    return search.gate(search.rerank(h, 20), v("v_asked"))
 
 
-@query("k15_evaluation", _BM25 + ", h AS (SELECT bm.query_id, max(contains(d.text, b.text)::INT) AS hit FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN documents d ON d.doc_id = bm.chunk_id WHERE bm.rank < 5 GROUP BY ALL) SELECT count(*) AS cases, sum(hit)::BIGINT AS hits, round(avg(hit), 6) AS hit_rate FROM h")
+@query("k15_evaluation", _FUSED_HITS + _GATE.format(k="hk") + """, tx AS (SELECT item_id AS query_id, text AS passage FROM benchmark), rl AS (SELECT query_id, rank, contains(text, passage)::INT AS good FROM hk JOIN tx USING (query_id)),
+pl AS (SELECT query_id, max(good) AS planted FROM rl GROUP BY 1), c AS (SELECT query_id, coalesce(planted, 0) AS planted, decision, (SELECT max(good) FROM rl WHERE rl.query_id = gt.query_id AND rank < 5) AS hit, (SELECT avg(good) FROM rl WHERE rl.query_id = gt.query_id AND rank < 5) AS share FROM gt LEFT JOIN pl USING (query_id))
+SELECT count(*) AS cases, count(*) FILTER (planted = 1) AS planted, round(avg(hit) FILTER (planted = 1), 6) AS hit_rate, round(avg(share) FILTER (planted = 1), 6) AS precision, round(avg((decision = 'INCORRECT')::INT) FILTER (planted = 0), 6) AS abstention FROM c""")
 def k15(v):
-    found = search.bm25(asked(v), texts(v), 5).join(asked(v), "query_id").join(v("documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
-    one = found.groupBy("query_id").agg(F.max(F.contains(F.col("text"), F.col("query")).cast("int")).alias("hit"))
-    return one.agg(F.count("*").alias("cases"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 6).alias("hit_rate"))
-
-
-@query("k1_chunks")
+    """Over the benchmark: hits and precision among the first five for passages that a hit holds, and how often the gate abstains for
+    the others."""
+    h = hits(v).withColumns({"rrf": F.round(1.0 / (61 + F.col("rank")), 9), "dense_score": F.lit(None).cast("double"), "bm25_score": F.col("score")})
+    r = materialise(search.rerank(h, 20))
+    graded = search.gate(r, v("v_asked"))
+    good = r.join(v("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id").select("query_id", "rank", F.contains(F.col("text"), F.col("passage")).cast("int").alias("good"))
+    top = F.when(F.col("rank") < 5, F.col("good"))
+    by = good.groupBy("query_id").agg(F.max("good").alias("planted"), F.max(top).alias("hit"), F.avg(top).alias("share"))
+    c = graded.join(by, "query_id", "left").withColumn("planted", F.coalesce("planted", F.lit(0)))
+    there, gone = F.col("planted") == 1, F.col("planted") == 0
+    return c.agg(F.count("*").alias("cases"), F.count_if(there).alias("planted"), F.round(F.avg(F.when(there, F.col("hit"))), 6).alias("hit_rate"), F.round(F.avg(F.when(there, F.col("share"))), 6).alias("precision"), F.round(F.avg(F.when(gone, (F.col("decision") == "INCORRECT").cast("int"))), 6).alias("abstention"))
+
+
+def _packed(parts: str, between: str) -> str:
+    """SQL of a list's parts packed to about 1,500 characters."""
+    return f"list_reduce(list_transform({parts}, lambda p: [p]), lambda a, x: CASE WHEN length(a[-1]) > 0 AND length(a[-1]) + length(x[1]) > {chunks.SIZE} THEN a || x WHEN length(a[-1]) = 0 THEN a[:-2] || x ELSE a[:-2] || [a[-1] || {between} || x[1]] END)"
+
+
+def chunked(c: str) -> str:
+    """SQL of the list of chunks of a text."""
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    lines = f"flatten(list_transform(string_split(para, chr(10)), lambda line: CASE WHEN length(line) <= {chunks.SIZE} THEN [line] ELSE list_transform(range(0, length(line), {chunks.SIZE - chunks.OVERLAP}), lambda i: substring(line, i + 1, {chunks.SIZE})) END))"
+    paras = f"list_filter(list_transform(regexp_split_to_array(coalesce({c}, ''), '\\n{{2,}}'), lambda z: {strip('z')}), lambda z: z <> '')"
+    blocks = f"flatten(list_transform({paras}, lambda para: CASE WHEN length(para) <= {chunks.SIZE} THEN [para] ELSE {_packed(lines, 'chr(10)')} END))"
+    whole = f"CASE WHEN len({paras}) = 0 THEN [] ELSE {_packed(blocks, 'chr(10) || chr(10)')} END"
+    return f"list_filter(list_transform({whole}, lambda z: {strip('z')}), lambda z: z <> '')"
+
+
+@query("k1_chunks", f"WITH c AS (SELECT document_id, {chunked('text')} AS cs FROM v_documents), x AS (SELECT document_id, unnest(cs) AS text, unnest(range(len(cs))) AS chunk_index FROM c) SELECT document_id, chunk_index, text, sha256(text) AS content_hash FROM x")
 def k1(v):
     return chunks.chunk(v("v_documents"))
 
 
-@query("c18_first_chunk")
+@query("c18_first_chunk", """WITH h AS (SELECT conv_id // 4 AS query_id, conv_id AS document_id, turn AS chunk_index, row_number() OVER (PARTITION BY conv_id // 4 ORDER BY length(text) DESC, conv_id, turn) - 1 AS rank FROM conversations),
+t AS (SELECT * FROM h WHERE rank < 4), b AS (SELECT query_id, document_id FROM t WHERE rank = 0), m AS (SELECT *, document_id = (SELECT document_id FROM b WHERE b.query_id = t.query_id) AND chunk_index = 0 AS page FROM t),
+x AS (SELECT query_id, document_id, chunk_index, CASE WHEN page AND query_id % 2 = 0 THEN -1 ELSE rank END AS r FROM m UNION ALL SELECT query_id, document_id, 0, -1 FROM b WHERE query_id NOT IN (SELECT query_id FROM m WHERE page))
+SELECT query_id, document_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS rank FROM x""")
 def c18(v):
-    """Hits of chunks, with the first chunk of the best document put before them where it is not among them."""
-    c = chunks.chunk(v("v_documents")).select(F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "document_id", "chunk_index", "text")
-    named = c.join(v("v_documents").select("document_id", "title", "course"), "document_id").select("chunk_id", "title", "course", "text")
-    found = search.bm25_boosted(asked(v), named, 10).join(c.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
-    best = found.where("rank = 0").select("query_id", "document_id", (F.col("score") + 1).alias("score"))
-    first = best.select("query_id", F.concat_ws("-", "document_id", F.lit(0)).alias("chunk_id"), "score", F.lit(-1).cast("long").alias("rank"))
-    more = first.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return found.select("query_id", "chunk_id", "score", "rank").unionByName(more)
+    """Hits with the first chunk of the best hit's document: messages stand for the chunks of their conversation, and half of the
+    queries ask for a date."""
+    c = v("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
+    q = c.withColumns({"query_id": F.floor(F.col("document_id") / 4), "query": F.when(F.floor(F.col("document_id") / 4) % 2 == 0, "when was it").otherwise("who is it"), "rerank_score": F.length("text").cast("double")})
+    found = feeds.top_k(q, ["query_id"], [F.col("rerank_score").desc(), F.col("document_id"), F.col("chunk_index")], 4)
+    return search.first_pages(found, c).select("query_id", "document_id", "chunk_index", "rank")
+
+
+_LOWER_SQL = "regexp_replace(regexp_replace({c}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+def _normalised(c: str) -> str:
+    for pattern, to in (*T.TYPOS, *T.ACRONYMS):
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'gi')"
+    return _LOWER_SQL.format(c=c)
+
+
+_NQ = f"(SELECT query_id, {_normalised('query')} AS query FROM v_asked)"
+_HYBRID = (
+    _BOOSTED.format(docs="v_titled", asked=_NQ).rstrip()
+    + ", "
+    + hashed_vectors("dv", "SELECT chunk_id AS id, text FROM v_titled")
+    + ", "
+    + hashed_vectors("qv", "SELECT query_id AS id, query AS text FROM v_asked")
+    + """,
+cs AS (SELECT q.id AS query_id, d.id AS chunk_id, round(coalesce(list_cosine_similarity(q.v, d.v), 0), 6) AS score FROM qv q, dv d),
+de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS r FROM cs WHERE score >= 0.2 AND query_id <> chunk_id) WHERE r < 20),
+dg AS (SELECT de.*, regexp_matches(lower(title), 'gazette|result') OR contains(lower(substring(text, 1, 150)), 'roll no') AS gz, regexp_matches(lower(query), '{results}') AS seek FROM de JOIN v_titled USING (chunk_id) JOIN v_asked USING (query_id)),
+df2 AS (SELECT * FROM (SELECT *, sum((gz AND NOT seek)::INT) OVER (PARTITION BY query_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS seen FROM dg) WHERE NOT (gz AND NOT seek) OR seen <= 2),
+dn AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS r FROM df2), sp AS (SELECT query_id, chunk_id, score, rank AS r FROM bm WHERE rank < 20),
+u AS (SELECT coalesce(dn.query_id, sp.query_id) AS query_id, coalesce(dn.chunk_id, sp.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (61 + dn.r), 0) + coalesce(1.0::DOUBLE / (61 + sp.r), 0), 9) AS rrf, dn.score AS dense_score, sp.score AS bm25_score FROM dn FULL JOIN sp ON dn.query_id = sp.query_id AND dn.chunk_id = sp.chunk_id),
+h AS (SELECT u.*, 0 AS rank, coalesce(dense_score, bm25_score) AS score, q.query, d.title, d.text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) - 1 AS fr FROM u) u JOIN v_asked q USING (query_id) JOIN v_titled d USING (chunk_id) WHERE fr < 50),
+""".replace("{results}", search.ASKS_RESULTS)
+    + _shown("h", "rrf")
+    + """, k20 AS (SELECT *, rerank_score >= -2.0 AS pass, bool_or(rerank_score >= -2.0) OVER (PARTITION BY query_id) AS anypass FROM hk WHERE rank < 20), fl AS (SELECT * EXCLUDE (pass, anypass) FROM k20 WHERE pass OR (NOT anypass AND rank < 5))"""
+    + _COHESIVE.format(k="fl")
+    + """, c2 AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM co),
+tq AS (SELECT *, (len(qo) > 0 OR qb IS NOT NULL) AND NOT (regexp_matches(lower(query), '{both}') OR len(qo) > 1) AS one, regexp_matches(lower(query), '{news}') AS news, {year} AS year FROM c2),
+fc AS (SELECT * FROM tq WHERE NOT one OR rank = 0),
+fr AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN news AND NOT one THEN year END DESC NULLS LAST, CASE WHEN news AND NOT one THEN rerank_score END DESC NULLS LAST, rank, chunk_id) - 1 AS rank FROM fc),
+fin AS (SELECT * FROM fr WHERE rank < 5)""".replace("{both}", search.ASKS_BOTH).replace("{news}", search.ASKS_NEWS).replace("{year}", _YEAR)
+    + _GATE.format(k="fin")
+)
+
+
+@query("k4_hybrid", _HYBRID + "SELECT query_id, rank, chunk_id, rerank_score, rrf, dense_score, bm25_score, decision FROM fin JOIN gt USING (query_id)")
+def k4(v):
+    """The whole chain for the asked questions over titled documents, with hashed vectors for the dense side."""
+    d = v("v_titled")
+    vectors = materialise(d.select(F.col("chunk_id").alias("vec_id"), V.embed("text").alias("vec")))
+    q = v("v_asked").select("query_id", "query", V.embed("query").alias("qvec"))
+    return search.hybrid(q, d, vectors).select("query_id", "rank", "chunk_id", "rerank_score", "rrf", "dense_score", "bm25_score", "decision")
 
 
-@query("k4_hybrid")
-def k4(v):
-    """Fused, reranked and gated hits of the benchmark queries, with hashed vectors for the dense side."""
-    d = v("v_documents").select(F.col("document_id").alias("vec_id"), V.embed("text").alias("vec"))
-    q = asked(v).select("query_id", "query", V.embed("query").alias("qvec"))
-    dense = search.vector_top_k(q, d, 20).withColumnRenamed("vec_id", "chunk_id")
-    fused = search.fuse(dense, search.bm25_boosted(q.select("query_id", F.coalesce(T.normalise_query(F.col("query")), "query").alias("query")), titled(v), 20))
-    shown = fused.join(asked(v), "query_id").join(v("v_documents").select(F.col("document_id").alias("chunk_id"), "title", "text"), "chunk_id")
-    ranked = search.rerank(search.relevance_floor(search.rerank(shown, 20), 5), 5)
-    graded = search.gate(ranked.select("query_id", "rank", F.col("rerank_score").alias("rerank_score"), "dense_score", "title", "text"), asked(v))
-    return ranked.join(graded.select("query_id", "decision"), "query_id").select("query_id", "rank", "chunk_id", "rerank_score", "rrf", "dense_score", "bm25_score", "decision")
-
-
-@query("j1_embeddings")
+@query("j1_embeddings", "WITH " + hashed_vectors("bv", "SELECT item_id AS id, text FROM benchmark") + ", x AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM bv), y AS (SELECT id, n, unnest(v) AS x, unnest(range(384)) AS bucket FROM x) SELECT id AS item_id, bucket, round(x / n, 6) AS value FROM y WHERE x <> 0")
 def j1(v):
-    e = v("benchmark").select("item_id", V.embed("text").alias("vec"))
-    return e.select("item_id", F.size("vec").alias("dims"), F.round(V.norm(F.col("vec")), 6).alias("norm"))
+    """The buckets of each passage's hashed vector that are not zero."""
+    e = v("benchmark").select("item_id", F.posexplode(V.embed("text")).alias("bucket", "value"))
+    return e.where("value <> 0").select("item_id", "bucket", F.round("value", 6).alias("value"))
+
+
+@F.pandas_udf(DoubleType())
+def _overlap(query: pd.Series, text: pd.Series) -> pd.Series:
+    """A scorer in place of the lexical one: the share of the query's words in the text."""
+    words = query.str.lower().str.split().map(set)
+    return pd.Series([len(a & set(t.lower().split())) / max(1, len(a)) for a, t in zip(words, text, strict=True)], dtype=float)
+
+
+@query("j2_other_reranker", _FOUND + r"""SELECT query_id, chunk_id, round(share, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY round(share, 6) DESC, chunk_id) - 1 AS rank FROM (SELECT query_id, chunk_id, len(list_filter(qw, lambda x: list_contains(tw, x)))::DOUBLE / greatest(1, len(qw)) AS share FROM (SELECT query_id, chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(q.query), '\s+'), lambda x: x <> '')) AS qw, list_distinct(regexp_split_to_array(lower(d.text), '\s+')) AS tw FROM bm JOIN v_asked q USING (query_id) JOIN v_titled d USING (chunk_id) WHERE rank < 20))""")
+def j2(v):
+    """Hits reranked by another function than the lexical one."""
+    return search.rerank(hits(v), 20, score=_overlap(F.col("query"), F.col("text"))).select("query_id", "chunk_id", "rerank_score", "rank")
 
 
 @query("h19_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim, round(sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS norm FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -239,12 +373,12 @@ def h19(v):
     return e.join(b, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), 6).alias("sim"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query("g4_word_sets", "SELECT item_id, array_to_string(list_sort(" + _CONTENT.format(c="text") + "), ' ') AS words FROM benchmark")
+@query("g4_word_sets", "SELECT item_id, array_to_string(list_sort(" + CONTENT.format(c="text") + "), ' ') AS words FROM benchmark")
 def g4(v):
     return v("benchmark").select("item_id", F.array_join(F.array_sort(search.content_words(F.col("text"))), " ").alias("words"))
 
 
-@query("k11_ingest_run")
+@query("k11_ingest_run", FILE_CHANGES + f", n AS (SELECT path, len(list_distinct({chunked('content')})) AS chunks FROM v_scan_now) SELECT c.path, c.status, CASE WHEN c.status IN ('new_file', 'modified', 'retry_failed') THEN coalesce(n.chunks, 0) ELSE 0 END AS chunks FROM c LEFT JOIN n USING (path)")
 def k11(v):
     """One row per scanned file: what happened, and its chunks if it was taken in."""
     state = changes.file_changes(v("v_manifest_prev"), v("v_scan_now"))

@@ -16,18 +16,54 @@ _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _QUERY = r"regexp_extract(url, '^[^?#]*(\?[^#]*)', 1)"
 
 
-@query("a1_scan", "SELECT document_id, substring(title, 1, 200) AS title, coalesce(substring(text, 1, 350), '') AS text, department FROM v_documents ORDER BY document_id DESC LIMIT 100")
-def a1(v):
-    d = v("v_documents").select("document_id", F.left("title", F.lit(200)).alias("title"), F.coalesce(F.left("text", F.lit(350)), F.lit("")).alias("text"), "department")
-    return d.orderBy(F.col("document_id").desc()).limit(100)
+_SCAN = "SELECT document_id, title, coalesce(text, '') AS text, department FROM v_documents"
 
 
-@query("a1_scan_whole", "SELECT document_id, title, coalesce(text, '') AS text, department FROM v_documents")
-def a1_whole(v):
-    """The scan without the page of a1_scan: all rows, whole titles and texts."""
+@query("a1_scan_whole", _SCAN)
+@query("a1_scan", _SCAN)
+def a1(v):
+    """All rows and whole texts; the caps of the inventory are limits of memory and default off."""
     return v("v_documents").select("document_id", "title", F.coalesce("text", F.lit("")).alias("text"), "department")
 
 
+def _text_files(v):
+    """The documents as text files below a folder for each department, written by Spark."""
+    from corpusloom.sources.scratch import new_path
+
+    folder = new_path(v.spark)
+    v("v_documents").select("department", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("department").text(f"{folder}/lib")
+    return folder
+
+
+@query("a2_file_scan", "SELECT department, sum(strlen(text) + 1)::BIGINT AS bytes FROM v_documents GROUP BY 1")
+def a2(v):
+    """Bytes of the text files found below a folder, by department."""
+    from corpusloom.sources.pages import scan_files
+
+    f = scan_files(v.spark, _text_files(v)).select(F.regexp_extract("path", "department=([^/]*)/", 1).alias("department"), "length")
+    return f.groupBy("department").agg(F.sum("length").alias("bytes"))
+
+
+@query("a3_text_pages", r"SELECT department, sum(length(regexp_replace(text, '\s', '', 'g')))::BIGINT AS n_chars FROM v_documents GROUP BY 1")
+def a3(v):
+    """Characters but blanks of the pages that text files give, by department."""
+    from corpusloom.sources.pages import scan_files, text_pages
+
+    p = text_pages(scan_files(v.spark, _text_files(v)))
+    return p.groupBy(F.regexp_extract("path", "department=([^/]*)/", 1).alias("department")).agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("n_chars"))
+
+
+@query("a6_json_set", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def a6(v):
+    """Conversations written as lines of JSON and read back as a set of cases."""
+    from corpusloom.sources.pages import json_set
+    from corpusloom.sources.scratch import new_path
+
+    folder = new_path(v.spark)
+    v("conversations").write.json(folder)
+    return json_set(v.spark, folder, "conv_id long, turn int, role string, text string").select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("a4_html_source", "SELECT page_id, html, length(html) AS n_chars FROM pages WHERE html IS NOT NULL AND strlen(html) <= 5000000 AND html NOT LIKE '%PDF-%' AND html NOT LIKE 'PK%' AND html NOT LIKE 'Rar!%' AND html NOT LIKE 'MZ%'")
 def a4(v):
     from corpusloom.sources.pages import html_pages
@@ -68,9 +104,9 @@ def a10(v):
     return v("v_messages").groupBy("session_id").agg(cells.alias("rows")).select("session_id", T.markdown_table(F.concat(head, "rows")).alias("md"))
 
 
-@query("b1_scope", "SELECT document_id, department, course, semester FROM v_documents WHERE department = 'src3' AND semester = 'Semester2'")
+@query("b1_scope", "SELECT document_id, department, course, semester FROM v_documents WHERE department = 'src3' AND semester = 'Semester4'")
 def b1(v):
-    return feeds.in_scope(v("v_documents"), department="src3", course="all", semester="Semester2").select("document_id", "department", "course", "semester")
+    return feeds.in_scope(v("v_documents"), department="src3", course="all", semester="Semester4").select("document_id", "department", "course", "semester")
 
 
 @query("b2_search", "SELECT document_id FROM v_documents WHERE title ILIKE '%the%' OR department ILIKE '%the%'")
@@ -93,13 +129,16 @@ def b5(v):
     return v("pages").select("page_id", U.is_skippable(F.col("url")).alias("skip"))
 
 
-@query("b6_safe_url", r"""WITH u AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'http://10.0.0.' || page_id % 250 || '/x' WHEN 1 THEN 'http://localhost:80/' WHEN 2 THEN 'ftp://a.example.com/' WHEN 3 THEN 'http://172.20.1.1/' WHEN 4 THEN 'http://169.254.169.254/' WHEN 5 THEN 'http://127.8.0.1/' ELSE url END AS url FROM pages)
-SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'loopback' WHEN 2 THEN 'scheme' WHEN 3 THEN 'private' WHEN 4 THEN 'unroutable' WHEN 5 THEN 'loopback' ELSE 'ok' END AS safety FROM u""")
+#: URLs with the host, or the scheme, of a part of the pages replaced.
+_HOSTS = """CASE page_id % 5 WHEN 0 THEN 'http://' || CAST(page_id * 37 % 256 AS STRING) || '.' || CAST(page_id * 91 % 256 AS STRING) || '.0.' || CAST(page_id % 250 AS STRING) || '/x' WHEN 1 THEN 'http://' || CASE page_id % 4 WHEN 0 THEN 'localhost:80' WHEN 1 THEN '172.20.1.1' WHEN 2 THEN '192.168.0.9:8080' ELSE '169.254.169.254' END || '/'
+WHEN 2 THEN replace(url, 'https://', 'ftp://') ELSE url END"""
+
+
+@query("b6_safe_url", rf"""WITH u AS (SELECT page_id, {_HOSTS} AS url FROM pages), h AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, {_HOST} AS host FROM u),
+o AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') THEN split_part(host, '.', 1)::INT END AS a, CASE WHEN regexp_matches(host, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') THEN split_part(host, '.', 2)::INT END AS b FROM h)
+SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN host IN ('localhost', '127.0.0.1', '[::1]', '0.0.0.0') OR a = 127 THEN 'loopback' WHEN a >= 224 OR a = 0 OR (a = 169 AND b = 254) THEN 'unroutable' WHEN a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) THEN 'private' ELSE 'ok' END AS safety FROM o""")
 def b6(v):
-    n = F.col("page_id") % 7
-    at = lambda k, u: F.when(n == k, u if not isinstance(u, str) else F.lit(u))
-    url = F.coalesce(at(0, F.concat(F.lit("http://10.0.0."), (F.col("page_id") % 250).cast("string"), F.lit("/x"))), at(1, "http://localhost:80/"), at(2, "ftp://a.example.com/"), at(3, "http://172.20.1.1/"), at(4, "http://169.254.169.254/"), at(5, "http://127.8.0.1/"), F.col("url"))
-    return v("pages").select("page_id", U.safety(url).alias("safety"))
+    return v("pages").select("page_id", U.safety(F.expr(_HOSTS)).alias("safety"))
 
 
 @query("b7_document_url", rf"""WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '.pdf' WHEN 1 THEN url || '?type=DOCX' ELSE url END AS url FROM pages)
@@ -120,22 +159,22 @@ def doc_type(path):
     return F.when(picture & name.rlike(HANDWRITTEN), "handwritten").when(end.isin("png", "jpg", "jpeg", "tiff", "bmp"), "scanned").otherwise("born_digital")
 
 
-_NEW_PATH = "CASE document_id % 5 WHEN 0 THEN replace(source_path, '.txt', '_answer_sheet.png') WHEN 1 THEN replace(source_path, '.txt', '.jpg') ELSE source_path END"
+#: Paths with the name and ending of a part of the files replaced.
+_NEW_PATH = "CASE document_id % 5 WHEN 0 THEN replace(source_path, '.txt', '_answer_sheet.png') WHEN 1 THEN replace(source_path, '.txt', '.jpg') WHEN 2 THEN replace(source_path, 'doc_', 'hw_notes_') WHEN 3 THEN replace(source_path, '.txt', '.PDF') ELSE source_path END"
+_KIND = f"CASE WHEN e IN ('png', 'jpg', 'jpeg', 'tiff', 'bmp', 'pdf') AND regexp_matches(n, '{HANDWRITTEN}') THEN 'handwritten' WHEN e IN ('png', 'jpg', 'jpeg', 'tiff', 'bmp') THEN 'scanned' ELSE 'born_digital' END"
+_KINDS = rf"WITH p AS (SELECT document_id, doc_type AS old_type, ocr_confidence AS c, {_NEW_PATH} AS path FROM v_documents), q AS (SELECT *, lower(split_part(path, '/', -1)) AS n, lower(regexp_extract(path, '\.([^./]*)$', 1)) AS e FROM p), x AS (SELECT *, {_KIND} AS new_type FROM q) "
 
 
 def _paths(v):
-    n = F.col("document_id") % 5
-    p = F.when(n == 0, F.replace("source_path", F.lit(".txt"), F.lit("_answer_sheet.png"))).when(n == 1, F.replace("source_path", F.lit(".txt"), F.lit(".jpg"))).otherwise(F.col("source_path"))
-    return v("v_documents").select("document_id", p.alias("path"), "doc_type", "ocr_confidence")
+    return v("v_documents").select("document_id", F.expr(_NEW_PATH).alias("path"), "doc_type", "ocr_confidence")
 
 
-@query("b8_document_type", "SELECT document_id, CASE document_id % 5 WHEN 0 THEN 'handwritten' WHEN 1 THEN 'scanned' ELSE 'born_digital' END AS doc_type FROM v_documents")
+@query("b8_document_type", _KINDS + "SELECT document_id, new_type AS doc_type FROM x")
 def b8(v):
     return _paths(v).select("document_id", doc_type(F.col("path")).alias("doc_type"))
 
 
-@query("b9_reclassify", """WITH x AS (SELECT doc_type AS old_type, CASE document_id % 5 WHEN 0 THEN 'handwritten' WHEN 1 THEN 'scanned' ELSE 'born_digital' END AS new_type, ocr_confidence AS c FROM v_documents)
-SELECT old_type, new_type, count(*) AS n, round(avg(CASE WHEN new_type <> 'born_digital' THEN coalesce(c, 0.88) END), 6) AS confidence FROM x GROUP BY ALL""")
+@query("b9_reclassify", _KINDS + "SELECT old_type, new_type, count(*) AS n, round(avg(CASE WHEN new_type <> 'born_digital' THEN coalesce(c, 0.88) END), 6) AS confidence FROM x GROUP BY ALL")
 def b9(v):
     x = _paths(v).withColumn("new_type", doc_type(F.col("path")))
     c = F.when(F.col("new_type") != "born_digital", F.coalesce("ocr_confidence", F.lit(0.88)))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from corpusloom.sources.scratch import materialise
+from corpusloom.operators.chunks import chunk
+from corpusloom.sources.scratch import materialise, new_path
 from corpusloom.streaming import jobs
 
 from .registry import query
+from .retrieval import chunked
+from .views import VIEWS
 
 
 def _stream(v, table: str):
@@ -23,10 +23,8 @@ def _stream(v, table: str):
 
 def _collected(v, rows, mode="append"):
     """The table a finished stream leaves."""
-    name = f"stream_{uuid.uuid4().hex}"
-    home = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     parts = []
-    q = jobs.start(rows, f"{home.rstrip('/')}/loom-streams/{name}", mode, each=lambda d, _: parts.append(materialise(d)))
+    q = jobs.start(rows, new_path(v.spark, "loom-streams"), mode, each=lambda d, _: parts.append(materialise(d)))
     q.awaitTermination()
     out = parts[0]
     for p in parts[1:]:
@@ -34,18 +32,56 @@ def _collected(v, rows, mode="append"):
     return out
 
 
-@query("i1_stream_ingest")
+@query("i1_stream_ingest", f"WITH c AS (SELECT doc_id AS document_id, {chunked('text')} AS cs FROM documents) SELECT document_id, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS text, sha256(unnest(cs)) AS content_hash FROM c")
 def i1(v):
     docs = _stream(v, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    from corpusloom.operators.chunks import chunk
-
     return _collected(v, chunk(docs))
 
 
-@query("i3_rate_limit")
+#: A limiter of 3 an hour and user, an attempt at a time.
+_LIMITED = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, n, at_us, history, admitted) AS (SELECT user_id, n, at_us, [at_us], true FROM e WHERE n = 1 UNION ALL
+SELECT e.user_id, e.n, e.at_us, CASE WHEN len(list_filter(r.history, lambda h: h > e.at_us - 3600000000)) < 3 THEN list_filter(r.history, lambda h: h > e.at_us - 3600000000) || [e.at_us] ELSE list_filter(r.history, lambda h: h > e.at_us - 3600000000) END, len(list_filter(r.history, lambda h: h > e.at_us - 3600000000)) < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, at_us, admitted FROM r"""
+
+
+def _attempts(events):
+    return events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+
+
+@query("i3_rate_limit", _LIMITED)
 def i3(v):
-    """Attempts let in at 3 an hour and user; the streaming form holds the same fold as keyed state."""
-    return jobs.limited_batch(v("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")), 3600, 3)
+    """Attempts let in at 3 an hour and user, over the table; the streaming form holds the same fold as keyed state."""
+    return jobs.limited_batch(_attempts(v("events")), 3600, 3)
+
+
+@query("i5_stream_health", """WITH w AS (SELECT epoch_us(ts) // 60000000 - k AS m, latency_ms, (crag_decision = 'INCORRECT')::INT AS bad, (served_by = 'cache')::INT AS hit FROM v_audit, range(5) r(k))
+SELECT m * 60 AS start_s, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, round(avg(bad), 6) AS error_share, round(avg(hit), 6) AS cache_share FROM w GROUP BY m HAVING (m + 5) * 60 <= (SELECT epoch_us(max(ts)) / 1000000 - 600 FROM v_audit)""")
+def i5_stream(v):
+    """Health by sliding window, as a stream emits it: windows that ended before the watermark."""
+    e = _stream(v, "events")
+    audit = v.spark.sql(VIEWS["v_audit"][1], events=e).withColumn("ts", F.col("ts").cast("timestamp"))
+    h = _collected(v, jobs.windowed_health(audit))
+    return h.select(F.unix_seconds("start").alias("start_s"), "n", *(F.round(c, 6).alias(c) for c in ("mean_ms", "error_share", "cache_share")))
+
+
+@query("i7_stream_sessions", """WITH a AS (SELECT user_id, epoch_us(ts) AS t FROM events), b AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= 1800000000, true)::INT AS s FROM a),
+c AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM b) SELECT user_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM c GROUP BY user_id, k HAVING max(t) + 1800000000 <= (SELECT max(t) - 600000000 FROM a)""")
+def i7_stream(v):
+    """Sessions of inactivity, as a stream emits them: those that ended before the watermark."""
+    e = _stream(v, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = _collected(v, jobs.inactivity_sessions(e))
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("i9_progress", "SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events")
+def i9(v):
+    """Counters that the batches of a stream report in their progress."""
+    rows = jobs.counted(_stream(v, "events"), "progress", n=F.count("*"), errors=F.count_if(F.col("event_type") == "error"))
+    q = jobs.start(rows, new_path(v.spark, "loom-streams"), each=lambda d, _: materialise(d))
+    q.awaitTermination()
+    seen = [p.observedMetrics["progress"] for p in q.recentProgress if "progress" in p.observedMetrics]
+    return v.spark.createDataFrame([(r["n"], r["errors"]) for r in seen], "n long, errors long").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
 
 
 @query("i4_stream_dedup", "SELECT count(DISTINCT text) AS n FROM documents")

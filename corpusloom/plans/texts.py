@@ -9,10 +9,10 @@ from corpusloom.functions import html as H
 from corpusloom.functions import moderation
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import search
+from corpusloom.operators import search, synopsis
 
 from .registry import query
-from .retrieval import TOKENS
+from .retrieval import BODIES, CODES, CONTENT, ORDINAL_WORDS, TOKENS
 
 _STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
@@ -29,17 +29,13 @@ def h1(v):
     return v("documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
 
 
-_ASKED = "SELECT item_id, 'the univ vc and dde admision proces ' || substring(text, 1, 60) AS q FROM benchmark"
+_ASKED = "SELECT item_id, 'the univ vc and dde admision proces ' || text AS q FROM benchmark"
+_NORMALISED = f"WITH a AS ({_ASKED}) SELECT item_id, " + _STRIP.format(c=f"regexp_replace({_folded(_folded('q', T.TYPOS, 'gi'), T.ACRONYMS, 'gi')}, '\\s+', ' ', 'g')") + " AS q FROM a"
 
 
-@query("h2_query_normalised", f"WITH a AS ({_ASKED}) SELECT item_id, " + _STRIP.format(c=f"regexp_replace({_folded(_folded('q', T.TYPOS, 'gi'), T.ACRONYMS, 'gi')}, '\\s+', ' ', 'g')") + " AS q FROM a")
+@query("h2_query_normalised_whole", _NORMALISED)
+@query("h2_query_normalised", _NORMALISED)
 def h2(v):
-    q = F.concat(F.lit("the univ vc and dde admision proces "), F.left("text", F.lit(60)))
-    return v("benchmark").select("item_id", T.normalise_query(q).alias("q"))
-
-
-@query("h2_query_normalised_whole", "WITH a AS (SELECT item_id, 'the univ vc and dde admision proces ' || text AS q FROM benchmark) SELECT item_id, " + _STRIP.format(c=f"regexp_replace({_folded(_folded('q', T.TYPOS, 'gi'), T.ACRONYMS, 'gi')}, '\\s+', ' ', 'g')") + " AS q FROM a")
-def h2_whole(v):
     return v("benchmark").select("item_id", T.normalise_query(F.concat(F.lit("the univ vc and dde admision proces "), "text")).alias("q"))
 
 
@@ -54,17 +50,13 @@ def h4(v):
     return v("benchmark").select("item_id", T.clean_answer(t).alias("t"))
 
 
-@query("h5_fenced_context", """WITH r AS (SELECT session_id, turn, '[Document: ' || sender || ' | Page: ' || turn || ' | Section: N/A]' || chr(10) || regexp_replace(regexp_replace(substring(content, 1, 200) || ' [sanitized_tag]', '^\\s+|\\s+$', '', 'g'), 'x^', '') AS c FROM v_messages)
-SELECT session_id, '<context>' || chr(10) || string_agg(c, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) || chr(10) || '</context>' AS context FROM r GROUP BY session_id""")
-def h5(v):
-    c = T.fenced(F.col("sender"), F.col("turn").cast("string"), F.lit("N/A"), F.concat(F.left("content", F.lit(200)), F.lit(" <system x>")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("c")))), lambda r: r["c"])
-    return v("v_messages").groupBy("session_id").agg(F.concat(F.lit("<context>\n"), F.array_join(parts, "\n\n---\n\n"), F.lit("\n</context>")).alias("context"))
+_FENCED = """WITH r AS (SELECT session_id, turn, '[Document: ' || sender || ' | Page: ' || turn || ' | Section: N/A]' || chr(10) || regexp_replace(content || ' [sanitized_tag]', '^\\s+|\\s+$', '', 'g') AS c FROM v_messages)
+SELECT session_id, '<context>' || chr(10) || string_agg(c, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) || chr(10) || '</context>' AS context FROM r GROUP BY session_id"""
 
 
-@query("h5_fenced_context_whole", """WITH r AS (SELECT session_id, turn, '[Document: ' || sender || ' | Page: ' || turn || ' | Section: N/A]' || chr(10) || regexp_replace(content || ' [sanitized_tag]', '^\\s+|\\s+$', '', 'g') AS c FROM v_messages)
-SELECT session_id, '<context>' || chr(10) || string_agg(c, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) || chr(10) || '</context>' AS context FROM r GROUP BY session_id""")
-def h5_whole(v):
+@query("h5_fenced_context_whole", _FENCED)
+@query("h5_fenced_context", _FENCED)
+def h5(v):
     c = T.fenced(F.col("sender"), F.col("turn").cast("string"), F.lit("N/A"), F.concat("content", F.lit(" <system x>")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("c")))), lambda r: r["c"])
     return v("v_messages").groupBy("session_id").agg(F.concat(F.lit("<context>\n"), F.array_join(parts, "\n\n---\n\n"), F.lit("\n</context>")).alias("context"))
@@ -75,19 +67,19 @@ def h6(v):
     return v("documents").select("doc_id", F.md5(T.evasion_folded(F.col("text")).cast("binary")).alias("folded"), F.md5(T.evasion_squashed(F.col("text")).cast("binary")).alias("squashed"))
 
 
-@query("h7_slug", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring(text, 1, 30), '^\s+|\s+$', '', 'g'), '[^\p{L}\p{N}_.-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents WHERE regexp_matches(substring(text, 1, 30), '[\p{L}\p{N}]')")
+@query("h7_slug", r"SELECT document_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '^\s+|\s+$', '', 'g'), '[^\p{L}\p{N}_.-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM v_documents")
 def h7(v):
-    head = F.left("text", F.lit(30))
-    return v("documents").where(head.rlike(r"[\p{L}\p{N}]")).select("doc_id", T.slug(head).alias("slug"))
+    return v("v_documents").select("document_id", T.slug(F.col("title")).alias("slug"))
 
 
 _P = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
-_NORM = f"""CASE WHEN lower(regexp_extract(u, {_P}, 1)) IN ('http', 'https') THEN lower(regexp_extract(u, {_P}, 1)) || '://' || regexp_replace(lower(regexp_extract(u, {_P}, 2)), ':(80|443)$', '') || regexp_extract(u, {_P}, 3) ||
+#: A normalised URL in SQL, from the URL {u} and the column ks, the query keys that stay.
+NORM = f"""CASE WHEN lower(regexp_extract({{u}}, {_P}, 1)) IN ('http', 'https') AND regexp_extract({{u}}, {_P}, 2) <> '' THEN lower(regexp_extract({{u}}, {_P}, 1)) || '://' || regexp_replace(lower(regexp_extract({{u}}, {_P}, 2)), ':(80|443)$', '') || regexp_extract({{u}}, {_P}, 3) ||
 CASE WHEN len(ks) > 0 THEN '?' || array_to_string(ks, '&') ELSE '' END END"""
-_KS = f"list_filter(string_split(substring(regexp_extract(u, {_P}, 4), 2), '&'), lambda kv: kv <> '' AND NOT regexp_matches(lower(regexp_extract(kv, '^([^=]*)', 1)), '^({U.TRACKING})$'))"
+KS = f"list_filter(string_split(substring(regexp_extract({{u}}, {_P}, 4), 2), '&'), lambda kv: kv <> '' AND NOT regexp_matches(lower(regexp_extract(kv, '^([^=]*)', 1)), '^({U.TRACKING})$'))"
 
 
-@query("h8_url_normalised", f"WITH a AS (SELECT page_id, replace(url, 'example', 'Example') || CASE WHEN page_id % 2 = 0 THEN '' ELSE '#x' END AS u FROM pages), b AS (SELECT *, {_KS} AS ks FROM a) SELECT page_id, {_NORM} AS url FROM b")
+@query("h8_url_normalised", f"WITH a AS (SELECT page_id, replace(url, 'example', 'Example') || CASE WHEN page_id % 2 = 0 THEN '' ELSE '#x' END AS u FROM pages), b AS (SELECT *, {KS.format(u='u')} AS ks FROM a) SELECT page_id, {NORM.format(u='u')} AS url FROM b")
 def h8(v):
     u = F.concat(F.replace("url", F.lit("example"), F.lit("Example")), F.when(F.col("page_id") % 2 == 0, "").otherwise("#x"))
     return v("pages").select("page_id", U.normalise(u).alias("url"))
@@ -121,16 +113,19 @@ def h13(v):
     return v("v_documents").select("document_id", F.coalesce(tag(1), F.lit("General")).alias("department"), F.when(n >= 3, tag(2)).otherwise("All").alias("semester"), F.when(n >= 3, tag(3)).when(n == 2, tag(2)).otherwise(tag(1)).alias("course"))
 
 
-@query("h14_ordinals", "SELECT audit_id, CASE audit_id % 3 WHEN 0 THEN '3' WHEN 1 THEN '2 7' ELSE '' END AS ordinals FROM v_audit")
+_ORDS = "list_sort(list_distinct(" + ORDINAL_WORDS.format(c="lower(q)") + r" || regexp_extract_all(lower(q), '\b(?:sem(?:ester)?|meeting|session)\s*([1-9]|10)\b', 1)))"
+
+
+@query("h14_ordinals", f"SELECT message_id, array_to_string({_ORDS}, ' ') AS ordinals, {BODIES.format(c='lower(q)')}[1] AS body, 10 - len({_ORDS}) AS conflicts FROM v_questions")
 def h14(v):
-    n = F.col("audit_id") % 3
-    q = F.when(n == 0, "the Third meeting 3").when(n == 1, "2nd of semester 7, second").otherwise("none of them")
-    return v("v_audit").select("audit_id", F.array_join(T.ordinals(q), " ").alias("ordinals"))
+    """Ordinals of each message, its named body, and how many ordinals conflict with those it names."""
+    found = T.ordinals(F.col("q"))
+    return v("v_questions").select("message_id", F.array_join(F.array_sort(found), " ").alias("ordinals"), T.entity(F.col("q")).alias("body"), (10 - F.size(found)).cast("long").alias("conflicts"))
 
 
-@query("h15_codes", "SELECT doc_id, 'cs' || doc_id || 'x' AS codes FROM documents")
+@query("h15_codes", "SELECT message_id, array_to_string(" + CODES.replace("text", "q") + ", ' ') AS codes FROM v_questions")
 def h15(v):
-    return v("documents").select("doc_id", F.array_join(T.codes(F.concat(F.lit("see CS-"), F.col("doc_id").cast("string"), F.lit("X now 12345 of abcd"))), " ").alias("codes"))
+    return v("v_questions").select("message_id", F.array_join(T.codes(F.col("q")), " ").alias("codes"))
 
 
 @query("h16_latest_year", r"SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(text || ' ' || (1960 + doc_id % 90), '\b(20[1-3][0-9]|19[7-9][0-9])\b'), lambda x: x::INT)), 0) AS year FROM documents")
@@ -157,18 +152,12 @@ def h21(v):
 MARKERS = {"en": ["the", "of", "that"], "de": ["der", "und", "ist"], "fr": ["les", "dans", "une"], "es": ["los", "con", "por"]}
 
 
-@query("h22_language_markers", "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(substring(text, 1, 2000)), '[^\\p{L}]+') AS w FROM documents) SELECT doc_id, " + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(m) for m in ms)}))) AS n_{k}" for k, ms in MARKERS.items()) + " FROM w")
-def h22(v):
-    d = v("documents").select("doc_id", F.split(F.lower(F.left("text", F.lit(2000))), r"[^\p{L}]+").alias("w"))
+_MARKED = "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}]+') AS w FROM documents) SELECT doc_id, " + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(m) for m in ms)}))) AS n_{k}" for k, ms in MARKERS.items()) + " FROM w"
 
-    def n(words):
-        return F.size(F.filter("w", lambda x: x.isin(words))).cast("long")
-
-    return d.select("doc_id", *(n(ms).alias(f"n_{k}") for k, ms in MARKERS.items()))
 
-
-@query("h22_language_markers_whole", "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}]+') AS w FROM documents) SELECT doc_id, " + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(m) for m in ms)}))) AS n_{k}" for k, ms in MARKERS.items()) + " FROM w")
-def h22_whole(v):
+@query("h22_language_markers_whole", _MARKED)
+@query("h22_language_markers", _MARKED)
+def h22(v):
     d = v("documents").select("doc_id", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
 
     def n(words):
@@ -177,10 +166,9 @@ def h22_whole(v):
     return d.select("doc_id", *(n(ms).alias(f"n_{k}") for k, ms in MARKERS.items()))
 
 
-@query("h23_overview_intent", "SELECT item_id, item_id % 3 <> 2 AS overview FROM benchmark")
+@query("h23_overview_intent", "SELECT message_id, " + " OR ".join(f"regexp_matches(q, '{p}')" for p in T.OVERVIEW) + " AS overview FROM v_questions")
 def h23(v):
-    n = F.col("item_id") % 3
-    return v("benchmark").select("item_id", T.is_overview(F.when(n == 0, "Give me an overview please").when(n == 1, "what is CS401").otherwise("who wrote this")).alias("overview"))
+    return v("v_questions").select("message_id", T.is_overview(F.col("q")).alias("overview"))
 
 
 #: Small talk, in order of priority.
@@ -189,23 +177,27 @@ SMALL_TALK = [("greeting", r"(?i)^\s*(?:hi|hello|hey|good (?:morning|evening))\b
 INSTITUTION = r"(?i)\b(?:university|registrar|semester|admission|examination|[A-Z]{2,4}[0-9]{3,4})\b"
 
 
-@query("h24_small_talk", "SELECT message_id, CASE message_id % 4 WHEN 0 THEN 'greeting' WHEN 1 THEN 'thanks' WHEN 2 THEN 'identity' END AS intent, message_id % 2 = 1 AS institutional FROM v_messages")
+@query("h24_small_talk", "SELECT message_id, CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{k}'" for k, p in SMALL_TALK) + " END AS intent FROM v_questions")
 def h24(v):
-    n = F.col("message_id") % 4
-    t = F.when(n == 0, "Hello, thanks").when(n == 1, "thank you, bye: CS401").when(n == 2, "Who are you?").otherwise("the semester plan")
-    intent = F.coalesce(*(F.when(t.rlike(p), k) for k, p in SMALL_TALK))
-    return v("v_messages").select("message_id", intent.alias("intent"), t.rlike(INSTITUTION).alias("institutional"))
+    return v("v_questions").select("message_id", F.coalesce(*(F.when(F.col("q").rlike(p), k) for k, p in SMALL_TALK)).alias("intent"))
+
+
+@query("h25_institutional", f"SELECT message_id, regexp_matches(q, '{INSTITUTION}') AS institutional FROM v_questions")
+def h25(v):
+    return v("v_questions").select("message_id", F.col("q").rlike(INSTITUTION).alias("institutional"))
+
+
+_PARTS = "regexp_extract(s, '" + T.TWO_PARTS + "', {n})"
+_HALF = _PARTS.format(n=1) + " || ' for ' || " + _STRIP.format(c=_PARTS)
 
 
-@query("h26_decomposed", "SELECT item_id, unnest(CASE WHEN item_id % 2 = 0 THEN ['exam dates for BCA', 'exam dates for MCA'] ELSE [substring(text, 1, 20)] END) AS q FROM benchmark")
+@query("h26_decomposed", f"WITH a AS (SELECT message_id, q, {_STRIP.format(c='q')} AS s, {_folded('q', T.EXPANSIONS, 'gi')} AS e FROM v_questions) SELECT message_id, unnest(CASE WHEN regexp_matches(s, '{T.TWO_PARTS}') THEN [{_HALF.format(n=2)}, {_HALF.format(n=3)}] WHEN e <> q THEN [e] ELSE [] END) AS q FROM a")
 def h26(v):
-    q = F.when(F.col("item_id") % 2 == 0, "exam dates for BCA and MCA?").otherwise(F.left("text", F.lit(20)))
-    p = r"(?i)^(.*?)\s+(?:for|of|regarding)\s+([A-Za-z0-9.\s]+?)\s+and\s+([A-Za-z0-9.\s]+?)(?:\s+programs?|\s+courses?)?\??$"
-    part = lambda n: F.concat(F.regexp_extract(q, p, 1), F.lit(" for "), F.trim(F.regexp_extract(q, p, n)))
-    return v("benchmark").select("item_id", F.explode(F.when(q.rlike(p), F.array(part(2), part(3))).otherwise(F.array(q))).alias("q"))
+    return v("v_questions").select("message_id", F.explode(T.decomposed(F.col("q"))).alias("q"))
 
 
-@query("h27_keyword_ratio")
+@query("h27_keyword_ratio", "WITH m AS (SELECT message_id, " + CONTENT.format(c="content") + """ AS w, lower(lag(content) OVER (PARTITION BY session_id ORDER BY turn)) AS b FROM v_messages)
+SELECT message_id, round(len(list_filter(w, lambda x: contains(coalesce(b, ''), x)))::DOUBLE / greatest(1, len(w)), 6) AS ratio FROM m""")
 def h27(v):
     """Share of each message's content words that stand in the message before it."""
     before = F.lower(F.lag("content").over(W.partitionBy("session_id").orderBy("turn")))
@@ -213,7 +205,7 @@ def h27(v):
     return m.select("message_id", F.round(F.size(F.filter("w", lambda x: F.contains(F.coalesce("b", F.lit("")), x))) / F.greatest(F.lit(1), F.size("w")), 6).alias("ratio"))
 
 
-_TEXT = "regexp_extract(html, '(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>', 1)"
+_TEXT = "regexp_extract({c}, '(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>', 1)"
 
 
 @query("h28_html_title", "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
@@ -221,8 +213,9 @@ def h28(v):
     return v("pages").select("page_id", H.title(F.col("html")).alias("title"))
 
 
-def _sql_text() -> str:
-    s = f"CASE WHEN {_TEXT} <> '' THEN {_TEXT} ELSE html END"
+def _sql_text(c: str = "html") -> str:
+    main = _TEXT.format(c=c)
+    s = f"CASE WHEN {main} <> '' THEN {main} ELSE {c} END"
     for tag in ("script", "style", "nav", "header", "footer", "noscript"):
         s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
     s = f"regexp_replace(regexp_replace({s}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
@@ -236,20 +229,45 @@ def h28b(v):
     return v("pages").select("page_id", H.text(F.col("html")).alias("text"))
 
 
-@query("h29_links")
+_ALL = "regexp_extract_all(html, '{p}', 1)"
+_HREFS = " || ".join(_ALL.format(p=p.replace("'", "''")) for p in H.LINKS)
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*"
+
+
+def link_ctes(pages: str) -> str:
+    """Common table expressions up to lk (page_id, link, kind), the links of pages (page_id, url, html)."""
+    skip = " OR ".join(f"regexp_matches(link, '{p}')" for p in U.SKIP)
+    return rf"""l AS (SELECT page_id, url, unnest(list_distinct({_HREFS})) AS href FROM {pages}), f AS (SELECT * FROM l WHERE NOT regexp_matches(href, '{H.NOT_FOLLOWED}')),
+a AS (SELECT page_id, CASE WHEN regexp_matches(href, '^{_SCHEME}:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^({_SCHEME}:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^({_SCHEME}://[^/?#]*)', 1) || href ELSE regexp_replace(regexp_extract(url, '^({_SCHEME}://[^?#]*)', 1), '[^/]*$', '') || href END AS u FROM f),
+b AS (SELECT *, {KS.format(u='u')} AS ks FROM a), nl AS (SELECT DISTINCT page_id, {NORM.format(u='u')} AS link FROM b),
+k AS (SELECT *, CASE WHEN regexp_matches(lower(regexp_extract(link, {_P}, 3)), '\.(?:{U.DOCUMENT})$') OR regexp_matches(lower(regexp_extract(link, {_P}, 4)), '(?:\.|type=|format=)(?:{U.DOCUMENT})') THEN 'document' ELSE 'page' END AS kind FROM nl WHERE link IS NOT NULL),
+lk AS (SELECT * FROM k WHERE kind = 'document' OR NOT ({skip}))"""
+
+
+@query("h29_links", f"WITH {link_ctes('pages')} SELECT page_id, link, kind FROM lk")
 def h29(v):
     return H.links(v("pages"))
 
 
-@query("h30_banners", "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<img[^>]*>')) AS tag FROM pages) SELECT page_id, regexp_extract(tag, 'src=\"([^\"]*)', 1) AS src, 0 AS rank FROM t WHERE regexp_matches(tag, '(?i)banner|slider|carousel|notice|hero|poster|announcement') AND NOT regexp_matches(tag, '(?i)logo|icon')")
+_BANNERS = """html || '<img class="banner" src="/b' || CAST(page_id AS STRING) || '.png"><img src="/logo-banner.png"><IMG alt="Notice board" src="n.jpg">'"""
+
+
+@query("h30_banners", f"""WITH h AS (SELECT page_id, {_BANNERS} AS html FROM pages), t AS (SELECT page_id, unnest(ts) AS tag, unnest(range(len(ts))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\\b[^>]*>') AS ts FROM h)),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS rank FROM t WHERE regexp_matches(tag, '(?i){H.BANNER}') AND NOT regexp_matches(tag, '(?i)logo|icon'))
+SELECT page_id, regexp_extract(tag, '(?i)\\bsrc\\s*=\\s*"([^"]*)', 1) AS src, rank FROM r WHERE rank < 5""")
 def h30(v):
-    return H.banners(v("pages"))
+    return H.banners(v("pages").select("page_id", F.expr(_BANNERS).alias("html")))
+
 
+_TABLE = "html || '<table><tr><th>a|b</th><th>n</th></tr><tr><td>x <b>y</b></td><td>' || CAST(page_id AS STRING) || '</td></tr></table><table class=\"nav\"><tr><td>1</td></tr><tr><td>2</td></tr></table>'"
 
-@query("h31_tables")
+
+@query("h31_tables", rf"""WITH h AS (SELECT page_id, {_TABLE} AS html FROM pages), t AS (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS table_no FROM (SELECT page_id, regexp_extract_all(html, '(?is)<table\b[^>]*>.*?</table>') AS ts FROM h)),
+r AS (SELECT page_id, table_no, unnest(rs) AS r, unnest(range(len(rs))) AS row_no FROM (SELECT page_id, table_no, regexp_extract_all(t, '(?is)<tr\b[^>]*>.*?</tr>') AS rs FROM t WHERE NOT regexp_matches(t, '(?i)<table[^>]*(?:calendar|nav)')) WHERE len(rs) >= 2),
+c AS (SELECT page_id, table_no, row_no, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM (SELECT page_id, table_no, row_no, regexp_extract_all(r, '(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>', 1) AS cs FROM r))
+SELECT page_id, table_no, row_no, string_agg({_sql_text("c")}, ' ; ' ORDER BY i) AS cells FROM c GROUP BY page_id, table_no, row_no""")
 def h31(v):
-    extra = F.lit("<table><tr><th>a|b</th><th>n</th></tr><tr><td>x <b>y</b></td><td>1</td></tr></table>")
-    return H.tables(v("pages").select("page_id", F.concat("html", extra).alias("html"))).select("page_id", "table_no", "row_no", F.array_join("cells", " ; ").alias("cells"))
+    return H.tables(v("pages").select("page_id", F.expr(_TABLE).alias("html"))).select("page_id", "table_no", "row_no", F.array_join("cells", " ; ").alias("cells"))
 
 
 @query("h32_portal_links", r"""WITH l AS (SELECT page_id, m, i FROM (SELECT page_id, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="[^"]*"[^>]*>[^<]*</a>') AS ms FROM pages))),
@@ -270,16 +288,43 @@ def h33(v):
     return v("events").select("event_id", due.alias("next_run"), (due <= now).alias("due"), (F.col("ts") < now - F.expr("interval 7 days")).alias("old"))
 
 
-@query("h34_lead_lines", r"WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 40)[1:3] AS ls FROM documents) SELECT doc_id, array_to_string(list_transform(ls, lambda x: trim(x)), ' ') AS summary FROM l")
+_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(c='x')}), lambda x: x <> '' AND NOT regexp_matches(x, '{T.LETTERHEAD}'))"
+
+
+@query("h34_lead_lines", f"SELECT doc_id, array_to_string(({_LINES})[1:3], ' ') AS summary FROM v_minutes")
 def h34(v):
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 40), 1, 3)
-    return v("documents").select("doc_id", F.array_join(F.transform(lines, F.trim), " ").alias("summary"))
+    return v("v_minutes").select("doc_id", T.lead_lines(F.col("text")).alias("summary"))
+
+
+@query("h34_meetings", f"""WITH j AS (SELECT doc_id, array_to_string({_LINES}, ' ') AS j FROM v_minutes), h AS (SELECT doc_id, regexp_extract(j, '{T.CONVENED}', 1) AS m, {_STRIP.format(c="regexp_replace(" + _STRIP.format(c=f"regexp_extract(j, '{T.CONVENED}', 2)") + r", '(?is)\s+(?:constitution|annexure|item|to\s+consider).*$', '')")} AS h FROM j WHERE regexp_matches(j, '{T.CONVENED}'))
+SELECT doc_id, {_STRIP.format(c='m')} AS meeting, CASE WHEN ends_with(h, '.') THEN h ELSE h || '.' END AS held FROM h""")
+def h34_meetings(v):
+    m = v("v_minutes").select("doc_id", T.convened(F.col("text")).alias("m"))
+    return m.where("m is not null").select("doc_id", "m.meeting", "m.held")
+
+
+@query("h34_attendees")
+def h34_attendees(v):
+    """Who was present; a fold over lines, which the tests hold against plain Python."""
+    return v("v_minutes").select("doc_id", F.array_join(T.attendees(F.col("text")), ", ").alias("names"))
 
 
-@query("h35_synopsis", r"SELECT department, course, department || ' / ' || course || ': ' || count(*) || ' documents, first ' || min(document_id) AS l0 FROM v_documents GROUP BY department, course")
+_SYNOPSIS = r"""WITH n AS (SELECT session_id, any_value(department) AS department, count(*) AS chunks FROM v_messages GROUP BY session_id),
+u0 AS (SELECT session_id, turn, '**' || upper(regexp_extract(content, '{unit}', 1)) || '**: ' || substring(regexp_replace(regexp_extract(content, '{unit}', 2), '^\s+|\s+$', '', 'g'), 1, 70) AS x FROM v_messages WHERE regexp_matches(content, '{unit}')),
+u AS (SELECT session_id, string_agg('- ' || x, chr(10) ORDER BY t) AS units FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t) AS k FROM (SELECT session_id, x, min(turn) AS t FROM u0 GROUP BY ALL)) WHERE k <= 6 GROUP BY session_id),
+s0 AS (SELECT session_id, turn, unnest(ss[1:2]) AS x, unnest(range(len(ss[1:2]))) AS i FROM (SELECT session_id, turn, list_filter(list_transform(string_split(content, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 35) AS ss FROM v_messages)),
+s AS (SELECT session_id, string_agg('- *"' || substring(x, 1, 140) || '"*', chr(10) ORDER BY t) AS concepts FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t) AS k FROM (SELECT session_id, x, min((turn, i)) AS t FROM s0 WHERE regexp_matches(lower(x), '{words}') GROUP BY ALL)) WHERE k <= 4 GROUP BY session_id),
+y AS (SELECT n.session_id, 'Material of ' || department || ', course all, titled ' || n.session_id || ', in ' || chunks || ' parts.' AS l0, coalesce(units, '- No units named.') AS units, coalesce(concepts, '- No concepts defined.') AS concepts FROM n LEFT JOIN u USING (session_id) LEFT JOIN s USING (session_id))
+SELECT session_id AS document_id, l0, '# ' || session_id || chr(10) || l0 || chr(10) || '## Units' || chr(10) || units || chr(10) || '## Concepts' || chr(10) || concepts AS l1 FROM y""".replace("{unit}", synopsis.UNIT).replace("{words}", synopsis.CONCEPT)
+
+
+@query("h35_synopsis", f"SELECT *, len(regexp_extract_all(l0, '\\S+')) AS l0_tokens, len(regexp_extract_all(l1, '\\S+')) AS l1_tokens FROM ({_SYNOPSIS})")
 def h35(v):
-    g = v("v_documents").groupBy("department", "course").agg(F.count("*").alias("n"), F.min("document_id").alias("first"))
-    return g.select("department", "course", F.concat(F.col("department"), F.lit(" / "), F.col("course"), F.lit(": "), F.col("n").cast("string"), F.lit(" documents, first "), F.col("first").cast("string")).alias("l0"))
+    """Short and long synopsis of each session, whose messages stand for the chunks of a document."""
+    m = v("v_messages")
+    chunks = m.select(F.col("session_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("content").alias("text"))
+    docs = m.groupBy(F.col("session_id").alias("document_id")).agg(F.max("department").alias("department")).select("document_id", F.col("document_id").alias("title"), "department", F.lit("all").alias("course"))
+    return synopsis.synopses(docs, chunks)
 
 
 @query("e9_first_matches", r"WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ing')) AS d, regexp_extract_all(text, '[A-Z][a-z]+ing') AS a FROM documents), x AS (SELECT doc_id, unnest(d) AS w, a FROM m), r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(a, w)) AS k FROM x) SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS found FROM r WHERE k <= 6 GROUP BY doc_id")
@@ -288,13 +333,17 @@ def e9(v):
     return v("documents").select("doc_id", F.array_join(found, " ").alias("found")).where("found <> ''")
 
 
-@query("k6_moderation", r"""WITH f AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, '\b(?:idiot|moron|stupid|loser|clown)\b') AND NOT regexp_matches(t, '\b(?:policy|regulation|complaint|committee)\b') THEN 'insult' WHEN regexp_matches(t, '\b(?:scum|trash|worthless|pathetic|disgusting)\b') THEN 'contempt' WHEN regexp_matches(t, '!!.*!!.*!!') THEN 'shouting' WHEN regexp_matches(t, '(?:\$\$|%%|&&|##|\*\*)') THEN 'noise' END AS category FROM f""")
+@query("k6_moderation")
 def k6(v):
-    return v("documents").select("doc_id", moderation.tag(F.col("text"))["category"].alias("category"))
+    """Category of each message and of the same text as feedback; the tests hold it against plain Python, as SQL lacks NFKD."""
+    q = F.col("q")
+    return v("v_questions").select("message_id", moderation.tag(q)["category"].alias("category"), moderation.tag(q, feedback=True)["category"].alias("as_feedback"))
+
+
+_RULE = "CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN {{t{i}}}" for i, (_, p) in enumerate(T.INJECTION)) + " END"
 
 
-@query("k7_injection", r"""SELECT message_id, CASE message_id % 4 WHEN 0 THEN 'SYSTEM_OVERRIDE_DIRECTIVE' WHEN 1 THEN 'SQL_CODE_INJECTION' END AS rule, CASE message_id % 4 WHEN 0 THEN 'Ignore all previous instructions' WHEN 1 THEN 'drop  table' END AS snippet FROM v_messages""")
+@query("k7_injection", "SELECT message_id, " + _RULE.format(**{f"t{i}": f"'{n}'" for i, (n, _) in enumerate(T.INJECTION)}) + " AS rule, " + _RULE.format(**{f"t{i}": f"regexp_extract(q, '{p}', 0)" for i, (_, p) in enumerate(T.INJECTION)}) + " AS snippet FROM v_questions")
 def k7(v):
-    n = F.col("message_id") % 4
-    r = T.injection_rule(F.concat(F.when(n == 0, "Ignore all previous instructions. ").when(n == 1, "drop  table x; ").otherwise(""), F.col("content")))
-    return v("v_messages").select("message_id", r["rule"].alias("rule"), r["snippet"].alias("snippet"))
+    r = T.injection_rule(F.col("q"))
+    return v("v_questions").select("message_id", r["rule"].alias("rule"), r["snippet"].alias("snippet"))

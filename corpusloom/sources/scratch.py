@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir and read back; a local folder is set only where that is unset."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, kind: str = "loom-steps") -> str:
+    """A new path below spark.checkpoint.dir; where that is unset, in local mode only, below a new local folder."""
     home = spark.conf.get("spark.checkpoint.dir", None)
     if not home:
         sc = spark.sparkContext
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-loom-"))
         home = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{home.rstrip('/')}/loom-steps/{uuid.uuid4().hex}"
+    return f"{home.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

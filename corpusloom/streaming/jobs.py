@@ -93,10 +93,19 @@ def limited(attempts: DataFrame, seconds: int = 60, limit: int = 20) -> DataFram
 
 
 def limited_batch(attempts: DataFrame, seconds: int = 60, limit: int = 20) -> DataFrame:
-    """The same over a table: a client's attempts in order; the limiter is a fold that no window expresses."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at_us")
-        return rows.assign(admitted=admitted(rows["at_us"].tolist(), seconds, limit, [])[0])
-
-    return attempts.select("user_id", "at_us").groupBy("user_id").applyInPandas(run, _ADMITTED)
+    """The same over a table: a client's attempts in order; the limiter is a fold that no window expresses. Attempts are sorted by
+    client and time in the partition and read batch by batch, so a task holds the admitted times of one client alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, history = None, []
+        for rows in batches:
+            parts = []
+            for key, mine in rows.groupby("user_id", sort=False, dropna=False):
+                if key != user:
+                    user, history = key, []
+                ok, history = admitted(mine["at_us"].tolist(), seconds, limit, history)
+                parts.append(mine.assign(admitted=ok))
+            if parts:
+                yield pd.concat(parts)
+
+    return attempts.select("user_id", "at_us").repartition("user_id").sortWithinPartitions("user_id", "at_us").mapInPandas(run, _ADMITTED)

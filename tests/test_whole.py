@@ -51,9 +51,9 @@ def test_whole_texts(spark, sf, tmp_path):
 
 
 def test_hybrid_embeds_whole_texts(spark, tmp_path):
-    docs = [(0, "x " * 2500 + "alpha beta gamma"), (1, "x " * 2500 + "other words")]
+    docs = [(0, "x " * 2500 + "alpha beta gamma " * 1500), (1, "x " * 2500 + "other words")]
     spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(10, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.chunk_id: r.dense_score for r in QUERIES["k4_hybrid"](spark, str(tmp_path)).collect()}
     assert got[0] > 0
 
@@ -65,7 +65,7 @@ def test_repeat_questions_by_whole_text(spark, tmp_path):
 
 
 def test_near_repeats_within_an_hour(spark, tmp_path):
-    rows = [(0, 1, [1.0, 0.0]), (3600, 1, [1.0, 0.0]), (7201, 1, [1.0, 0.0])]
+    rows = [(0, 1, [1.0, 0.0]), (3600, 1, [1.0, 0.0]), (7201, 1, [1.0, 0.0])]  # 3,600 and 3,601 apart
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in QUERIES["c17_near_repeats_hour"](spark, str(tmp_path)).collect()] == [(3600, 0, 1.0)]
 
