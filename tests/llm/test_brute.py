@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import decontam, fm_index, line_dedup, mixing, near_join, pii, quality_gam, quality_rules, textstats, toxicity, url_rules
 from corpusloom.llm import queries as q
 
+from . import plain
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -45,6 +47,16 @@ def test_quality_rules_query(spark, sf):
         assert r.base_failed == (n < 10 or 100 * repeat > 20 * n) and not (r.base_failed and r.kept)
 
 
+def test_kept_against_plain_walk(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality_rules.fit(docs, table(spark, sf, "labels"))
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()] + [(-1, None, None), (-2, "s", "word " * 9), (-3, "s", "a b c d e f g h i j # # #")]
+    odd = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    good = {d for d, _, _ in plain.good(rows, model, quality_rules.MIN_SCORE)}
+    assert {r.doc_id for r in quality_rules.judge(odd, model).collect() if r.kept} == good and 0 < len(good) < len(rows)
+    assert {r.doc_id for r in q.QUERIES["op1_quality_rules"](spark, sf).collect() if r.kept} == {d for d in good if d >= 0}
+
+
 def test_trees_are_monotonic_and_learn():
     rng = np.random.default_rng(1)
     x = rng.random((2000, len(quality_rules.FEATURES)))
@@ -193,9 +205,9 @@ def test_decontamination_against_plain_search(spark, monkeypatch, shard, block):
     docs = [(i, " ".join((text(10), rng.choice(items)[1].upper().replace("É", "é") if i % 2 else rng.choice(items)[1], text(8)))) for i in range(40)]
     monkeypatch.setattr(decontam, "PASS_BYTES", block)
     found = decontam.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), shard_words=shard).collect()
-    plain = plain_hits(docs, items)
+    hits = plain_hits(docs, items)
     for r in found:
-        assert (r.n_words, sum(s.end - s.start for s in r.spans), sorted(r["items"])) == plain[r.doc_id]
+        assert (r.n_words, sum(s.end - s.start for s in r.spans), sorted(r["items"])) == hits[r.doc_id]
 
 
 def test_spans_are_cut_out():
