@@ -98,9 +98,9 @@ def _parts(asked: DataFrame, posts: DataFrame, terms: DataFrame, n: int) -> Data
     return posts.join(q.join(idf(terms, n), "token"), "token").select("query_id", "chunk_id", part.alias("part"))
 
 
-def _best(parts: DataFrame, k: int) -> DataFrame:
-    scores = parts.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    return top_k(scores.where("score > 0").withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+def _top(sums: DataFrame, k: int) -> DataFrame:
+    scores = sums.where("part > 0").select("query_id", "chunk_id", F.round("part", 6).alias("score"))
+    return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
@@ -109,7 +109,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     Statistics cover the whole corpus, as counts by token; postings are made of the queries' tokens alone, and tokens that
     repeat in a query count again."""
     asked = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token"))
-    return _best(_parts(asked, postings(chunks, asked.select("token")), term_documents(chunks), chunks.count()), k)
+    parts = _parts(asked, postings(chunks, asked.select("token")), term_documents(chunks), chunks.count())
+    return _top(parts.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("part")), k)
 
 
 def bm25_boosted(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: Column | None = None) -> DataFrame:
@@ -118,7 +119,8 @@ def bm25_boosted(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: Colu
     title +8, others there -20, in the head +2, a gazette -25 unless results are asked for. scope: a condition on chunks, applied
     after the statistics.
 
-    Boosts are rows that are summed with the token parts, so a chunk without a token of the query can come in by them."""
+    Boosts for terms and codes are rows that are summed with the token parts, so a chunk without a token of the query can come in
+    by them; those for ordinals, bodies and gazettes are added to each pair of query and chunk that is found."""
     whole = chunks.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
     terms = term_documents(whole)
     q = materialise(queries.where(F.size(T.tokens(F.col("query"))) > 0).select("query_id", "query", T.query_tokens(F.col("query")).alias("t"), T.content_tokens(F.col("query")).alias("content")))
@@ -127,9 +129,10 @@ def bm25_boosted(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: Colu
     low = chunks if scope is None else chunks.where(scope)
     low = low.select("chunk_id", "course", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     posts = materialise(postings(whole, asked.select("token").union(rare.select("token"))).join(low.select("chunk_id"), "chunk_id", "left_semi"))
-    parts = _parts(asked, posts, terms, chunks.count())
-    boosts = (_all_terms(q, rare, posts, low), _code_parts(q, low), _named_parts(q, low))
-    return _best(reduce(DataFrame.union, boosts, parts), k)
+    named = _names(q, low)
+    parts = (_parts(asked, posts, terms, chunks.count()), _all_terms(q, rare, posts, low), _code_parts(q, low), _named_pairs(*named, k))
+    sums = reduce(DataFrame.union, parts).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("part"))
+    return _top(_with_names(sums, *named), k)
 
 
 def _rarest(q: DataFrame, terms: DataFrame) -> DataFrame:
@@ -171,18 +174,32 @@ RESULTS = r"gazette|result|marks|roll no|roll number|reappear|re-appear|scorecar
 GAZETTE = r"gazette|re-appear|annual exam"
 
 
-def _named_parts(q: DataFrame, low: DataFrame) -> DataFrame:
-    """A part for ordinals, named bodies and gazettes. It depends on few values of either side, so it is computed for each
-    pair of those and joined back to the queries and chunks that have them."""
+def _names(q: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What queries and chunks name: (query_id, a) and (chunk_id, b)."""
     head = F.left("text", F.lit(400))
     of_query = q.select("query_id", F.struct(F.array_sort(T.ordinals(F.col("query"))).alias("ordinals"), T.entity(F.col("query")).alias("body"), F.lower("query").rlike(RESULTS).alias("results")).alias("a"))
     of_chunk = low.select("chunk_id", F.struct(T.ordinal_words(F.col("title")).alias("ordinals"), T.ordinal_words(head).alias("head_ordinals"), T.entities(F.col("title")).alias("bodies"), T.entities(head).alias("head_bodies"), F.col("title").rlike(GAZETTE).alias("gazette")).alias("b"))
+    return of_query, materialise(of_chunk)
+
+
+def _named_pairs(of_query: DataFrame, of_chunk: DataFrame, k: int) -> DataFrame:
+    """Pairs that share an ordinal or a body, with a part of 0. What names add depends on what both sides name alone, so of the chunks
+    that name the same only the first k can be among the k best by names alone; the others come by their tokens or not at all."""
+    names = lambda ordinals, bodies: F.concat(F.transform(ordinals, lambda x: F.concat(F.lit("o"), x)), F.transform(bodies, lambda x: F.concat(F.lit("b"), x)))
+    b = lambda part: F.col(f"b.{part}")
+    keys = F.array_distinct(names(F.concat(b("ordinals"), b("head_ordinals")), F.concat(b("bodies"), b("head_bodies"))))
+    first = top_k(of_chunk.withColumn("keys", keys).where(F.size("keys") > 0), ["b"], [F.col("chunk_id")], k)
+    asked = of_query.select("query_id", F.explode(names(F.col("a.ordinals"), F.array_compact(F.array("a.body")))).alias("key"))
+    return first.select("chunk_id", F.explode("keys").alias("key")).join(asked, "key").select("query_id", "chunk_id", F.lit(0.0).alias("part")).distinct()
+
+
+def _with_names(sums: DataFrame, of_query: DataFrame, of_chunk: DataFrame) -> DataFrame:
+    """sums (query_id, chunk_id, part) with what ordinals, bodies and gazettes add."""
     asked, body = F.col("a.ordinals"), F.col("a.body")
     ordinal = F.when(F.size(asked) == 0, 0.0).when(F.arrays_overlap("b.ordinals", asked), 10.0).when(F.size("b.ordinals") > 0, -20.0).when(F.arrays_overlap("b.head_ordinals", asked), 3.0).otherwise(0.0)
     named = F.when(body.isNull(), 0.0).when(F.array_contains("b.bodies", body), 8.0).when(F.size("b.bodies") > 0, -20.0).when(F.array_contains("b.head_bodies", body), 2.0).otherwise(0.0)
-    part = ordinal + named + F.when(F.col("b.gazette") & ~F.col("a.results"), -25.0).otherwise(0.0)
-    pairs = of_query.select("a").distinct().crossJoin(of_chunk.select("b").distinct()).withColumn("part", part).where("part <> 0")
-    return of_chunk.join(pairs, "b").join(of_query, "a").select("query_id", "chunk_id", "part")
+    more = ordinal + named + F.when(F.col("b.gazette") & ~F.col("a.results"), -25.0).otherwise(0.0)
+    return sums.join(of_query, "query_id").join(of_chunk, "chunk_id").select("query_id", "chunk_id", (F.col("part") + more).alias("part"))
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, scope: str | None = None, block: int = 4096, shard: int = 100_000) -> DataFrame:
