@@ -51,9 +51,9 @@ def term_documents(chunks: DataFrame) -> DataFrame:
                 found = tokens(t.as_py())
                 every += len(found)
                 seen.update(set(found))
-            if len(seen) > 300_000:
-                yield flush()
-                seen.clear()
+                if len(seen) > 300_000:
+                    yield flush()
+                    seen.clear()
         if every:
             yield flush()
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([every], pa.int64())], ["token", "df"])
@@ -71,13 +71,22 @@ def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         keep = sent.value
         for b in batches:
-            ids, out = [], []
+            at, words, times, sizes = [], [], [], []
+
+            def flush():
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(times, pa.int64()), pa.array(sizes, pa.int64())], ["chunk_id", "token", "tf", "dl"])  # noqa: B023
+
             for i, t in enumerate(b.column(1)):
                 found = tokens(t.as_py())
-                for w, n in Counter(found if keep is None else filter(keep.__contains__, found)).items():
-                    ids.append(i)
-                    out.append((w, n, len(found)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64())))], ["chunk_id", "token", "tf", "dl"])
+                counts = Counter(found if keep is None else filter(keep.__contains__, found))
+                at += [i] * len(counts)
+                words += counts
+                times += counts.values()
+                sizes += [len(found)] * len(counts)
+                if len(at) > 50_000:
+                    yield flush()
+                    at, words, times, sizes = [], [], [], []
+            yield flush()
 
     found = chunks.select("chunk_id", "text").mapInArrow(run, f"chunk_id {kind.simpleString()}, token string, tf long, dl long")
     return found if few else found.join(wanted, "token", "left_semi")
