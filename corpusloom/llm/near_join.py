@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 ROWS = 4
 #: Classes in a block, about, and n-grams of all of them.
-BLOCK = 512
+BLOCK = 256
 BLOCK_GRAMS = 300_000
 _COLUMNS = 1024
 
@@ -222,7 +222,7 @@ def near_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
     grams = materialise(grams, "gram-sets")
     deal = pairs.select(F.concat_ws("|", "block", "other").alias("pair"), F.explode(F.when(F.col("block") == F.col("other"), F.array(F.struct("block", F.lit(2).alias("side")))).otherwise(F.array(F.struct("block", F.lit(0).alias("side")), F.struct(F.col("other").alias("block"), F.lit(1).alias("side"))))).alias("x")).select("pair", "x.block", "x.side")
     groups = grams.join(deal, "block").select("pair", "side", "cls", "grams", "copies")
-    groups = groups.repartition("pair").sortWithinPartitions("pair")
+    groups = groups.repartitionByRange("pair").sortWithinPartitions("pair")  # by range: large groups do not meet in a task by chance
     links = materialise(_verified(groups, threshold), "links")
     counts = links.groupBy("cls").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("linked"))
     roots = components(links.select(F.col("cls").alias("u"), F.col("root").alias("v")))
