@@ -31,7 +31,7 @@ MIN_CHI2 = 10.8
 HELD_OUT, HELD_REST = 3, 1
 THRESHOLD = 0.7
 #: Of the table of bits.
-BITS = 22
+BITS = 19
 _SIZES = (4, 5, 6)
 _PIECE = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -59,8 +59,7 @@ def grams(text: str | None):
                 if not len(h):
                     break
                 if n in _SIZES:
-                    x = (h[:_PIECE] + np.uint64(n)) * _BASE
-                    yield (x ^ (x >> np.uint64(29))) * _BASE
+                    yield (h[:_PIECE] + np.uint64(n)) * _BASE
 
 
 def distinct_grams(text: str | None) -> np.ndarray:
@@ -88,12 +87,14 @@ class NbLinear:
 
     def present(self, text: str | None) -> np.ndarray:
         """Numbers of the n-grams with a weight that a text has."""
-        found = [h[self.maybe[h >> np.uint64(64 - BITS)]] for h in grams(text)] if len(self.ids) else []
+        found = [h[self.maybe[(h >> np.uint64(64 - BITS)).view(np.int64)]] for h in grams(text)] if len(self.ids) else []
         if not found:
             return np.zeros(0, np.int64)
-        h = np.unique(np.concatenate(found))
+        h = np.concatenate(found)
         at = np.minimum(np.searchsorted(self.ids, h), len(self.ids) - 1)
-        return at[self.ids[at] == h]
+        has = np.zeros(len(self.ids), bool)
+        has[at[self.ids[at] == h]] = True
+        return np.flatnonzero(has)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[self.present(text)].sum(), -30, 30))))

@@ -138,8 +138,7 @@ def hash_of(gram):
     base, h = 0x9E3779B97F4A7C15, ord(gram[0])
     for c in gram[1:]:
         h = (h * base % m) ^ ord(c)
-    x = (h + len(gram)) * base % m
-    return (x ^ (x >> 29)) * base % m
+    return (h + len(gram)) * base % m
 
 
 def test_ngrams_of_pieces_are_those_of_the_whole(monkeypatch):
