@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, line_dedup, mixing, near_join, pii, quality_gam, quality_rules, toxicity, url_rules, warc
+from . import decontam, language_id, line_dedup, mixing, near_join, pii, quality_gam, quality_rules, toxicity, url_rules, variants, warc, whitening
 from .common import table
 
 QUERIES: dict = {}
@@ -105,3 +105,21 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = map(n, pii.KINDS)
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLE["op11_spelling_variants"] = variants.SQL
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
