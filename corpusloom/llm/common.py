@@ -104,3 +104,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").dropna().join(F.broadcast(picked), "doc_id")  # at most ``limit`` small rows
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def document_keys() -> tuple:
+    """Two hashes that stand for a document (doc_id, text)."""
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _r1, _r2 (its keys) of each document, one row for rows that repeat doc_id and text, however many. Keys are
+    counted first, and only rows that repeat are grouped."""
+    one, two = document_keys()
+    rows = docs.select("doc_id", "text", one.alias("_r1"), two.alias("_r2"))
+    again = rows.groupBy("_r1", "_r2").agg(F.count("*").alias("copies")).where("copies > 1").select("_r1", "_r2")
+    again = materialise(again, "repeated-rows")
+    if again.isEmpty():
+        return rows
+    copies = rows.join(again.hint("merge"), ["_r1", "_r2"], "left_semi").groupBy("_r1", "_r2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return rows.join(again.hint("merge"), ["_r1", "_r2"], "left_anti").unionByName(copies)

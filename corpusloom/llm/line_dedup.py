@@ -1,21 +1,25 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-Lines with words are hashed. From each line on, the shortest run of lines with ``min_words`` words is a window, and
-so is the shortest run that ends with each line. Every run of whole lines that two places share and that has
+Lines with words are hashed and numbered within their document. From each line on, the shortest run of lines with ``min_words`` words
+is a window, and so is the shortest run that ends with each line. Every run of whole lines that two places share and that has
 ``min_words`` words holds such a window at its first line and one at its last, so the window's minimal line hash, its
-fingerprint, is selected in both places (the guarantee of winnowing). Fingerprints found at one place only prune the
-windows; what is left is joined by position with the first place of the same content. Windows from the left and from
-the right extend a match both ways up to its ends, overlapping ones merge, and the later place of a run is deleted.
+fingerprint, is selected in both places (the guarantee of winnowing).
+
+Fingerprints found at one place only go. Of the others each place is joined with the first place that has the fingerprint in the
+same surroundings (the window's content), so that a line that stands everywhere meets one place for each of its surroundings and
+not all others. Such a pair of places is a seed: from it the hashes of the lines before and behind are compared outwards, both
+ways, until they differ; if what matches has ``min_words`` words, the later place is deleted. Two places of one document may not
+overlap; a match that would is cut to its windows.
 
 So a line goes exactly if it lies in a run of consecutive lines, ``min_words`` words or more, that stands earlier:
-in a document with a smaller doc_id, or further up without overlap. Lines are compared exactly (two 64-bit hashes),
+in a document with a smaller doc_id, or further up without overlap. Lines are compared by two 64-bit hashes,
 lines without a word are left out of runs, but go if they stand inside a deleted one.
 
 Defined cases: null texts stay null, empty ones empty; a null doc_id comes first in the order; rows with the same
-doc_id and text are one document and get the same result; very long texts are taken whole; of runs that tie for the first
-place the least doc_id, then the least line counts; an empty table gives an empty result. Columns of any other name are
-given back, but for those named as an output. Passages that a third
-of all documents share meet only as one row for each place joined with a single first place."""
+doc_id and text are one document (made one row before lines are taken, so that any number of them is one document's work) and get
+the same result; very long texts are taken whole; of runs that tie for the first place the least doc_id, then the least line
+counts; an empty table gives an empty result. Columns of any other name are given back, but for those named as an output. Passages that
+a third of all documents share meet only as one row for each place joined with a single first place."""
 
 from __future__ import annotations
 
@@ -23,54 +27,96 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, materialise
+from .common import WORD, document_keys, fresh, materialise, one_row_each
 
 MIN_WORDS = 50
 
 
-def _keys() -> tuple[Column, Column]:
-    """Two hashes that stand for a document."""
-    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
+def _lines(once: DataFrame) -> DataFrame:
+    """The lines with words of each document, as an array of pos (in the text), h, h2 and wc (words)."""
+    every = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("h2"), F.regexp_count(x, F.lit(WORD)).alias("wc")))
+    return once.where("text is not null").select("doc_id", "_r1", "_r2", F.filter(every, lambda x: x["wc"] > 0).alias("lines"))
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each window: document, first and last line, fingerprint (hash and line) and content hashes."""
-    one, two = _keys()
-    lines = docs.select("doc_id", one.alias("_r1"), two.alias("_r2"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))  # outer: else Spark splits a second time to filter
-    lines = lines.select("doc_id", "_r1", "_r2", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("wc")).where("wc > 0")
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each window: document, first and last line, fingerprint (hash and line), content hash. Lines are numbered from 0."""
+    rows = lines.select("doc_id", "_r1", "_r2", F.posexplode("lines").alias("i", "line")).select("doc_id", "_r1", "_r2", "i", "line.h", "line.h2", F.col("line.wc").cast("long").alias("wc"))
     doc = W.partitionBy("_r1", "_r2")
-    lines = lines.withColumn("above", F.lag("pos").over(doc.orderBy("pos"))).where("above is null or above <> pos")  # repeated rows
-    lines = lines.withColumn("upto", F.sum("wc").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("wc"))
+    rows = rows.withColumn("upto", F.sum("wc").over(doc.orderBy("i").rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("wc"))
 
     def window(frame, reach):
-        return F.struct(reach.over(frame).alias("reach"), F.sum("wc").over(frame).alias("words"), F.min(F.struct("h", "pos")).over(frame).alias("fp"), F.collect_list(F.struct("h", "h2")).over(frame).alias("content"))
+        return F.struct(reach.over(frame).alias("reach"), F.sum("wc").over(frame).alias("words"), F.min(F.struct("h", "i")).over(frame).alias("fp"), F.collect_list(F.struct("h", "h2")).over(frame).alias("content"))
+
+    rows = rows.withColumn("right", window(doc.orderBy("before").rangeBetween(0, min_words - 1), F.max("i")))
+    rows = rows.withColumn("left", window(doc.orderBy("upto").rangeBetween(1 - min_words, 0), F.min("i")))
+
+    def own(start, end, side):
+        return F.struct(start.alias("start"), end.alias("end"), F.col(f"{side}.words").alias("words"), F.col(f"{side}.fp").alias("fp"), F.xxhash64(f"{side}.content").alias("content"))
 
-    lines = lines.withColumn("right", window(doc.orderBy("before").rangeBetween(0, min_words - 1), F.max("pos")))
-    lines = lines.withColumn("left", window(doc.orderBy("upto").rangeBetween(1 - min_words, 0), F.min("pos")))
-    own = F.struct(F.col("pos").alias("start"), F.col("right.reach").alias("end"), F.col("right.words").alias("words"), F.col("right.fp").alias("fp"), F.col("right.content").alias("content"))
-    back = F.struct(F.col("left.reach").alias("start"), F.col("pos").alias("end"), F.col("left.words").alias("words"), F.col("left.fp").alias("fp"), F.col("left.content").alias("content"))
     new = F.col("left.words") - F.col("wc") >= min_words  # else it is its first line's own window
-    both = lines.select("doc_id", "_r1", "_r2", F.explode(F.when(new, F.array(own, back)).otherwise(F.array(own))).alias("w")).where(F.col("w.words") >= min_words)
-    return both.select("doc_id", "_r1", "_r2", "w.start", "w.end", F.col("w.fp.h").alias("fp"), F.col("w.fp.pos").alias("fp_pos"), F.xxhash64("w.content").alias("c1"), F.xxhash64(F.lit(1), "w.content").alias("c2"))
+    right, left = own(F.col("i"), F.col("right.reach"), "right"), own(F.col("left.reach"), F.col("i"), "left")
+    both = rows.select("doc_id", "_r1", "_r2", F.explode(F.when(new, F.array(right, left)).otherwise(F.array(right))).alias("w")).where(F.col("w.words") >= min_words)
+    return both.select("doc_id", "_r1", "_r2", "w.start", "w.end", F.col("w.fp.h").alias("fp"), F.col("w.fp.i").alias("at"), "w.content")
+
+
+def _surroundings(shared: DataFrame, lines: DataFrame) -> DataFrame:
+    """For each place of a shared fingerprint (_r1, _r2, at) the lines behind it, itself first, and those before it, the nearest first,
+    as far as windows that selected it reach."""
+    spots = shared.groupBy("_r1", "_r2", "at").agg(F.min("start").alias("low"), F.max("end").alias("high"))
+    of_doc = spots.groupBy("_r1", "_r2").agg(F.collect_list(F.struct("at", "low", "high")).alias("spots"))
+    x = lines.join(of_doc, ["_r1", "_r2"]).select("_r1", "_r2", "lines", F.explode("spots").alias("s"))
+    behind = F.slice("lines", F.col("s.at") + 1, F.col("s.high") - F.col("s.at") + 1)
+    before = F.reverse(F.slice("lines", F.col("s.low") + 1, F.col("s.at") - F.col("s.low")))
+    return materialise(x.select("_r1", "_r2", "s.at", behind.alias("behind"), before.alias("before")), "line-surroundings")
+
+
+def _matching(a: Column, b: Column) -> Column:
+    """How many lines two arrays share from their beginning on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["h2"] == y["h2"]), F.lit(False)))
+    end = F.array_position(same, False)
+    return F.when(end == 0, F.size(same)).otherwise(end - 1).cast("int")
+
+
+def _seeds(shared: DataFrame) -> DataFrame:
+    """Each pair of a later place (_r1, _r2, at) and a first one (f1, f2, first_at) once, and how far its windows reach (low, high)."""
+    place = F.struct("doc_id", "_r1", "_r2", "start", "end", "at")
+    first = shared.groupBy("fp", "content").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("fp", "content", "first")
+    first = materialise(first, "first-places")
+    later = shared.join(first.hint("merge"), ["fp", "content"])
+    same_doc = (F.col("_r1") == F.col("first._r1")) & (F.col("_r2") == F.col("first._r2"))
+    later = later.where(F.when(same_doc, F.col("start") > F.col("first.end")).otherwise(F.lit(True)))
+    pairs = later.groupBy("_r1", "_r2", "at", F.col("first._r1").alias("f1"), F.col("first._r2").alias("f2"), F.col("first.at").alias("first_at"))
+    return materialise(pairs.agg(F.min("start").alias("low"), F.max("end").alias("high")), "line-seeds")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_r1, _r2 (a document's keys), start and end of each run of lines that stands earlier."""
-    win = materialise(windows(docs, min_words), "line-windows")
-    place = F.xxhash64("_r1", "_r2", "fp_pos")
-    prints = win.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
+    """_r1, _r2 (a document's keys), start and end (lines of the text) of each run of lines that stands earlier."""
+    lines = _lines(one_row_each(docs))
+    win = materialise(windows(lines, min_words), "line-windows")
+    spot = F.xxhash64("_r1", "_r2", "at")
+    prints = win.groupBy("fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("fp")
     prints = materialise(prints, "fingerprints")  # written, so that the joins can split hot keys; never broadcast, as it grows
     shared = win.join(prints.hint("merge"), "fp", "left_semi")
-    at = F.struct("doc_id", "_r1", "_r2", "start", "end")
-    first = shared.groupBy("c1", "c2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("c1", "c2", "first")
-    first = materialise(first, "first-places")
-    later = shared.join(first.hint("merge"), ["c1", "c2"])
-    same_doc = (F.col("_r1") == F.col("first._r1")) & (F.col("_r2") == F.col("first._r2"))
-    later = later.where(F.when(same_doc, F.col("start") > F.col("first.end")).otherwise(F.lit(True))).select("_r1", "_r2", "start", "end")
+    seeds, around = _seeds(shared), _surroundings(shared, lines)
+    theirs = around.select(F.col("_r1").alias("f1"), F.col("_r2").alias("f2"), F.col("at").alias("first_at"), F.col("behind").alias("their_behind"), F.col("before").alias("their_before"))
+    x = seeds.join(around.hint("merge"), ["_r1", "_r2", "at"]).join(theirs.hint("merge"), ["f1", "f2", "first_at"])
+    x = x.withColumns({"down": _matching(F.col("behind"), F.col("their_behind")), "up": _matching(F.col("before"), F.col("their_before"))})
+    # Within one document a match may not overlap its source: one that would is cut to the windows, of which none does.
+    same_doc = (F.col("_r1") == F.col("f1")) & (F.col("_r2") == F.col("f2"))
+    overlaps = same_doc & (F.col("down") + F.col("up") > F.col("at") - F.col("first_at"))
+    x = x.withColumns({"down": F.when(overlaps, F.least("down", F.col("high") - F.col("at") + 1)).otherwise(F.col("down")), "up": F.when(overlaps, F.least("up", F.col("at") - F.col("low"))).otherwise(F.col("up"))})
+    down, up = F.slice("behind", 1, F.col("down")), F.slice("before", 1, F.col("up"))
+    words = F.aggregate(F.concat(up, down), F.lit(0).cast("long"), lambda a, y: a + y["wc"])
+    runs = x.where(words >= min_words).select("_r1", "_r2", F.when(F.col("up") > 0, F.element_at(up, -1)["pos"]).otherwise(F.col("behind")[0]["pos"]).alias("start"), F.element_at(down, -1)["pos"].alias("end"))
+    return _merged(runs)
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """Runs of each document with those that overlap made one."""
     order = W.partitionBy("_r1", "_r2").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    later = later.withColumn("new", (F.coalesce(F.col("start") > reach + 1, F.lit(True))).cast("int"))
-    runs = later.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.withColumn("new", (F.coalesce(F.col("start") > reach + 1, F.lit(True))).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return runs.groupBy("_r1", "_r2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
@@ -80,7 +126,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_out: str = "te
     Columns of docs named as an output are replaced by it."""
     runs, k1, k2 = fresh(docs, "runs", "k1", "k2")
     found = repeated_runs(docs, min_words).groupBy(F.col("_r1").alias(k1), F.col("_r2").alias(k2)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(runs))
-    one, two = _keys()
+    one, two = document_keys()
     rows = docs.withColumns({k1: one, k2: two}).join(found, [k1, k2], "left")
     lines = F.split("text", "\n")
     starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"] + 1))

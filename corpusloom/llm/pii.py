@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import document_keys, materialise, one_row_each
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -72,7 +72,7 @@ def base_test(source: Column, match: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """_r1, _r2 (a document's keys), source, kind, start, end, match, before, after and base of each candidate."""
-    d = docs.select(F.xxhash64("doc_id", "text").alias("_r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_r2"), "text").where(F.col("text").rlike(r"[0-9@\[({]"))
+    d = one_row_each(docs.where(F.col("text").rlike(r"[0-9@\[({]"))).select("_r1", "_r2", "text")
     for name, (_, pattern, needs) in SOURCES.items():
         has = F.col("text").rlike(needs)
         d = d.withColumn(f"m_{name}", F.when(has, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -85,7 +85,6 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     rows = d.select("_r1", "_r2", F.explode(F.concat(*map(found, SOURCES))).alias("x")).select("_r1", "_r2", "x.*")
     run = W.partitionBy("_r1", "_r2", "source").orderBy("pos")
-    rows = rows.withColumn("above", F.lag("pos").over(run)).where("above is null or above <> pos")  # repeated rows
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(run.rowsBetween(W.unboundedPreceding, 0)))
     kind = F.coalesce(*(F.when(F.col("source") == s, k) for s, (k, _, _) in SOURCES.items()))
     return rows.select("_r1", "_r2", "source", kind.alias("kind"), (F.col("end") - F.length("match")).alias("start"), "end", "match", "before", "after", base_test(F.col("source"), F.col("match")).alias("base"))
@@ -194,7 +193,8 @@ def report(docs: DataFrame, min_probability: float = MIN_PROBABILITY) -> DataFra
     rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)))
     s = F.struct("start", rank.alias("rank"), "kind", "end")
     spans = find(docs, min_probability).groupBy("_r1", "_r2").agg(F.sort_array(F.collect_list(F.when(F.col("base"), s))).alias("base_spans"), F.sort_array(F.collect_list(s)).alias("spans"))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_r2"))
+    one, two = document_keys()
+    rows = docs.select("doc_id", one.alias("_r1"), two.alias("_r2"))
     kind = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
     return rows.join(spans, ["_r1", "_r2"], "left").select("doc_id", *(F.coalesce(F.col(c), F.array()).cast(kind).alias(c) for c in ("base_spans", "spans")))
 
