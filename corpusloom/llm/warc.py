@@ -23,6 +23,7 @@ read, whatever other columns there are."""
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -124,33 +125,40 @@ def parse(raw: bytes) -> dict:
     return {"page_id": _page(fields.get("warc-record-id")), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")), "payload": payload if kind == "response" else None}
 
 
+#: The blank line that ends a header; archives of other hands may end lines by LF alone.
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The records of an inflated stream, holding one of them and a piece."""
-    have, need = bytearray(), 0
+    """The records of an inflated stream, holding one of them and a piece. Header lines and the end of a record get CRLF, whatever
+    they had."""
+    have, head, need, seen = bytearray(), b"", -1, 0
     for piece in pieces:
         have += piece
         while True:
-            if not need:
-                while have[:2] == b"\r\n":  # more blank lines than two
-                    del have[:2]
-                end = have.find(b"\r\n\r\n")
-                if end < 0:
+            if need < 0:
+                have = have.lstrip(b"\r\n")  # the end of the record before, and more blank lines than two
+                end = _HEAD_END.search(have, max(0, seen - 3))
+                if not end:
+                    seen = len(have)
                     break
-                need = end + 4 + _length(_fields(bytes(have[:end]))) + 4
+                head = b"\r\n".join(bytes(have[: end.start()]).splitlines())
+                need, seen = _length(_fields(head)), 0
+                del have[: end.end()]
             if len(have) < need:
                 break
-            yield bytes(have[:need])
+            yield head + b"\r\n\r\n" + bytes(have[:need]) + b"\r\n\r\n"
             del have[:need]
-            need = 0
-    if have.strip(b"\r\n"):
+            need = -1
+    if need >= 0 or have.strip(b"\r\n"):
         raise ValueError("the archive ends within a record")
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """A gzip stream's content, of one member or several."""
+    """A gzip stream's content, of one member or several; zero bytes between and behind members are padding."""
     z, begun = zlib.decompressobj(31), False
     while piece := stream.read(_PIECE):
-        while piece:
+        while piece := piece if begun else piece.lstrip(b"\0"):
             begun = True
             yield z.decompress(piece, 8 * _PIECE)
             while z.unconsumed_tail:

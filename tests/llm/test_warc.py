@@ -73,3 +73,20 @@ def test_text_ids(spark):
     index, folder = warc.archive_pages(pages)
     got = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_records(index, folder, page_id="string").collect()}
     assert got == {("", "response", None), ("a b\r\n", "revisit", ""), (None, "revisit", "")}
+
+
+def test_archives_of_other_hands():
+    given = [warc.record(str(i), "http://a", b"x" * i + b"\n\n\r\n" * i, "d", "response", None) for i in range(5)]
+    read = lambda data: list(warc.records(warc.inflated(io.BytesIO(data))))
+
+    def by_lf(raw):
+        head, body = raw.split(b"\r\n\r\n", 1)
+        return head.replace(b"\r\n", b"\n") + b"\n\n" + body[:-4] + b"\n\n"
+
+    assert read(gzip.compress(b"".join(given)) + bytes(3_000_000)) == given  # padded
+    assert read(b"".join(gzip.compress(x) + bytes(7) for x in given)) == given
+    assert read(gzip.compress(b"".join(map(by_lf, given)))) == given
+    assert read(b"") == []
+    for bad in (gzip.compress(b"".join(given))[:-20], gzip.compress(b"".join(given)[:-40])):
+        with pytest.raises(ValueError):
+            read(bad)
