@@ -246,12 +246,13 @@ def near_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
 
 def keep_one_each(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without near copies: of each class the document that names it stays; texts without words all stay."""
-    k_id, k_th, k_words, th, one = fresh(docs, "k_id", "k_th", "k_words", "th", "one")
+    k_id, k_th, k_words, th, one, own = fresh(docs, "k_id", "k_th", "k_words", "th", "one", "own")
     stay = near_join(docs, n, threshold).where("first").select(F.col("doc_id").alias(k_id), F.col("th").alias(k_th), F.col("has_words").alias(k_words)).distinct()
     rows = docs.withColumn(th, F.xxhash64("text"))
     rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay[k_id]) & (rows[th] == stay[k_th]))
-    first = F.row_number().over(W.partitionBy(k_id, k_th).orderBy(th))
-    return rows.withColumn(one, first).where((F.col(one) == 1) | ~F.col(k_words)).select(*docs.columns)
+    rows = rows.withColumn(own, F.when(~F.col(k_words), F.monotonically_increasing_id()))  # texts without words all stay
+    first = F.row_number().over(W.partitionBy(k_id, k_th, own).orderBy(th))
+    return rows.withColumn(one, first).where(F.col(one) == 1).select(*docs.columns)  # each task keeps one row before the shuffle
 
 
 #: DuckDB form: all pairs of different n-gram sets that share an n-gram, exactly.
