@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections import Counter
 from functools import reduce
@@ -27,12 +28,18 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 _TOKEN = re.compile("[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Tokens that a task may be sent to choose by; beyond it they are joined.
 MOST_WANTED = 200_000
+#: Queries, and tokens and codes of theirs, that may be sent to the tasks that read a corpus; beyond it postings are joined.
+MOST_QUERIES, MOST_ASKED = 4096, 1_000_000
 
 
-def tokens(text: str | None) -> list[str]:
-    """The tokens of ``T.tokens``, in plain Python for Arrow tasks: a corpus is too large for arrays of all its tokens."""
-    found = _TOKEN.findall(text.lower()) if text else []
-    return [w for t in found for w in ((t, t.replace(".", "").replace("-", "")) if "." in t or "-" in t else (t,)) if len(w) > 1]
+def token_counts(text: str | None) -> Counter:
+    """Counts of the tokens of ``T.tokens``, in plain Python for Arrow tasks: a corpus is too large for arrays of all its tokens."""
+    found = Counter(_TOKEN.findall(text.lower())) if text else Counter()
+    for t in [t for t in found if "." in t or "-" in t]:
+        found[t.replace(".", "").replace("-", "")] += found[t]
+    for t in [t for t in found if len(t) < 2]:
+        del found[t]
+    return found
 
 
 def term_documents(chunks: DataFrame) -> DataFrame:
@@ -48,9 +55,9 @@ def term_documents(chunks: DataFrame) -> DataFrame:
 
         for b in batches:
             for t in b.column(0):
-                found = tokens(t.as_py())
-                every += len(found)
-                seen.update(set(found))
+                found = token_counts(t.as_py())
+                every += found.total()
+                seen.update(found.keys())
                 if len(seen) > 300_000:
                     yield flush()
                     seen.clear()
@@ -77,12 +84,12 @@ def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(times, pa.int64()), pa.array(sizes, pa.int64())], ["chunk_id", "token", "tf", "dl"])  # noqa: B023
 
             for i, t in enumerate(b.column(1)):
-                found = tokens(t.as_py())
-                counts = Counter(found if keep is None else filter(keep.__contains__, found))
-                at += [i] * len(counts)
-                words += counts
-                times += counts.values()
-                sizes += [len(found)] * len(counts)
+                found = token_counts(t.as_py())
+                held = [w for w in found if w in keep] if keep is not None else list(found)
+                at += [i] * len(held)
+                words += held
+                times += map(found.__getitem__, held)
+                sizes += [found.total()] * len(held)
                 if len(at) > 50_000:
                     yield flush()
                     at, words, times, sizes = [], [], [], []
@@ -112,34 +119,225 @@ def _top(sums: DataFrame, k: int) -> DataFrame:
     return top_k(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
+class _Asked:
+    """A block of queries as the tasks need it: weights of tokens by query, and what boosts depend on."""
+
+    def __init__(self, rows: list, known: dict[str, tuple[int, float]], average: float):
+        self.ids, self.average = [r["query_id"] for r in rows], average
+        self.tokens: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        by: dict[str, Counter] = {}
+        for i, r in enumerate(rows):
+            for t in r["tokens"]:
+                by.setdefault(t, Counter())[i] += 1
+        for t, times in by.items():
+            if t in known:
+                self.tokens[t] = (np.fromiter(times, np.int64), known[t][1] * np.fromiter(times.values(), np.float64))
+        self.rare: dict[str, list[int]] = {}  # the rarest content term of each query with two or more
+        self.terms: list[list[str]] = []
+        self.codes: dict[str, dict[str, list[int]]] = {}  # by a letter and a digit side by side, then by code; repeats count again
+        names: dict[str, int] = {}
+        self.name_of = np.zeros(len(rows), np.int64)
+        for i, r in enumerate(rows):
+            self.terms.append(list(dict.fromkeys(r["content"])) if len(r["content"]) > 1 else [])
+            if self.terms[-1]:
+                self.rare.setdefault(min(self.terms[-1], key=lambda t: (known.get(t, (0,))[0], t)), []).append(i)
+            for c in r["codes"]:
+                self.codes.setdefault(_PAIR.search(c)[0], {}).setdefault(c, []).append(i)
+            self.name_of[i] = names.setdefault(r["names"], len(names))
+        self.names = [json.loads(x) for x in names]
+        self.rare_lengths = sorted({len(t) for t in self.rare})
+
+    def rows(self, best: list[list[tuple]], types: tuple) -> pa.RecordBatch:
+        out = [(self.ids[q], c, -s) for q, found in enumerate(best) for s, c in found]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((*types, pa.float64()))], ["query_id", "chunk_id", "score"])
+
+
+#: A letter and a digit side by side: every code has them.
+_PAIR, _PAIRS = re.compile("[a-z][0-9]|[0-9][a-z]"), re.compile("(?=([a-z][0-9]|[0-9][a-z]))")
+
+
+def _name_boost(a: dict, b: dict) -> float:
+    """What ordinals, bodies and gazettes add to a query that names a and a chunk that names b."""
+    asked, body, out = set(a["ordinals"]), a.get("body"), 0.0
+    if asked:
+        out += 10 if asked & set(b["ordinals"]) else -20 if b["ordinals"] else 3 if asked & set(b["head_ordinals"]) else 0
+    if body is not None:
+        out += 8 if body in b["bodies"] else -20 if b["bodies"] else 2 if body in b["head_bodies"] else 0
+    return out - 25 if b["gazette"] and not a["results"] else out
+
+
+class _Scorer:
+    """The k best chunks so far of each query of a block, of the chunks that one task reads.
+
+    Chunks come in blocks. A block is an index: for each asked token the chunks that hold it, their weights and the largest of them.
+    The sum of the largest weights of its tokens, and of its largest boost, is the most that a query can get in the block; only queries
+    for which that reaches their k-th score so far are scored."""
+
+    def __init__(self, asked: _Asked, k: int):
+        self.asked, self.k = asked, k
+        self.best: list[list[tuple]] = [[] for _ in asked.ids]
+        self.least = np.full(len(asked.ids), -np.inf)
+        self.by_token: dict[str, list[int]] = {}
+        self.by_names: dict[str, np.ndarray] = {}
+
+    def _with_rare(self, token: str) -> list[int]:
+        """Queries whose rarest content term the token holds."""
+        if (found := self.by_token.get(token)) is None:
+            if len(self.by_token) > 500_000:
+                self.by_token.clear()
+            rare, hit = self.asked.rare, set()
+            for n in self.asked.rare_lengths:
+                for i in range(len(token) - n + 1):
+                    if (part := token[i : i + n]) in rare:
+                        hit.update(rare[part])
+            found = self.by_token[token] = sorted(hit)
+        return found
+
+    def _boosts(self, counts: list[Counter], titles: list[str], texts: list[str], heads: list[str], names: list[str]) -> np.ndarray:
+        a = self.asked
+        out = np.zeros((len(counts), len(a.ids)))
+        for i, n in enumerate(names):
+            if n not in self.by_names:
+                b = json.loads(n)
+                self.by_names[n] = np.array([_name_boost(x, b) for x in a.names])[a.name_of]
+            out[i] = self.by_names[n]
+        for i, (found, title, text, head) in enumerate(zip(counts, titles, texts, heads, strict=True)):
+            for q in {q for t in found for q in self._with_rare(t)} if a.rare else ():
+                if all(t in text or t in title for t in a.terms[q]):
+                    out[i, q] += 35
+            for pair in set(_PAIRS.findall(head)) if a.codes else ():
+                for code, qs in a.codes.get(pair, {}).items():
+                    if code in head:
+                        for q in qs:
+                            out[i, q] += 15
+        return out
+
+    def add(self, ids: list, counts: list[Counter], boost: tuple | None = None) -> None:
+        a, posts = self.asked, {}
+        for i, found in enumerate(counts):
+            norm = K1 * (1 - B + B * found.total() / a.average) if a.average else K1
+            for t in found.keys() & a.tokens.keys():
+                at, weights = posts.setdefault(t, ([], []))
+                at.append(i)
+                weights.append(found[t] * (K1 + 1) / (found[t] + norm))
+        more = self._boosts(counts, *boost) if boost else None
+        most = np.zeros(len(a.ids)) if more is None else more.max(0, initial=-np.inf)
+        for t, (_, weights) in posts.items():
+            qs, by = a.tokens[t]
+            most[qs] += np.maximum(by * max(weights), 0)
+        live = (most > 0) & (most >= self.least - 1e-5)
+        if not live.any():
+            return
+        place = np.cumsum(live) - 1
+        scores = np.zeros((len(ids), int(live.sum()))) if more is None else more[:, live]
+        for t, (at, weights) in posts.items():
+            qs, by = a.tokens[t]
+            on = live[qs]
+            if on.any():
+                scores[np.ix_(at, place[qs[on]])] += np.outer(weights, by[on])
+        k = self.k
+        for q, row in zip(np.flatnonzero(live), scores.T, strict=True):
+            good = np.flatnonzero((row > 0) & (row >= self.least[q] - 1e-5))
+            if len(good) > k:
+                cut = np.partition(row[good], -k)[-k]
+                good = good[row[good] >= cut - 1e-5]
+            if len(good):
+                found = zip((-np.round(row[good], 6)).tolist(), (ids[i] for i in good), strict=True)
+                self.best[q] = heapq.nsmallest(k, [*self.best[q], *found])
+                if len(self.best[q]) == k:
+                    self.least[q] = -self.best[q][-1][0]
+
+
+#: Chunks to a block of the index in a task.
+BLOCK = 256
+
+
+def _asked_block(asked: DataFrame, terms: DataFrame, n: int) -> _Asked | None:
+    """asked (query_id, tokens, content, codes, names) as an object for the tasks; None if it is larger than what may be sent."""
+    size = asked.agg(F.count("*"), F.sum(F.size("tokens") + F.size("content") + F.size("codes"))).first()
+    if size[0] > MOST_QUERIES or (size[1] or 0) > MOST_ASKED:
+        return None
+    every = terms.where("token is null").agg(F.sum("df")).first()[0] or 0
+    wanted = asked.select(F.explode(F.array_union("tokens", "content")).alias("token")).distinct()
+    known = {r["token"]: (r["df"], r["idf"]) for r in idf(terms, n).join(wanted, "token").toLocalIterator()}
+    return _Asked(list(asked.toLocalIterator()), known, every / max(n, 1))
+
+
+def _best_in_tasks(asked: _Asked, chunks: DataFrame, query_type, k: int) -> DataFrame:
+    """query_id, chunk_id, score, rank: each task keeps its k best of each query. chunks: chunk_id, whole, and for boosts title, text, head
+    and names."""
+    spark, types = chunks.sparkSession, (to_arrow_type(query_type), to_arrow_type(chunks.schema["chunk_id"].dataType))
+    sent = spark.sparkContext.broadcast(asked)  # MOST_QUERIES and MOST_ASKED at most
+
+    def run(batches):
+        scorer = _Scorer(sent.value, k)
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                ids, whole, *rest = [c.to_pylist() for c in b.slice(at, BLOCK).columns]
+                scorer.add(ids, [token_counts(t) for t in whole], rest or None)
+        yield sent.value.rows(scorer.best, types)
+
+    found = chunks.mapInArrow(run, f"query_id {query_type.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double")
+    return top_k(found, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+
+
+def _no_boosts() -> list[Column]:
+    none = F.array().cast("array<string>")
+    return [none.alias("content"), none.alias("codes"), F.lit("{}").alias("names")]
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best chunks of each query (query_id, query), without boosts.
 
-    Statistics cover the whole corpus, as counts by token; postings are made of the queries' tokens alone, and tokens that
-    repeat in a query count again."""
-    asked = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token"))
-    parts = _parts(asked, postings(chunks, asked.select("token")), term_documents(chunks), chunks.count())
+    Statistics cover the whole corpus, as counts by token; tokens that repeat in a query count again. Queries are sent to the tasks
+    that read the corpus, and k rows for each query and task are shuffled. Where they are too many to be sent (MOST_QUERIES,
+    MOST_ASKED), postings of their tokens are joined with them instead."""
+    terms, n = term_documents(chunks), chunks.count()
+    queries = queries.where("query is not null")
+    asked = _asked_block(queries.select("query_id", T.query_tokens(F.col("query")).alias("tokens"), *_no_boosts()), terms, n)
+    if asked is not None:
+        return _best_in_tasks(asked, chunks.select("chunk_id", "text"), queries.schema["query_id"].dataType, k)
+    tokens = queries.select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("token"))
+    parts = _parts(tokens, postings(chunks, tokens.select("token")), terms, n)
     return _top(parts.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("part")), k)
 
 
-def bm25_boosted(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: Column | None = None) -> DataFrame:
+def _titled(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
+
+
+def statistics_of(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """Counts by token and the number of chunks (chunk_id, title, text), for searches that use them more than once."""
+    return term_documents(_titled(chunks)), chunks.count()
+
+
+def bm25_boosted(queries: DataFrame, chunks: DataFrame, k: int = 20, scope: Column | None = None, statistics: tuple | None = None) -> DataFrame:
     """The same over chunks (chunk_id, title, course, text) with ordinal synonyms in the queries and boosts: all content terms
     (two or more) held +35, each code +15, ordinals in the title +10, others there -20, in the head +3, the named body in the
     title +8, others there -20, in the head +2, a gazette -25 unless results are asked for. scope: a condition on chunks, applied
-    after the statistics.
-
-    Boosts for terms and codes are rows that are summed with the token parts, so a chunk without a token of the query can come in
-    by them; those for ordinals, bodies and gazettes are added to each pair of query and chunk that is found."""
-    whole = chunks.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
-    terms = term_documents(whole)
+    after the statistics. statistics: what ``statistics_of`` gave for these chunks.
+
+    Tasks score blocks of chunks and queries, so that a chunk without a token of the query can come in by boosts. Where queries are too
+    many to be sent, boosts for terms and codes are rows that are summed with the token parts, and those for ordinals, bodies and
+    gazettes are added to each pair of query and chunk that is found."""
+    terms, n = statistics or statistics_of(chunks)
+    tokens = F.col("t")
+    read = queries.where(F.size(T.tokens(F.col("query"))) > 0).select("query_id", "query", T.query_tokens(F.col("query")).alias("t"))
+    asked = _asked_block(read.select("query_id", T.with_synonyms(tokens).alias("tokens"), T.content_tokens(F.col("query")).alias("content"), T.codes(F.col("query")).alias("codes"), F.to_json(_query_names()).alias("names")), terms, n)
+    if asked is not None:
+        some = chunks if scope is None else chunks.where(scope)
+        title, text = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
+        seen = some.select("chunk_id", F.concat_ws(" ", "title", "text").alias("whole"), title.alias("title"), text.alias("text"), F.coalesce("course", F.lit("")).alias("course"))
+        seen = seen.select("chunk_id", "whole", "title", "text", _code_head().alias("head"), F.to_json(_chunk_names()).alias("names"))
+        return _best_in_tasks(asked, seen, queries.schema["query_id"].dataType, k)
     q = materialise(queries.where(F.size(T.tokens(F.col("query"))) > 0).select("query_id", "query", T.query_tokens(F.col("query")).alias("t"), T.content_tokens(F.col("query")).alias("content")))
     asked = q.select("query_id", F.explode(T.with_synonyms(F.col("t"))).alias("token"))
     rare = _rarest(q, terms)
     low = chunks if scope is None else chunks.where(scope)
     low = low.select("chunk_id", "course", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    posts = materialise(postings(whole, asked.select("token").union(rare.select("token"))).join(low.select("chunk_id"), "chunk_id", "left_semi"))
+    posts = materialise(postings(_titled(chunks), asked.select("token").union(rare.select("token"))).join(low.select("chunk_id"), "chunk_id", "left_semi"))
     named = _names(q, low)
-    parts = (_parts(asked, posts, terms, chunks.count()), _all_terms(q, rare, posts, low), _code_parts(q, low), _named_pairs(*named, k))
+    parts = (_parts(asked, posts, terms, n), _all_terms(q, rare, posts, low), _code_parts(q, low), _named_pairs(*named, k))
     sums = reduce(DataFrame.union, parts).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("part"))
     return _top(_with_names(sums, *named), k)
 
@@ -168,13 +366,17 @@ def _all_terms(q: DataFrame, rare: DataFrame, posts: DataFrame, low: DataFrame)
     return x.where(F.forall("content", lambda t: F.contains(F.col("text"), t) | F.contains(F.col("title"), t))).select("query_id", "chunk_id", F.lit(35.0).alias("part"))
 
 
+def _code_head() -> Column:
+    """Title, course and head of a chunk without separators."""
+    return F.lower(F.regexp_replace(F.concat_ws(" ", "title", F.coalesce("course", F.lit("")), F.left("text", F.lit(1200))), r"[\s_-]", ""))
+
+
 def _code_parts(q: DataFrame, low: DataFrame) -> DataFrame:
     """A part for each code of a query in title, course and head of a chunk, separators left out. Codes are met by their first
     letter and digit side by side."""
     codes = q.select("query_id", F.explode(T.codes(F.col("query"))).alias("code")).groupBy("query_id", "code").agg(F.count("*").alias("times"))
     codes = codes.withColumn("pair", F.regexp_extract("code", "[a-z][0-9]|[0-9][a-z]", 0))
-    head = F.lower(F.regexp_replace(F.concat_ws(" ", "title", F.coalesce("course", F.lit("")), F.left("text", F.lit(1200))), r"[\s_-]", ""))
-    x = low.select("chunk_id", head.alias("head")).withColumn("pair", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit("(?=([a-z][0-9]|[0-9][a-z]))"), F.lit(1)))))
+    x = low.select("chunk_id", _code_head().alias("head")).withColumn("pair", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit("(?=([a-z][0-9]|[0-9][a-z]))"), F.lit(1)))))
     return x.join(codes, "pair").where(F.contains("head", F.col("code"))).select("query_id", "chunk_id", (15.0 * F.col("times")).alias("part"))
 
 
@@ -183,12 +385,19 @@ RESULTS = r"gazette|result|marks|roll no|roll number|reappear|re-appear|scorecar
 GAZETTE = r"gazette|re-appear|annual exam"
 
 
+def _query_names() -> Column:
+    return F.struct(F.array_sort(T.ordinals(F.col("query"))).alias("ordinals"), T.entity(F.col("query")).alias("body"), F.lower("query").rlike(RESULTS).alias("results"))
+
+
+def _chunk_names() -> Column:
+    """What a chunk names in its title and at its head; title and text in lower case."""
+    head = F.left("text", F.lit(400))
+    return F.struct(T.ordinal_words(F.col("title")).alias("ordinals"), T.ordinal_words(head).alias("head_ordinals"), T.entities(F.col("title")).alias("bodies"), T.entities(head).alias("head_bodies"), F.col("title").rlike(GAZETTE).alias("gazette"))
+
+
 def _names(q: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What queries and chunks name: (query_id, a) and (chunk_id, b)."""
-    head = F.left("text", F.lit(400))
-    of_query = q.select("query_id", F.struct(F.array_sort(T.ordinals(F.col("query"))).alias("ordinals"), T.entity(F.col("query")).alias("body"), F.lower("query").rlike(RESULTS).alias("results")).alias("a"))
-    of_chunk = low.select("chunk_id", F.struct(T.ordinal_words(F.col("title")).alias("ordinals"), T.ordinal_words(head).alias("head_ordinals"), T.entities(F.col("title")).alias("bodies"), T.entities(head).alias("head_bodies"), F.col("title").rlike(GAZETTE).alias("gazette")).alias("b"))
-    return of_query, materialise(of_chunk)
+    return q.select("query_id", _query_names().alias("a")), materialise(low.select("chunk_id", _chunk_names().alias("b")))
 
 
 def _named_pairs(of_query: DataFrame, of_chunk: DataFrame, k: int) -> DataFrame:
@@ -211,9 +420,9 @@ def _with_names(sums: DataFrame, of_query: DataFrame, of_chunk: DataFrame) -> Da
     return sums.join(of_query, "query_id").join(of_chunk, "chunk_id").select("query_id", "chunk_id", (F.col("part") + more).alias("part"))
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, scope: str | None = None, block: int = 4096, shard: int = 100_000) -> DataFrame:
-    """query_id, vec_id, score, rank of the k most similar vectors of each query (query_id, qvec), itself left out; with
-    ``scope`` only those with an equal value in that column.
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, scope: str | None = None, block: int = 4096, shard: int = 100_000, own: bool = False) -> DataFrame:
+    """query_id, vec_id, score, rank of the k most similar vectors of each query (query_id, qvec), the one of its id left out
+    unless ``own``; with ``scope`` only those with an equal value in that column.
 
     Up to ``block`` queries, by count, are sent to the tasks, which multiply their batches of unit vectors with them. More are
     dealt to blocks, and vectors to shards, and each block meets each shard in one task, which holds the block and reads the
@@ -228,7 +437,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float |
         sent = spark.sparkContext.broadcast([tuple(r) for r in q.toLocalIterator()])
 
         def run(batches):
-            best = _Best(sent.value, k, floor)
+            best = _Best(sent.value, k, floor, own)
             for b in batches:
                 best.add(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist() if of else None)
             yield best.rows(types)
@@ -255,7 +464,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float |
                     if not key[2]:
                         held += [(cols[2][i], cols[4][i], *((cols[5][i],) if of else ())) for i in part]
                         continue
-                    best = best or _Best(held, k, floor)
+                    best = best or _Best(held, k, floor, own)
                     best.add([cols[3][i] for i in part], [cols[4][i] for i in part], [cols[5][i] for i in part] if of else None)
             if best:
                 yield best.rows(types)
@@ -273,8 +482,8 @@ def _units(rows) -> np.ndarray:
 class _Best:
     """The k most similar vectors so far of each of a block of queries (id, vector, and scope if there is one)."""
 
-    def __init__(self, block: list[tuple], k: int, floor: float | None):
-        self.ids, self.k, self.floor = [r[0] for r in block], k, floor
+    def __init__(self, block: list[tuple], k: int, floor: float | None, own: bool = False):
+        self.ids, self.k, self.floor, self.own = [r[0] for r in block], k, floor, own
         self.q = _units([r[1] for r in block]) if block else np.zeros((0, 1))
         self.scopes = np.array([r[2] for r in block], object) if block and len(block[0]) > 2 else None
         self.best: list[list[tuple]] = [[] for _ in block]
@@ -290,7 +499,7 @@ class _Best:
             sims[sims < self.floor] = -np.inf
         for i, row in enumerate(sims):
             at = np.flatnonzero(row >= (np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -np.inf))
-            more = [(-row[j], ids[j]) for j in at if row[j] > -np.inf and ids[j] != self.ids[i]]
+            more = [(-row[j], ids[j]) for j in at if row[j] > -np.inf and (self.own or ids[j] != self.ids[i])]
             self.best[i] = heapq.nsmallest(k, self.best[i] + more)
 
     def rows(self, types: tuple) -> pa.RecordBatch:
@@ -406,24 +615,48 @@ def focused(hits: DataFrame, query: str = "query") -> DataFrame:
     return numbered(x.withColumns({"_year": year}), ["query_id"], order).drop("_one", "_top", "_year")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 20, fused: int = 50, final: int = 5) -> DataFrame:
-    """The best ``final`` chunks of each query (query_id, query, qvec), with the gate's decision.
+def _chain(asked: DataFrame, shown: DataFrame, chunks: DataFrame, vectors: DataFrame, embed, statistics: tuple, k: int, fused: int, final: int) -> DataFrame:
+    """One round of ``hybrid`` for asked (query_id, query): ranked hits with the gate's decision, written as a table.
 
-    Dense hits above the floor with few gazettes, and BM25 with boosts over normalised queries, are fused, reranked, cut at the
-    relevance floor, pruned of other ordinals and bodies, given the first page of the best document, focused and cut. chunks:
-    chunk_id, document_id, chunk_index, title, course, text; vectors: vec_id (a chunk_id), vec."""
-    shown = chunks.select("chunk_id", "document_id", "chunk_index", "title", "text")
-    asked = queries.select("query_id", "query")
-    dense = vector_top_k(queries.select("query_id", "qvec"), vectors, k, 0.2).withColumnRenamed("vec_id", "chunk_id").join(asked, "query_id").join(shown, "chunk_id")
-    dense = numbered(few_gazettes(dense), ["query_id"], [F.col("rank")]).select("query_id", "chunk_id", "score", "rank")
-    sparse = bm25_boosted(asked.select("query_id", F.coalesce(T.normalise_query(F.col("query")), "query").alias("query")), chunks, k)
-    both = materialise(fuse(dense, sparse, keep=fused)).join(asked, "query_id").join(shown, "chunk_id")
+    The two lists meet the texts of the corpus once, as candidates; what follows works on those."""
+    dense = vector_top_k(asked.select("query_id", embed("query").alias("qvec")), vectors, k, 0.2, own=True).withColumnRenamed("vec_id", "chunk_id")
+    sparse = bm25_boosted(asked.select("query_id", F.coalesce(T.normalise_query(F.col("query")), "query").alias("query")), chunks, k, statistics=statistics)
+    lists = materialise(dense.withColumn("dense", F.lit(True)).unionByName(sparse.withColumn("dense", F.lit(False))))
+    texts = materialise(shown.join(lists.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    near = lists.where("dense").drop("dense").join(asked, "query_id").join(texts, "chunk_id")
+    near = numbered(few_gazettes(near), ["query_id"], [F.col("rank")]).select("query_id", "chunk_id", "score", "rank")
+    both = fuse(near, lists.where("not dense").drop("dense"), keep=fused).join(asked, "query_id").join(texts, "chunk_id")
     ranked = materialise(relevance_floor(rerank(both, k), final))
-    kept = materialise(first_pages(numbered(cohesive(ranked), ["query_id"], [F.col("rank")]), shown))
+    kept = first_pages(numbered(cohesive(ranked), ["query_id"], [F.col("rank")]), shown)
     best = materialise(focused(kept).where(F.col("rank") < final))
     return best.join(gate(best, asked).select("query_id", "decision"), "query_id")
 
 
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embed, k: int = 20, fused: int = 50, final: int = 5) -> DataFrame:
+    """The best ``final`` chunks of each query (query_id, query), with the gate's decision; none of queries that it finds INCORRECT.
+
+    Dense hits above the floor with few gazettes, and BM25 with boosts over normalised queries, are fused, reranked, cut at the
+    relevance floor, pruned of other ordinals and bodies, given the first page of the best document, focused and cut. Queries that
+    the gate finds AMBIGUOUS and that can be taken apart have a second round: their first two sub-queries go the same way, and what
+    they find and the query has not comes after its own hits, in the order of the sub-queries. chunks: chunk_id, document_id,
+    chunk_index, title, course, text; vectors: vec_id (a chunk_id), vec; embed: a function from a column of texts to vectors."""
+    shown = chunks.select("chunk_id", "document_id", "chunk_index", "title", "text")
+    settings = (shown, chunks, vectors, embed, statistics_of(chunks), k, fused, final)
+    asked = queries.select("query_id", "query")
+    first = materialise(_chain(asked, *settings).where("decision <> 'INCORRECT'"))
+    unclear = first.where("decision = 'AMBIGUOUS'").select("query_id").distinct().join(asked, "query_id")
+    parts = unclear.select(F.col("query_id").alias("parent"), F.posexplode(F.slice(T.decomposed(F.col("query")), 1, 2)).alias("part", "query"))
+    parts = materialise(parts.withColumn("query_id", F.concat_ws("#", "parent", "part")))
+    if parts.isEmpty():
+        return first.withColumn("part", F.lit(-1))
+    second = _chain(parts.select("query_id", "query"), *settings).where("decision <> 'INCORRECT'").drop("query", "decision").join(parts.drop("query"), "query_id")
+    of_parent = first.select(F.col("query_id").alias("parent"), "query", "decision").distinct()
+    second = second.drop("query_id").join(of_parent, "parent").withColumnRenamed("parent", "query_id")
+    every = first.withColumn("part", F.lit(-1)).unionByName(second)
+    new = numbered(every, ["query_id", "chunk_id"], [F.col("part"), F.col("rank")], "_seen").where("_seen = 0").drop("_seen")
+    return numbered(new.withColumnRenamed("rank", "_rank"), ["query_id"], [F.col("part"), F.col("_rank")]).where(F.col("rank") < final).drop("_rank")
+
+
 #: Words that say nothing about the topic of a question.
 GATE_STOP = "what when where which who whom whose why how the and for are can give tell about is was were will would shall should does did from with into".split()
 #: The same in Hindi, in Latin letters and in Devanagari.

@@ -309,41 +309,69 @@ def _normalised(c: str) -> str:
     return _LOWER_SQL.format(c=c)
 
 
-_NQ = f"(SELECT query_id, {_normalised('query')} AS query FROM v_asked)"
-_HYBRID = (
-    _BOOSTED.format(docs="v_titled", asked=_NQ).rstrip()
-    + ", "
-    + hashed_vectors("dv", "SELECT chunk_id AS id, text FROM v_titled")
-    + ", "
-    + hashed_vectors("qv", "SELECT query_id AS id, query AS text FROM v_asked")
-    + """,
+def _chain_sql(asked: str, chunks: str) -> str:
+    """SQL of one round of hybrid search over chunks for asked (query_id, query), up to its table fin and the gate gt."""
+    return (
+        _BOOSTED.format(docs=chunks, asked=f"(SELECT query_id, {_normalised('query')} AS query FROM {asked})").rstrip()
+        + ", "
+        + hashed_vectors("dv", f"SELECT chunk_id AS id, text FROM {chunks}")
+        + ", "
+        + hashed_vectors("qv", f"SELECT query_id AS id, query AS text FROM {asked}")
+        + f""",
 cs AS (SELECT q.id AS query_id, d.id AS chunk_id, round(coalesce(list_cosine_similarity(q.v, d.v), 0), 6) AS score FROM qv q, dv d),
-de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS r FROM cs WHERE score >= 0.2 AND query_id <> chunk_id) WHERE r < 20),
-dg AS (SELECT de.*, regexp_matches(lower(title), 'gazette|result') OR contains(lower(substring(text, 1, 150)), 'roll no') AS gz, regexp_matches(lower(query), '{results}') AS seek FROM de JOIN v_titled USING (chunk_id) JOIN v_asked USING (query_id)),
+de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS r FROM cs WHERE score >= 0.2) WHERE r < 20),
+dg AS (SELECT de.*, regexp_matches(lower(title), 'gazette|result') OR contains(lower(substring(text, 1, 150)), 'roll no') AS gz, regexp_matches(lower(query), '{search.ASKS_RESULTS}') AS seek FROM de JOIN {chunks} USING (chunk_id) JOIN {asked} USING (query_id)),
 df2 AS (SELECT * FROM (SELECT *, sum((gz AND NOT seek)::INT) OVER (PARTITION BY query_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS seen FROM dg) WHERE NOT (gz AND NOT seek) OR seen <= 2),
 dn AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS r FROM df2), sp AS (SELECT query_id, chunk_id, score, rank AS r FROM bm WHERE rank < 20),
 u AS (SELECT coalesce(dn.query_id, sp.query_id) AS query_id, coalesce(dn.chunk_id, sp.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (61 + dn.r), 0) + coalesce(1.0::DOUBLE / (61 + sp.r), 0), 9) AS rrf, dn.score AS dense_score, sp.score AS bm25_score FROM dn FULL JOIN sp ON dn.query_id = sp.query_id AND dn.chunk_id = sp.chunk_id),
-h AS (SELECT u.*, 0 AS rank, coalesce(dense_score, bm25_score) AS score, q.query, d.title, d.text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) - 1 AS fr FROM u) u JOIN v_asked q USING (query_id) JOIN v_titled d USING (chunk_id) WHERE fr < 50),
-""".replace("{results}", search.ASKS_RESULTS)
-    + _shown("h", "rrf")
-    + """, k20 AS (SELECT *, rerank_score >= -2.0 AS pass, bool_or(rerank_score >= -2.0) OVER (PARTITION BY query_id) AS anypass FROM hk WHERE rank < 20), fl AS (SELECT * EXCLUDE (pass, anypass) FROM k20 WHERE pass OR (NOT anypass AND rank < 5))"""
-    + _COHESIVE.format(k="fl")
-    + """, c2 AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM co),
-tq AS (SELECT *, (len(qo) > 0 OR qb IS NOT NULL) AND NOT (regexp_matches(lower(query), '{both}') OR len(qo) > 1) AS one, regexp_matches(lower(query), '{news}') AS news, {year} AS year FROM c2),
-fc AS (SELECT * FROM tq WHERE NOT one OR rank = 0),
+h AS (SELECT u.*, 0 AS rank, coalesce(dense_score, bm25_score) AS score, q.query, d.document_id, d.chunk_index, d.title, d.text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) - 1 AS fr FROM u) u JOIN {asked} q USING (query_id) JOIN {chunks} d USING (chunk_id) WHERE fr < 50),
+"""
+        + _shown("h", "rrf")
+        + """, k20 AS (SELECT *, rerank_score >= -2.0 AS pass, bool_or(rerank_score >= -2.0) OVER (PARTITION BY query_id) AS anypass FROM hk WHERE rank < 20), fl AS (SELECT * EXCLUDE (pass, anypass) FROM k20 WHERE pass OR (NOT anypass AND rank < 5))"""
+        + _COHESIVE.format(k="fl")
+        + f""", c2 AS (SELECT query_id, chunk_id, document_id, chunk_index, title, text, query, qo, qb, rrf, dense_score, bm25_score, score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM co),
+tp AS (SELECT query_id, document_id AS td, rerank_score AS ts, query, qo, qb FROM c2 WHERE rank = 0),
+pg AS (SELECT c2.*, document_id = td AND chunk_index = 0 AS page FROM c2 JOIN tp USING (query_id)),
+pa AS (SELECT * EXCLUDE (page) REPLACE (CASE WHEN page AND regexp_matches(lower(query), '{search.ASKS_DATE}') THEN -1 ELSE rank END AS rank) FROM pg
+  UNION ALL BY NAME SELECT query_id, k.chunk_id, td AS document_id, 0 AS chunk_index, k.title, k.text, tp.query, qo, qb, ts + 1 AS rerank_score, -1 AS rank FROM tp JOIN {chunks} k ON k.document_id = td AND k.chunk_index = 0 WHERE query_id NOT IN (SELECT query_id FROM pg WHERE page)),
+p2 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank) FROM pa),
+tq AS (SELECT *, (len(qo) > 0 OR qb IS NOT NULL) AND NOT (regexp_matches(lower(query), '{search.ASKS_BOTH}') OR len(qo) > 1) AS one, regexp_matches(lower(query), '{search.ASKS_NEWS}') AS news, {_YEAR} AS year, first_value(document_id) OVER (PARTITION BY query_id ORDER BY rank) AS td FROM p2),
+fc AS (SELECT * FROM tq WHERE NOT one OR document_id = td),
 fr AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN news AND NOT one THEN year END DESC NULLS LAST, CASE WHEN news AND NOT one THEN rerank_score END DESC NULLS LAST, rank, chunk_id) - 1 AS rank FROM fc),
-fin AS (SELECT * FROM fr WHERE rank < 5)""".replace("{both}", search.ASKS_BOTH).replace("{news}", search.ASKS_NEWS).replace("{year}", _YEAR)
-    + _GATE.format(k="fin")
-)
+fin AS (SELECT * FROM fr WHERE rank < 5)"""
+        + _GATE.format(k="fin").replace("v_asked", asked)
+        + " SELECT query_id, query, rank, chunk_id, rerank_score, rrf, dense_score, bm25_score, decision FROM fin JOIN gt USING (query_id) WHERE decision <> 'INCORRECT'"
+    )
+
+
+_TWO = "regexp_extract(s, '" + T.TWO_PARTS + "', {n})"
+
+
+def _sub_queries() -> str:
+    """SQL of the first two parts (from 1) of a question query, stripped as s."""
+    long = "query"
+    for pattern, to in T.EXPANSIONS:
+        long = f"regexp_replace({long}, '{pattern}', '{to}', 'gi')"
+    half = lambda n: f"{_TWO.format(n=1)} || ' for ' || regexp_replace({_TWO.format(n=n)}, '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN regexp_matches(s, '{T.TWO_PARTS}') THEN [{half(2)}, {half(3)}] WHEN {long} <> query THEN [{long}] ELSE [] END"
+
+
+_HYBRID = f"""WITH kc AS MATERIALIZED (SELECT document_id * 10000 + i AS chunk_id, document_id, i AS chunk_index, title, course, text FROM (SELECT document_id, title, course, unnest(range(len(cs))) AS i, unnest(cs) AS text FROM (SELECT document_id, title, course, {chunked('text')} AS cs FROM v_lectures))),
+f1 AS MATERIALIZED ({_chain_sql("v_subjects", "kc")}),
+sb AS MATERIALIZED (SELECT parent, i AS part, parent || '#' || i AS query_id, qs[i + 1] AS query FROM (SELECT query_id AS parent, {_sub_queries()} AS qs FROM (SELECT DISTINCT query_id, query, regexp_replace(query, '^\\s+|\\s+$', '', 'g') AS s FROM f1 WHERE decision = 'AMBIGUOUS')), (SELECT unnest([0, 1]) AS i) WHERE i < len(qs)),
+f2 AS MATERIALIZED ({_chain_sql("sb", "kc")}),
+al AS (SELECT query_id, -1 AS part, * EXCLUDE (query_id, query) FROM f1 UNION ALL BY NAME SELECT sb.parent AS query_id, sb.part, f2.* EXCLUDE (query_id, query, decision), p.decision FROM f2 JOIN sb USING (query_id) JOIN (SELECT DISTINCT query_id AS parent, decision FROM f1) p USING (parent)),
+nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part, rank) AS seen FROM al) WHERE seen = 1)
+SELECT * FROM (SELECT query_id, part, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) - 1 AS rank, chunk_id, rerank_score, rrf, dense_score, bm25_score, decision FROM nw) WHERE rank < 5"""
 
 
-@query("k4_hybrid", _HYBRID + "SELECT query_id, rank, chunk_id, rerank_score, rrf, dense_score, bm25_score, decision FROM fin JOIN gt USING (query_id)")
+@query("k4_hybrid", _HYBRID)
 def k4(v):
-    """The whole chain for the asked questions over titled documents, with hashed vectors for the dense side."""
-    d = v("v_titled")
-    vectors = materialise(d.select(F.col("chunk_id").alias("vec_id"), V.embed("text").alias("vec")))
-    q = v("v_asked").select("query_id", "query", V.embed("query").alias("qvec"))
-    return search.hybrid(q, d, vectors).select("query_id", "rank", "chunk_id", "rerank_score", "rrf", "dense_score", "bm25_score", "decision")
+    """The whole chain for questions about one or two subjects over chunks of titled documents, with hashed vectors for the dense side."""
+    d = v("v_lectures")
+    c = materialise(chunks.chunk(d).drop("content_hash").join(d.drop("text"), "document_id").withColumn("chunk_id", F.col("document_id") * 10000 + F.col("chunk_index")))
+    vectors = materialise(c.select(F.col("chunk_id").alias("vec_id"), V.embed("text").alias("vec")))
+    return search.hybrid(v("v_subjects"), c, vectors, V.embed).select("query_id", "part", "rank", "chunk_id", "rerank_score", "rrf", "dense_score", "bm25_score", "decision")
 
 
 @query("j1_embeddings", "WITH " + hashed_vectors("bv", "SELECT item_id AS id, text FROM benchmark") + ", x AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM bv), y AS (SELECT id, n, unnest(v) AS x, unnest(range(384)) AS bucket FROM x) SELECT id AS item_id, bucket, round(x / n, 6) AS value FROM y WHERE x <> 0")

@@ -303,9 +303,12 @@ def h34_meetings(v):
     return m.where("m is not null").select("doc_id", "m.meeting", "m.held")
 
 
-@query("h34_attendees")
+_BELOW = f"(SELECT doc_id, ls[list_position(list_transform(ls, lambda x: regexp_matches(x, '{T.PRESENT}')), true) + 1:] AS below FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(c='x')}), lambda x: x <> '') AS ls FROM v_minutes))"
+
+
+@query("h34_attendees", f"SELECT doc_id, array_to_string(list_transform(below[:least(10, coalesce(nullif(list_position(list_transform(below, lambda x: regexp_matches(x, '{T.ENTRY}') OR regexp_matches(x, '{T.HONORIFIC}')), false), 0) - 1, len(below)))], lambda x: regexp_replace(x, '{T.ENTRY}', '')), ', ') AS names FROM {_BELOW}")
 def h34_attendees(v):
-    """Who was present; a fold over lines, which the tests hold against plain Python."""
+    """Who was present."""
     return v("v_minutes").select("doc_id", F.array_join(T.attendees(F.col("text")), ", ").alias("names"))
 
 

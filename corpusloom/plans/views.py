@@ -57,8 +57,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
        || ', University, Rohtak.' || chr(10) || 'The following were present:' || chr(10) || '1. Dr. A. Rao' || chr(10) || '2. ' || source || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'Item 1' || chr(10) ELSE '' END || 'Prof. B' || chr(10) || '(4) Sh. C' || chr(10) || 'Item 2: to consider' || chr(10) || text AS text FROM {documents}"""),
     "v_asked": (("benchmark",), """SELECT item_id AS query_id, CASE item_id % 6 WHEN 0 THEN 'the second meeting of the Senate: ' || text WHEN 1 THEN 'compare CS-401 and the third session, ' || text
        WHEN 2 THEN 'bitcoin and the ' || text WHEN 3 THEN 'latest court notes ' || text ELSE text END AS query FROM {benchmark}"""),
+    "v_subjects": (("v_asked", "benchmark"), """SELECT query_id, CASE query_id % 4 WHEN 1 THEN 'give the rules and dates for ' || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' and ' || split_part(text, ' ', 4) || ' ' || split_part(text, ' ', 5) || ' courses'
+       WHEN 3 THEN 'compare maths sem papers sheets ' || CAST(100 + query_id AS STRING) ELSE query END AS query FROM {v_asked} JOIN (SELECT item_id AS query_id, translate(lower(text), ',.;:', '') AS text FROM {benchmark}) b USING (query_id)"""),
     "v_titled": (("v_documents",), """SELECT document_id AS chunk_id, document_id, 0 AS chunk_index, CASE document_id % 7 WHEN 0 THEN 'Second Senate minutes ' || title WHEN 1 THEN 'Court gazette 3rd ' || title
        WHEN 2 THEN 'CS 401 of 2024 ' || title WHEN 3 THEN 'Court notes of 2019 ' || title ELSE title END AS title, department, course, text FROM {v_documents}"""),
+    "v_lectures": (("v_titled",), """SELECT document_id, CASE WHEN document_id % 41 = 5 THEN 'Semester Mathematics ' || title ELSE title END AS title, department, course, text FROM {v_titled}"""),
     "v_url_rules": ((), """SELECT 1 AS rule_id, 'https://blog.*' AS pattern, 'disallow' AS action
        UNION ALL SELECT 2, 'https://*.example.org/*', 'allow' UNION ALL SELECT 3, 'http://*', 'disallow'"""),
 }
