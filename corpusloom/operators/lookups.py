@@ -52,9 +52,15 @@ def first_rule(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
 
 
 def earlier_repeats(rows: DataFrame, key: list[str], at: str, ttl_s: int) -> DataFrame:
-    """Rows that repeat a key within ttl_s seconds of its row before, and how long before."""
-    before = F.lag(at).over(W.partitionBy(*key).orderBy(at))
-    return rows.withColumn("since_s", F.col(at) - before).where(F.col("since_s") <= ttl_s)
+    """Rows that repeat a key within ttl_s seconds of its row before, and how long before.
+
+    Time is cut into slots of ttl_s, so that a key that very many rows have is many windows: the row before stands in the same slot,
+    or it is the last one of the slot before."""
+    x = rows.withColumn("_slot", F.floor(F.col(at) / ttl_s))
+    last = x.groupBy(*key, (F.col("_slot") + 1).alias("_slot")).agg(F.max(at).alias("_last"))
+    before = F.lag(at).over(W.partitionBy(*key, "_slot").orderBy(at))
+    x = x.withColumn("_before", before).join(last, [*key, "_slot"], "left")
+    return x.withColumn("since_s", F.col(at) - F.coalesce("_before", "_last")).where(F.col("since_s") <= ttl_s).drop("_slot", "_before", "_last")
 
 
 def sliding_count(rows: DataFrame, by: str, at: Column, seconds: int) -> Column:

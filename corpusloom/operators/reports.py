@@ -100,8 +100,27 @@ def scorecard(cases: DataFrame) -> DataFrame:
 
 
 def hierarchy(documents: DataFrame) -> DataFrame:
-    """Documents and tokens by department and course, by department, and in all; level 0 to 2."""
-    return documents.rollup("department", "course").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.array_join(F.slice(F.array_sort(F.collect_set("course")), 1, 8), ",").alias("courses"), F.grouping_id().alias("g")).select("department", "course", "documents", "tokens", "courses", F.when(F.col("g") == 0, 2).when(F.col("g") == 1, 1).otherwise(0).alias("level"))
+    """Documents and tokens by department and course, by department, and in all; level 0 to 2. courses: the first eight.
+
+    Documents are counted by department and course first. The first eight courses of a branch are taken among the first eight of each part
+    of it, and of the whole among those of its departments, so that no row ever holds all names."""
+    leaf = documents.groupBy("department", "course").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
+    sums = leaf.rollup("department", "course").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.grouping_id().alias("g"))
+    sums = sums.withColumn("level", F.when(F.col("g") == 0, 2).when(F.col("g") == 1, 1).otherwise(0)).drop("g")
+    named = leaf.where("course is not null").select("department", "course").distinct()
+    of_department = first_distinct(named, ["department"], "course", 8)
+    of_all = first_distinct(of_department.select(F.lit(0).alias("root"), F.explode("names").alias("course")), ["root"], "course", 8)
+    some = of_department.select(F.lit(1).alias("of_level"), F.col("department").alias("of"), "names").union(of_all.select(F.lit(0), F.lit(None), "names"))
+    x = sums.join(some, (F.col("level") == F.col("of_level")) & F.when(F.col("level") == 1, F.col("department")).eqNullSafe(F.col("of")), "left")
+    own = F.when(F.col("course").isNull(), F.array().cast("array<string>")).otherwise(F.array("course"))
+    return x.select("department", "course", "documents", "tokens", F.array_join(F.when(F.col("level") == 2, own).otherwise(F.coalesce("names", F.array().cast("array<string>"))), ",").alias("courses"), "level")
+
+
+def first_distinct(rows: DataFrame, by: list[str], column: str, k: int) -> DataFrame:
+    """by and names: the k least distinct values of a column in each group. A pruned top-k over distinct values, of which
+    each task passes on k of a group, in place of a set of all values."""
+    few = rows.select(*by, column).distinct().withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(column))).where(F.col("_k") <= k)
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("names"))
 
 
 def security_stats(incidents: DataFrame, now: Column) -> DataFrame:
@@ -119,16 +138,31 @@ def topic_of(questions: DataFrame, text: str, negative: Column) -> DataFrame:
     return x.select("n", *(f"n_{k}" for k in names), F.coalesce(*(F.when(F.col(f"n_{k}") > 0, k) for k in names), F.when(F.col("_bad"), "direct_answer"), F.lit("precision")).alias("topic"))
 
 
-def alerts(audit: DataFrame) -> DataFrame:
-    """Per minute: 95th percentile of latency and error share over 5 minutes, cache share over 15, and which alerts hold."""
+#: Alerts with their thresholds, and the minutes that each must hold before it fires.
+HOLD = {"slow": 5, "failing": 2, "cold": 30}
+
+
+def alerts(audit: DataFrame, slow_ms: float = 5000) -> DataFrame:
+    """Per minute: 95th percentile of latency and error share over 5 minutes, cache share over 15, which alerts' conditions hold, and
+    which have held long enough to fire: in each minute since as many ago as HOLD says.
+
+    Rows are counted by minute, and latencies by minute and value, before they are spread over the windows that they are part of."""
     minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
     per = audit.select(minute.alias("m"), "latency_ms", (F.col("crag_decision") == "INCORRECT").cast("int").alias("bad"), (F.col("served_by") == "cache").cast("int").alias("hit"))
-    spread = lambda n: per.withColumn("m", F.explode(F.sequence(F.col("m"), F.col("m") + n - 1)))
-    five = spread(5).groupBy("m").agg(F.count("*").alias("n"), F.round(F.avg("bad"), 6).alias("error_share"))
-    five = five.join(latency_percentiles(spread(5), "m", "latency_ms", (0.95,)).select("m", F.round("p95", 3).alias("p95_ms")), "m", "left")
-    quarter = spread(15).groupBy("m").agg(F.round(F.avg("hit"), 6).alias("cache_share"))
-    x = five.join(quarter, "m")
-    return x.select(F.col("m").alias("minute"), "n", "error_share", "p95_ms", "cache_share", (F.col("p95_ms") > 5000).alias("slow"), (F.col("error_share") > 0.05).alias("failing"), (F.col("cache_share") < 0.2).alias("cold"))
+    spread = lambda x, n: x.withColumn("m", F.explode(F.sequence(F.col("m"), F.col("m") + n - 1)))
+    by_minute = per.groupBy("m").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.count("bad").alias("judged"), F.sum("hit").alias("hit"), F.count("hit").alias("served"))
+    five = spread(by_minute, 5).groupBy("m").agg(F.sum("n").alias("n"), F.round(F.sum("bad") / F.sum("judged"), 6).alias("error_share"))
+    values = spread(per.where("latency_ms is not null").groupBy("m", "latency_ms").agg(F.count("*").alias("k")), 5).groupBy("m", "latency_ms").agg(F.sum("k").alias("k"))
+    w = W.partitionBy("m")
+    ranked = values.withColumns({"upto": F.sum("k").over(w.orderBy("latency_ms").rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("k").over(w)})
+    p95 = ranked.where(F.col("upto") >= F.least(F.floor(F.col("all") * 0.95) + 1, "all")).groupBy("m").agg(F.round(F.min("latency_ms"), 3).alias("p95_ms"))
+    quarter = spread(by_minute, 15).groupBy("m").agg(F.round(F.sum("hit") / F.sum("served"), 6).alias("cache_share"))
+    x = five.join(p95, "m", "left").join(quarter, "m")
+    x = x.withColumns({"slow": F.col("p95_ms") > slow_ms, "failing": F.col("error_share") > 0.05, "cold": F.col("cache_share") < 0.2})
+    for name, hold in HOLD.items():  # a condition fires in a minute that, with itself, has hold + 1 such minutes behind it
+        held = spread(x.where(name).select("m"), hold + 1).groupBy("m").agg((F.count("*") == hold + 1).alias(f"{name}_fires"))
+        x = x.join(held, "m", "left").withColumn(f"{name}_fires", F.coalesce(f"{name}_fires", F.lit(False)))
+    return x.select(F.col("m").alias("minute"), "n", "error_share", "p95_ms", "cache_share", *HOLD, *(f"{c}_fires" for c in HOLD))
 
 
 def instruction_pairs(messages: DataFrame) -> DataFrame:

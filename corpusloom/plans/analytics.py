@@ -140,14 +140,21 @@ def d21(v):
     return d.groupBy("lang").agg(F.round(100.0 * F.avg(ok.cast("int")), 1).alias("pass_rate"))
 
 
-FILE_CHANGES = """WITH p AS (SELECT path, sha256(content) AS oh, mtime AS om, status FROM v_manifest_prev), s0 AS (SELECT path, sha256(content) AS h, mtime FROM v_scan_now),
+def file_changes_sql(previous: str) -> str:
+    """SQL of path and status (table c) of files: previous (path, oh, om, status) against v_scan_now."""
+    return f"""p AS ({previous}), s0 AS (SELECT path, sha256(content) AS h, mtime FROM v_scan_now),
 s AS (SELECT *, first_value(path) OVER (PARTITION BY h ORDER BY mtime, path) AS fp FROM s0), dn AS (SELECT oh AS h, min(path) AS a, max(path) AS b FROM p WHERE status = 'done' GROUP BY oh),
 x AS (SELECT coalesce(p.path, s.path) AS path, oh, om, status, s.h, mtime, fp, a, a IS NOT NULL AND (a <> coalesce(p.path, s.path) OR b <> coalesce(p.path, s.path)) AS elsewhere FROM p FULL JOIN s ON p.path = s.path LEFT JOIN dn ON dn.h = s.h),
 c AS (SELECT path, CASE WHEN h IS NULL THEN 'file_not_found' WHEN status = 'processing' THEN 'processing' WHEN status IS NULL THEN CASE WHEN a IS NOT NULL OR fp <> path THEN 'duplicate_skipped' ELSE 'new_file' END
+WHEN status = 'skipped_duplicate' AND abs(mtime - om) <= 0.001 THEN 'duplicate_skipped'
 WHEN (abs(mtime - om) > 0.001 OR status = 'failed') AND (h <> oh OR status = 'failed') THEN CASE WHEN elsewhere THEN 'duplicate_skipped' WHEN status = 'failed' THEN 'retry_failed' ELSE 'modified' END ELSE 'unchanged' END AS status FROM x)
 """
 
 
+PREVIOUS = "SELECT path, sha256(content) AS oh, mtime AS om, status FROM v_manifest_prev"
+FILE_CHANGES = "WITH " + file_changes_sql(PREVIOUS)
+
+
 @query("c6_file_changes", FILE_CHANGES + "SELECT path, status FROM c")
 def c6(v):
     return changes.file_changes(v("v_manifest_prev"), v("v_scan_now"))
@@ -211,9 +218,11 @@ def e10(v):
 @query("i5_alerts", """WITH p AS (SELECT epoch_us(ts) // 60000000 AS m, latency_ms, (crag_decision = 'INCORRECT')::INT AS bad, (served_by = 'cache')::INT AS hit FROM v_audit),
 f AS (SELECT m + k AS m, count(*) AS n, round(avg(bad), 6) AS error_share, round(list_sort(list(latency_ms))[least(floor(count(*) * 0.95)::BIGINT + 1, count(*))], 3) AS p95_ms FROM p, range(5) r(k) GROUP BY ALL),
 q AS (SELECT m + k AS m, round(avg(hit), 6) AS cache_share FROM p, range(15) r(k) GROUP BY ALL)
-SELECT m AS minute, n, error_share, p95_ms, cache_share, p95_ms > 5000 AS slow, error_share > 0.05 AS failing, cache_share < 0.2 AS cold FROM f JOIN q USING (m)""")
+, a AS (SELECT m, n, error_share, p95_ms, cache_share, p95_ms > 1000 AS slow, error_share > 0.05 AS failing, cache_share < 0.2 AS cold FROM f JOIN q USING (m))
+SELECT m AS minute, n, error_share, p95_ms, cache_share, slow, failing, cold, count(*) FILTER (slow) OVER (ORDER BY m RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) = 6 AS slow_fires,
+count(*) FILTER (failing) OVER (ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS failing_fires, count(*) FILTER (cold) OVER (ORDER BY m RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) = 31 AS cold_fires FROM a""")
 def i5(v):
-    return reports.alerts(v("v_audit"))
+    return reports.alerts(v("v_audit"), 1000)
 
 
 @query("i7_sessions", """WITH a AS (SELECT user_id, epoch_us(ts) // 1000000 AS t FROM events), b AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= 1800, true)::INT AS s FROM a),
@@ -222,24 +231,18 @@ def i7(v):
     return lookups.islands(v("events"), "user_id", F.unix_seconds(F.col("ts").cast("timestamp")), 1800)
 
 
-_QUESTION = r"sha256(department || '|' || regexp_replace(lower(q), '^\s+|\s+$', '', 'g'))"
-_REPEATS = f"WITH m AS (SELECT message_id, created_s, lag(created_s) OVER (PARTITION BY {_QUESTION} ORDER BY created_s) AS p FROM (SELECT message_id, department, created_s, CASE WHEN turn % 4 = 2 THEN q ELSE content END AS q FROM v_questions JOIN v_messages USING (message_id, department, created_s, turn) WHERE v_messages.sender = 'user')) SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000"
-
-
-@query("i8_repeat_questions", _REPEATS)
+@query("i8_repeat_questions", "SELECT message_id, since_s FROM (SELECT message_id, asked_s - lag(asked_s) OVER (PARTITION BY department, question ORDER BY asked_s, message_id) AS since_s FROM v_asking) WHERE since_s <= 3600")
 def i8(v):
-    """Questions of users that repeat a whole question in a department; every second one is a short one that many ask."""
-    m = v("v_questions").join(v("v_messages").select("message_id", "content"), "message_id").where("sender = 'user'")
-    m = m.withColumn("asked", F.when(F.col("turn") % 4 == 2, F.col("q")).otherwise(F.col("content")))
-    m = m.withColumn("key", T.sha256(F.concat_ws("|", "department", T.stripped(F.lower("asked")))))
-    return lookups.earlier_repeats(m, ["key"], "created_s", 360000).select("message_id", "since_s")
+    """Questions of users that repeat a whole question in a department within the hour; every second one is a short one that many ask."""
+    m = v("v_asking").withColumn("key", T.sha256(F.concat_ws("|", "department", "question")))
+    return lookups.earlier_repeats(m, ["key"], "asked_s", 3600).select("message_id", "since_s")
 
 
 _ALONE = r"sha256(department || '|' || regexp_replace(lower(content), '^\s+|\s+$', '', 'g'))"
 
 
-@query("i8_repeat_questions_whole", f"WITH m AS (SELECT message_id, created_s, lag(created_s) OVER (PARTITION BY {_ALONE} ORDER BY created_s) AS p FROM v_messages WHERE sender = 'user') SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 360000")
+@query("i8_repeat_questions_whole", f"WITH m AS (SELECT message_id, created_s, lag(created_s) OVER (PARTITION BY {_ALONE} ORDER BY created_s) AS p FROM v_messages WHERE sender = 'user') SELECT message_id, created_s - p AS since_s FROM m WHERE created_s - p <= 3600")
 def i8_whole(v):
     """The same over the messages as they are; messages have no course."""
     m = v("v_messages").where("sender = 'user'").withColumn("key", T.sha256(F.concat_ws("|", "department", T.stripped(F.lower("content")))))
-    return lookups.earlier_repeats(m, ["key"], "created_s", 360000).select("message_id", "since_s")
+    return lookups.earlier_repeats(m, ["key"], "created_s", 3600).select("message_id", "since_s")

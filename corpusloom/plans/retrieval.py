@@ -9,10 +9,10 @@ from pyspark.sql.types import DoubleType
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
-from corpusloom.operators import changes, chunks, feeds, search
-from corpusloom.sources.scratch import materialise
+from corpusloom.operators import chunks, feeds, ingest, search
+from corpusloom.sources.scratch import materialise, new_path
 
-from .analytics import FILE_CHANGES
+from .analytics import PREVIOUS, file_changes_sql
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -406,11 +406,47 @@ def g4(v):
     return v("benchmark").select("item_id", F.array_join(F.array_sort(search.content_words(F.col("text"))), " ").alias("words"))
 
 
-@query("k11_ingest_run", FILE_CHANGES + f", n AS (SELECT path, len(list_distinct({chunked('content')})) AS chunks FROM v_scan_now) SELECT c.path, c.status, CASE WHEN c.status IN ('new_file', 'modified', 'retry_failed') THEN coalesce(n.chunks, 0) ELSE 0 END AS chunks FROM c LEFT JOIN n USING (path)")
+def ingest_sql(previous: str, before: str) -> str:
+    """SQL of an ingest run over v_scan_now: c (path, status), own (chunks of each taken file), st (those stored), ch (all chunks then).
+
+    previous: the manifest (path, oh, om, status); before: the files (path, mtime, content) whose chunks are held."""
+    cut = lambda files: f"SELECT path, mtime, i, sha256(t) AS content_hash FROM (SELECT path, mtime, unnest(range(len(cs))) AS i, unnest(cs) AS t FROM (SELECT path, mtime, {chunked('content')} AS cs FROM ({files})))"
+    own = lambda source: f"SELECT path, mtime, content_hash, min(i) AS chunk_index FROM {source} GROUP BY ALL"
+    first = lambda source: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY mtime, path) AS k FROM {source}) WHERE k = 1"
+    return (
+        file_changes_sql(previous).rstrip()
+        + f""",
+b0 AS ({cut(before)}), b1 AS ({own("b0")}), held AS ({first("b1")}),
+tk AS (SELECT path FROM c WHERE status IN ('new_file', 'modified', 'retry_failed')),
+o0 AS ({cut("SELECT path, mtime, content FROM v_scan_now WHERE path IN (SELECT path FROM tk)")}), own AS ({own("o0")}),
+st AS (SELECT * FROM ({first("own")}) WHERE content_hash NOT IN (SELECT content_hash FROM held WHERE path NOT IN (SELECT path FROM tk))),
+ch AS (SELECT path, chunk_index, content_hash FROM held WHERE path NOT IN (SELECT path FROM tk) UNION ALL SELECT path, chunk_index, content_hash FROM st)
+"""
+    )
+
+
+_RUN = "WITH " + ingest_sql(PREVIOUS, "SELECT path, mtime, content FROM v_manifest_prev WHERE status = 'done'")
+
+
+def _library(v) -> ingest.Library:
+    """A library that holds the manifest before and the chunks of its finished files."""
+    library, before = ingest.Library(v.spark, new_path(v.spark, "loom-library"), 16), v("v_manifest_prev")
+    library.manifest.replace(before.select("path"), before.select("path", T.sha256(F.col("content")).alias("hash"), F.col("mtime").cast("long").alias("mtime"), "status"))
+    done = before.where("status = 'done'").select("path", "content", "mtime")
+    library.chunks.replace(done.select("path"), ingest.taken_chunks(done, library.chunks.read().select("path", "content_hash"))[0])
+    return library
+
+
+@query("k11_ingest_run", _RUN + "SELECT c.path, c.status, split_part(c.path, '/', 1) AS department, split_part(c.path, '/', 2) AS semester, split_part(c.path, '/', 3) AS course, coalesce(o.n, 0) AS chunks, coalesce(s.n, 0) AS stored FROM c LEFT JOIN (SELECT path, count(*) AS n FROM own GROUP BY path) o USING (path) LEFT JOIN (SELECT path, count(*) AS n FROM st GROUP BY path) s USING (path)")
 def k11(v):
-    """One row per scanned file: what happened, and its chunks if it was taken in."""
-    state = changes.file_changes(v("v_manifest_prev"), v("v_scan_now"))
-    taken = state.where(F.col("status").isin("new_file", "modified", "retry_failed"))
-    files = v("v_scan_now").join(taken.select("path"), "path", "left_semi").select(F.col("path").alias("document_id"), F.col("content").alias("text"))
-    c = changes.first_of_equal(chunks.chunk(files), ["document_id", "content_hash"], [F.col("chunk_index")])
-    return state.join(c.groupBy(F.col("document_id").alias("path")).agg(F.count("*").alias("chunks")), "path", "left").select("path", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    """One row for each file of a run over all files: what happened, its tags, its chunks, and those that were new."""
+    return _library(v).ingest(v("v_scan_now").withColumn("mtime", F.col("mtime").cast("long")), whole=True)
+
+
+@query("k11_library", _RUN + "SELECT path, chunk_index, content_hash FROM ch")
+def k11_library(v):
+    """What the library holds after that run, also if it is run twice."""
+    library, scan = _library(v), v("v_scan_now").withColumn("mtime", F.col("mtime").cast("long"))
+    for _ in range(2):
+        library.ingest(scan, ("run", 0), whole=True)
+    return library.chunks.read().select("path", "chunk_index", "content_hash")

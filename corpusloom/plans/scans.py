@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
 from corpusloom.operators import changes, feeds, reports
+from corpusloom.sources.scratch import new_path
+from corpusloom.sources.snapshots import SnapshotTable
 
 from .registry import query
 
@@ -79,8 +81,12 @@ def a5(v):
 @query("a7_upsert", """WITH o AS (SELECT vec_id AS id, label, 1 AS v FROM embeddings WHERE vec_id % 3 <> 0), n AS (SELECT vec_id AS id, label + 100 AS label, 2 AS v FROM embeddings WHERE vec_id % 2 = 0)
 SELECT coalesce(n.id, o.id) AS id, coalesce(n.label, o.label) AS label, coalesce(n.v, o.v) AS v FROM o FULL JOIN n ON o.id = n.id""")
 def a7(v):
-    e = v("embeddings")
-    return changes.upsert(e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), "label", F.lit(1).alias("v")), e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), (F.col("label") + 100).alias("label"), F.lit(2).alias("v")), "id", "v")
+    """Points written to a snapshot table and then written anew in part; the second write comes twice, as a repeated batch."""
+    e, points = v("embeddings"), SnapshotTable(v.spark, new_path(v.spark, "loom-points"), "id", "id long, label int, v int", 16)
+    points.upsert(e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), "label", F.lit(1).alias("v")), "v", ("points", 0))
+    for _ in range(2):
+        points.upsert(e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), (F.col("label") + 100).alias("label"), F.lit(2).alias("v")), "v", ("points", 1))
+    return points.read()
 
 
 @query("a8_unindexed", "SELECT document_id FROM v_documents WHERE document_id NOT IN (SELECT vec_id FROM embeddings)")

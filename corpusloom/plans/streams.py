@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators.chunks import chunk
+from corpusloom.functions import text as T
+from corpusloom.operators.ingest import Library
 from corpusloom.sources.scratch import materialise, new_path
 from corpusloom.streaming import jobs
 
 from .registry import query
-from .retrieval import chunked
+from .retrieval import ingest_sql
 from .views import VIEWS
 
 
 def _stream(v, table: str):
-    """A table as a file stream: its Parquet files, one a trigger at most if it is a folder."""
-    schema = v(table).schema
-    copy = materialise(v(table))  # a file source reads folders
-    path = copy.inputFiles()[0].rsplit("/", 1)[0]
-    return v.spark.readStream.schema(schema).parquet(path)
+    """A table of the input folder as a file stream: of its files, if it is a folder, and else of that file beside the others."""
+    path = f"{v.dir}/{table}.parquet"
+    target = v.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(v.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+    reader = v.spark.readStream.schema(v(table).schema)
+    return reader.parquet(path) if whole else reader.option("pathGlobFilter", f"{table}.parquet").parquet(v.dir)
 
 
 def _collected(v, rows, mode="append"):
@@ -32,10 +34,17 @@ def _collected(v, rows, mode="append"):
     return out
 
 
-@query("i1_stream_ingest", f"WITH c AS (SELECT doc_id AS document_id, {chunked('text')} AS cs FROM documents) SELECT document_id, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS text, sha256(unnest(cs)) AS content_hash FROM c")
+@query("i1_stream_ingest", "WITH w AS (SELECT path, sha256(content) AS oh, mtime AS om, content, first_value(path) OVER (PARTITION BY sha256(content) ORDER BY mtime, path) AS fp FROM v_manifest_prev), " + ingest_sql("SELECT path, oh, om, CASE WHEN fp = path THEN 'done' ELSE 'skipped_duplicate' END AS status FROM w", "SELECT path, om AS mtime, content FROM w WHERE fp = path") + "SELECT path, chunk_index, content_hash FROM ch")
 def i1(v):
-    docs = _stream(v, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    return _collected(v, chunk(docs))
+    """Files that arrive in two waves, the second with modified ones: what the library holds then. A stream that is started anew goes on
+    from its checkpoint, so that the second wave alone is read."""
+    folder, checkpoint = new_path(v.spark, "loom-files"), new_path(v.spark, "loom-streams")
+    library = Library(v.spark, new_path(v.spark, "loom-library"), 16)
+    for wave in ("v_manifest_prev", "v_scan_now"):
+        v(wave).select("path", "content", F.col("mtime").cast("long").alias("mtime")).write.mode("append").parquet(folder)
+        files = v.spark.readStream.schema("path string, content string, mtime long").parquet(folder)
+        library.follow(files, checkpoint).awaitTermination()
+    return library.chunks.read().select("path", "chunk_index", "content_hash")
 
 
 #: A limiter of 3 an hour and user, an attempt at a time.
@@ -51,10 +60,25 @@ def _attempts(events):
 
 @query("i3_rate_limit", _LIMITED)
 def i3(v):
-    """Attempts let in at 3 an hour and user, over the table; the streaming form holds the same fold as keyed state."""
+    """Attempts let in at 3 an hour and user, by a stream with keyed state."""
+    with jobs.keyed_state(v.spark):
+        return _collected(v, jobs.limited(_attempts(_stream(v, "events")), 3600, 3))
+
+
+@query("i3_rate_limit_batch", _LIMITED)
+def i3_batch(v):
+    """The same over the table, as a fold over the sorted attempts of each client."""
     return jobs.limited_batch(_attempts(v("events")), 3600, 3)
 
 
+@query("i8_stream_repeats", "SELECT message_id, since_s FROM (SELECT message_id, asked_s - lag(asked_s) OVER (PARTITION BY department, question ORDER BY asked_s, message_id) AS since_s FROM v_asking) WHERE since_s <= 3600")
+def i8_stream(v):
+    """Repeat questions within an hour, by a stream with keyed state."""
+    c = v.spark.sql(VIEWS["v_asking"][1], conversations=_stream(v, "conversations"))
+    with jobs.keyed_state(v.spark):
+        return _collected(v, jobs.repeated(c.select("message_id", T.sha256(F.concat_ws("|", "department", "question")).alias("key"), "asked_s")))
+
+
 @query("i5_stream_health", """WITH w AS (SELECT epoch_us(ts) // 60000000 - k AS m, latency_ms, (crag_decision = 'INCORRECT')::INT AS bad, (served_by = 'cache')::INT AS hit FROM v_audit, range(5) r(k))
 SELECT m * 60 AS start_s, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, round(avg(bad), 6) AS error_share, round(avg(hit), 6) AS cache_share FROM w GROUP BY m HAVING (m + 5) * 60 <= (SELECT epoch_us(max(ts)) / 1000000 - 600 FROM v_audit)""")
 def i5_stream(v):
@@ -76,12 +100,10 @@ def i7_stream(v):
 
 @query("i9_progress", "SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events")
 def i9(v):
-    """Counters that the batches of a stream report in their progress."""
+    """Counters that the batches of a stream report in their progress, added up by a listener."""
     rows = jobs.counted(_stream(v, "events"), "progress", n=F.count("*"), errors=F.count_if(F.col("event_type") == "error"))
-    q = jobs.start(rows, new_path(v.spark, "loom-streams"), each=lambda d, _: materialise(d))
-    q.awaitTermination()
-    seen = [p.observedMetrics["progress"] for p in q.recentProgress if "progress" in p.observedMetrics]
-    return v.spark.createDataFrame([(r["n"], r["errors"]) for r in seen], "n long, errors long").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+    sums = jobs.totals(rows, "progress", new_path(v.spark, "loom-streams"), lambda d, _: d.write.format("noop").mode("append").save()).sums
+    return v.spark.createDataFrame([(sums["n"], sums["errors"])], "n long, errors long")
 
 
 @query("i4_stream_dedup", "SELECT count(DISTINCT text) AS n FROM documents")

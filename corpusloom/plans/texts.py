@@ -9,7 +9,7 @@ from corpusloom.functions import html as H
 from corpusloom.functions import moderation
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import search, synopsis
+from corpusloom.operators import ingest, search, synopsis
 
 from .registry import query
 from .retrieval import BODIES, CODES, CONTENT, ORDINAL_WORDS, TOKENS
@@ -107,10 +107,7 @@ def h12(v):
 
 @query("h13_path_tags", "SELECT document_id, 'lib' AS department, department AS semester, course AS course FROM v_documents")
 def h13(v):
-    p = F.filter(F.slice(F.split("source_path", "/"), 1, F.size(F.split("source_path", "/")) - 1), lambda x: x != "")
-    n = F.size(p)
-    tag = lambda i: F.try_element_at(p, F.lit(i))
-    return v("v_documents").select("document_id", F.coalesce(tag(1), F.lit("General")).alias("department"), F.when(n >= 3, tag(2)).otherwise("All").alias("semester"), F.when(n >= 3, tag(3)).when(n == 2, tag(2)).otherwise(tag(1)).alias("course"))
+    return v("v_documents").select("document_id", *ingest.path_tags(F.col("source_path")))
 
 
 _ORDS = "list_sort(list_distinct(" + ORDINAL_WORDS.format(c="lower(q)") + r" || regexp_extract_all(lower(q), '\b(?:sem(?:ester)?|meeting|session)\s*([1-9]|10)\b', 1)))"

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from corpusloom.operators.chunks import chunk
-
 
 def start(rows: DataFrame, checkpoint: str, mode: str = "append", every: str | None = None, **sink) -> StreamingQuery:
     """Write a stream to a memory table (name=) or call a function per batch (each=); all there is now, or at an interval."""
@@ -25,10 +26,40 @@ def counted(rows: DataFrame, name: str, **measures) -> DataFrame:
     return rows.observe(name, *(c.alias(k) for k, c in measures.items()))
 
 
-def ingest(documents: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Chunk documents (document_id, text) as they arrive; save(chunks, batch_id) stores a batch, under a name of that batch
-    so that a repeated batch replaces itself."""
-    return start(documents, checkpoint, every=every, each=lambda rows, batch: save(chunk(rows), batch))
+class Totals(StreamingQueryListener):
+    """Adds up the counters of ``counted`` over every batch of a query, as the progress of each batch is told, and not from the query's
+    recent progress, of which Spark keeps a hundred batches."""
+
+    def __init__(self, name: str):
+        self.name, self.sums, self.batches, self.ended = name, Counter(), set(), threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        got = event.progress.observedMetrics.get(self.name)
+        key = (event.progress.runId, event.progress.batchId)
+        if got is not None and key not in self.batches:
+            self.batches.add(key)
+            self.sums.update({k: v or 0 for k, v in got.asDict().items()})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.set()
+
+
+def totals(rows: DataFrame, name: str, checkpoint: str, each: Callable[[DataFrame, int], None]) -> Totals:
+    """Run a stream with counters over all there is now, and return their totals when its last batch was told."""
+    spark, heard = rows.sparkSession, Totals(name)
+    spark.streams.addListener(heard)
+    try:
+        start(rows, checkpoint, each=each).awaitTermination()
+        heard.ended.wait(60)
+    finally:
+        spark.streams.removeListener(heard)
+    return heard
 
 
 def first_of_content(rows: DataFrame, at: str, column: str, delay: str = "10 minutes") -> DataFrame:
@@ -65,21 +96,34 @@ def admitted(times: list[int], seconds: int, limit: int, history: list[int]) ->
     return out, history
 
 
+def _expire_at(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """One event-time timer for a key, at the given time."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(at_ms)
+
+
 class Limiter(StatefulProcessor):
-    """Keeps the times of a client's admitted attempts."""
+    """Keeps the times of a client's admitted attempts, until the last of them no longer counts."""
 
     def __init__(self, seconds: int, limit: int):
         self.seconds, self.limit = seconds, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "t bigint")
+        self.handle, self.times = handle, handle.getListState("times", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         got = pd.concat(list(rows)).sort_values("at_us")
         ok, kept = admitted(got["at_us"].tolist(), self.seconds, self.limit, [r[0] for r in self.times.get()])
         self.times.put([(t,) for t in kept])
+        if kept:
+            _expire_at(self.handle, kept[-1] // 1000 + self.seconds * 1000 + 1)
         yield pd.DataFrame({"user_id": key[0], "at_us": got["at_us"], "admitted": ok})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.times.clear()
+        yield pd.DataFrame({"user_id": [], "at_us": [], "admitted": []}).astype({"user_id": "int64", "at_us": "int64", "admitted": "bool"})
+
     def close(self) -> None:
         pass
 
@@ -87,9 +131,56 @@ class Limiter(StatefulProcessor):
 _ADMITTED = "user_id long, at_us long, admitted boolean"
 
 
-def limited(attempts: DataFrame, seconds: int = 60, limit: int = 20) -> DataFrame:
-    """Streaming rate limiter over attempts (user_id, at_us)."""
-    return attempts.groupBy("user_id").transformWithStateInPandas(Limiter(seconds, limit), _ADMITTED, "Append", "None")
+def limited(attempts: DataFrame, seconds: int = 60, limit: int = 20, delay: str = "10 minutes") -> DataFrame:
+    """Streaming rate limiter over attempts (user_id, at_us). A client's state goes when the watermark has passed the time for which its
+    last admitted attempt counts."""
+    timed = attempts.select("user_id", "at_us", F.timestamp_micros("at_us").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("user_id").transformWithStateInPandas(Limiter(seconds, limit), _ADMITTED, "Append", "EventTime")
+
+
+class Repeats(StatefulProcessor):
+    """Keeps when a question was last asked, for as long as a repeat would count."""
+
+    def __init__(self, ttl_s: int):
+        self.ttl_s = ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "t bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        got = pd.concat(list(rows)).sort_values(["asked_s", "message_id"])
+        before = self.last.get()[0] if self.last.exists() else None
+        since = (got["asked_s"] - got["asked_s"].shift(1, fill_value=-(1 << 40) if before is None else before)).astype("int64")
+        last = max(int(got["asked_s"].iloc[-1]), before or 0)
+        self.last.update((last,))
+        _expire_at(self.handle, (last + self.ttl_s) * 1000 + 1)
+        hit = since.between(0, self.ttl_s)
+        yield pd.DataFrame({"message_id": got["message_id"][hit], "since_s": since[hit]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame({"message_id": [], "since_s": []}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def repeated(asked: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """message_id and since_s of questions (message_id, key, asked_s) that were asked within ttl_s seconds before."""
+    timed = asked.select("message_id", "key", "asked_s", F.timestamp_seconds("asked_s").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("key").transformWithStateInPandas(Repeats(ttl_s), "message_id long, since_s long", "Append", "EventTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors of keyed state need, for streams that are started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def limited_batch(attempts: DataFrame, seconds: int = 60, limit: int = 20) -> DataFrame:
