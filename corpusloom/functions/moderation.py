@@ -16,15 +16,23 @@ PATTERNS = {
         r"\b(bhosdike|bhosadi|bhosadike|bhosdi|bhosdk|bhosd|bsdk|b\.?s\.?d\.?k)\b",
         r"\b(chutiya|chutiye|chutye|chootiya|chut\*ya|ch\*tiya|chutiyapa)\b",
         r"\b(gandu|gaand|g@ndu|gandwa|gandfat|gandmasti)\b",
+        r"\b(lauda|loda|lode|laude|l0da|laude\s*lag\s*gaye)\b",
         r"\b(harami|haramkhor|haramzada|haramzade)\b",
+        r"\b(randi|rand|randi\s*rona|raand)\b",
         r"\b(kamine|kamina|kaminey|kutti\s*kamini)\b",
+        r"\b(saale|saali|bhadwe|bhadwa|chhed|chodu)\b",
+        r"\b(teri\s*maa\s*ki|maa\s*ki\s*chut|tere\s*baap\s*ka)\b",
+        "(बहनचोद|मादरचोद|भोस[डड़\u093c]*ीके?|भोस[डड़\u093c]*ी|चूतिया|गांडू|हरामी|हराम[जज़\u093c]*ादा|लौ[डड़\u093c]*ा|लवड़े|रंडी|कमीने|साले|भा[डड़\u093c]*वे)",
         r"\b(f+u+c+k|f\*ck|f\*\*k|fucking|fucker|motherfucker|mf)\b",
         r"\b(b+i+t+c+h|b\*tch|b!tch|bitches)\b",
         r"\b(a+s+s+h+o+l+e|a\*\*hole|dumbass|jackass)\b",
         r"\b(b+a+s+t+a+r+d|bastards)\b",
+        r"\b(c+u+n+t|d+i+c+k|p+u+s+s+y|d+i+l+d+o)\b",
+        r"\b(w+h+o+r+e|s+l+u+t|f+a+g+g+o+t|r+e+t+a+r+d)\b",
         r"\b(go\s+die|kill\s+yourself|kys)\b",
     ],
     "HATE_SPEECH_COMMUNAL": [
+        r"\b(bhangi|chamar|chura|neech\s*jaati|achhut|chandal)\b",
         r"\b(dange\s*karwao|rioting|burn\s*the\s*temple|burn\s*the\s*mosque|kill\s*all\s*(hindus|muslims|sikhs|christians))\b",
         r"\b(terrorist\s*(religion|community)|jihadi\s*dog|kafir\s*maro)\b",
     ],
@@ -32,6 +40,11 @@ PATTERNS = {
         r"\b(learn\s+that|remember\s+that|accept\s+as\s+(a\s+)?fact|believe\s+that|update\s+your\s+knowledge)\b.*\b(cheating|cheat|allowed|fake|corrupt|briber?y?|bribes?|paying\s+bribes?|illegal|hack|hacked)\b",
         r"\b(from\s+now\s+on\s+you\s+(believe|think|must\s+say|will\s+teach|answer))\b",
         r"\b(i\s+am\s+(teaching|educating|programming|reprogramming)\s+you\s+that)\b",
+        r"\b(forget\s+(what\s+)?(university|ugc|mdu|management|rules|guidelines)\s+(said|stated|told))\b",
+        r"\b(tumhe\s+(sikhna|yaad\s*rakhna|maanna)\s+hoga\s+ki)\b",
+        r"\b(aaj\s+se\s+(tum\s+)?(yeh\s+)?(maanoge|sikhoge|bologe)\s+ki)\b",
+        r"\b(ab\s+se\s+tumhara\s+naya\s+rule\s+hai)\b",
+        r"\b(tujhe\s+mai\s+sikha\s+raha\s+hu)\b",
         r"\b(adopt\s+this\s+(belief|rule|axiom|command))\b",
         r"\b(act\s+as|pretend\s+to\s+be|behave\s+as)\s+(an?\s+)?(evil|unrestricted|unfiltered|corrupt|criminal|hacker|unethical)\b",
         r"\b(dan\s+mode|developer\s+mode\s+enabled|jailbreak\s+activated|bypass\s+all\s+rules)\b",
@@ -44,11 +57,15 @@ PATTERNS = {
     ],
     "ACADEMIC_MALPRACTICE": [
         r"\b(how\s+to|kese|kaise)\b.*\b(cheat|carry\s+chits?|hide\s+chits?|(bring|hide|sneak|use|carry)\s+(phone|mobile|bluetooth|device|chits?)|nakal|chori)\b.*\b(exam|examination|paper|hall|center|centre)\b",
+        r"\b(exam|examination|paper|hall)\b.*\b(cheating|chits?|farre?|nakal)\b.*\b(kaise|kese|tarik[ae]|ideas?|trick|le\s*j[a]+ye)\b",
+        r"\b(chits?|farre?|nakal)\b.*\b(kaise|kese)\s+(le\s*j[a]+ye|kare|banaye|chupaye)\b",
         r"\b(leak|leaked|leaks?)\b.*\b(paper|question\s*paper|exam)\b",
         r"\b(exam\s+)?(paper|question\s*paper)\b.*\b(leak|leaked|buy|sell|chori|kahan\s+milega)\b",
+        r"\b(paper\s+leak\s+karne\s+ka\s+tarika)\b",
         r"\b(bribe|paise\s*dekar)\s+(examiner|invigilator|teacher|marks|pass)\b",
         r"\b(how\s+to|kaise)\b.*\b(forge|forging|make\s+fake|buy\s+fake|create\s+fake|tamper)\b.*\b(degree|marksheet|diploma|certificate|admit\s*card|result)\b",
         r"\b(fake|duplicate|nakli|forged?)\b.*\b(degree|marksheet|certificate|diploma)\b.*\b(kaise|kese|kahan|banaye|kharide|buy|order|sell)\b",
+        r"\b(how\s+to\s+hack|hack\s+karne\s+ka\s+tarika)\b.*\b(mdu|university|result\s*portal|database|exam\s*system)\b",
     ],
 }
 #: Patterns that count in feedback only, after the others.

@@ -5,9 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.scratch import materialise
+from corpusloom.sources.snapshots import SnapshotTable
+
+from .reports import first_distinct
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -86,26 +91,85 @@ def tree_paths(documents: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, (level(dep, root, "department", no), level(course, dep, "course", no), level(doc, course, "document", F.col("document_id"))))
 
 
-def tiers(documents: DataFrame) -> DataFrame:
-    """uri, tier, documents, tokens, l0 and its tokens of every node of the directory tree over documents (document_id, title,
-    department, course, tokens)."""
-    dep, course = T.slug(F.col("department")), T.slug(F.col("course"))
+#: Children that the long text of a node names.
+SHOWN = 12
+
+
+def _listed(children: DataFrame, by: list[str], name: str, line: Column) -> DataFrame:
+    """by and listed: a line for each of the first children of a node, by name. A pruned top-k; no node's children meet in one row."""
+    few = children.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(name))).where(F.col("_k") <= SHOWN)
+    return few.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", line.alias("line")))), lambda x: x["line"]), "\n").alias("listed"))
+
+
+def tiers(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """uri, tier, documents, chunks, tokens, l0, l1 and their tokens of every node of the directory tree over documents (document_id,
+    title, department, course, tokens) and chunks (document_id, chunk_index, text).
+
+    l0 is a sentence; l1 of a document its synopsis, of a course, a department and the root l0 and its first children."""
+    from .synopsis import synopses
+
     said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    size = ("documents", "tokens")
-    n, w = F.col("documents"), F.col("tokens")
-    totals = lambda rows, *by: rows.groupBy(*by).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-    leaf = documents.select(dep.alias("department"), course.alias("course"), "document_id", "title", F.lit(1).cast("long").alias("documents"), "tokens")
+    dep, course = T.slug(F.col("department")), T.slug(F.col("course"))
+    size = ("documents", "chunks", "tokens")
+    totals = lambda rows, *by: rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in size))
+    n, w, d, c = F.col("documents"), F.col("tokens"), F.col("department"), F.col("course")
+    longer = lambda head, part: said(head, "\n", F.col("l0"), "\n## ", part, "\n", F.col("listed"))
+    parts = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
+    leaf = documents.select(dep.alias("department"), course.alias("course"), "document_id", F.coalesce("title", F.lit("")).alias("title"), F.lit(1).cast("long").alias("documents"), "tokens").join(parts, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    uri = said("tree://root/", d, "/", c, "/", F.col("document_id"))
+    told = synopses(leaf.select("document_id", uri.alias("title"), "department", F.lit("all").alias("course")), chunks).select("document_id", F.col("l1").alias("told"))
+    leaves = leaf.withColumn("l0", said(F.col("title"), ", a document of ", c, " in ", d)).join(told, "document_id", "left").select(uri.alias("uri"), F.lit("document").alias("tier"), *size, "l0", F.coalesce("told", said("# ", uri)).alias("l1"))
     courses = totals(leaf, "department", "course")
-    departments = courses.groupBy("department").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.array_join(F.slice(F.array_sort(F.collect_set("course")), 1, 8), ", ").alias("courses"))
-    d, c = F.col("department"), F.col("course")
-    parts = (
-        leaf.select(said("tree://root/", d, "/", c, "/", F.col("document_id")).alias("uri"), F.lit("document").alias("tier"), *size, said(F.col("title"), ", a document of ", c, " in ", d).alias("l0")),
-        courses.select(said("tree://root/", d, "/", c).alias("uri"), F.lit("course").alias("tier"), *size, said("Course ", c, " in ", d, ": ", n, " documents, ", w, " words").alias("l0")),
-        departments.select(said("tree://root/", d).alias("uri"), F.lit("department").alias("tier"), *size, said("Department ", d, ": ", n, " documents, ", w, " words; courses ", F.col("courses")).alias("l0")),
-        totals(courses).select(F.lit("tree://root").alias("uri"), F.lit("root").alias("tier"), *size, said("Corpus: ", n, " documents, ", w, " words").alias("l0")),
+    departments = totals(courses, "department")
+    root = totals(departments)
+    of_course = _listed(leaf, ["department", "course"], "document_id", said("- ", F.col("title")))
+    of_department = _listed(courses, ["department"], "course", said("- ", c, ": ", n, " documents"))
+    of_root = _listed(departments.withColumn("root", F.lit(0)), ["root"], "department", said("- ", d, ": ", n, " documents"))
+    names = first_distinct(courses, ["department"], "course", 8).select("department", F.array_join("names", ", ").alias("courses"))
+    nodes = (
+        leaves,
+        courses.join(of_course, ["department", "course"]).withColumn("l0", said("Course ", c, " in ", d, ": ", n, " documents, ", w, " words")).select(said("tree://root/", d, "/", c).alias("uri"), F.lit("course").alias("tier"), *size, "l0", longer(said("# Course ", c, " in ", d), "Documents").alias("l1")),
+        departments.join(of_department, "department").join(names, "department").withColumn("l0", said("Department ", d, ": ", n, " documents, ", w, " words; courses ", F.col("courses"))).select(said("tree://root/", d).alias("uri"), F.lit("department").alias("tier"), *size, "l0", longer(said("# Department ", d), "Courses").alias("l1")),
+        root.where("documents is not null").withColumn("root", F.lit(0)).join(of_root, "root").withColumn("l0", said("Corpus: ", n, " documents, ", w, " words")).select(F.lit("tree://root").alias("uri"), F.lit("root").alias("tier"), *size, "l0", longer(said("# Corpus"), "Departments").alias("l1")),
     )
-    x = reduce(DataFrame.unionByName, parts)
-    return x.withColumn("l0_tokens", T.words_estimate(F.col("l0")))
+    x = reduce(DataFrame.unionByName, nodes)
+    return x.withColumns({"l0_tokens": T.words_estimate(F.col("l0")), "l1_tokens": T.words_estimate(F.col("l1"))})
+
+
+def sync_tiers(table: SnapshotTable, nodes: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
+    """Bring a snapshot table of tiers (key uri) up to date with nodes: new and changed nodes are written, vanished ones go, and buckets
+    without any stay as they are. Returns uri and change (new, changed or gone)."""
+    shape = lambda rows: rows.select("uri", F.xxhash64(*(c for c in rows.columns if c != "uri")).alias("h"))
+    nodes = materialise(nodes.select(*table.schema.names))
+    old, new = shape(table.read()).withColumnRenamed("h", "old"), shape(nodes).withColumnRenamed("h", "new")
+    x = old.join(new, "uri", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    changes = materialise(x.select("uri", F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").otherwise("changed").alias("change")))
+    if not changes.isEmpty():
+        table.replace(changes.select("uri"), nodes.join(changes.select("uri"), "uri", "left_semi"), batch)
+    return changes
+
+
+#: Between the chunks of a text in full.
+BETWEEN = "\n\n---\n\n"
+
+
+def resolve(asked: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked, uri, tier_asked and content for each distinct URI of asked (asked) that is found: at l0 the short text, at l1 (also without a
+    tier at its end) the long one, at l2 a document's chunks in order below [Page n], and what l1 gives for other nodes.
+
+    A node that is asked by its own URI is taken, else the first one whose URI begins so. nodes: uri, tier, document_id, parent_uri, l0, l1."""
+    q = asked.select("asked").distinct().select("asked", F.rtrim(F.regexp_replace("asked", r"/l[012]/?$", ""), F.lit("/")).alias("base"), F.coalesce(F.nullif(F.regexp_extract("asked", r"/(l[012])/?$", 1), F.lit("")), F.lit("l1")).alias("tier_asked"))
+    least = F.length("parent_uri")
+    starts = F.transform(F.sequence(F.lit(1), F.length("uri") - least), lambda n: F.left("uri", least + n))
+    offered = nodes.select("uri", F.explode(starts).alias("base")).join(q.select("base").distinct(), "base", "left_semi")
+    best = offered.groupBy("base").agg(F.min("uri").alias("uri"))
+    found = q.join(best, "base").join(nodes.select("uri", "document_id", "l0", "l1"), "uri")
+    whole = found.where("tier_asked = 'l2' and document_id is not null").select("document_id").distinct()
+    page = F.struct("chunk_index", F.concat(F.lit("[Page "), (F.col("chunk_index") + 1).cast("string"), F.lit("] "), "text").alias("t"))
+    full = chunks.join(whole, "document_id", "left_semi").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["t"]), BETWEEN).alias("l2"))
+    x = found.join(full, "document_id", "left")
+    content = F.when(F.col("tier_asked") == "l0", F.col("l0")).when((F.col("tier_asked") == "l2") & F.col("document_id").isNotNull(), F.coalesce("l2", F.lit(""))).otherwise(F.col("l1"))
+    return x.select("asked", "uri", "tier_asked", content.alias("content"))
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int, materialise) -> DataFrame:

@@ -33,13 +33,6 @@ def d3(v):
     return reports.conversation_health(v("v_messages"))
 
 
-@query("d5_tier_stats", r"""WITH t AS (SELECT department, length(regexp_replace(text, '\S', '', 'g')) AS x, len(regexp_extract_all(text, '\S+')) AS l1, len(regexp_extract_all(substring(text, 1, 200), '\S+')) AS l0 FROM v_documents)
-SELECT count(*) AS documents, count(DISTINCT department) AS departments, round(avg(l0), 3) AS mean_l0, round(avg(l1), 3) AS mean_l1, round(100.0 * (1 - avg(l0) / 2500), 1) AS savings FROM t""")
-def d5(v):
-    d = v("v_documents").select("department", T.words_estimate(F.left("text", F.lit(200))).alias("l0"), T.words_estimate(F.col("text")).alias("l1"))
-    return d.agg(F.count("*").alias("documents"), F.countDistinct("department").alias("departments"), F.round(F.avg("l0"), 3).alias("mean_l0"), F.round(F.avg("l1"), 3).alias("mean_l1"), F.round(100.0 * (1 - F.avg("l0") / 2500), 1).alias("savings"))
-
-
 @query("d6_latency_percentiles", """WITH x AS (SELECT served_by, latency_ms, count(latency_ms) OVER (PARTITION BY served_by) AS n, row_number() OVER (PARTITION BY served_by ORDER BY latency_ms) - 1 AS i FROM v_audit)
 SELECT served_by, max(latency_ms) FILTER (i = floor(n * 0.5)) AS p50, max(latency_ms) FILTER (i = floor(n * 0.9)) AS p90, max(latency_ms) FILTER (i = floor(n * 0.95)) AS p95, max(latency_ms) FILTER (i = floor(n * 0.99)) AS p99, round(avg(latency_ms), 3) AS mean FROM x GROUP BY served_by""")
 def d6(v):

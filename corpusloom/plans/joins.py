@@ -9,13 +9,14 @@ from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
 from corpusloom.functions import vectors as V
-from corpusloom.operators import changes, feeds, graph, lookups, reports, search
+from corpusloom.operators import changes, chunks, feeds, graph, lookups, reports, search
 from corpusloom.operators.ranges import running
-from corpusloom.sources.scratch import materialise
+from corpusloom.sources.scratch import materialise, new_path
+from corpusloom.sources.snapshots import SnapshotTable
 
 from .registry import query
-from .retrieval import hashed_vectors
-from .texts import KS, NORM, link_ctes
+from .retrieval import chunked, hashed_vectors
+from .texts import KS, NORM, SYNOPSIS, link_ctes
 
 
 @query("c1_inner_join", "SELECT m.message_id, d.department, d.course FROM v_messages m JOIN v_documents d ON d.document_id = m.message_id // 100")
@@ -165,17 +166,6 @@ def c22(v):
     return graph.tree_paths(v("v_documents")).where(F.col("parent_uri").isin("tree://root", "tree://root/src3")).select("uri", "tier")
 
 
-@query("c23_resolve", _TREE + ", q AS (SELECT 'tree://root/src' || (doc_id % 20) || '/' || lang || '/' || doc_id AS uri FROM documents WHERE doc_id % 9 = 0), a AS (SELECT q.uri AS asked, min(t.uri) AS uri FROM q JOIN t ON t.uri = q.uri OR t.uri LIKE q.uri || '%' GROUP BY 1) SELECT asked, t.uri, t.tier, substring(d.text, 1, 100) AS l0 FROM a JOIN t USING (uri) JOIN v_documents d USING (document_id)")
-def c23(v):
-    """The node of each asked URI: itself, or the first below it; every node is offered under its own and its ancestors' URIs."""
-    t = graph.tree_paths(v("v_documents"))
-    q = v("documents").where("doc_id % 9 = 0").select(F.concat(F.lit("tree://root/src"), (F.col("doc_id") % 20).cast("string"), F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("asked")).distinct()
-    starts = F.transform(F.sequence(F.lit(1), F.length("uri") - F.length("parent_uri")), lambda n: F.left("uri", F.length("parent_uri") + n))
-    offered = t.where("tier = 'document'").select("uri", "tier", "document_id", F.explode(starts).alias("asked"))
-    best = offered.join(q, "asked", "left_semi").groupBy("asked").agg(F.min_by(F.struct("uri", "tier", "document_id"), "uri").alias("b"))
-    return best.select("asked", "b.uri", "b.tier", F.col("b.document_id").alias("document_id")).join(v("v_documents").select("document_id", F.left("text", F.lit(100)).alias("l0")), "document_id").drop("document_id")
-
-
 @query("c24_feedback", """WITH f AS (SELECT event_id, 's_' || (event_id % 100) AS session_id, CASE WHEN event_id % 3 = 0 THEN 'down' ELSE 'up' END AS feedback, ts FROM events WHERE event_type = 'click'), l AS (SELECT session_id, arg_max(feedback, (ts, event_id)) AS feedback FROM f GROUP BY 1),
 a AS (SELECT session_id, arg_max(message_id, (created_s, turn)) AS message_id FROM v_messages WHERE sender = 'assistant' GROUP BY 1) SELECT a.message_id, l.feedback, CASE WHEN l.feedback = 'down' THEN -1 ELSE 1 END AS score FROM a JOIN l USING (session_id)""")
 def c24(v):
@@ -186,18 +176,21 @@ def c24(v):
 
 
 @query("c25_overview_lookup", "WITH " + hashed_vectors("dv", "SELECT document_id AS id, text FROM v_documents") + """, he AS (SELECT department, course, min(document_id) AS vec_id FROM v_documents GROUP BY ALL),
-q AS (SELECT document_id AS query_id, text AS query, department FROM v_documents WHERE document_id % 20 = 0), nm AS (SELECT query_id, min(vec_id) AS named FROM q JOIN he USING (department) WHERE contains(lower(query), ' ' || course || ' ') GROUP BY 1),
-s AS (SELECT query_id, he.vec_id, round(coalesce(list_cosine_similarity(a.v, b.v), 0), 6) AS score FROM q JOIN dv a ON a.id = query_id, he JOIN dv b ON b.id = he.vec_id WHERE query_id <> he.vec_id),
-nr AS (SELECT query_id, arg_max(vec_id, (score, -vec_id)) AS near FROM s WHERE score >= 0.1 GROUP BY 1)
+q AS (SELECT document_id AS query_id, text AS query, department, CASE WHEN document_id % 40 = 0 THEN upper(left(course, 1)) END AS asked FROM v_documents WHERE document_id % 20 = 0), nm AS (SELECT query_id, min(vec_id) AS named FROM q JOIN he USING (department) WHERE he.course ILIKE '%' || asked || '%' GROUP BY 1),
+s AS (SELECT query_id, he.vec_id, q.department = he.department AS own, round(coalesce(list_cosine_similarity(a.v, b.v), 0), 6) AS score FROM q JOIN dv a ON a.id = query_id, he JOIN dv b ON b.id = he.vec_id),
+nr AS (SELECT query_id, arg_max(vec_id, (own, score, -vec_id)) AS near FROM s WHERE score >= 0.45 GROUP BY 1)
 SELECT query_id, coalesce(named, near) AS vec_id FROM q LEFT JOIN nm USING (query_id) LEFT JOIN nr USING (query_id)""")
 def c25(v):
-    """A course's overview, its first document, for each query: that of a course it names, else the nearest by hashed vectors."""
+    """A course's overview, its first document, for each query: in the department that of a course whose name holds what is asked, else the
+    nearest by hashed vectors in the department, else the nearest of all; none that is not near enough."""
     d = v("v_documents")
-    heads = d.groupBy("department", "course").agg(F.min_by("text", "document_id").alias("l0"), F.min("document_id").alias("vec_id"))
-    q = d.where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), F.col("text").alias("query"), "department")
-    named = q.join(heads, "department").where(F.contains(F.lower("query"), F.concat(F.lit(" "), "course", F.lit(" ")))).groupBy("query_id").agg(F.min("vec_id").alias("named"))
-    near = search.vector_top_k(q.select("query_id", V.embed("query").alias("qvec")), heads.select("vec_id", V.embed("l0").alias("vec")), 1, 0.1)
-    return q.select("query_id").join(named, "query_id", "left").join(near.select("query_id", F.col("vec_id").alias("near")), "query_id", "left").select("query_id", F.coalesce("named", "near").alias("vec_id"))
+    heads = materialise(d.groupBy("department", "course").agg(F.min_by("text", "document_id").alias("l0"), F.min("document_id").alias("vec_id")).withColumn("vec", V.embed("l0")).drop("l0"))
+    q = d.where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), V.embed("text").alias("qvec"), "department", F.when(F.col("document_id") % 40 == 0, F.upper(F.left("course", F.lit(1)))).alias("asked"))
+    q = materialise(q)
+    named = q.where("asked is not null").join(heads, "department").where(F.contains(F.lower("course"), F.lower("asked"))).groupBy("query_id").agg(F.min("vec_id").alias("named"))
+    near = lambda scope, name: search.vector_top_k(q.select("query_id", "qvec", "department"), heads.select("vec_id", "vec", "department"), 1, 0.45, scope, own=True).select("query_id", F.col("vec_id").alias(name))
+    x = q.select("query_id").join(named, "query_id", "left").join(near("department", "near"), "query_id", "left").join(near(None, "far"), "query_id", "left")
+    return x.select("query_id", F.coalesce("named", "near", "far").alias("vec_id"))
 
 
 #: Patterns of topics in the given prose; the operator takes any table of names and patterns.
@@ -264,8 +257,11 @@ def k9(v):
     vectors = materialise(labelled.select(F.col("id").alias("vec_id"), V.embed("label").alias("vec")))
     plain = search.vector_top_k(q, vectors, 6).select("query_id", "vec_id", "score")
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)
-    # a label's word stands inside a word of the query, which offers all its parts of that length or more
-    within = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.transform(F.sequence(F.lit(4), F.length(w) - i + 1), lambda n: F.substring(w, i, n))))
+    # a label's word stands inside a word of the query, which offers its parts of the lengths that words of labels have
+    lengths = [r[0] for r in labelled.select(F.explode(words(F.col("label"))).alias("w")).select(F.length("w")).distinct().collect()]
+    none = F.array().cast("array<string>")
+    parts = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(none)
+    within = lambda w: F.flatten(F.array(none, *(parts(w, n) for n in lengths)))
     asked = v("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(words(F.col("text")), within)))).alias("word"))
     named = labelled.select(F.col("id").alias("vec_id"), F.explode(F.array_distinct(words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "vec_id").distinct()
     boosted = named.join(vectors, "vec_id").join(q, "query_id").select("query_id", "vec_id", F.least(F.lit(1.0), F.round(V.cosine(F.col("qvec"), F.col("vec")), 6) + 0.25).alias("score"))
@@ -298,20 +294,65 @@ def k10(v):
     return x.select("page_id", "depth", F.floor((F.col("i") - 1) / 5).alias("batch"))
 
 
-_TIERS = r"""WITH t AS (SELECT department, course, document_id, title, len(regexp_extract_all(text, '\S+')) AS tokens FROM v_documents),
-c AS (SELECT department, course, count(*) AS documents, sum(greatest(tokens, 0))::BIGINT AS tokens FROM t GROUP BY ALL),
-x AS (SELECT 'tree://root/' || department || '/' || course || '/' || document_id AS uri, 'document' AS tier, 1 AS documents, tokens, title || ', a document of ' || course || ' in ' || department AS l0 FROM t
-UNION ALL SELECT 'tree://root/' || department || '/' || course, 'course', documents, tokens, 'Course ' || course || ' in ' || department || ': ' || documents || ' documents, ' || tokens || ' words' FROM c
-UNION ALL SELECT 'tree://root/' || department, 'department', sum(documents)::BIGINT, sum(tokens)::BIGINT, 'Department ' || department || ': ' || sum(documents)::BIGINT || ' documents, ' || sum(tokens)::BIGINT || ' words; courses ' || array_to_string(list_sort(list(course))[1:8], ', ') FROM c GROUP BY department
-UNION ALL SELECT 'tree://root', 'root', sum(documents)::BIGINT, sum(tokens)::BIGINT, 'Corpus: ' || sum(documents)::BIGINT || ' documents, ' || sum(tokens)::BIGINT || ' words' FROM c)
-SELECT *, len(regexp_extract_all(l0, '\S+')) AS l0_tokens FROM x"""
+_NODES = (
+    f"""WITH kc AS MATERIALIZED (SELECT document_id, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS text FROM (SELECT document_id, {chunked('text')} AS cs FROM v_documents)),
+mm AS (SELECT 'tree://root/' || department || '/' || course || '/' || document_id AS session_id, department, chunk_index AS turn, kc.text AS content FROM kc JOIN v_documents USING (document_id)),
+sy AS ("""
+    + SYNOPSIS.replace("v_messages", "mm")
+    + r"""),
+t AS (SELECT 'tree://root/' || department || '/' || course || '/' || document_id AS uri, department, course, document_id, title, len(regexp_extract_all(text, '\S+')) AS tokens, coalesce(n, 0) AS chunks FROM v_documents LEFT JOIN (SELECT document_id, count(*) AS n FROM kc GROUP BY 1) USING (document_id)),
+c AS (SELECT department, course, count(*) AS documents, sum(chunks)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
+dp AS (SELECT department, sum(documents)::BIGINT AS documents, sum(chunks)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens, array_to_string(list_sort(list(course))[1:8], ', ') AS courses FROM c GROUP BY department),
+lc AS (SELECT department, course, string_agg('- ' || title, chr(10) ORDER BY document_id) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY department, course ORDER BY document_id) AS k FROM t) WHERE k <= 12 GROUP BY ALL),
+ld AS (SELECT department, string_agg('- ' || course || ': ' || documents || ' documents', chr(10) ORDER BY course) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY course) AS k FROM c) WHERE k <= 12 GROUP BY ALL),
+lr AS (SELECT string_agg('- ' || department || ': ' || documents || ' documents', chr(10) ORDER BY department) AS listed FROM (SELECT *, row_number() OVER (ORDER BY department) AS k FROM dp) WHERE k <= 12),
+x AS (SELECT uri, 'document' AS tier, 1::BIGINT AS documents, chunks, tokens, title || ', a document of ' || course || ' in ' || department AS l0, coalesce(sy.l1, '# ' || uri) AS l1, t.document_id, 'tree://root/' || department || '/' || course AS parent_uri FROM t LEFT JOIN sy ON sy.document_id = uri
+UNION ALL SELECT 'tree://root/' || department || '/' || course, 'course', documents, chunks, tokens, 'Course ' || course || ' in ' || department || ': ' || documents || ' documents, ' || tokens || ' words' AS l0, '# Course ' || course || ' in ' || department || chr(10) || 'Course ' || course || ' in ' || department || ': ' || documents || ' documents, ' || tokens || ' words' || chr(10) || '## Documents' || chr(10) || listed, NULL, 'tree://root/' || department FROM c JOIN lc USING (department, course)
+UNION ALL SELECT 'tree://root/' || department, 'department', documents, chunks, tokens, 'Department ' || department || ': ' || documents || ' documents, ' || tokens || ' words; courses ' || courses, '# Department ' || department || chr(10) || 'Department ' || department || ': ' || documents || ' documents, ' || tokens || ' words; courses ' || courses || chr(10) || '## Courses' || chr(10) || listed, NULL, 'tree://root' FROM dp JOIN ld USING (department)
+UNION ALL SELECT 'tree://root', 'root', sum(documents)::BIGINT, sum(chunks)::BIGINT, sum(tokens)::BIGINT, 'Corpus: ' || sum(documents)::BIGINT || ' documents, ' || sum(tokens)::BIGINT || ' words', '# Corpus' || chr(10) || 'Corpus: ' || sum(documents)::BIGINT || ' documents, ' || sum(tokens)::BIGINT || ' words' || chr(10) || '## Departments' || chr(10) || (SELECT listed FROM lr), NULL, 'tree:/' FROM dp),
+nd AS (SELECT *, len(regexp_extract_all(l0, '\S+')) AS l0_tokens, len(regexp_extract_all(l1, '\S+')) AS l1_tokens FROM x)
+"""
+)
 
 
-@query("k12_tiers", _TIERS)
-def k12(v):
-    """Every node of the tree with its documents, words and short text, and the words of that."""
+def _nodes(v):
     d = v("v_documents").withColumn("tokens", T.words_estimate(F.col("text")))
-    return graph.tiers(d)
+    pieces = materialise(chunks.chunk(d).select("document_id", "chunk_index", "text"))
+    return graph.tiers(d.drop("text"), pieces), pieces
+
+
+TIERS = "uri string, tier string, documents long, chunks long, tokens long, l0 string, l1 string, l0_tokens long, l1_tokens long"
+
+
+@query("k12_tiers", _NODES + "SELECT uri, tier, documents, chunks, tokens, l0, l1, l0_tokens, l1_tokens FROM nd")
+def k12(v):
+    """Every node of the tree with its documents, chunks and words, its short and its long text, as a snapshot table holds it after a
+    second sync in which a part of the nodes has changed."""
+    table = SnapshotTable(v.spark, new_path(v.spark, "loom-tiers"), "uri", TIERS, 16)
+    nodes = materialise(_nodes(v)[0].select(*table.schema.names).withColumns({"documents": F.col("documents").cast("long"), "l0_tokens": F.col("l0_tokens").cast("long"), "l1_tokens": F.col("l1_tokens").cast("long")}))
+    graph.sync_tiers(table, nodes.where("tier <> 'root'").withColumn("l0", F.when(F.col("tier") == "document", F.col("l0")).otherwise(F.lit("old"))))
+    graph.sync_tiers(table, nodes)
+    return table.read()
+
+
+@query("d5_tier_stats", _NODES + "SELECT tier, count(*) AS nodes, sum(chunks)::BIGINT AS chunks, round(avg(l0_tokens), 3) AS mean_l0, round(avg(l1_tokens), 3) AS mean_l1, round(100.0 * (1 - avg(l1_tokens) / 2500), 1) AS savings FROM nd GROUP BY tier")
+def d5(v):
+    """Nodes by tier, their chunks, the mean words of their texts, and what the long text saves against 2,500 words."""
+    return _nodes(v)[0].groupBy("tier").agg(F.count("*").alias("nodes"), F.sum("chunks").alias("chunks"), F.round(F.avg("l0_tokens"), 3).alias("mean_l0"), F.round(F.avg("l1_tokens"), 3).alias("mean_l1"), F.round(100.0 * (1 - F.avg("l1_tokens") / 2500), 1).alias("savings"))
+
+
+_ASKED = """SELECT 'tree://root/' || source || '/' || lang || CASE doc_id % 5 WHEN 0 THEN '/' || CAST(doc_id AS STRING) || '/l2' WHEN 1 THEN '/' || CAST(doc_id AS STRING) || '/l1' WHEN 2 THEN '/l2' WHEN 3 THEN '/' || CAST(doc_id AS STRING) ELSE '/' || left(CAST(doc_id AS STRING), length(CAST(doc_id AS STRING)) - 1) || '/l0' END AS asked FROM {documents}"""
+
+
+@query("c23_resolve", _NODES + ", q AS (SELECT DISTINCT asked, rtrim(regexp_replace(asked, '/l[012]/?$', ''), '/') AS base, coalesce(nullif(regexp_extract(asked, '/(l[012])/?$', 1), ''), 'l1') AS tier_asked FROM (" + _ASKED.replace("{documents}", "documents") + """)),
+of AS (SELECT uri, left(uri, n) AS base FROM (SELECT uri, unnest(range(length(parent_uri) + 1, length(uri) + 1)) AS n FROM nd)), b AS (SELECT q.asked, q.tier_asked, min(uri) AS uri FROM q JOIN of USING (base) GROUP BY ALL),
+fl AS (SELECT document_id, string_agg('[Page ' || (chunk_index + 1) || '] ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index) AS l2 FROM kc GROUP BY 1)
+SELECT asked, uri, tier_asked, CASE WHEN tier_asked = 'l0' THEN l0 WHEN tier_asked = 'l2' AND document_id IS NOT NULL THEN coalesce(l2, '') ELSE l1 END AS content FROM b JOIN nd USING (uri) LEFT JOIN fl USING (document_id)""")
+def c23(v):
+    """The texts of a URI for each document: its own at each tier, that of its course, or of what begins with a part of it."""
+    nodes, pieces = _nodes(v)
+    paths = graph.tree_paths(v("v_documents")).select("uri", "parent_uri", "document_id")
+    return graph.resolve(v.spark.sql(_ASKED, documents=v("documents")), nodes.join(paths, "uri"), pieces)
 
 
 #: A session's messages, with an instruction of the system before the first one in half of them.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions import html as H
-from corpusloom.functions import moderation
+from corpusloom.functions import moderation, smalltalk
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
 from corpusloom.operators import ingest, search, synopsis
@@ -168,20 +168,14 @@ def h23(v):
     return v("v_questions").select("message_id", T.is_overview(F.col("q")).alias("overview"))
 
 
-#: Small talk, in order of priority.
-SMALL_TALK = [("greeting", r"(?i)^\s*(?:hi|hello|hey|good (?:morning|evening))\b"), ("thanks", r"(?i)\b(?:thanks|thank you)\b"), ("farewell", r"(?i)\b(?:bye|goodbye|see you)\b"), ("identity", r"(?i)\bwho are you\b")]
-#: Terms of a question about the institution.
-INSTITUTION = r"(?i)\b(?:university|registrar|semester|admission|examination|[A-Z]{2,4}[0-9]{3,4})\b"
-
-
-@query("h24_small_talk", "SELECT message_id, CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{k}'" for k, p in SMALL_TALK) + " END AS intent FROM v_questions")
+@query("h24_small_talk", "SELECT message_id, CASE WHEN s = '' THEN 'greeting' " + " ".join(f"WHEN regexp_matches(s, '{smalltalk.whole(p)}') THEN '{k}'" for k, p in smalltalk.SMALL_TALK.items()) + " END AS intent FROM (SELECT message_id, " + _STRIP.format(c="q") + " AS s FROM v_greeted)")
 def h24(v):
-    return v("v_questions").select("message_id", F.coalesce(*(F.when(F.col("q").rlike(p), k) for k, p in SMALL_TALK)).alias("intent"))
+    return v("v_greeted").select("message_id", smalltalk.small_talk(F.col("q")).alias("intent"))
 
 
-@query("h25_institutional", f"SELECT message_id, regexp_matches(q, '{INSTITUTION}') AS institutional FROM v_questions")
+@query("h25_institutional", f"SELECT message_id, regexp_matches(lower(q), '{smalltalk.TERMS}') OR regexp_matches(q, '{smalltalk.CODE}') AS institutional FROM v_questions")
 def h25(v):
-    return v("v_questions").select("message_id", F.col("q").rlike(INSTITUTION).alias("institutional"))
+    return v("v_questions").select("message_id", smalltalk.institutional(F.col("q")).alias("institutional"))
 
 
 _PARTS = "regexp_extract(s, '" + T.TWO_PARTS + "', {n})"
@@ -309,16 +303,18 @@ def h34_attendees(v):
     return v("v_minutes").select("doc_id", F.array_join(T.attendees(F.col("text")), ", ").alias("names"))
 
 
-_SYNOPSIS = r"""WITH n AS (SELECT session_id, any_value(department) AS department, count(*) AS chunks FROM v_messages GROUP BY session_id),
+SYNOPSIS = r"""WITH n AS (SELECT session_id, any_value(department) AS department, count(*) AS chunks FROM v_messages GROUP BY session_id),
 u0 AS (SELECT session_id, turn, '**' || upper(regexp_extract(content, '{unit}', 1)) || '**: ' || substring(regexp_replace(regexp_extract(content, '{unit}', 2), '^\s+|\s+$', '', 'g'), 1, 70) AS x FROM v_messages WHERE regexp_matches(content, '{unit}')),
 u AS (SELECT session_id, string_agg('- ' || x, chr(10) ORDER BY t) AS units FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t) AS k FROM (SELECT session_id, x, min(turn) AS t FROM u0 GROUP BY ALL)) WHERE k <= 6 GROUP BY session_id),
+f0 AS (SELECT session_id, turn, unnest(fs) AS x, unnest(range(len(fs))) AS i FROM (SELECT session_id, turn, regexp_extract_all(content, '{formula}', 1) AS fs FROM v_messages)),
+f AS (SELECT session_id, string_agg('- `' || x || '`', chr(10) ORDER BY t) AS formulas FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t) AS k FROM (SELECT session_id, x, min((turn, i)) AS t FROM f0 WHERE length(x) > 3 GROUP BY ALL)) WHERE k <= 6 GROUP BY session_id),
 s0 AS (SELECT session_id, turn, unnest(ss[1:2]) AS x, unnest(range(len(ss[1:2]))) AS i FROM (SELECT session_id, turn, list_filter(list_transform(string_split(content, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 35) AS ss FROM v_messages)),
 s AS (SELECT session_id, string_agg('- *"' || substring(x, 1, 140) || '"*', chr(10) ORDER BY t) AS concepts FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t) AS k FROM (SELECT session_id, x, min((turn, i)) AS t FROM s0 WHERE regexp_matches(lower(x), '{words}') GROUP BY ALL)) WHERE k <= 4 GROUP BY session_id),
-y AS (SELECT n.session_id, 'Material of ' || department || ', course all, titled ' || n.session_id || ', in ' || chunks || ' parts.' AS l0, coalesce(units, '- No units named.') AS units, coalesce(concepts, '- No concepts defined.') AS concepts FROM n LEFT JOIN u USING (session_id) LEFT JOIN s USING (session_id))
-SELECT session_id AS document_id, l0, '# ' || session_id || chr(10) || l0 || chr(10) || '## Units' || chr(10) || units || chr(10) || '## Concepts' || chr(10) || concepts AS l1 FROM y""".replace("{unit}", synopsis.UNIT).replace("{words}", synopsis.CONCEPT)
+y AS (SELECT n.session_id, 'Material of ' || department || ', course all, titled ' || n.session_id || ', in ' || chunks || ' parts.' AS l0, coalesce(units, '- No units named.') AS units, coalesce(chr(10) || '## Formulas' || chr(10) || formulas, '') AS formulas, coalesce(concepts, '- No concepts defined.') AS concepts FROM n LEFT JOIN u USING (session_id) LEFT JOIN f USING (session_id) LEFT JOIN s USING (session_id))
+SELECT session_id AS document_id, l0, '# ' || session_id || chr(10) || l0 || chr(10) || '## Units' || chr(10) || units || formulas || chr(10) || '## Concepts' || chr(10) || concepts AS l1 FROM y""".replace("{unit}", synopsis.UNIT).replace("{words}", synopsis.CONCEPT).replace("{formula}", synopsis.FORMULA.replace("'", "''"))
 
 
-@query("h35_synopsis", f"SELECT *, len(regexp_extract_all(l0, '\\S+')) AS l0_tokens, len(regexp_extract_all(l1, '\\S+')) AS l1_tokens FROM ({_SYNOPSIS})")
+@query("h35_synopsis", f"SELECT *, len(regexp_extract_all(l0, '\\S+')) AS l0_tokens, len(regexp_extract_all(l1, '\\S+')) AS l1_tokens FROM ({SYNOPSIS})")
 def h35(v):
     """Short and long synopsis of each session, whose messages stand for the chunks of a document."""
     m = v("v_messages")

@@ -61,6 +61,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
        WHEN 3 THEN 'compare maths sem papers sheets ' || CAST(100 + query_id AS STRING) ELSE query END AS query FROM {v_asked} JOIN (SELECT item_id AS query_id, translate(lower(text), ',.;:', '') AS text FROM {benchmark}) b USING (query_id)"""),
     "v_titled": (("v_documents",), """SELECT document_id AS chunk_id, document_id, 0 AS chunk_index, CASE document_id % 7 WHEN 0 THEN 'Second Senate minutes ' || title WHEN 1 THEN 'Court gazette 3rd ' || title
        WHEN 2 THEN 'CS 401 of 2024 ' || title WHEN 3 THEN 'Court notes of 2019 ' || title ELSE title END AS title, department, course, text FROM {v_documents}"""),
+    "v_greeted": (("v_messages",), """SELECT message_id, CASE (message_id + created_s) % 23 WHEN 0 THEN 'Hello  there!' WHEN 1 THEN 'hi, how r u?' WHEN 2 THEN ' What is today''s date?' WHEN 3 THEN 'current date & time' WHEN 4 THEN 'tum kaun ho' WHEN 5 THEN 'who made you?'
+       WHEN 6 THEN 'Help me' WHEN 7 THEN 'aap kya kar sakte hain' WHEN 8 THEN 'sab badhiya' WHEN 9 THEN 'koi joke sunao' WHEN 10 THEN 'shukriya ji' WHEN 11 THEN 'OK thanks' WHEN 12 THEN 'phir milenge.' WHEN 13 THEN 'नमस्ते' WHEN 14 THEN 'आप कौन हैं'
+       WHEN 15 THEN '' WHEN 16 THEN 'thanks for ' || content ELSE content END AS q FROM {v_messages}"""),
     "v_asking": (("conversations",), """SELECT conv_id * 100 + turn AS message_id, 'src' || CAST(conv_id % 5 AS STRING) AS department, 1704067200 + conv_id * 40 + turn * 7 AS asked_s,
        CASE WHEN turn % 4 = 2 THEN 'exam dates of course ' || CAST(conv_id % 9 AS STRING) ELSE lower(trim(text)) END AS question FROM {conversations} WHERE role = 'user'"""),
     "v_lectures": (("v_titled",), """SELECT document_id, CASE WHEN document_id % 41 = 5 THEN 'Semester Mathematics ' || title ELSE title END AS title, department, course, text FROM {v_titled}"""),
