@@ -250,15 +250,38 @@ def h30(v):
     return H.banners(v("pages").select("page_id", F.expr(_BANNERS).alias("html")))
 
 
-_TABLE = "html || '<table><tr><th>a|b</th><th>n</th></tr><tr><td>x <b>y</b></td><td>' || CAST(page_id AS STRING) || '</td></tr></table><table class=\"nav\"><tr><td>1</td></tr><tr><td>2</td></tr></table>'"
-
-
-@query("h31_tables", rf"""WITH h AS (SELECT page_id, {_TABLE} AS html FROM pages), t AS (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS table_no FROM (SELECT page_id, regexp_extract_all(html, '(?is)<table\b[^>]*>.*?</table>') AS ts FROM h)),
-r AS (SELECT page_id, table_no, unnest(rs) AS r, unnest(range(len(rs))) AS row_no FROM (SELECT page_id, table_no, regexp_extract_all(t, '(?is)<tr\b[^>]*>.*?</tr>') AS rs FROM t WHERE NOT regexp_matches(t, '(?i)<table[^>]*(?:calendar|nav)')) WHERE len(rs) >= 2),
-c AS (SELECT page_id, table_no, row_no, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM (SELECT page_id, table_no, row_no, regexp_extract_all(r, '(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>', 1) AS cs FROM r))
-SELECT page_id, table_no, row_no, string_agg({_sql_text("c")}, ' ; ' ORDER BY i) AS cells FROM c GROUP BY page_id, table_no, row_no""")
+_TABLE = (
+    "html || '<table id=\"fees\"><tr><th>a|b</th><th>n</th></tr><tr class=\"dxgvFilterRow\"><td>filter</td></tr><tr><td>x <b>y</b><!-- z --> <a href=\"/f/' || CAST(page_id AS STRING) || '.pdf\">list</a></td><td>' || CAST(page_id AS STRING)"
+    " || '<table><tr><td>in &amp; in</td></tr><tr><td><a href=\"javascript:go()\">no</a><a href=\"g.html\">g</a></td></tr></table> after</td></tr></table></table><table class=\"radmenu\"><tr><td>1</td></tr><tr><td>2</td></tr></table>"
+    "<table><tr><td>Sun</td><td>Mon Tue Wed Thu Fri Sat</td></tr><tr><td>1</td></tr></table><table><tr><td>alone</td></tr></table>'"
+)
+_VALUE = """regexp_extract(token, '(?i)\\b{n}\\s*=\\s*["'']([^"'']*)["'']', 1)"""
+_ATTRS = "lower(" + _VALUE.format(n="id") + " || ' ' || " + _VALUE.format(n="class") + ")"
+_HREF = _VALUE.format(n="href")
+_ABS = """CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || h ELSE regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*)', 1), '[^/]*$', '') || h END"""
+
+
+def _entities(c: str) -> str:
+    for entity, to in H.ENTITIES:
+        c = "replace({}, '{}', '{}')".format(c, entity.replace("'", "''"), to.replace("'", "''"))
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+@query("h31_tables", f"""WITH k0 AS (SELECT page_id, url, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM (SELECT page_id, url, regexp_extract_all({_TABLE}, '{H.TOKEN}') AS ts FROM pages)),
+k1 AS (SELECT *, lower(regexp_extract(token, '^<(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM k0),
+k2 AS (SELECT *, sum(CASE tag WHEN 'table' THEN 1 WHEN '/table' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS s FROM k1),
+k3 AS (SELECT *, s - min(least(s, 0)) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM k2),
+k4 AS (SELECT *, max(CASE WHEN tag = 'table' THEN pos END) OVER (PARTITION BY page_id, depth ORDER BY pos) AS tb FROM k3 WHERE depth > 0 AND tag <> '/table'),
+k5 AS (SELECT *, count(*) FILTER (tag = 'tr') OVER w AS rw, count(*) FILTER (tag IN ('td', 'th')) OVER w AS cl, first_value(CASE WHEN tag = 'table' THEN {_ATTRS} END IGNORE NULLS) OVER w AS kind FROM k4 WINDOW w AS (PARTITION BY page_id, tb ORDER BY pos)),
+k6 AS (SELECT *, CASE WHEN tag = 'a' THEN trim({_HREF}) END AS h FROM k5 WHERE NOT regexp_matches(kind, '{H.NO_DATA}') AND rw > 0),
+c AS (SELECT page_id, tb, rw, cl, {_entities("coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (NOT starts_with(token, '<')), '')")} AS v, list({_ABS} ORDER BY pos) FILTER (cl > 0 AND h <> '' AND NOT regexp_matches(h, '(?i)^javascript:')) AS ls, max(CASE WHEN tag = 'tr' THEN {_ATTRS} END) AS orow, bool_or(tag IN ('td', 'th')) AS is_cell FROM k6 GROUP BY ALL),
+r AS (SELECT page_id, tb, rw, list(v ORDER BY cl) FILTER (is_cell) AS cells, list_distinct(flatten(list(coalesce(ls, []) ORDER BY cl) FILTER (is_cell))) AS links, coalesce(max(orow), '') AS orow FROM c GROUP BY ALL),
+f AS (SELECT *, count(*) OVER (PARTITION BY page_id, tb) AS n, bool_or(contains(lower(array_to_string(cells, ' ')), '{H.WEEK}')) OVER (PARTITION BY page_id, tb) AS week FROM r)
+SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY tb) - 1 AS table_no, rw - 1 AS row_no, array_to_string(cells, ' ; ') AS cells, coalesce(array_to_string(list_sort(links), ' '), '') AS links FROM f WHERE n >= 2 AND NOT week AND NOT regexp_matches(orow, '{H.FILTER_ROW}') AND array_to_string(cells, '') <> ''""")
 def h31(v):
-    return H.tables(v("pages").select("page_id", F.expr(_TABLE).alias("html"))).select("page_id", "table_no", "row_no", F.array_join("cells", " ; ").alias("cells"))
+    """Rows of all data tables, with the links of each row; to each page tables are added, one of them within a cell of another."""
+    t = H.tables(v("pages").select("page_id", "url", F.expr(_TABLE).alias("html")))
+    return t.select("page_id", "table_no", "row_no", F.array_join("cells", " ; ").alias("cells"), F.array_join(F.array_sort("links"), " ").alias("links"))
 
 
 @query("h32_portal_links", r"""WITH l AS (SELECT page_id, m, i FROM (SELECT page_id, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="[^"]*"[^>]*>[^<]*</a>') AS ms FROM pages))),

@@ -121,6 +121,20 @@ def test_file_sources(spark, tmp_path):
     assert [(r.page_id, r.text) for r in P.html_pages(body).collect()] == [(2, "<p>x")]
 
 
+def test_tables_within_tables(spark):
+    inner = "<table><tr><td>p</td></tr><tr><td>q<a href='x.pdf'>z</a></td></tr></table>"
+    html = f"</table><table><tr><td>a{inner}b</td><td><a href='/y'>c</a></td></tr><tr class='dxgvFilterRow'><td>f</td></tr><tr><td>d &amp; e<script>1<table></script></td><td></td></tr></table><table><tr><td>open</td><td>1<tr><td>2"
+    got = H.tables(spark.createDataFrame([(1, "https://s.org/f/p", html), (2, "u", None), (3, "u", "")], "page_id int, url string, html string")).collect()
+    assert sorted((r.table_no, r.row_no, r.cells, r.links) for r in got) == [
+        (0, 0, ["a b", "c"], ["https://s.org/y"]),
+        (0, 2, ["d & e", ""], []),
+        (1, 0, ["p"], []),
+        (1, 1, ["q z"], ["https://s.org/f/x.pdf"]),
+        (2, 0, ["open", "1"], []),
+        (2, 1, ["2"], []),
+    ]
+
+
 def test_limiter_forgets_denied_attempts():
     s = 1_000_000
     assert jobs.admitted([0, 1 * s, 2 * s, 61 * s, 62 * s], 60, 2, [])[0] == [True, True, False, True, True]
