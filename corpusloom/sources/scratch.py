@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, kind: str = "loom-steps") -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, in local mode only, below a new local folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder from spark.checkpoint.dir; where that is unset a new local one, in local mode only."""
     home = spark.conf.get("spark.checkpoint.dir", None)
     if not home:
         sc = spark.sparkContext
@@ -19,7 +19,12 @@ def new_path(spark: SparkSession, kind: str = "loom-steps") -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-loom-"))
         home = sc._jsc.sc().getCheckpointDir().get()
-    return f"{home.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    return home.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str = "loom-steps") -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
