@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -12,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import shared_folder
+
 #: Words are runs of anything but ASCII blanks and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,26 +19,10 @@ _SCRATCH = "loom-scratch"
 _MADE = threading.local()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; where that is unset a new local one, in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc = spark.sparkContext
-        now = sc._jsc.sc().getCheckpointDir()
-        if now.isDefined():
-            path = now.get()
-        elif re.fullmatch(r"local(\[.*\])?", sc.master):
-            path = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
-            sc.setCheckpointDir(path)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return path.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. Tables there last as long as results may read them; ``scratch_made`` tells which a
     block of code has made, for who knows that its results are written."""
-    path = f"{checkpoint_dir(spark)}/{_SCRATCH}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{_SCRATCH}/{name}-{uuid.uuid4().hex}"
     for made in getattr(_MADE, "lists", []):
         made.append(path)
     return path
