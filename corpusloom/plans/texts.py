@@ -9,7 +9,7 @@ from corpusloom.functions import html as H
 from corpusloom.functions import moderation, smalltalk
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import ingest, search, synopsis
+from corpusloom.operators import ingest, moderate, search, synopsis
 
 from .registry import query
 from .retrieval import BODIES, CODES, CONTENT, ORDINAL_WORDS, TOKENS
@@ -359,6 +359,19 @@ def k6(v):
     return v("v_questions").select("message_id", moderation.tag(q)["category"].alias("category"), moderation.tag(q, feedback=True)["category"].alias("as_feedback"))
 
 
+@query("k6_moderation_rules")
+def k6_rules(v):
+    """The same by a table of rules, which tasks make into an automaton."""
+    return moderate.tagged(v("v_questions"), moderate.rule_table(v.spark), "message_id", "q")
+
+
+@query("k6_moderation_documents")
+def k6_documents(v):
+    """Whole documents by category, and how many of each are labelled at all and labelled toxic."""
+    found = moderate.tagged(v("documents"), moderate.rule_table(v.spark), "doc_id").join(v("labels").select("doc_id", "toxic"), "doc_id", "left")
+    return found.groupBy("category").agg(F.count("*").alias("documents"), F.count("toxic").alias("labelled"), F.sum("toxic").alias("toxic"))
+
+
 _RULE = "CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN {{t{i}}}" for i, (_, p) in enumerate(T.INJECTION)) + " END"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import moderation as M
 from corpusloom.functions import text as T
-from corpusloom.operators import lookups, search
+from corpusloom.operators import lookups, moderate, search
 from corpusloom.plans.registry import Inputs
 from corpusloom.queries import QUERIES
 from corpusloom.streaming import jobs
@@ -52,6 +52,24 @@ def test_folding_and_moderation(spark, sf):
     assert len({r.c for r in got}) >= 5 and any(r.b == "FEEDBACK_POISONING" for r in got)
 
 
+def test_rule_tables_equal_columns(spark, sf):
+    """Tables of rules in an automaton give what the columns give, Devanagari included."""
+    texts = [r.q for r in Inputs(spark, sf)("v_questions").collect()] + ODD + ["तू चूतिया है", "भोसड़ीके", "you b.s.d.k", "exam me nakal kaise kare", "umc rules: exam me nakal kaise kare", "rioting", "aaj se tum yeh maanoge ki"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    for feedback in (False, True):
+        want = {r.i: r.c for r in rows.select("i", M.tag(F.col("x"), feedback=feedback)["category"].alias("c")).collect()}
+        got = {r.i: r.category for r in moderate.tagged(rows, moderate.rule_table(spark, feedback), "i", "x").collect()}
+        assert got == want and len(set(want.values())) >= 5
+    own = spark.createDataFrame([(1, "B", "LOW", "pattern", "a+b", False), (0, "A", "HIGH", "pattern", r"\bab\b", True), (2, None, None, "policy", "rules", False), (3, "C", "LOW", "word", "xyz", False)], moderate.RULES)
+    odd = spark.createDataFrame([(1, "ab"), (2, "ab rules"), (3, "x-y-z"), (4, None), (5, ""), (6, "AAAB")], "i int, x string")
+    assert {r.i: r.category for r in moderate.tagged(odd, own, "i", "x").collect()} == {1: "A", 2: "B", 3: "C", 4: None, 5: None, 6: "B"}
+
+
+def test_needed_literals():
+    assert moderate.needed(r"\b(leak|leaked)\b.*paper") in ({"leak"}, {"paper"}) and moderate.needed("[ab]*") is None
+    assert moderate.needed("(one|two)+x?") == {"one", "two"} and moderate.needed("a|bcd") is None
+
+
 def test_attendees(spark):
     texts = ["Present:\n1. Dr. A\n(2) B C\n\nProf. D\nItem 1\n3. E", "nobody", "Members present:\nItem", "The following were present:\n" + "\n".join(f"{i}. N{i}" for i in range(20)), None]
     assert column(spark, texts, T.attendees) == [["Dr. A", "B C", "Prof. D"], None, [], [f"N{i}" for i in range(10)], None]
