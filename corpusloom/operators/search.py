@@ -58,7 +58,7 @@ def term_documents(chunks: DataFrame) -> DataFrame:
                 found = token_counts(t.as_py())
                 every += found.total()
                 seen.update(found.keys())
-                if len(seen) > 300_000:
+                if len(seen) > 100_000:
                     yield flush()
                     seen.clear()
         if every:
