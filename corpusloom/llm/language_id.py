@@ -44,9 +44,10 @@ def fit(docs: DataFrame, learn: Column | None = None, dict_bytes: int = 112 << 1
     """Dictionaries for each language (lang) of the documents for which ``learn`` holds, PARTS of each. Texts of which there are copies count once."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (learn if learn is not None else F.lit(True)))
     texts = materialise(known.select("lang", F.xxhash64("text").alias("h")).distinct(), "language-texts")
-    # Hashes are even, so the least ones of a language are taken from a share of them, which only a few times max_train have.
+    # Hashes are even, so the least ones of a language are taken from a share of them, which only a few times max_train have. A row for each
+    # language is sent, as many as the model has.
     share = texts.groupBy("lang").agg((4.0 * max_train / F.count("*")).alias("share"))
-    low = texts.join(share, "lang").where(F.col("h") / 2.0**64 + 0.5 < F.col("share"))
+    low = texts.join(F.broadcast(share), "lang").where(F.col("h") / 2.0**64 + 0.5 < F.col("share"))
     picked = low.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= max_train).select("lang", "h")
     rows = known.select("lang", F.xxhash64("text").alias("h"), F.left("text", F.lit(piece)).alias("piece")).join(picked, ["lang", "h"])
     sample = rows.groupBy("lang", "h").agg(F.min("piece").alias("piece")).orderBy("lang", "h")
