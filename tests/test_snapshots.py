@@ -101,8 +101,8 @@ def test_totals_beyond_a_hundred_batches(spark, tmp_path):
 
 def test_limiter_state_goes_when_it_no_longer_counts(spark, tmp_path):
     """A second run, hours later: timers have cleared the first hours' state, and attempts are judged as by the fold."""
-    s = 1_000_000
-    waves = [[(1, i * s) for i in range(5)] + [(2, 10 * s)], [(1, 36_000 * s), (3, 36_001 * s)], [(1, 36_002 * s), (2, 72_000 * s)]]
+    at = lambda second: 1_704_067_200_000_000 + second * 1_000_000
+    waves = [[(1, at(i)) for i in range(5)] + [(2, at(10))], [(1, at(36_000)), (3, at(36_001))], [(1, at(36_002)), (2, at(72_000))]]
     with jobs.keyed_state(spark):
         for k, wave in enumerate(waves):
             spark.createDataFrame(wave, "user_id long, at_us long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
