@@ -55,7 +55,7 @@ def test_hybrid_embeds_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(10, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.chunk_id: r.dense_score for r in QUERIES["k4_hybrid"](spark, str(tmp_path)).collect()}
-    assert got[0] > 0
+    assert any(score and score > 0 for chunk, score in got.items() if 0 < chunk < 10_000)  # chunks of document 0 behind its first
 
 
 def test_repeat_questions_by_whole_text(spark, tmp_path):
