@@ -78,3 +78,16 @@ def test_activation_by_words_of_labels(spark, tmp_path):
     assert QUERIES["k8_graph_nodes_whole"](spark, str(tmp_path)).where("type = 'document'").count() == 60
     got = {r.id: r.activation for r in QUERIES["k9_activation"](spark, str(tmp_path)).collect()}
     assert got["core"] >= 0.65 and got["dept-hostels"] >= 0.35
+
+
+EDGES = [(0, "älos und"), (1, "x theé"), (2, "leſ"), (3, "leſx"), (4, "licenſed ä"), (5, "éABCDEF"), (6, "ABCDEFé 123"), (7, "clos"), (8, None), (9, "_the"), (10, "LOS.")]
+
+
+def edge_words(spark, path):
+    spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in EDGES], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_concepts_at_word_edges_of_sql(spark, tmp_path):
+    path = edge_words(spark, tmp_path)
+    assert same(QUERIES["d14_concepts"](spark, path), connect(path), ORACLE["d14_concepts"]) is None
