@@ -29,10 +29,14 @@ def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return x.groupBy(F.col("dst").alias("id")).agg(F.round(F.max(F.col("score") * F.col("weight") * 0.85), 2).alias("activation"))
 
 
+def _fitting(concepts: dict[str, str]) -> Column:
+    """Names of the concepts whose patterns fit the text."""
+    return F.filter(F.array(*(F.when(T.fits(F.col("text"), p), F.lit(n)) for n, p in concepts.items())), lambda x: x.isNotNull())
+
+
 def concept_documents(documents: DataFrame, concepts: dict[str, str]) -> DataFrame:
     """Distinct documents whose text fits each concept's pattern; concepts without one are left out. One pass over the texts."""
-    hits = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(n)) for n, p in concepts.items())), lambda x: x.isNotNull())
-    return documents.select("document_id", F.explode(hits).alias("concept")).groupBy("concept").agg(F.countDistinct("document_id").alias("documents"))
+    return documents.select("document_id", F.explode(_fitting(concepts)).alias("concept")).groupBy("concept").agg(F.countDistinct("document_id").alias("documents"))
 
 
 def _node(kind: str, *names: str) -> Column:
@@ -48,10 +52,16 @@ def _concept(name: Column) -> Column:
     return F.concat(F.lit("concept-"), T.slug(name))
 
 
+def sketched(documents: DataFrame, concepts: dict[str, str]) -> DataFrame:
+    """documents (document_id, title, department, course, text) with the concepts whose patterns fit the text in its place, written as a
+    table: a graph reads it several times, and the texts once."""
+    return materialise(documents.select("document_id", "title", "department", "course", _fitting(concepts).alias("concepts")))
+
+
 def document_concepts(documents: DataFrame, concepts: dict[str, str]) -> DataFrame:
-    """documents (document_id, department, course, text) without text, a row for each concept whose pattern fits the text."""
-    hits = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(n)) for n, p in concepts.items())), lambda x: x.isNotNull())
-    return documents.select("document_id", "department", "course", F.explode(hits).alias("concept"))
+    """documents (document_id, department, course, and text or concepts) without text, a row for each concept whose pattern fits the text."""
+    held = F.col("concepts") if "concepts" in documents.columns else _fitting(concepts)
+    return documents.select("document_id", "department", "course", F.explode(held).alias("concept"))
 
 
 def graph_nodes(documents: DataFrame, each: int | None = None, total: int | None = None, concepts: dict[str, str] | None = None) -> DataFrame:

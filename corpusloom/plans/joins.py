@@ -195,14 +195,12 @@ def c25(v):
 
 #: Patterns of topics in the given prose; the operator takes any table of names and patterns.
 CONCEPTS = {"articles": r"(?i)\b(the|der|les|los)\b", "licenses": r"(?i)\b(license|licensed|copyright)\b", "numbers": r"[0-9]{3,}", "capitals": r"\b[A-Z]{6,}\b", "mail": "@"}
-#: The same for Spark, whose word edges and cases are others than those of the SQL.
-_FITTED = {n: T.as_in_sql(p) for n, p in CONCEPTS.items()}
 
 
 @query("d14_concepts", r"""WITH c AS (SELECT document_id, unnest(list_filter([CASE WHEN regexp_matches(text, '(?i)\b(the|der|les|los)\b') THEN 'articles' END, CASE WHEN regexp_matches(text, '(?i)\b(license|licensed|copyright)\b') THEN 'licenses' END, CASE WHEN regexp_matches(text, '[0-9]{3,}') THEN 'numbers' END, CASE WHEN contains(text, '@') THEN 'mail' END], lambda x: x IS NOT NULL)) AS concept FROM v_documents)
 SELECT concept, count(DISTINCT document_id) AS documents FROM c GROUP BY 1""")
 def d14(v):
-    return graph.concept_documents(v("v_documents"), {k: p for k, p in _FITTED.items() if k != "capitals"})
+    return graph.concept_documents(v("v_documents"), {k: p for k, p in CONCEPTS.items() if k != "capitals"})
 
 
 @query("g2_link_union", r"""WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages), b AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'src="([^"]*)"', 1)) AS link FROM pages) SELECT link FROM a UNION SELECT link FROM b""")
@@ -228,7 +226,7 @@ def k8n(v):
 @query("k8_graph_edges_whole", _GRAPH + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
 @query("k8_graph_edges", _GRAPH + "SELECT src, dst, weight::DOUBLE AS weight FROM e")
 def k8e(v):
-    d = v("v_documents")
+    d = graph.sketched(v("v_documents"), CONCEPTS)
     return graph.graph_edges(d, graph.graph_nodes(d, concepts=CONCEPTS), CONCEPTS)
 
 

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: no rows, texts or terms left out."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import search
@@ -91,3 +92,9 @@ def edge_words(spark, path):
 def test_concepts_at_word_edges_of_sql(spark, tmp_path):
     path = edge_words(spark, tmp_path)
     assert same(QUERIES["d14_concepts"](spark, path), connect(path), ORACLE["d14_concepts"]) is None
+
+
+@pytest.mark.parametrize("name", ["k8_graph_edges", "k8_graph_edges_whole", "k8_graph_nodes"])
+def test_graph_at_word_edges_of_sql(spark, tmp_path, name):
+    path = edge_words(spark, tmp_path)
+    assert same(QUERIES[name](spark, path), connect(path), ORACLE[name]) is None
