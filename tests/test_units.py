@@ -212,3 +212,22 @@ def test_approximate_neighbours_of_crowded_vectors_shuffle_little(spark, tmp_pat
     assert written() - before < 3000 * 16 * 4 * 4
     exact = {(r.query_id, r.vec_id) for r in search.vector_top_k(q, e, 10).collect()}
     assert len(exact) == len(got) == 1500 and len(exact & got) >= 0.9 * len(exact)
+
+
+def test_vector_search_holds_few_products_at_once():
+    """The most similar of a long batch for many queries, without all products of them in memory."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.operators.search import _Best, _unit
+
+    q = _unit(np.random.default_rng(1).normal(size=(4096, 8)))
+    x = pa.array([[float(v) for v in row] for row in np.random.default_rng(2).normal(size=(3000, 8))], pa.list_(pa.float32()))
+    best = _Best(list(range(4096)), q, None, 2, None)
+    tracemalloc.start()
+    best.add(pa.array(range(10_000, 13_000)), x, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and all(len(b) == 2 for b in best.best)
