@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIZE, OVERLAP = 1500, 200
+#: Documents whose chunks a task holds at once.
+AT_ONCE = 128
 
 
 def cut(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
@@ -37,6 +39,14 @@ def cut(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
     return [c.strip() for c in pack(blocks, "\n\n") if c.strip()]
 
 
+def pieces(batch: pa.RecordBatch, size: int = SIZE, overlap: int = OVERLAP):
+    """Chunks of a batch of documents (document_id, text), as batches for few documents each: chunks of all are never held together."""
+    for at in range(0, batch.num_rows, AT_ONCE):
+        ids, texts = batch.slice(at, AT_ONCE).columns
+        rows = [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(cut(t.as_py(), size, overlap))]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([hashlib.sha256(r[2].encode("utf-8", "replace")).hexdigest() for r in rows], pa.string())], ["document_id", "chunk_index", "text", "content_hash"])
+
+
 def chunk(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """document_id, chunk_index, text and content_hash of the chunks of documents (document_id, text), in Arrow batches;
     packing is a fold over lines, which column functions can only do by copying arrays."""
@@ -44,8 +54,6 @@ def chunk(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Dat
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            rows = [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(cut(t.as_py(), size, overlap))]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([hashlib.sha256(r[2].encode("utf-8", "replace")).hexdigest() for r in rows], pa.string())], ["document_id", "chunk_index", "text", "content_hash"])
+            yield from pieces(b, size, overlap)
 
     return documents.select("document_id", "text").mapInArrow(run, f"document_id {kind}, chunk_index int, text string, content_hash string")

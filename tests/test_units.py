@@ -231,3 +231,31 @@ def test_vector_search_holds_few_products_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 << 20 and all(len(b) == 2 for b in best.best)
+
+
+def test_chunks_of_few_documents_at_once():
+    import pyarrow as pa
+
+    from corpusloom.operators import chunks
+
+    texts = [None if i % 50 == 0 else "x y " * (i * 3) for i in range(700)]
+    parts = list(chunks.pieces(pa.RecordBatch.from_pydict({"document_id": list(range(700)), "text": texts})))
+    assert max(len(set(p.column(0).to_pylist())) for p in parts) <= chunks.AT_ONCE
+    assert [tuple(r.values())[:3] for p in parts for r in p.to_pylist()] == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(chunks.cut(t))]
+
+
+def test_scorer_keeps_few_names(monkeypatch):
+    """What a task keeps for later chunks does not grow with the corpus, and boosts stay the same."""
+    import json
+    from collections import Counter
+
+    from corpusloom.operators import search
+
+    name = lambda i: json.dumps({"ordinals": [str(i)], "head_ordinals": [], "bodies": [], "head_bodies": [], "gazette": False})
+    rows = [{"query_id": i, "tokens": ["a"], "content": ["exam", f"w{i}"], "codes": [], "names": json.dumps({"ordinals": [str(i)], "results": False})} for i in range(5)]
+    some = lambda: search._Scorer(search._Asked(rows, {}, 1.0), 3)
+    said = [[Counter({f"w{i}": 1, f"u{i}": 1}) for i in range(40)], [""] * 40, ["exam w1"] * 40, [""] * 40, [name(i) for i in range(40)]]
+    whole = some()._boosts(*said)
+    monkeypatch.setattr(search, "MOST_KEPT", 10)
+    scorer = some()
+    assert (scorer._boosts(*said) == whole).all() and len(scorer.by_token) <= 10 and len(scorer.by_names) * 5 <= 10
