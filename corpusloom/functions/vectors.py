@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
@@ -30,14 +29,25 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def _buckets(digest, items: list[bytes], size: int) -> np.ndarray:
+    """The digests of items as numbers, modulo size, taken 32 bits at a time. Copies of one empty hash cost less than new ones."""
+    empty, digests = digest(), []
+    for x in items:
+        h = empty.copy()
+        h.update(x)
+        digests.append(h.digest())
+    left = np.zeros(len(items), np.int64)
+    for part in np.frombuffer(b"".join(digests), ">u4").reshape(len(items), empty.digest_size // 4).T:
+        left = ((left << 32) + part) % size
+    return left
+
+
 def hashed_vector(text: str | None, size: int = 384) -> list[float]:
     """Unit vector of a text from hashes of its words (weight 1.5) and word pairs (weight 2), signed by bucket parity."""
-    v = np.zeros(size)
-    words = re.split(r"\s+", text.lower().strip()) if text and text.strip() else []
-    for weight, digest, items in ((1.5, hashlib.md5, words), (2.0, hashlib.sha256, [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)])):
-        for w in items:
-            at = int(digest(w.encode()).hexdigest(), 16) % size
-            v[at] += weight if at % 2 == 0 else -weight
+    words = " ".join(text.lower().split()).encode().split(b" ") if text and not text.isspace() else []
+    pairs = [a + b"_" + b for a, b in zip(words, words[1:], strict=False)]
+    v = 1.5 * np.bincount(_buckets(hashlib.md5, words, size), minlength=size) + 2.0 * np.bincount(_buckets(hashlib.sha256, pairs, size), minlength=size)
+    v[1::2] *= -1
     n = float(np.sqrt((v * v).sum()))
     return (v / n if n else v).tolist()
 
