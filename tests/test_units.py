@@ -259,3 +259,60 @@ def test_scorer_keeps_few_names(monkeypatch):
     monkeypatch.setattr(search, "MOST_KEPT", 10)
     scorer = some()
     assert (scorer._boosts(*said) == whole).all() and len(scorer.by_token) <= 10 and len(scorer.by_names) * 5 <= 10
+
+
+def test_boosts_of_a_block_look_at_its_tokens_once(monkeypatch):
+    """The work on rarest terms goes by distinct tokens of a block and by terms; scores are those of plain sums, in steps of any size."""
+    import json
+    import random
+    from collections import Counter
+
+    from corpusloom.operators import search
+
+    draw = random.Random(5)
+    words = [a + b for a in ("exam", "fee", "hall", "x", "date") for b in ("", "s", "ination", "7", "exam")]
+    names = json.dumps({"ordinals": [], "head_ordinals": [], "bodies": [], "head_bodies": [], "gazette": False})
+    rows = [{"query_id": i, "tokens": draw.choices(words, k=4), "content": draw.sample(words, 2) if i % 3 else [], "codes": [], "names": json.dumps({"ordinals": [], "results": False})} for i in range(30)]
+    known = {w: (n, 1.5 + 0.01 * n) for n, w in enumerate(words)}
+    texts = [" ".join(draw.choices(words, k=12)) for _ in range(300)]
+    counts = [search.token_counts(t) for t in texts]
+    want = []
+    for r in rows:
+        score = lambda t, c: sum(n * known[w][1] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / 9.0)) for w, n in Counter(r["tokens"]).items()) + (35 if len(r["content"]) > 1 and all(w in t for w in r["content"]) else 0)  # noqa: B023, E731
+        want.append(sorted((-round(score(t, c), 6), i) for i, (t, c) in enumerate(zip(texts, counts, strict=True)) if score(t, c) > 0)[:5])
+    for added in (7, 1 << 19):
+        monkeypatch.setattr(search, "ADDED", added)
+        scorer = search._Scorer(search._Asked(rows, known, 9.0), 5)
+        for at in range(0, 300, 64):
+            part = texts[at : at + 64]
+            scorer.add(list(range(at, at + len(part))), counts[at : at + 64], ([""] * len(part), part, [""] * len(part), [names] * len(part)))
+            assert set(scorer.by_token) <= set().union(*counts[at : at + 64])
+        for got, right in zip(scorer.best, want, strict=True):
+            assert len(got) == len(right) and all(abs(a[0] - b[0]) < 2e-6 for a, b in zip(got, right, strict=True))
+
+
+@pytest.mark.parametrize("text", ["", None, "  ", "a", "É  b\x1c c a", "x " * 50, "one two two one"])
+def test_hashed_vectors_by_plain_hashes(text):
+    import hashlib
+
+    from corpusloom.functions.vectors import hashed_vector
+
+    words, want = (text or "").lower().split(), [0.0] * 384
+    for weight, digest, items in ((1.5, hashlib.md5, words), (2.0, hashlib.sha256, [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)])):
+        for w in items:
+            at = int(digest(w.encode()).hexdigest(), 16) % 384
+            want[at] += weight if at % 2 == 0 else -weight
+    n = sum(x * x for x in want) ** 0.5
+    assert hashed_vector(text) == [x / n if n else x for x in want]
+
+
+@pytest.mark.parametrize("text", ["a. b. cd. ", "x..y a- b -c d-e", "ends.", "-", "3.5 KK İx cafés. z\ud800q", "a.. bc.\nd"])
+def test_token_counts_with_and_without_dots(text):
+    from collections import Counter
+
+    from corpusloom.operators import search
+
+    found = []
+    for w in search._TOKEN.findall(text.lower()):
+        found += [w, w.replace(".", "").replace("-", "")] if "." in w or "-" in w else [w]
+    assert search.token_counts(text) == Counter(w for w in found if len(w) > 1)
