@@ -36,13 +36,13 @@ def same_file(scan: DataFrame) -> DataFrame:
 
 
 def file_changes(previous: DataFrame, scan: DataFrame) -> DataFrame:
-    """path and status of each path of previous (path, content or its hash, mtime, status) or scan (path, content, mtime).
+    """path and status of each path of previous (path, content or its hash, mtime, status) or scan (path, content or its hash, mtime).
 
     In order: file_not_found, processing, then for new files duplicate_skipped or new_file, and for known ones
     unchanged, or retry_failed, modified, duplicate_skipped if the time moved or the last run failed."""
-    old = F.col("hash") if "hash" in previous.columns else T.sha256(F.col("content"))
-    p = previous.select("path", old.alias("old_hash"), F.col("mtime").alias("old_mtime"), F.col("status").alias("old_status"))
-    s = same_file(scan.select("path", T.sha256(F.col("content")).alias("hash"), "mtime"))
+    hash_of = lambda files: F.col("hash") if "hash" in files.columns else T.sha256(F.col("content"))
+    p = previous.select("path", hash_of(previous).alias("old_hash"), F.col("mtime").alias("old_mtime"), F.col("status").alias("old_status"))
+    s = same_file(scan.select("path", hash_of(scan).alias("hash"), "mtime"))
     done = p.where("old_status = 'done'").groupBy(F.col("old_hash").alias("hash")).agg(F.min("path").alias("done_path"), F.max("path").alias("done_last"))
     x = p.join(s, "path", "full_outer").join(done, "hash", "left")
     elsewhere = F.col("done_path").isNotNull() & ((F.col("done_path") != F.col("path")) | (F.col("done_last") != F.col("path")))

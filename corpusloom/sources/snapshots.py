@@ -13,10 +13,13 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _BUCKET = "_bucket"
+#: Parts of a bucket that are rewritten apart from each other.
+_PARTS = 16
 
 
 class SnapshotTable:
@@ -76,15 +79,31 @@ class SnapshotTable:
         now = self.pointer()
         return now is not None and now["batches"].get(batch[0], -1) >= batch[1]
 
-    def replace(self, keys: DataFrame, rows: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+    def _gathered(self, rows: DataFrame) -> DataFrame:
+        return self._dealt(rows).hint("rebalance", _BUCKET)
+
+    def replace(self, keys: DataFrame, rows: DataFrame, batch: tuple[str, int] | None = None, within: bool = False) -> bool:
         """A version without the rows of the keys (key), and with rows instead; buckets without such keys stay as they are. Rows of other
-        keys are added. False, and nothing done, if the batch was written before."""
+        keys are added. False, and nothing done, if the batch was written before. within: rows have no other keys, so that they are
+        read for the write alone."""
         if batch is not None and self.written(batch):
             return False
         names = [f.name for f in self.schema.fields]
-        gone = self._dealt(keys.select(self.key).union(rows.select(self.key)).distinct())
+        gone = self._dealt((keys.select(self.key) if within else keys.select(self.key).union(rows.select(self.key))).distinct())
         touched = [str(r[0]) for r in gone.select(_BUCKET).distinct().collect()]  # at most as many as there are buckets
-        return self._write(touched, lambda old: old.join(gone.drop(_BUCKET), self.key, "left_anti").select(names).unionByName(rows.select(names)), batch)
+
+        def make(old: DataFrame | None) -> DataFrame:
+            """Old rows, keys and new rows are shuffled once, by parts of buckets, and meet there."""
+            if old is None:
+                return self._gathered(rows.select(names))
+            marks = gone.where(F.col(self.key).isNotNull()).select(self.key, F.lit(1).alias("_kind"))
+            every = old.select(*names, F.lit(0).alias("_kind")).unionByName(marks, allowMissingColumns=True).unionByName(rows.select(*names, F.lit(2).alias("_kind")))
+            every = self._dealt(every).withColumn("_part", F.pmod(F.hash(self.key), F.lit(_PARTS)))
+            marked = F.max(F.col("_kind") == 1).over(W.partitionBy(_BUCKET, "_part", self.key))
+            met = every.repartition(_BUCKET, "_part").withColumn("_marked", marked)
+            return met.where((F.col("_kind") == 2) | ((F.col("_kind") == 0) & ~F.col("_marked"))).select(*names, _BUCKET)
+
+        return self._write(touched, make, batch)
 
     def upsert(self, rows: DataFrame, order: str, batch: tuple[str, int] | None = None) -> bool:
         """A version in which each key has one row, that with the largest order; of equal ones that of rows. False if the batch was
@@ -94,15 +113,16 @@ class SnapshotTable:
         from corpusloom.operators.changes import upsert
 
         touched = [str(r[0]) for r in self._dealt(rows).select(_BUCKET).distinct().collect()]
-        return self._write(touched, lambda old: upsert(old, rows.select(*self.schema.names), self.key, order), batch)
+        new = rows.select(*self.schema.names)
+        return self._write(touched, lambda old: self._gathered(upsert(self._rows({}) if old is None else old, new, self.key, order)), batch)
 
     def _write(self, touched: list[str], make, batch: tuple[str, int] | None) -> bool:
         now = self.pointer() or {"version": 0, "buckets": self.buckets, "folders": {}, "batches": {}}
         version, folder = now["version"] + 1, f"v{now['version'] + 1:012d}-{uuid.uuid4().hex}"
         folders = {b: f for b, f in now["folders"].items() if b not in touched}
         if touched:
-            rows = self._dealt(make(self._rows(now["folders"], touched)))
-            rows.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")
+            held = self._rows(now["folders"], touched) if now["folders"].keys() & set(touched) else None
+            make(held).write.partitionBy(_BUCKET).parquet(f"{self.root}/{folder}")
             made = self._fs.listStatus(self._path(f"{self.root}/{folder}"))
             folders |= {s.getPath().getName().split("=")[1]: folder for s in made if s.getPath().getName().startswith(f"{_BUCKET}=")}
         self._swap({"version": version, "buckets": self.buckets, "folders": folders, "batches": now["batches"] | ({batch[0]: batch[1]} if batch else {})})

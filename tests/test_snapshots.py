@@ -128,3 +128,54 @@ def test_alerts_fire_after_their_hold(spark):
     failing = [r["minute"] - first for r in got if r["failing"]]
     assert failing == list(range(40, 46)) and fires("failing") == failing[2:]
     assert fires("cold") == list(range(30, len(got)))
+
+
+def _bytes_of(path, act):
+    """The bytes of the files that act leaves below path."""
+    import glob
+    import os
+
+    before = {f: os.path.getsize(f) for f in glob.glob(f"{path}/**", recursive=True) if os.path.isfile(f)}
+    act()
+    return sum(os.path.getsize(f) for f in glob.glob(f"{path}/**", recursive=True) if os.path.isfile(f) and f not in before)
+
+
+def test_an_ingest_run_writes_texts_twice(spark, tmp_path):
+    """Contents are written as the scan and as the chunks of the library; steps between them hold hashes and numbers alone."""
+    import random
+
+    from corpusloom.sources.scratch import shared_folder
+
+    draw = random.Random(3)
+    files = [(f"d/{i}.txt", "\n\n".join("".join(draw.choices("abcdefghijklmnop rst", k=1200)) for _ in range(20)), i) for i in range(40)]
+    library = Library(spark, f"file://{tmp_path}/lib", 2)
+    scan = spark.createDataFrame(files, FILES)
+    steps = shared_folder(spark).removeprefix("file://")
+    size = _bytes_of(steps, lambda: scan.write.parquet(f"file://{steps}/plain-{tmp_path.name}"))
+    assert _bytes_of(steps, lambda: library.ingest(scan, ("s", 0))) < 1.5 * size
+    assert library.chunks.read().count() == 40 * 20
+
+
+def test_equal_chunks_of_files_are_stored_once_and_by_the_first(spark, tmp_path):
+    """Files whose chunks are partly known: indexes, hashes and texts of what is stored belong together."""
+    import hashlib
+
+    para = lambda c: c * 1400
+    text = lambda s: "\n\n".join(para(c) for c in s)
+    library = Library(spark, f"file://{tmp_path}/lib", 2)
+    got = {r["path"]: (r["status"], r["chunks"], r["stored"]) for r in library.ingest(spark.createDataFrame([("a", text("xyx"), 5), ("b", text("yzx"), 1), ("c", None, 1), (None, "q", 1)], FILES)).collect() if r["path"]}
+    assert got["a"] == ("new_file", 2, 0) and got["b"] == ("new_file", 3, 3)
+    got = {r["path"]: (r["status"], r["chunks"], r["stored"]) for r in library.ingest(spark.createDataFrame([("b", text("wyz"), 9), ("d", text("ywvx"), 2)], FILES)).collect()}
+    assert got["b"] == ("modified", 3, 1) and got["d"] == ("new_file", 4, 4)
+    held = sorted((r["path"], r["chunk_index"], r["text"][0]) for r in library.chunks.read().collect() if r["path"])
+    assert held == [("b", 2, "z"), ("d", 0, "y"), ("d", 1, "w"), ("d", 2, "v"), ("d", 3, "x")]
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["content_hash"] for r in library.chunks.read().collect())
+
+
+def test_a_batch_that_holds_a_file_twice(spark, tmp_path):
+    """The last of them counts, and rows of replaced keys go while new ones of the same keys stay."""
+    library = Library(spark, f"file://{tmp_path}/lib", 2)
+    for wave in ([("a", "one", 1), ("a", "two", 3), ("b", "three", 1)], [("a", "four", 7)]):
+        spark.createDataFrame(wave, FILES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        library.follow(spark.readStream.schema(FILES).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
+    assert rows(library.chunks.read().select("path", "text")) == [("a", "four"), ("b", "three")]
