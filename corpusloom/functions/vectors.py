@@ -42,12 +42,21 @@ def _buckets(digest, items: list[bytes], size: int) -> np.ndarray:
     return left
 
 
+def hashed_sums(texts: list[list[bytes]], size: int = 384) -> np.ndarray:
+    """A row for each text, given as its words: hashes of words (weight 1.5) and word pairs (weight 2), signed by bucket parity."""
+    pairs = [[a + b"_" + b for a, b in zip(words, words[1:], strict=False)] for words in texts]
+    out = np.zeros(len(texts) * size)
+    for digest, items, weight in ((hashlib.md5, texts, 1.5), (hashlib.sha256, pairs, 2.0)):
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in items])
+        out += weight * np.bincount(row * size + _buckets(digest, [x for some in items for x in some], size), minlength=len(out))
+    out = out.reshape(len(texts), size)
+    out[:, 1::2] *= -1
+    return out
+
+
 def hashed_vector(text: str | None, size: int = 384) -> list[float]:
-    """Unit vector of a text from hashes of its words (weight 1.5) and word pairs (weight 2), signed by bucket parity."""
-    words = " ".join(text.lower().split()).encode().split(b" ") if text and not text.isspace() else []
-    pairs = [a + b"_" + b for a, b in zip(words, words[1:], strict=False)]
-    v = 1.5 * np.bincount(_buckets(hashlib.md5, words, size), minlength=size) + 2.0 * np.bincount(_buckets(hashlib.sha256, pairs, size), minlength=size)
-    v[1::2] *= -1
+    """Unit vector of a text from hashes of its words and word pairs."""
+    v = hashed_sums([" ".join(text.lower().split()).encode().split(b" ") if text and not text.isspace() else []], size)[0]
     n = float(np.sqrt((v * v).sum()))
     return (v / n if n else v).tolist()
 

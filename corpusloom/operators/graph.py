@@ -80,15 +80,19 @@ def graph_nodes(documents: DataFrame, each: int | None = None, total: int | None
     return reduce(DataFrame.union, parts)
 
 
-def graph_edges(documents: DataFrame, nodes: DataFrame, concepts: dict[str, str] | None = None) -> DataFrame:
-    """Edges core-department, department-course, course-document, course-concept and document-concept between nodes that exist."""
+def graph_edges(documents: DataFrame, nodes: DataFrame, concepts: dict[str, str] | None = None, at: DataFrame | None = None) -> DataFrame:
+    """Edges core-department, department-course, course-document, course-concept and document-concept between nodes that exist. With at
+    (id, each once) only those that touch one of its nodes; others are left out before any is shuffled."""
     dep, course = _node("dept", "department"), _node("course", "department", "course")
-    edge = lambda rows, a, b, w: rows.select(a.alias("src"), b.alias("dst"), F.lit(w).alias("weight")).distinct()
-    parts = [edge(documents, F.lit("core"), dep, 1.0), edge(documents, dep, course, 0.8), edge(documents, course, _doc(), 0.6)]
+    parts = [(documents, F.lit("core"), dep, 1.0), (documents, dep, course, 0.8), (documents, course, _doc(), 0.6)]
     if concepts:
-        named = document_concepts(documents, concepts)
-        parts += [edge(named, course, _concept(F.col("concept")), 0.9), edge(named, _doc(), _concept(F.col("concept")), 0.85)]
-    return valid_edges(reduce(DataFrame.union, parts), nodes)
+        named, concept = document_concepts(documents, concepts), _concept(F.col("concept"))
+        parts += [(named, course, concept, 0.9), (named, _doc(), concept, 0.85)]
+    edges = [rows.select(a.alias("src"), b.alias("dst"), F.lit(w).alias("weight")) for rows, a, b, w in parts]
+    if at is not None:
+        end = lambda c: at.select(F.col("id").alias(c), F.lit(True).alias(c + "_at"))
+        edges = [e.join(end("src"), "src", "left").join(end("dst"), "dst", "left").where("src_at or dst_at").select(*e.columns) for e in edges]
+    return valid_edges(reduce(DataFrame.union, (e.distinct() for e in edges)), nodes)
 
 
 def tree_paths(documents: DataFrame) -> DataFrame:

@@ -252,27 +252,15 @@ def k9(v):
     itself. A word of a label, longer than three characters, that the query holds adds 0.25 before nodes are ranked."""
     d = graph.sketched(v("v_documents"), CONCEPTS)
     nodes = materialise(graph.graph_nodes(d, concepts=CONCEPTS))
-    labelled = nodes.where("type <> 'core'")
-    q = v("benchmark").select(F.col("item_id").alias("query_id"), V.embed("text").alias("qvec"))
-    vectors = materialise(labelled.select(F.col("id").alias("vec_id"), V.embed("label").alias("vec")))
-    plain = search.vector_top_k(q, vectors, 6).select("query_id", "vec_id", "score")
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)
-    # a label's word stands inside a word of the query, which offers its parts of the lengths that words of labels have
-    lengths = [r[0] for r in labelled.select(F.explode(words(F.col("label"))).alias("w")).select(F.length("w")).distinct().collect()]
-    none = F.array().cast("array<string>")
-    parts = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(none)
-    within = lambda w: F.flatten(F.array(none, *(parts(w, n) for n in lengths)))
-    asked = v("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(words(F.col("text")), within)))).alias("word"))
-    named = labelled.select(F.col("id").alias("vec_id"), F.explode(F.array_distinct(words(F.col("label")))).alias("word")).join(asked, "word").select("query_id", "vec_id").distinct()
-    boosted = named.join(vectors, "vec_id").join(q, "query_id").select("query_id", "vec_id", F.least(F.lit(1.0), F.round(V.cosine(F.col("qvec"), F.col("vec")), 6) + 0.25).alias("score"))
-    scored = plain.union(boosted).groupBy("query_id", "vec_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
-    near = materialise(feeds.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], 6).withColumnRenamed("vec_id", "id"))
+    near = materialise(search.label_top_k(v("benchmark").withColumnRenamed("item_id", "query_id"), nodes.where("type <> 'core'"), 6).withColumnRenamed("vec_id", "id"))
     seed = near.where("rank = 0").select("query_id", "id", "score")
-    edges = graph.graph_edges(d, nodes, CONCEPTS)
-    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
-    hop = both.join(seed, both["src"] == seed["id"]).select("query_id", F.col("dst").alias("id"), F.round(F.col("score") * F.col("weight") * 0.85, 2).alias("activation"))
-    own = seed.select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("score") + 0.1), 2).alias("activation"))
-    strong = near.where("score >= 0.48").select("query_id", "id", F.round("score", 2).alias("activation"))
+    cents = lambda c: F.round(c * 100) / 100  # as DuckDB rounds: 0.285 is 28.499... hundredths
+    edges = graph.graph_edges(d, nodes, CONCEPTS, seed.select("id").distinct())
+    either = F.explode(F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    both = edges.select(either.alias("e")).select("e.*")
+    hop = both.join(seed, both["src"] == seed["id"]).select("query_id", F.col("dst").alias("id"), cents(F.col("score") * F.col("weight") * 0.85).alias("activation"))
+    own = seed.select("query_id", "id", cents(F.least(F.lit(1.0), F.col("score") + 0.1)).alias("activation"))
+    strong = near.where("score >= 0.48").select("query_id", "id", cents(F.col("score")).alias("activation"))
     core = seed.select("query_id", F.lit("core").alias("id"), F.lit(0.65).alias("activation"))
     return hop.union(own).union(strong).union(core).groupBy("query_id", "id").agg(F.max("activation").alias("activation"))
 
