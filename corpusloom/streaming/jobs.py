@@ -96,11 +96,15 @@ def admitted(times: list[int], seconds: int, limit: int, history: list[int]) ->
     return out, history
 
 
+#: Seconds that event times of keyed state are moved on: Spark's first watermark is 1970, and it drops rows that are not later than that.
+MOVED_S = 100 * 365 * 86_400
+
+
 def _expire_at(handle: StatefulProcessorHandle, at_ms: int) -> None:
-    """One event-time timer for a key, at the given time."""
+    """One event-time timer for a key, at the given time before it is moved on."""
     for old in list(handle.listTimers()):
         handle.deleteTimer(old)
-    handle.registerTimer(at_ms)
+    handle.registerTimer(at_ms + MOVED_S * 1000)
 
 
 class Limiter(StatefulProcessor):
@@ -134,7 +138,7 @@ _ADMITTED = "user_id long, at_us long, admitted boolean"
 def limited(attempts: DataFrame, seconds: int = 60, limit: int = 20, delay: str = "10 minutes") -> DataFrame:
     """Streaming rate limiter over attempts (user_id, at_us). A client's state goes when the watermark has passed the time for which its
     last admitted attempt counts."""
-    timed = attempts.select("user_id", "at_us", F.timestamp_micros("at_us").alias("at")).withWatermark("at", delay)
+    timed = attempts.select("user_id", "at_us", F.timestamp_micros(F.col("at_us") + MOVED_S * 1_000_000).alias("at")).withWatermark("at", delay)
     return timed.groupBy("user_id").transformWithStateInPandas(Limiter(seconds, limit), _ADMITTED, "Append", "EventTime")
 
 
@@ -151,7 +155,7 @@ class Repeats(StatefulProcessor):
         got = pd.concat(list(rows)).sort_values(["asked_s", "message_id"])
         before = self.last.get()[0] if self.last.exists() else None
         since = (got["asked_s"] - got["asked_s"].shift(1, fill_value=-(1 << 40) if before is None else before)).astype("int64")
-        last = max(int(got["asked_s"].iloc[-1]), before or 0)
+        last = int(got["asked_s"].iloc[-1]) if before is None else max(int(got["asked_s"].iloc[-1]), before)
         self.last.update((last,))
         _expire_at(self.handle, (last + self.ttl_s) * 1000 + 1)
         hit = since.between(0, self.ttl_s)
@@ -167,7 +171,7 @@ class Repeats(StatefulProcessor):
 
 def repeated(asked: DataFrame, ttl_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
     """message_id and since_s of questions (message_id, key, asked_s) that were asked within ttl_s seconds before."""
-    timed = asked.select("message_id", "key", "asked_s", F.timestamp_seconds("asked_s").alias("at")).withWatermark("at", delay)
+    timed = asked.select("message_id", "key", "asked_s", F.timestamp_seconds(F.col("asked_s") + MOVED_S).alias("at")).withWatermark("at", delay)
     return timed.groupBy("key").transformWithStateInPandas(Repeats(ttl_s), "message_id long, since_s long", "Append", "EventTime")
 
 
